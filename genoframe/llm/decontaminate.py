@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,7 +251,7 @@ def find_contamination(
     for block in range(n_blocks):
         own = listed if n_blocks == 1 else listed.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in own.collect()], window))
-        results.append(docs.mapInPandas(_searcher(shared, shard_words), _schema(docs)))
+        results.append(docs.mapInArrow(_searcher(shared, shard_words), _schema(docs)))
     if n_blocks == 1:
         return results[0]
     # Rows of equal id and text (hash) have equal spans, so blocks merge by that key.
@@ -292,11 +292,11 @@ def _schema(docs: DataFrame) -> str:
 
 
 def _searcher(shared, shard_words: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         number = windows.vocabulary.get
 
-        def rows(ids: list, crcs: list, texts: list[np.ndarray]) -> pd.DataFrame:
+        def rows(ids: list, crcs: list, texts: list[np.ndarray]) -> pa.RecordBatch:
             spans: list[list] = [[] for _ in ids]
             items: list[list] = [[] for _ in ids]
             # Equal texts in a shard are indexed once.
@@ -314,21 +314,24 @@ def _searcher(shared, shard_words: int):
                     pairs = set(zip(size[a:b].tolist(), row[a:b].tolist()))
                     found = {int(i) for n, r in pairs for i in windows.by_size[n][1][r]}
                     items[k] = [windows.names[i] for i in sorted(found)]
-            return pd.DataFrame(
-                {
-                    "doc_id": pd.Series(ids, dtype=object),
-                    "crc": crcs,
-                    "n_words": [len(t) for t in texts],
-                    "spans": [spans[k] for k in same],
-                    "items": [items[k] for k in same],
-                }
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, kind),
+                    pa.array(crcs, pa.int64()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([spans[k] for k in same], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([items[k] for k in same], pa.list_(pa.string())),
+                ],
+                names=["doc_id", "crc", "n_words", "spans", "items"],
             )
 
-        ids, crcs, texts, held = [], [], [], 0
+        ids, crcs, texts, held, kind = [], [], [], 0, None
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            kind = batch.column("doc_id").type
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                text = text.as_py()
                 words = words_of(text)
-                ids.append(doc_id)
+                ids.append(doc_id.as_py())
                 crcs.append(zlib.crc32(text.encode()) if text else 0)
                 texts.append(np.fromiter((number(w, 1) for w in words), np.int32, len(words)))
                 held += len(words)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from genoframe.llm.common import table
 from genoframe.llm.decontaminate import contamination_report, find_contamination
+from genoframe.llm.packing import pack, token_pieces
 from genoframe.llm.simhash import near_duplicates
 
 
@@ -20,9 +21,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

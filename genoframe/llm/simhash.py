@@ -22,6 +22,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +66,13 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, fingerprint as a signed long) for every row; null and empty texts give 0."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": found})
+            found = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found)], names=["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(make, f"doc_id {kind}, fingerprint long")
+    return docs.mapInArrow(make, f"doc_id {kind}, fingerprint long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
