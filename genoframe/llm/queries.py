@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoframe.llm.common import table
 from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.packing import pack, token_pieces
+from genoframe.llm.pii import find_pii, pii_report
 from genoframe.llm.simhash import near_duplicates
 from genoframe.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -40,11 +41,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(find_pii(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_pii": op9_pii,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
