@@ -10,6 +10,7 @@ from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.packing import pack, token_pieces
 from genoframe.llm.pii import find_pii, pii_report
 from genoframe.llm.simhash import near_duplicates
+from genoframe.llm.syncmers import edited_fingerprints
 from genoframe.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -45,12 +46,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_pii": op9_pii,
+    "op10_syncmers": op10_syncmers,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
