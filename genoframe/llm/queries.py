@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.llm.chat import format_turns, read_back
-from genoframe.llm.common import table
+from genoframe.llm.common import scratch, table
 from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.packing import pack, token_pieces
 from genoframe.llm.pii import find_pii, pii_report
 from genoframe.llm.simhash import near_duplicates
 from genoframe.llm.syncmers import edited_fingerprints
 from genoframe.llm.toxicity import fit_toxicity, score_toxicity
+from genoframe.llm.warc import archive_index, read_archives, write_archives
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch(spark, "warc")
+    write_archives(pages, path)
+    archive = read_archives(spark, path).select("record_id", "record_type", "refers_to", "digest", "payload")
+    return archive_index(archive, pages.schema["page_id"].dataType.simpleString())
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -61,6 +70,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -91,6 +101,16 @@ SELECT doc.doc_id AS doc_id, CAST(len(doc.w) AS BIGINT) AS n_words, CAST(coalesc
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(its.s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(doc.w) AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+g AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, html, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS b FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, b AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d JOIN g USING (html)
 """,
     "op7_chat_format": """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
