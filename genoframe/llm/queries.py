@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoframe.llm.chat import format_turns, read_back
 from genoframe.llm.common import scratch, table
 from genoframe.llm.decontaminate import contamination_report, find_contamination
+from genoframe.llm.html_extract import extract_main_text
 from genoframe.llm.packing import pack, token_pieces
 from genoframe.llm.pii import find_pii, pii_report
 from genoframe.llm.simhash import near_duplicates
@@ -42,6 +43,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_html_extract": op5_html_extract,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_format": op7_chat_format,
     "op9_pii": op9_pii,
