@@ -11,6 +11,7 @@ from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.html_extract import extract_main_text
 from genoframe.llm.packing import pack, token_pieces
 from genoframe.llm.pii import find_pii, pii_report
+from genoframe.llm.secret_scan import scan_secrets
 from genoframe.llm.simhash import near_duplicates
 from genoframe.llm.syncmers import edited_fingerprints
 from genoframe.llm.toxicity import fit_toxicity, score_toxicity
@@ -66,6 +67,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(rows.unionByName(forged), path), path)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    places = F.transform("findings", lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string")))
+    return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_findings"), F.array_join(places, ",").alias("findings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(find_pii(table(spark, sf_dir, "documents")))
 
@@ -82,6 +89,7 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_format": op7_chat_format,
+    "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
     "op10_syncmers": op10_syncmers,
 }
