@@ -213,25 +213,24 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on labelled documents whose crc32(doc_id as text) mod 4 is not 2.
 
-    At most ``train_rows`` of them, those of least hash of their id, and of these
-    as many as have ``train_chars`` characters together: a documented bound of what
-    the driver holds. Null labels and ids are left out.
+    The bound of what the driver holds: about ``train_rows`` of them, those of least
+    hash of their id, or fewer where these have more than about ``train_chars``
+    characters together. Null labels and ids are left out.
     """
     own = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).filter("i is not null and y is not null")
-    own = own.filter(F.crc32(F.col("i").cast("string").cast("binary")) % 4 != 2).withColumn("h", F.xxhash64("i"))
-    # Only some labels have a document: take three times as many, then keep the first.
-    some = own.orderBy("h", "i", "y").limit(3 * train_rows)
+    own = own.filter(F.crc32(F.col("i").cast("string").cast("binary")) % 4 != 2).withColumn("h", F.pmod(F.xxhash64("i"), F.lit(1 << 30)))
     docs = documents.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("x"))
-    sized = docs.join(F.broadcast(some), "i")
-    kept = sized.orderBy("h", "i", "y", "x").limit(train_rows).select("h", "x", "y")
-    texts, ys, held = [], [], 0
-    for r in kept.toLocalIterator():
-        held += len(r["x"])
-        if texts and held > train_chars:
-            break
-        texts.append(r["x"])
-        ys.append(r["y"])
-    return fit(texts, ys)
+
+    def sample(share: float) -> DataFrame:
+        # At most some tens of thousands of ids: a bounded broadcast.
+        return docs.join(F.broadcast(own.filter(F.col("h") < int((1 << 30) * min(1.0, share)))), "i")
+
+    # Only some labels have a document: look at more, then keep the share that is wanted.
+    share = 3 * train_rows / max(1, own.count())
+    rows, chars = sample(share).agg(F.count("*"), F.sum(F.length("x"))).first()
+    share = min(1.0, share) * min(1.0, train_rows / max(1, rows), train_chars / max(1, chars or 1))
+    kept = sorted((r["h"], r["x"], r["y"]) for r in sample(share).select("h", "x", "y").collect())
+    return fit([x for _, x, _ in kept], [y for _, _, y in kept])
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
