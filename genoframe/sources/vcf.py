@@ -100,7 +100,8 @@ def number_text(c: Column) -> Column:
     places = F.greatest(F.lit(0), F.lit(5) - digits)
     scaled = F.rint(d * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places)
     plain = F.regexp_replace(F.regexp_replace(scaled.cast("decimal(38,10)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(d == 0, "0").when(digits.between(-5, 5), plain).otherwise(F.lower(F.format_string("%.5e", d)))
+    power = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", d), r"(\.[0-9]*?)0*e", "$1e"), r"\.e", "e")
+    return F.when(d == 0, "0").when(digits.between(-4, 5), plain).when(d.isNotNull(), power)
 
 
 def line_of(header: Header) -> Column:

@@ -10,22 +10,27 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream gets a watermark, which needs a timestamp with a time zone; a table stays."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of each event type in windows of ``width``."""
-    grouped = events.withWatermark("ts", late) if events.isStreaming else events
+    grouped = _timed(events, late)
     out = grouped.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 hours", every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    grouped = events.withWatermark("ts", late) if events.isStreaming else events
+    grouped = _timed(events, late)
     out = grouped.groupBy(F.window("ts", width, every).alias("w")).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a user: events less than ``gap`` apart."""
-    grouped = events.withWatermark("ts", late) if events.isStreaming else events
+    grouped = _timed(events, late)
     out = grouped.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "total")
 
