@@ -1,6 +1,6 @@
 """WARC archives: writing pages as records, and reassembling segmented records.
 
-Writing gives plain WARC/1.1 files. A block longer than ``segment_bytes`` is cut
+Writing gives gzipped WARC/1.1 files. A block longer than ``segment_bytes`` is cut
 into a first record and continuation records, which bounds a record and, with the
 number of records to a file, a file. Of records with equal payloads one is a
 response and the others revisit it.
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoframe.llm.common import cut
+
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 RECORDS_PER_FILE = 1_000
@@ -173,7 +175,7 @@ def write_archives(
     records = marked.mapInArrow(serialise, "record binary")
     # A text sink writes bytes as they are; the record separator is the line separator.
     writer = records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n")
-    writer.option("maxRecordsPerFile", records_per_file).text(path)
+    writer.option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 _RECORD = "record_id string, record_type string, uri string, digest string, refers_to string, origin string, number int, total long, block binary"
@@ -264,7 +266,8 @@ def page_of(record_id, kind: str):
 
 def archive_index(archive: DataFrame, id_type: str = "long") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record; a revisit has its response's size."""
-    rows = archive.select("record_id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("size"))
+    # Written, as it is used several times: the archive is then parsed once.
+    rows = cut(archive.select("record_id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("size")))
     revisits = rows.filter("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
     wanted = revisits.select(F.col("refers_to").alias("target")).distinct()
     targets = rows.filter("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("size").alias("full")).join(wanted, "target")
