@@ -24,8 +24,10 @@ def allele_type(ref: Column, alt: Column) -> Column:
     n_diff = F.size(F.filter(F.sequence(F.lit(1), F.length(ref)), lambda i: F.substr(ref, i, F.lit(1)) != F.substr(alt, i, F.lit(1))))
     symbolic = alt.rlike(r"[<>\[\]*]")
     anchored = F.startswith(alt, F.substr(ref, F.lit(1), F.lit(1)))
+    single = (F.length(ref) == 1) & (F.length(alt) == 1) & alt.isin(*"ACGTN")
     return (
-        F.when(symbolic, OTHER)
+        F.when(single & (ref != alt), SNP)  # most sites: no walk along the alleles
+        .when(symbolic, OTHER)
         .when(ref == alt, 0)
         .when(same & (n_diff == 1), SNP)
         .when(same, MNP)
