@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.3
 #: Labelled texts the model is fitted on, at most: those of least hash of their id.
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 6_000
 #: Of them, with no more than so many characters in all.
-TRAIN_CHARS = 40_000_000
+TRAIN_CHARS = 24_000_000
 PASSAGE = 12
 BUCKETS = 1 << 17
 DIM = 8
@@ -151,23 +151,25 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
     del number
     if not vocabulary:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    rows = [compact[r] for r in rows]
     lengths = [len(r) for r in rows]
+    token = compact[np.concatenate(rows)].astype(np.int32)
+    del rows
     n = sum(lengths)
     starts = [_passages(k) + at for k, at in zip(lengths, np.cumsum(lengths) - lengths)]
-    token, start = np.concatenate(rows), np.concatenate(starts)
+    start = np.concatenate(starts)
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
     text_start = np.searchsorted(owner, np.arange(len(texts)))
     length = np.diff(np.append(start, n)).astype(np.float32)
     passage = np.repeat(np.arange(len(start)), length.astype(np.int64))
     fitted = token >= 0
     pair = np.unique(passage[fitted] * np.int64(_WIDE) + token[fitted])
-    p_of, w_of = pair // _WIDE, pair % _WIDE
-    share_of = 1 / length[p_of]
-    lists = [buckets_of(w) for w in vocabulary]
-    size = np.array([len(x) for x in lists])
-    used, grams = np.unique(np.concatenate([np.array(x) for x in lists]), return_inverse=True)
-    of_word = np.repeat(np.arange(len(size)), size)
+    p_of, w_of = (pair // _WIDE).astype(np.int32), (pair % _WIDE).astype(np.int32)
+    del pair, passage, fitted, token
+    share_of = (1 / length[p_of]).astype(np.float32)
+    size = np.fromiter((len(buckets_of(w)) for w in vocabulary), np.int32, len(vocabulary))
+    grams = np.fromiter((b for w in vocabulary for b in buckets_of(w)), np.int32, int(size.sum()))
+    used, grams = np.unique(grams, return_inverse=True)
+    grams, of_word = grams.astype(np.int32), np.repeat(np.arange(len(size), dtype=np.int32), size)
 
     rng = np.random.default_rng(seed)
     emb = (rng.normal(size=(len(used), dim)) * 0.1).astype(np.float32)
@@ -213,24 +215,37 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on labelled documents whose crc32(doc_id as text) mod 4 is not 2.
 
-    The bound of what the driver holds: about ``train_rows`` of them, those of least
-    hash of their id, or fewer where these have more than about ``train_chars``
-    characters together. Null labels and ids are left out.
+    The bound of what the driver holds: of each label about half of ``train_rows``, those
+    of least hash of their id, or fewer where they have more than about ``train_chars``
+    characters together. The bias is then set right for the labels' true shares. Null
+    labels and ids are left out.
     """
-    own = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).filter("i is not null and y is not null")
+    own = labels.select(F.col("doc_id").alias("i"), (F.col("toxic") > 0).cast("int").alias("y")).filter("i is not null and y is not null")
     own = own.filter(F.crc32(F.col("i").cast("string").cast("binary")) % 4 != 2).withColumn("h", F.pmod(F.xxhash64("i"), F.lit(1 << 30)))
     docs = documents.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("x"))
 
-    def sample(share: float) -> DataFrame:
+    def sample(shares: list[float]) -> DataFrame:
         # At most some tens of thousands of ids: a bounded broadcast.
-        return docs.join(F.broadcast(own.filter(F.col("h") < int((1 << 30) * min(1.0, share)))), "i")
+        limit = F.when(F.col("y") == 1, int((1 << 30) * shares[1])).otherwise(int((1 << 30) * shares[0]))
+        return docs.join(F.broadcast(own.filter(F.col("h") < limit)), "i")
+
+    def seen(rows: DataFrame) -> list[int]:
+        found = dict(tuple(r) for r in rows.groupBy("y").count().collect())
+        return [found.get(0, 0), found.get(1, 0)]
 
     # Only some labels have a document: look at more, then keep the share that is wanted.
-    share = 3 * train_rows / max(1, own.count())
-    rows, chars = sample(share).agg(F.count("*"), F.sum(F.length("x"))).first()
-    share = min(1.0, share) * min(1.0, train_rows / max(1, rows), train_chars / max(1, chars or 1))
-    kept = sorted((r["h"], r["x"], r["y"]) for r in sample(share).select("h", "x", "y").collect())
-    return fit([x for _, x, _ in kept], [y for _, _, y in kept])
+    half = train_rows / 2
+    shares = [min(1.0, 3 * half / max(1, n)) for n in seen(own)]
+    sized = {r["y"]: (r["n"], r["c"]) for r in sample(shares).groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("c")).collect()}
+    there = [sized.get(y, (0, 0))[0] / max(s, 1e-9) for y, s in enumerate(shares)]
+    for y, (n, chars) in sized.items():
+        shares[y] *= min(1.0, half / n, train_chars / 2 / max(1, chars))
+    kept = sample(shares).select("h", "x", "y").toPandas().sort_values(["h", "x", "y"], kind="stable")
+    model = fit(kept["x"].tolist(), kept["y"].tolist())
+    n1, n0 = int((kept["y"] == 1).sum()), int((kept["y"] == 0).sum())
+    if n0 and n1:
+        model.bias += float(np.log(there[1] / there[0]) - np.log(n1 / n0))
+    return model
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
