@@ -21,7 +21,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.3
@@ -41,7 +41,8 @@ _WORD = re.compile(r"\w+(?:[*@$#'’+-]+\w+)*")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words in lower case; bare numbers are left out, as they carry no tone."""
+    return [w for w in _WORD.findall(text.lower()) if not w.isdigit()] if text else []
 
 
 def buckets_of(word: str) -> list[int]:
@@ -218,16 +219,18 @@ def fit_toxicity(
     The bound of what the driver holds: of each label about half of ``train_rows``, those
     of least hash of their id, or fewer where they have more than about ``train_chars``
     characters together. The bias is then set right for the labels' true shares. Null
-    labels and ids are left out.
+    labels and ids are left out; of rows that repeat an id one text (the least) is taken,
+    and one toxic label among an id's labels makes it toxic.
     """
     own = labels.select(F.col("doc_id").alias("i"), (F.col("toxic") > 0).cast("int").alias("y")).filter("i is not null and y is not null")
     own = own.filter(F.crc32(F.col("i").cast("string").cast("binary")) % 4 != 2).withColumn("h", F.pmod(F.xxhash64("i"), F.lit(1 << 30)))
     docs = documents.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("x"))
 
-    def sample(shares: list[float]) -> DataFrame:
-        # At most some tens of thousands of ids: a bounded broadcast.
+    def sample(shares: list[float], what: Column) -> DataFrame:
+        # At most some tens of thousands of different ids: a bounded broadcast.
         limit = F.when(F.col("y") == 1, int((1 << 30) * shares[1])).otherwise(int((1 << 30) * shares[0]))
-        return docs.join(F.broadcast(own.filter(F.col("h") < limit)), "i")
+        ids = own.filter(F.col("h") < limit).groupBy("i", "h").agg(F.max("y").alias("y"))
+        return docs.join(F.broadcast(ids), "i").groupBy("i", "h", "y").agg(what)
 
     def seen(rows: DataFrame) -> list[int]:
         found = dict(tuple(r) for r in rows.groupBy("y").count().collect())
@@ -236,11 +239,12 @@ def fit_toxicity(
     # Only some labels have a document: look at more, then keep the share that is wanted.
     half = train_rows / 2
     shares = [min(1.0, 3 * half / max(1, n)) for n in seen(own)]
-    sized = {r["y"]: (r["n"], r["c"]) for r in sample(shares).groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("c")).collect()}
+    lengths = sample(shares, F.max(F.length("x")).alias("c"))
+    sized = {r["y"]: (r["n"], r["c"]) for r in lengths.groupBy("y").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
     there = [sized.get(y, (0, 0))[0] / max(s, 1e-9) for y, s in enumerate(shares)]
     for y, (n, chars) in sized.items():
         shares[y] *= min(1.0, half / n, train_chars / 2 / max(1, chars))
-    kept = sample(shares).select("h", "x", "y").toPandas().sort_values(["h", "x", "y"], kind="stable")
+    kept = sample(shares, F.min("x").alias("x")).select("h", "x", "y").toPandas().sort_values(["h", "x", "y"], kind="stable")
     model = fit(kept["x"].tolist(), kept["y"].tolist())
     n1, n0 = int((kept["y"] == 1).sum()), int((kept["y"] == 0).sum())
     if n0 and n1:
