@@ -20,9 +20,13 @@ from genoframe.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as toxic go; null and empty texts stay unless predicted so."""
+    """Documents that the classifier predicts as toxic go; null and empty texts stay unless predicted so.
+
+    Rows pass as one column beside their score, so a column named like it stays as it is.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs.select("*"), model).filter("predicted = 0").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return score_toxicity(rows, model).filter("predicted = 0").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +49,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows. No document goes."""
     rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    found = find_pii(rows).select("doc_id.*", "spans")
-    clean = found.withColumn("text", redact(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    found = find_pii(rows).select("doc_id", redact(F.col("doc_id.text"), F.col("spans")).alias("clean"))
+    made = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[made.get(c, F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
