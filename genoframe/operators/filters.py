@@ -80,6 +80,11 @@ def private(samples: Column, subset: list[int]) -> Column:
     return (F.size(carriers) > 0) & F.forall(carriers, lambda s: s["sample"].isin(subset))
 
 
+def first_gate(gates: list[tuple[str, Column]], passed: str = "-") -> Column:
+    """The letter of the first gate whose condition a site meets, in the order given; ``passed`` if it meets none."""
+    return F.coalesce(*[F.when(condition, letter) for letter, condition in gates], F.lit(passed))
+
+
 def all_phased(samples: Column) -> Column:
     """Every sample's genotype is phased or haploid."""
     return F.forall(samples, lambda s: F.coalesce(s["phased"] | (s["a"].isNotNull() & s["b"].isNull()), F.lit(False)))

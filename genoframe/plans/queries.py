@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
-from genoframe.operators import calling, filters, genotype, joins, reshape, sequence, stats
+from genoframe.operators import annotate, calling, consensus, filters, genotype, joins, reshape, sequence, stats
 from genoframe.sources.views import GENOTYPES, INTERVALS, SITES, genotypes, intervals, sites
 from genoframe.streaming import events as ev
 
@@ -562,6 +562,56 @@ def nearest_unit(spark, sf_dir):
     return out.select("vec_id", "unit", F.round("distance2", 6).alias("distance2"))
 
 
+# --- annotations, gates, consensus -----------------------------------------
+
+
+@query(f"""WITH {_S} SELECT pos, '.' AS id, CASE WHEN filter = 'P' THEN '.' ELSE filter END AS filters, '{{"kind":' || kind || '}}' AS info FROM s""")
+def drop_annotations(spark, sf_dir):
+    v = variants(spark, sf_dir).select("pos", "id", F.array("filter").alias("filters"), F.struct("src", "kind").alias("info"))
+    out = annotate.drop_annotations(v, ["ID", "FILTER/P", "INFO/src"])
+    return out.select("pos", F.coalesce("id", F.lit(".")).alias("id"), F.coalesce(F.array_join("filters", ";"), F.lit(".")).alias("filters"), F.to_json("info").alias("info"))
+
+
+@query(f"""WITH {_S}, {_I} SELECT pos, CAST(CASE WHEN kind IN (1, 2) AND EXISTS (SELECT 1 FROM iv WHERE pos <= to1 AND pos + length(ref) - 1 >= from1)
+ THEN CASE WHEN (length(alt) - length(ref)) % 3 <> 0 THEN 1 ELSE 0 END ELSE -1 END AS INTEGER) AS oof FROM s""")
+def out_of_frame(spark, sf_dir):
+    return annotate.out_of_frame(variants(spark, sf_dir), intervals(spark, sf_dir)).select("pos", "oof")
+
+
+@query(f"""WITH {_S}, x AS (SELECT chrom, pos, kind, qual, src, CASE WHEN kind = 2 THEN length(ref) ELSE 1 END AS span FROM s), y AS (SELECT *, kind IN (0, 3) AND EXISTS (SELECT 1 FROM x i
+ WHERE i.chrom = x.chrom AND i.kind IN (1, 2) AND ((i.pos <= x.pos AND i.pos + i.span - 1 + 3 >= x.pos) OR (i.pos >= x.pos AND x.pos + 3 >= i.pos))) AS near FROM x)
+ SELECT CASE WHEN qual < 40 THEN 'Q' WHEN src % 50 < 3 THEN 'd' WHEN src % 50 > 45 THEN 'D' WHEN near THEN 'G' ELSE '-' END AS letter, count(*) AS n FROM y GROUP BY 1""")
+def site_gates(spark, sf_dir):
+    """Quality, least and most depth, then an indel within three bases; ``src`` stands for the depth."""
+    v = variants(spark, sf_dir).withColumns({"is_snp": F.col("mask") == gen.SNP, "is_indel": F.col("mask") == gen.INDEL})
+    v = v.withColumns({"near": filters.snp_gap(v, 3), "depth": F.col("src") % 50})
+    gates = [("Q", F.col("qual") < 40), ("d", F.col("depth") < 3), ("D", F.col("depth") > 45), ("G", F.col("near"))]
+    return v.groupBy(filters.first_gate(gates).alias("letter")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_S}, b AS (SELECT chrom, pos, CASE WHEN src % 2 = 1 THEN alt ELSE CASE concat(least(ref, alt), greatest(ref, alt)) WHEN 'AC' THEN 'M' WHEN 'AG' THEN 'R' WHEN 'AT' THEN 'W'
+ WHEN 'CG' THEN 'S' WHEN 'CT' THEN 'Y' WHEN 'GT' THEN 'K' END END AS base, qual < 50 AS low FROM s WHERE kind IN (0, 3)),
+ m AS (SELECT chrom, pos + d AS pos, CAST(NULL AS VARCHAR) AS base, true AS low FROM s, (SELECT unnest(range(-3, 4)) AS d) t WHERE kind IN (1, 2)),
+ u AS (SELECT chrom, pos, max(base) AS base, bool_or(low) AS low FROM (SELECT * FROM b UNION ALL SELECT * FROM m) t GROUP BY 1, 2),
+ k AS (SELECT DISTINCT chrom, pos // 500 AS chunk FROM u WHERE base IS NOT NULL), x AS (SELECT chrom, chunk, unnest(range(0, 500)) AS o FROM k)
+ SELECT x.chrom AS chrom, x.chunk AS chunk, string_agg(CASE WHEN base IS NULL THEN 'n' WHEN low THEN lower(base) ELSE base END, '' ORDER BY o) AS seq
+ FROM x LEFT JOIN u ON u.chrom = x.chrom AND u.pos = x.chunk * 500 + o GROUP BY 1, 2""")
+def consensus_sequence(spark, sf_dir):
+    """SNPs of an even ``src`` are heterozygous; letters within three bases of an indel are in lower case."""
+    v = variants(spark, sf_dir)
+    base = F.when(F.col("src") % 2 == 1, F.col("alt")).otherwise(gen.iupac(F.col("ref"), F.col("alt")))
+    bases = v.filter(F.col("mask") == gen.SNP).select("chrom", "pos", base.alias("base"), (F.col("qual") < 50).alias("low"))
+    masks = v.filter(F.col("mask") == gen.INDEL).select("chrom", (F.col("pos") - 3).alias("from1"), (F.col("pos") + 3).alias("to1"))
+    return consensus.consensus(bases, masks, size=500)
+
+
+@query(f"""WITH {_G}, {_PL}, e AS (SELECT *, pow(10, -p0 / 10.0) AS x, pow(10, -p1 / 10.0) AS y, pow(10, -p2 / 10.0) AS z FROM pl), q AS (SELECT pos, a + b AS d FROM g WHERE sample = 1)
+ SELECT sample, round(-sum(ln(CASE d WHEN 0 THEN x WHEN 1 THEN y ELSE z END / (x + y + z))), 4) AS lk, count(*) AS sites FROM e JOIN q ON e.pos = q.pos GROUP BY sample""")
+def sample_likelihood(spark, sf_dir):
+    asked = genotypes(spark, sf_dir).filter("sample = 1").select("pos", (F.col("a") + F.col("b")).alias("dosage"))
+    return consensus.sample_likelihood(asked, likelihoods(spark, sf_dir)).withColumn("lk", F.round("lk", 4))
+
+
 # --- events ----------------------------------------------------------------
 
 
