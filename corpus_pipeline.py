@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.llm.common import scratch, table
+from genoframe.llm.copies import copy_groups
 from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.packing import pack, token_pieces
 from genoframe.llm.pii import find_pii, redact
 from genoframe.llm.queries import tokenizer_path
-from genoframe.llm.simhash import near_duplicates
 from genoframe.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -30,11 +30,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the least doc_id.
+    """One document of each group of near copies stays, that of the least doc_id.
 
-    Rows of one doc_id are one document and give one row; rows without doc_id stay.
+    Copies share 0.8 or more of their five-word shingles. Rows of one doc_id are one
+    document and give one row; rows without doc_id stay.
     """
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    groups = copy_groups(docs.filter("doc_id is not null").select(F.col("doc_id").alias("key"), "text"))
+    first = groups.groupBy("group").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
