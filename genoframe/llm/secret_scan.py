@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SURE = 0.5
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ASSIGNED = re.compile(
-    r"(?i)\b[a-z0-9_.-]{0,32}(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"'`]?([^\s\"'`,;<>]{8,})"
+    r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"'`]?([^\s\"'`,;<>]{8,})"
 )
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----")
 #: Beginnings of well-known keys.

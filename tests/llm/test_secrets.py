@@ -16,6 +16,12 @@ def test_candidates():
     assert len(candidates("a1" * 200_000)) == 1
 
 
+def test_long_names():
+    for name in ("DB_PASSWORD", "SPRING_DATASOURCE_PRIMARY_CONNECTION_PASSWORD", "a." * 40 + "secret", "éàPASSWORD"):
+        text = f"set {name}=hunt3r!2x now"
+        assert [text[s:e] for s, e in candidates(text)] == ["hunt3r!2x"]
+
+
 def test_rows(spark):
     rows = [
         (1, "it was token = \"99838f02190d7820780833c045acdffb51cf9847\" the"), (2, "see commit 99838f02190d7820780833c045acdffb51cf9847 for more"),
