@@ -37,6 +37,8 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not shown as text.
 _HIDDEN_TAGS = frozenset("script style template noscript iframe object svg math canvas audio video head title".split())
+#: Elements that a head may hold; any other tag, and text, ends a head left open.
+_HEAD = frozenset("base link meta noscript script style template title".split())
 _RAW = frozenset("script style title textarea iframe noscript template".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -72,6 +74,8 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if hidden and stack[-1][0] == "head" and raw.strip():
+            close("head")
         if raw and not hidden:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -101,6 +105,8 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in _BLOCK:
             flush()
+        if not (m[1] or m[4]) and stack and stack[-1][0] == "head" and tag not in _HEAD and tag not in ("head", "html"):
+            close("head")
         if m[1] or m[4]:
             close(tag)
             continue

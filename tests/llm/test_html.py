@@ -53,6 +53,15 @@ PAGE = (
 )
 
 
+def test_head_left_open():
+    head = '<html><head><meta charset="x"><title>t</title><style>p{}</style><script>var x</script>'
+    for start in ("<body>", "", "<br>", "<custom-tag>"):
+        page = f"{head}{start}<p>One two.</p><div>Three</div></html>"
+        assert [b.text for b in blocks_of(page)] == ["One two.", "Three"]
+    assert [b.text for b in blocks_of(head + " One two.<p>Three")] == ["One two.", "Three"]
+    assert main_text([PAGE.replace("</head>", "")], trained_labeller()) == main_text([PAGE], trained_labeller()) != [""]
+
+
 def test_rows(spark):
     want = "Title here\nFirst line & more.\nSecond line of it."
     assert main_text([PAGE], trained_labeller()) == [want]
