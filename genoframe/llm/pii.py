@@ -9,8 +9,8 @@ Labelers vote on candidate spans (``personal`` / ``not personal`` / no vote):
 The vote patterns of all candidates are counted (their number is bounded by the
 labelers), expectation-maximisation on these counts estimates each labeler's
 reliability and the share of personal spans, and the expected labels train a
-final span classifier, a log-linear model over the span's own features. Base
-spans always stay; further candidates stay where the classifier is sure.
+final span classifier, naive Bayes over the span's own features. Base spans
+always stay; further candidates stay where the classifier is sure.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from genoframe.llm.common import cut, let
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
-IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
+#: The base patterns. A match can begin only where a run of its first
+#: class begins or the match before ended: any later place in a run fails as its first
+#: does. Said so, a run is walked once and not once from each of its characters.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Looser forms: a number without its plus sign; an address with spelt marks.
@@ -41,6 +43,26 @@ GAZETTEER = {
 CONTEXT = 40
 SURE = 0.9
 RUN = 128
+PIECE = 1024
+
+
+def running(values: Column, step, start: Column) -> Column:
+    """For each value, ``step`` folded over ``start`` and all values before it.
+
+    Runs of RUN values are folded on their own and then moved on by what comes before
+    them, so no long array grows one by one. ``step`` must be associative.
+    """
+    none = F.slice(F.array(start), 1, 0)
+
+    def fold(xs: Column, of) -> Column:
+        grown = lambda acc, x: F.struct(step(acc["top"], of(x)).alias("top"), F.concat(acc["out"], F.array(acc["top"])).alias("out"))
+        return F.aggregate(xs, F.struct(start.alias("top"), none.alias("out")), grown)
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda b: fold(F.slice(values, b * RUN + 1, F.lit(RUN)), lambda x: x))
+    moved = lambda rs: F.flatten(
+        F.zip_with(rs, fold(rs, lambda r: r["top"])["out"], lambda r, before: F.transform(r["out"], lambda x: step(before, x)))
+    )
+    return F.when(F.size(values) == 0, none).otherwise(let(runs, moved))
 
 
 def spans_of(text: Column, pattern: str, gate: Column) -> Column:
@@ -50,44 +72,21 @@ def spans_of(text: Column, pattern: str, gate: Column) -> Column:
     ``gate``: a cheap condition that every text with a match meets.
     """
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    zero = F.lit(0)
-
-    def run(pairs: Column) -> Column:
-        """Places inside a short run of (gap, match), counted from its start."""
-        return F.aggregate(
-            pairs,
-            F.struct(zero.alias("at"), none.alias("out")),
-            lambda acc, x: let(
-                F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["v"])).alias("end"), x["v"].alias("value")),
-                lambda s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out")),
-            ),
-        )
 
     def places(gaps: Column, found: Column) -> Column:
-        # Runs of RUN matches, then the runs moved to their places: no long array grows one by one.
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-        runs = let(
-            pairs,
-            lambda ps: F.transform(
-                F.sequence(zero, F.floor((F.size(ps) - 1) / RUN).cast("int")), lambda b: run(F.slice(ps, b * RUN + 1, F.lit(RUN)))
-            ),
-        )
-        moved = lambda rs: F.zip_with(
-            rs,
-            F.aggregate(
-                rs,
-                F.struct(zero.alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-                lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-                lambda acc: acc["out"],
-            ),
-            lambda r, at: F.transform(
-                r["out"],
-                lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")),
+        both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: g + F.length(v))
+        before = running(both, lambda a, x: a + x, F.lit(0))
+        return let(
+            before,
+            lambda at: F.transform(
+                found,
+                lambda v, i: F.struct(
+                    (F.get(at, i) + F.get(gaps, i)).alias("start"), (F.get(at, i) + F.get(gaps, i) + F.length(v)).alias("end"), v.alias("value")
+                ),
             ),
         )
-        return F.when(F.size(found) == 0, none).otherwise(let(runs, lambda rs: F.flatten(moved(rs))))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), zero)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     return F.when(gate, let(found, lambda f: let(gaps, lambda g: places(g, f)))).otherwise(none)
 
@@ -155,30 +154,39 @@ def _marked(spans: Column, kind: int, is_base) -> Column:
     return F.filter(marked, lambda s: s["base"] | F.length(digits(s["value"])).between(few, many))
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _free(spans: Column, among) -> Column:
+    """Of spans by (start, kind): those not in ``among`` that overlap none of ``among`` before them, and those of ``among``.
+
+    A span overlaps one before it if the largest end so far lies beyond its start.
+    """
+    ends = F.transform(spans, lambda s: F.when(among(s), s["end"]).otherwise(0))
+    reach = running(ends, lambda a, x: F.greatest(a, x), F.lit(0))
+    return let(reach, lambda r: F.filter(spans, lambda s, i: among(s) | (F.get(r, i) <= s["start"])))
 
 
 def _candidates(tagged: Column) -> Column:
-    """Base spans, and what is not base and overlaps none of them nor an earlier further one."""
-    base = F.filter(tagged, lambda s: s["base"])
-    return let(
-        base,
-        lambda b: F.concat(
-            b,
-            let(
-                F.filter(tagged, lambda s: ~s["base"] & ~F.exists(b, lambda x: _overlaps(x, s))),
-                lambda more: F.filter(
-                    more,
-                    lambda s: ~F.exists(
-                        more,
-                        lambda x: _overlaps(x, s)
-                        & ((x["start"] < s["start"]) | ((x["start"] == s["start"]) & (x["kind"] < s["kind"])))
-                    ),
-                ),
-            ),
-        ),
-    )
+    """Base spans, and what is not base and overlaps none of them nor an earlier further one; by (start, kind).
+
+    Sorted neighbours decide, so a text of many candidates costs no comparison of all with all.
+    """
+    far = F.lit(2**31 - 1)
+    plain = F.transform(tagged, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["base"].alias("base"), s["end"].alias("end"), s["value"].alias("value")))
+
+    def none_follows(spans: Column) -> Column:
+        """Without what is not base and ends beyond the start of a base span after it."""
+        begins = F.transform(F.reverse(spans), lambda s: F.when(s["base"], s["start"]).otherwise(far))
+        after = F.reverse(running(begins, lambda a, x: F.least(a, x), far))
+        return let(after, lambda r: F.filter(spans, lambda s, i: s["base"] | (F.get(r, i) >= s["end"])))
+
+    def first_of_more(spans: Column) -> Column:
+        """Without what is not base and overlaps an earlier such span, kept or not."""
+        ends = F.transform(spans, lambda s: F.when(s["base"], 0).otherwise(s["end"]))
+        reach = running(ends, lambda a, x: F.greatest(a, x), F.lit(0))
+        return let(reach, lambda r: F.filter(spans, lambda s, i: s["base"] | (F.get(r, i) <= s["start"])))
+
+    few = F.size(tagged) < 2
+    whole = let(F.array_sort(plain), lambda t: let(_free(t, lambda s: s["base"]), lambda t: let(none_follows(t), first_of_more)))
+    return F.when(few, plain).otherwise(whole)
 
 
 def _votes(c: Column, before: Column, after: Column) -> list[Column]:
@@ -256,7 +264,8 @@ def estimate(patterns: list[tuple[list[int], float]], rounds: int = 60) -> tuple
 def classifier(rows: list[tuple[int, int, float, float]]) -> list[dict[int, float]]:
     """(feature, value, personal, not personal) expected counts -> log odds by value.
 
-    Features of a span depend on each other; the sum is damped by their number.
+    Naive Bayes: a span's score adds up the log odds of its features as if they were
+    independent; counts are smoothed by a half.
     """
     totals: dict[int, list[float]] = {}
     for f, _, yes, no in rows:
@@ -277,6 +286,16 @@ def _looked_up(weights: dict[int, float], at: Column) -> Column:
     return F.coalesce(F.try_element_at(known, at), F.lit(0.0))
 
 
+_FOUND = "array<struct<start:int,end:int,kind:int,base:boolean,value:string,before:string,after:string>>"
+
+
+def _piece(pieces: Column, at: Column, n: Column) -> Column:
+    """``n`` code points from place ``at`` of a text cut into pieces of PIECE."""
+    k = F.floor(at / PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+    return F.substr(both, at - k * PIECE + 1, n)
+
+
 def find_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
     """One row for each row of ``documents``: doc_id and ``spans``.
 
@@ -288,16 +307,25 @@ def find_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    near = lambda s: F.struct(
-        s["start"].alias("start"),
-        s["end"].alias("end"),
-        s["kind"].alias("kind"),
-        s["base"].alias("base"),
-        s["value"].alias("value"),
-        F.substr(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("before"),
-        F.substr(F.col("text"), s["end"] + 1, F.lit(8)).alias("after"),
-    )
-    found = cut(docs.select("doc_id", F.transform(let(_tagged(F.col("text")), _candidates), near).alias("found")))
+
+    def near(spans: Column) -> Column:
+        """Spans with the text right before and after them, out of pieces of PIECE code points: a place in a long text is not looked up from its start."""
+        around = lambda ps: F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["kind"].alias("kind"),
+                s["base"].alias("base"),
+                s["value"].alias("value"),
+                _piece(ps, F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["start"], F.lit(CONTEXT))).alias("before"),
+                _piece(ps, s["end"], F.lit(8)).alias("after"),
+            ),
+        )
+        pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        return F.when(F.size(spans) > 0, let(pieces, around)).otherwise(F.expr(f"cast(array() as {_FOUND})"))
+
+    found = cut(docs.select("doc_id", let(let(_tagged(F.col("text")), _candidates), near).alias("found")))
     one = found.select(F.explode("found").alias("c"))
     c, before, after = F.col("c"), F.col("c.before"), F.col("c.after")
     # Votes and features are small numbers, so their patterns are few: count them.
@@ -353,15 +381,17 @@ def pii_report(found: DataFrame) -> DataFrame:
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in square brackets; overlapping spans merge."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    state = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-    )
-    return let(state, lambda st: F.concat(st["out"], F.substr(text, st["at"] + 1, F.length(text))))
+
+    def parts(reach: Column) -> Column:
+        # What stands before a span that begins beyond all spans before it, and its kind; the rest of the text at the end.
+        shown = F.transform(
+            spans,
+            lambda s, i: F.when(
+                s["start"] >= F.get(reach, i),
+                F.concat(F.substr(text, F.get(reach, i) + 1, s["start"] - F.get(reach, i)), F.element_at(names, s["kind"] + 1)),
+            ).otherwise(""),
+        )
+        last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(shown, ""), F.substr(text, last + 1, F.length(text)))
+
+    return let(running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0)), parts)

@@ -90,3 +90,47 @@ def test_estimate_finds_reliable_labelers():
     assert chances[0][1][1] > chances[2][1][1] and len(post) == len(votes)
     assert estimate([]) == (0.5, [], [])
     assert classifier([(0, 1, 9.0, 1.0)])[0][1] != 0
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    texts = ["x" * 500_000 + "@", "1" * 500_000 + ".", "call 212 555 1234, " * 8000, "a.b@c.de" * 20_000, "😀" * 3000 + " tel 212 555 1234 or a@b.cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in pii_report(find_pii(df)).collect()}
+    assert time.time() - began < 90
+    for i, t in enumerate(texts):
+        line = ",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in (slow(t) if i > 1 else []))
+        assert rows[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_candidates_match_all_against_all(spark):
+    from genoframe.llm.pii import _candidates
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(150):
+        spans = set()
+        for kind in range(4):  # spans of one kind do not overlap each other
+            at = 0
+            while len(spans) < 60 and (at := at + int(rng.integers(0, 9))) < 60:
+                end = at + int(rng.integers(1, 12))
+                spans.add((at, end, "v", kind, bool(rng.random() < 0.4)))
+                at = end
+        rows.append((k, sorted(spans, key=lambda s: (s[3], s[0]))[: int(rng.integers(0, 40))]))
+    kind = "array<struct<start:int,end:int,value:string,kind:int,base:boolean>>"
+    got = spark.createDataFrame(rows, f"k int, t {kind}").select("k", _candidates(F.col("t")).alias("c")).collect()
+    over = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    for r in got:
+        spans = rows[r.k][1]
+        base = [s for s in spans if s[4]]
+        more = [s for s in spans if not s[4] and not any(over(s, b) for b in base)]
+        want = base + [s for s in more if not any(over(x, s) and (x[0], x[3]) < (s[0], s[3]) for x in more)]
+        assert sorted((c.start, c.end, c.kind) for c in r.c) == sorted((s[0], s[1], s[3]) for s in want)
+
+
+def test_redaction_of_overlaps(spark):
+    spans = [(0, 0, 3, True), (2, 3, 9, False), (8, 1, 12, True), (14, 0, 15, True)]
+    df = spark.createDataFrame([("abcdefghijklmnopq", spans)], "t string, s array<struct<start:int,kind:int,end:int,base:boolean>>")
+    assert df.select(redact(F.col("t"), F.col("s"))).first()[0] == "[EMAIL]mn[EMAIL]pq"
