@@ -78,7 +78,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return edited_fingerprints(table(spark, sf_dir, "documents"), least=True)
 
 
 QUERIES = {

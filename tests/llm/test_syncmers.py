@@ -76,3 +76,68 @@ def test_small_tables(spark):
     rows = [(1, "x y"), (1, "x y"), (None, "z"), (None, None)]
     many = edited_fingerprints(spark.createDataFrame(rows, schema)).collect()
     assert sorted(str(r.doc_id) for r in many) == ["1", "1", "None", "None"]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    pa, pb = dict(a), dict(b)
+    least = sorted(set(pa) | set(pb))[:SIZE]
+    shared = [x for x in least if x in pa and x in pb]
+    if not shared:
+        return 0.0
+    shift = [pa[x] - pb[x] for x in shared]
+    middle = sorted(shift)[len(shift) // 2]
+    reach = max(32, max([*pa.values(), *pb.values()]) // 8)
+    return sum(abs(x - middle) <= reach for x in shift) / len(least)
+
+
+def with_least(text):
+    """Like ``slow``; a text without closed syncmers has its k-mer of least hash."""
+    found = slow(text)
+    words = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    if found or not words:
+        return found
+    wh = [h(w) for w in words]
+    m = [h(*wh[i : i + 3]) for i in range(len(wh) - 2)]
+    return [min((h(m[i], m[i + 3]) >> 32, i) for i in range(len(m) - 3))]
+
+
+def test_likeness_and_short_texts_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base = text(rng, 200)
+    texts = {f"k{i * 37 % 101:03d}": text(rng, int(rng.integers(5, 10))) for i in range(80)}
+    texts |= {f"n{i}": base if i % 2 else base + " " + text(rng, 30 * i) for i in range(6)} | {"": None, "z": " . "}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r for r in edited_fingerprints(df, least=True).collect()}
+    order = sorted(texts, reverse=True)
+    bare = 0
+    for k, i in enumerate(order):
+        own, after = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        cut = len(own) // 3
+        edited = own[: len(own) - cut] + after[:cut]
+        a, e, n = with_least(own), with_least(edited), with_least(after)
+        bare += slow(own) == [] and a != []
+        assert got[i].fingerprint == spelt(a) and got[i].edited_fingerprint == spelt(e)
+        assert got[i].near_edited == plain_likeness(a, e) and got[i].near_next == plain_likeness(a, n)
+    assert bare > 5
+
+
+def test_hot_and_sparse_ids(spark, monkeypatch):
+    """Ids far apart, a third of the rows without id and a third of one id: the same order as by hand."""
+    from genoframe.llm import syncmers
+
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 4)
+    rng = np.random.default_rng(12)
+    ids = [*(int(x) for x in rng.integers(-(2**62), 2**62, 100)), *[None] * 100, *[7] * 100]
+    rows = [(i, text(rng, 6) + f" {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = edited_fingerprints(df).collect()
+    by_text = {t: h(t) for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(by_text[r[1]]), r[1].encode()), reverse=True)
+    want = []
+    for k, (i, own) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        cut = len(own) // 3
+        want.append((str(i), hashlib.sha256((own[: len(own) - cut] + after[:cut]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(want)
