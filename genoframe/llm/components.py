@@ -20,15 +20,16 @@ def _smallest(links: DataFrame) -> DataFrame:
     return lookup_skewed(links, least, "u", "n")
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(u, v) links between comparable nodes -> (node, component), least node first.
 
     Only nodes with a link are returned; self-links count. Links may repeat and
-    may come in either direction.
+    may come in either direction. Each round lowers some node's least known neighbour
+    or settles, so the rounds end by themselves.
     """
     links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.filter(F.col("u") != F.col("v")).distinct())
@@ -41,8 +42,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import lookup_skewed, scratch
+from genoframe.llm.common import lookup_skewed, remove, written
 from genoframe.llm.components import connected_components
 from genoframe.llm.simhash import _FOLD, SEED
 
@@ -62,14 +62,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; unlike a checkpoint, no constraints of its plan pile up over the rounds."""
-    path = scratch(df.sparkSession, "copies")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, made: list[str]) -> DataFrame:
     """(key, text) -> (key, node, size, bands, shingles), written to the shared folder."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +77,10 @@ def _sets(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(node), size, keys, whole], names=["key", "node", "size", "bands", "shingles"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return _kept(rows.mapInArrow(make, f"key {kind}, node long, size long, bands array<long>, shingles binary"))
+    return written(rows.mapInArrow(make, f"key {kind}, node long, size long, bands array<long>, shingles binary"), "copies", made)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: float, made: list[str]) -> DataFrame:
     """The pairs (u, v) whose whole sets are alike enough; a node with many pairs is broadcast."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +91,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     for side, name in (("u", "x"), ("v", "y")):
         many = pairs.groupBy(side).agg(F.count("*").alias("many"))
-        facts = _kept(many.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side))
+        facts = written(many.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side), "copies", made)
         pairs = lookup_skewed(pairs, facts, side, "many")
     return pairs.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long")
 
@@ -109,12 +102,14 @@ def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
     Sets of similarity ``least`` or more link; a group is what links reach. Null and
     blank texts are one set. Keys of the same set that are not the least do not come back.
     """
-    found = _sets(rows.select("key", "text"))
-    one = _kept(found.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"), F.any_value("bands").alias("bands")))
+    made: list[str] = []
+    kept = lambda df: written(df, "copies", made)  # noqa: E731  (unlike a checkpoint, no constraints of its plan pile up over the rounds)
+    found = _sets(rows.select("key", "text"), made)
+    one = kept(found.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"), F.any_value("bands").alias("bands")))
     keyed = one.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = _kept(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = _kept(lookup_skewed(keyed, shared, "bucket", "n"))
-    sets = _kept(found.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    shared = kept(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = kept(lookup_skewed(keyed, shared, "bucket", "n"))
+    sets = kept(found.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
     near = F.least("size", "size2") >= least * F.greatest("size", "size2")
     links = members.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -122,21 +117,23 @@ def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
         own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         leader = F.min_by(F.struct("node", "size", "component"), F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("leader")
         open_ = own.groupBy("bucket").agg(F.count("*").alias("many"), leader, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        open_ = _kept(open_.select("bucket", "many", F.col("leader.node").alias("node2"), F.col("leader.size").alias("size2"), F.col("leader.component").alias("component2")))
+        open_ = kept(open_.select("bucket", "many", F.col("leader.node").alias("node2"), F.col("leader.size").alias("size2"), F.col("leader.component").alias("component2")))
         most = open_.agg(F.max("many")).first()[0] or 0
         if not most:
             break
         across = lookup_skewed(own, open_, "bucket", "many")
         last = r == ROUNDS or most == 2
         if last and most > 2:
-            a = _kept(across.select("bucket", "node", "size", "component"))
+            a = kept(across.select("bucket", "node", "size", "component"))
             b = a.select("bucket", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("component").alias("component2"))
             across = a.join(b, "bucket").filter("node < node2")
         pairs = across.filter(near & (F.col("component") != F.col("component2"))).select(F.col("node2").alias("u"), F.col("node").alias("v"))
-        fresh = _kept(_confirmed(_kept(pairs.distinct()), sets, least))
+        fresh = kept(_confirmed(kept(pairs.distinct()), sets, least, made))
         if not fresh.isEmpty():
-            links = _kept(links.unionByName(fresh))
-            labels = _kept(connected_components(links))
+            links = kept(links.unionByName(fresh))
+            labels = kept(connected_components(links))
         if last:
             break
-    return one.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("group"))
+    out = written(one.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("group")), "copies")
+    remove(out.sparkSession, *made)
+    return out

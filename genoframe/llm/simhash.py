@@ -11,8 +11,9 @@ their members, and pairs of nodes beyond the limit go at once. Each key yields a
 star per local component (never all pairs); components across keys are joined by
 :mod:`genoframe.llm.components`.
 
-Keys with more than ``BLOCK`` fingerprints are cut into runs by Gray rank, and
-the tasks are pairs of runs that the same bound does not rule out.
+Keys with more than ``BLOCK`` fingerprints are cut into runs of about that many, by
+Gray rank and, where a key has very many, by hash; the tasks are pairs of runs that
+the same bound does not rule out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 BLOCK = 16_384
+#: Ranges of Gray rank that a large key is measured in; beyond so many blocks, ranges are cut by hash as well.
+CELLS = 64
 FANOUT = 8
 #: Node pairs or rows looked at together in a task.
 SLICE = 1 << 20
@@ -187,42 +190,30 @@ def _gray_rank_column(c: Column) -> Column:
 
 
 def near_links(codes: DataFrame, limit: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(rep, fingerprint), distinct -> links (u, v) that join what is within ``limit`` bits.
+    """Distinct ``fingerprint`` rows -> links (u, v) of fingerprints that join what is within ``limit`` bits.
 
     Not all pairs: links that give the same connected components.
     """
     n = codes.count()
     masks = _keys(n, limit)
     keyed = codes.select(
-        "rep",
-        "fingerprint",
-        F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "part"),
-    )
-    big = cut(
-        keyed.groupBy("k", "part")
-        .agg(
-            F.count("*").alias("n"),
-            F.percentile_approx(
-                F.shiftrightunsigned(_gray_rank_column(F.col("fingerprint")), 1),
-                F.array(*[F.lit(i / 64) for i in range(1, 64)]),
-                1000,
-            ).alias("edges"),
-        )
-        .filter(F.col("n") > block)
+        "fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "part")
     )
+    at = F.shiftrightunsigned(_gray_rank_column(F.col("fingerprint")), 1)
+    edges = F.percentile_approx(at, F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)]), 1000)
+    big = cut(keyed.groupBy("k", "part").agg(F.count("*").alias("n"), edges.alias("edges")).filter(F.col("n") > block))
     n_big = big.count()
+    whole = {"i": F.lit(0), "j": F.lit(0), "own": F.lit(0)}
     if not n_big:
-        return _local_links(keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("own", F.lit(0)), limit)
+        return _local_links(keyed.withColumns(whole), limit)
     # At most len(masks) * n / block keys are that large.
     marked = keyed.join(F.broadcast(big) if n_big <= 10_000 else big, ["k", "part"], "left")
-    small = marked.filter(F.col("n").isNull()).select("rep", "fingerprint", "k", "part")
-    small = small.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("own", F.lit(0))
-    at = F.shiftrightunsigned(_gray_rank_column(F.col("fingerprint")), 1)
-    runs = cut(
-        marked.filter(F.col("n").isNotNull()).select(
-            "rep", "fingerprint", "k", "part", F.size(F.filter("edges", lambda e: e < at)).alias("own")
-        )
-    )
+    small = marked.filter(F.col("n").isNull()).select("fingerprint", "k", "part").withColumns(whole)
+    # As many runs as blocks: neighbouring cells together, or each cell in parts by hash.
+    blocks = F.ceil(F.col("n") / block)
+    cell, parts = F.size(F.filter("edges", lambda e: e < at)), F.ceil(blocks / CELLS)
+    own = F.when(parts == 1, F.floor(cell * blocks / CELLS)).otherwise(cell * parts + F.pmod(F.xxhash64("fingerprint"), parts))
+    runs = cut(marked.filter(F.col("n").isNotNull()).select("fingerprint", "k", "part", own.cast("int").alias("own")))
     nodes = cut(
         runs.groupBy("k", "part", "own").agg(
             F.expr("bit_and(fingerprint)").alias("both"), F.expr("bit_or(fingerprint)").alias("some")
@@ -241,7 +232,6 @@ def near_links(codes: DataFrame, limit: int = DISTANCE, block: int = BLOCK) -> D
 
 def _local_links(rows: DataFrame, limit: int) -> DataFrame:
     """Stars of the components within each (k, part, i, j)."""
-    kind = rows.schema["rep"].dataType.simpleString()
     key = ["k", "part", "i", "j"]
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
@@ -249,8 +239,8 @@ def _local_links(rows: DataFrame, limit: int) -> DataFrame:
         codes = p["fingerprint"].to_numpy(np.int64).view(np.uint64)
         root = GrayIndex(codes, np.cumsum(new)).components(limit)
         away = root != np.arange(len(root))
-        rep = p["rep"].to_numpy()
-        return pd.DataFrame({"u": rep[away], "v": rep[root[away]]})
+        own = p["fingerprint"].to_numpy()
+        return pd.DataFrame({"u": own[away], "v": own[root[away]]})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -269,8 +259,8 @@ def _local_links(rows: DataFrame, limit: int) -> DataFrame:
         if rows_held:
             yield solve(pd.concat(held, ignore_index=True))
 
-    dealt = rows.select("rep", "fingerprint", *key).repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key)
-    return dealt.mapInPandas(link, f"u {kind}, v {kind}")
+    dealt = rows.select("fingerprint", *key).repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key)
+    return dealt.mapInPandas(link, "u long, v long")
 
 
 def near_duplicates(
@@ -286,20 +276,15 @@ def near_duplicates(
 
     Fingerprints within ``limit`` bits link; ``component_id`` is the least doc_id
     that links reach. Null, empty and blank texts have fingerprint 0 and link like
-    any other. Repeated rows are returned as often as they come. A row whose
-    doc_id is null is returned with its fingerprint and a null component. Other
-    columns are not looked at; an empty table gives no rows.
+    any other. Repeated rows are returned as often as they come. Rows whose doc_id
+    is null link like any other but name no component: it is null only where no row
+    of it has an id. Other columns are not looked at; an empty table gives no rows.
     """
     found = cut(fingerprints(documents, id_col, text_col, shingle))
-    named = found.filter(F.col("doc_id").isNotNull())
-    codes = cut(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    joined = connected_components(near_links(codes.select("rep", "fingerprint"), limit, block))
-    labels = cut(
-        codes.join(joined, codes["rep"] == joined["node"], "left").select(
-            "fingerprint", "n", F.coalesce("component", "rep").alias("component_id")
-        )
-    )
-    whole = lookup_skewed(named, labels, "fingerprint", "n")
-    unnamed = found.filter(F.col("doc_id").isNull())
-    nothing = F.lit(None).cast(found.schema["doc_id"].dataType)
-    return whole.unionByName(unnamed.withColumn("component_id", nothing)).select("doc_id", "fingerprint", "component_id")
+    codes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    joined = connected_components(near_links(codes.select("fingerprint"), limit, block))
+    near = codes.join(joined, codes["fingerprint"] == joined["node"], "left")
+    near = cut(near.select("fingerprint", "n", "rep", F.coalesce("component", "fingerprint").alias("component")))
+    named = cut(near.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("many")))
+    labels = cut(lookup_skewed(near, named, "component", "many").select("fingerprint", "n", "component_id"))
+    return lookup_skewed(found, labels, "fingerprint", "n").select("doc_id", "fingerprint", "component_id")
