@@ -277,8 +277,8 @@ def near_duplicates(
     Fingerprints within ``limit`` bits link; ``component_id`` is the least doc_id
     that links reach. Null, empty and blank texts have fingerprint 0 and link like
     any other. Repeated rows are returned as often as they come. Rows whose doc_id
-    is null link like any other but name no component: it is null only where no row
-    of it has an id. Other columns are not looked at; an empty table gives no rows.
+    is null link like any other, so they may join others, and are returned with a null
+    component. Other columns are not looked at; an empty table gives no rows.
     """
     found = cut(fingerprints(documents, id_col, text_col, shingle))
     codes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
@@ -287,4 +287,5 @@ def near_duplicates(
     near = cut(near.select("fingerprint", "n", "rep", F.coalesce("component", "fingerprint").alias("component")))
     named = cut(near.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("many")))
     labels = cut(lookup_skewed(near, named, "component", "many").select("fingerprint", "n", "component_id"))
-    return lookup_skewed(found, labels, "fingerprint", "n").select("doc_id", "fingerprint", "component_id")
+    out = lookup_skewed(found, labels, "fingerprint", "n")
+    return out.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

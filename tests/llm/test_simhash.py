@@ -72,3 +72,32 @@ def test_index_finds_all_links():
         want = slow_components(list(enumerate(codes.tolist())))
         lab = np.array([want[i] for i in range(n)])
         assert ((root[:, None] == root[None]) == (lab[:, None] == lab[None])).all()
+
+
+def test_rows_without_id_join_others(spark, monkeypatch):
+    from genoframe.llm import simhash
+
+    codes = {1: 0, 2: 0b1111, None: 0b11111111, 3: 0b111111111111, 9: 1 << 40 | 0xFFF << 48}
+    df = spark.createDataFrame([(i, c) for i, c in codes.items()], "doc_id long, fingerprint long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: df)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, None: None, 3: 1, 9: 9}
+
+
+def test_large_keys_are_cut_by_their_size(spark):
+    from genoframe.llm.simhash import near_links
+
+    rng = np.random.default_rng(4)
+    codes = sorted({int(c) for c in rng.integers(0, 1 << 10, 400)} | {int(c) << 40 for c in rng.integers(0, 1 << 9, 60)})
+    want = slow_components([(c, c) for c in codes])
+    df = spark.createDataFrame([(c,) for c in codes], "fingerprint long")
+    for block in (2, 40):  # 2: more runs than cells, so cells are cut by hash
+        label = {c: c for c in codes}
+        links = [tuple(r) for r in near_links(df, block=block).distinct().collect()]
+        while True:
+            before = dict(label)
+            for u, v in links:
+                label[u] = label[v] = min(label[u], label[v])
+            if before == label:
+                break
+        assert label == want
