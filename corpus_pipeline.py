@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import scratch, table
+from genoframe.llm.common import remove, scratch, table
 from genoframe.llm.copies import copy_groups
 from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.packing import pack, token_pieces
@@ -32,13 +32,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least doc_id.
 
-    Copies share 0.8 or more of their five-word shingles. Rows of one doc_id are one
-    document and give one row; rows without doc_id stay.
+    Copies share 0.8 or more of their five-word shingles. Of rows of one doc_id with
+    different texts each is a document of its own, and the least by a hash of the text
+    goes first; rows without doc_id come last. Of rows equal in both, the one whose other
+    columns come first as JSON stays.
     """
-    groups = copy_groups(docs.filter("doc_id is not null").select(F.col("doc_id").alias("key"), "text"))
-    first = groups.groupBy("group").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("h"), F.col("text").isNull().alias("none"))
+    first = copy_groups(docs.select(key.alias("key"), "text")).groupBy("group").agg(F.min("key").alias("key")).select("key")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"), others.alias("others"))
+    return rows.join(first, "key", "left_semi").groupBy("key").agg(F.min_by("doc", "others").alias("doc")).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +78,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        remove(spark, *last)
+        last = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
