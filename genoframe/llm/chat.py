@@ -6,8 +6,9 @@ The loss mask is a running sum over those marks. Rendered as text, the marks are
 control strings, and content that looks like one is escaped: each ``<|`` inside a
 segment gets one more ``|``, which unescaping takes away again.
 
-Encoding happens before rows of a conversation meet; a conversation's rows then
-stream through one task in order of turns and are never held together as a group.
+Encoding and reading back happen before rows of a conversation meet, since each turn's
+ids stand alone; only what was read back is shuffled. A conversation's rows then stream
+through one task in order of turns and are never held together as a group.
 """
 
 from __future__ import annotations
@@ -115,6 +116,33 @@ def format_turns(
     return rows.mapInArrow(assemble, f"conv_id {kinds[0]}, turn {kinds[1]}, ids array<int>, mask array<boolean>, formatted string")
 
 
+def read_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """(conv_id, turn, role, text, learnt, same), read from ids and masks alone, row by row.
+
+    ``learnt`` is the text under the loss mask, null if nothing is; where it is the whole
+    text of the turn, ``same`` says so and ``learnt`` is null as well.
+    """
+    kinds = [turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = ChatTokenizer.of(tokenizer)
+        for batch in batches:
+            roles, texts, learnt, same = [], [], [], []
+            for ids, mask in zip(batch.column("ids"), batch.column("mask")):
+                own, under = ids.values.to_numpy(), np.array(mask.values, bool)
+                role, text = coder.read(own)
+                spoken = unescape(coder.inner.decode(own[under].tolist())) if under.any() else None
+                roles.append(role)
+                texts.append(text)
+                same.append(spoken is not None and spoken == text)
+                learnt.append(None if same[-1] else spoken)
+            columns = [batch.column("conv_id"), batch.column("turn"), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(learnt, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text", "learnt", "same"])
+
+    rows = turns.select("conv_id", "turn", "ids", "mask")
+    return rows.mapInArrow(read, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, text string, learnt string, same boolean")
+
+
 def read_back(turns: DataFrame, tokenizer: str) -> DataFrame:
     """Digests per conversation, read from ids and masks alone.
 
@@ -123,11 +151,13 @@ def read_back(turns: DataFrame, tokenizer: str) -> DataFrame:
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    dealt = turns.withColumn("_size", F.length("formatted").cast("long"))
-    dealt = dealt.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "ids", "mask", "_size")
+    escaped = lambda c: F.replace(F.col(c), F.lit("<|"), F.lit("<||"))
+    shown = F.concat(F.lit(START), escaped("role"), F.lit(MIDDLE), escaped("text"), F.lit(END), F.lit("\n"))
+    # The order looks at the formatted text only where turns are equal.
+    dealt = read_turns(turns, tokenizer).repartition("conv_id").sortWithinPartitions("conv_id", "turn", shown)
+    marks = len(START) + len(MIDDLE) + len(END) + 1
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChatTokenizer.of(tokenizer)
         open_id, state, any_open = None, None, False
 
         def closed(conv, s) -> pa.RecordBatch:
@@ -143,23 +173,19 @@ def read_back(turns: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             types = [batch.column("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             done = []
-            for conv, ids, mask, size in zip(*(batch.column(c) for c in ("conv_id", "ids", "mask", "_size"))):
-                conv = conv.as_py()
+            for conv, role, text, learnt, same in zip(*(batch.column(c) for c in ("conv_id", "role", "text", "learnt", "same"))):
+                conv, role, text = conv.as_py(), role.as_py(), text.as_py()
                 if not any_open or conv != open_id:
                     if any_open:
                         done.append(closed(open_id, state))
                     open_id, any_open = conv, True
                     state = [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                own = ids.values.to_numpy()
-                under = np.array(mask.values, bool) if len(mask) else np.zeros(0, bool)
-                role, text = coder.read(own)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
-                if under.any():
-                    learnt = unescape(coder.inner.decode(own[under].tolist()))
-                    state[2] += len(learnt)
-                    state[3].update(learnt.encode())
-                state[4] += size.as_py()
+                spoken = text if same.as_py() else learnt.as_py() or ""
+                state[2] += len(spoken)
+                state[3].update(spoken.encode())
+                state[4] += marks + len(escape(role)) + len(escape(text))
             if done:
                 yield merged(done)
         if any_open:
