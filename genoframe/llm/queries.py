@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.llm.chat import format_turns, read_back
-from genoframe.llm.common import scratch, table
+from genoframe.llm.common import cut, remove, scratch, table
 from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.html_extract import extract_main_text
 from genoframe.llm.packing import pack, token_pieces
@@ -33,7 +33,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(pages, path)
     archive = read_archives(spark, path).select("record_id", "record_type", "refers_to", "digest", "payload")
-    return archive_index(archive, pages.schema["page_id"].dataType.simpleString())
+    index = cut(archive_index(archive, pages.schema["page_id"].dataType.simpleString()))
+    remove(spark, path)
+    return index
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ into a first record and continuation records, which bounds a record and, with th
 number of records to a file, a file. Of records with equal payloads one is a
 response and the others revisit it.
 
-Reading parses files record by record, groups continuation records by the
+Reading parses files record by record; what is damaged is passed over up to the next
+record and counted (:func:`damage`). It groups continuation records by the
 identifier of their origin, orders them by segment number, verifies that numbers
 have no gap and that the total length agrees, and decodes chunked transfer framing.
 Only segmented records are shuffled.
@@ -14,9 +15,9 @@ Only segmented records are shuffled.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -24,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import cut
+from genoframe.llm.common import cut, lookup_skewed
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 RECORDS_PER_FILE = 1_000
-SALTS = 16
 _GAP = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -102,24 +102,57 @@ def response_records(record_id: str, uri: str | None, payload: bytes, segment_by
     return out
 
 
+def unzipped(data: bytes) -> tuple[bytes, bytes]:
+    """The content of a file of gzip members, and what cannot be unzipped from where it breaks."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            return b"".join(out), data
+        if not member.eof:
+            return b"".join(out), data
+        data = member.unused_data
+    return b"".join(out), b""
+
+
+_BEGIN = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of a file, gzipped or plain."""
+    """Header fields (lower-case names) and block of each record of a file, gzipped or plain.
+
+    What is no whole record (stray bytes, a header without end, a length that is no number
+    or beyond the end of the file) comes as one block of type ``damaged`` that goes on to
+    the next place where a record begins.
+    """
+    broken = b""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, broken = unzipped(data)
     at = 0
     while True:
         while data[at : at + 2] == b"\r\n":
             at += 2
-        end = data.find(_GAP, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return
-        fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        if at >= len(data):
+            break
+        begin, end = _BEGIN.match(data, at), data.find(_GAP, at)
+        if begin and end >= 0:
+            fields = {}
+            for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                name, _, value = line.partition(":")
+                fields[name.strip().lower()] = value.strip()
+            size = fields.get("content-length", "")
+            if size.isascii() and size.isdigit() and end + 4 + int(size) <= len(data):
+                yield fields, data[end + 4 : end + 4 + int(size)]
+                at = end + 4 + int(size)
+                continue
+        after = _BEGIN.search(data, begin.end() if begin else at)
+        stop = after.start() if after else len(data)
+        yield {"warc-type": "damaged"}, data[at:stop]
+        at = stop
+    if broken:
+        yield {"warc-type": "damaged"}, broken
 
 
 def write_archives(
@@ -134,38 +167,56 @@ def write_archives(
 ) -> None:
     """Write one record (with its continuations) for each row under ``path``.
 
-    Of rows with equal payloads that of the largest id (of repeated ids the last) is
-    the response; null ids are smallest and null html is the empty payload. Record
-    identifiers are ``urn:page:<id>:<serial>``. Other columns are not looked at.
+    Of rows with equal payloads that of the largest id (of repeated ids that of the
+    largest hash of the URL, of rows equal in all one) is the response; null ids are
+    smallest and null html is the empty payload. A response is named
+    ``urn:page:<id>:<SHA-1>``, so every row of its group knows the name from content
+    alone, whatever is computed again; a revisit has a serial number. Other columns are
+    not looked at.
     """
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
-        F.monotonically_increasing_id().alias("serial"),
-    ).withColumns({"sha": F.sha1("payload"), "size": F.length("payload")})
-    # Only groups of several rows need a look-up; their entries are salted, as one may hold a third of all rows.
-    groups = rows.groupBy("sha", "size").agg(F.max(F.struct("page_id", "serial")).alias("first"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("serial"), F.lit(SALTS)).cast("int"))
-    marked = salted.join(groups, ["sha", "size", "salt"], "left").select("page_id", "url", "payload", "serial", "first")
+    ).withColumn("sha", F.sha1("payload"))
+    rows = rows.withColumns({"group": F.concat_ws(":", "sha", F.length("payload").cast("string")), "u": F.xxhash64("url")})
+    # Only groups of several rows need a look-up. ``times``: how often their first row comes.
+    same = rows.groupBy("group", "page_id", "u").agg(F.count("*").alias("times"))
+    groups = same.groupBy("group").agg(F.max(F.struct("page_id", "u", "times")).alias("first"), F.sum("times").alias("n")).filter("n > 1")
+    groups = cut(groups.select("group", "first", "n"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    # Groups of more than a thousandth of these rows are a thousand at most: they are broadcast.
+    hot = groups.filter(F.col("n") > max(1000, total // 1000)).drop("n")
+    names = [r[0] for r in hot.select("group").collect()]
+    cold = rows.filter(~F.col("group").isin(names)) if names else rows
+    marked = cold.join(groups.drop("n"), "group", "left")
+    if names:
+        marked = marked.unionByName(rows.filter(F.col("group").isin(names)).join(F.broadcast(hot), "group"))
+    own = F.struct(F.col("page_id").alias("page_id"), F.col("u").alias("u"))
+    is_first = F.col("first").isNotNull() & own.eqNullSafe(F.struct(F.col("first.page_id").alias("page_id"), F.col("first.u").alias("u")))
+    marked = marked.withColumns({"is_first": is_first, "serial": F.monotonically_increasing_id()})
+    # A first row that comes several times: its copies are drawn from one of them.
+    repeated = F.col("is_first") & (F.col("first.times") > 1)
+    copied = marked.filter(repeated).groupBy("group").agg(*[F.any_value(c).alias(c) for c in ("page_id", "url", "payload", "sha", "first", "serial")])
+    copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("first.times").cast("int")))).withColumn("is_first", F.col("copy") == 1)
+    shown = ["page_id", "url", "payload", "sha", "first", "is_first", "serial"]
+    marked = marked.filter(~repeated).select(*shown, F.lit(0).alias("copy")).unionByName(copied.select(*shown, "copy"))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = lambda i, n: f"urn:page:{'' if i is None else quote(str(i), safe='')}:{n}"
+        name = lambda i, end: f"urn:page:{'' if i is None else quote(str(i), safe='')}:{end}"
         for b in batches:
             out = []
-            for page_id, url, payload, serial, first in zip(*(b.column(c) for c in ("page_id", "url", "payload", "serial", "first"))):
-                own, uri, body, first = name(page_id.as_py(), serial.as_py()), url.as_py(), payload.as_py(), first.as_py()
-                if first is None or first["serial"] == serial.as_py():
-                    out += response_records(own, uri, body, segment_bytes)
+            for page_id, url, payload, sha, first, is_first, serial, copy in zip(*(b.column(c).to_pylist() for c in [*shown, "copy"])):
+                if first is None or is_first:
+                    out += response_records(name(page_id, sha), url, payload, segment_bytes)
                 else:
                     fields = [
-                        ("WARC-Target-URI", uri),
-                        ("WARC-Payload-Digest", "sha1:" + base32_sha1(body)),
+                        ("WARC-Target-URI", url),
+                        ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)),
                         ("WARC-Profile", _PROFILE),
-                        ("WARC-Refers-To", f"<{name(first['page_id'], first['serial'])}>"),
+                        ("WARC-Refers-To", f"<{name(first['page_id'], sha)}>"),
                     ]
-                    out.append(record("revisit", own, fields, b""))
+                    out.append(record("revisit", name(page_id, f"{serial}.{copy}"), fields, b""))
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
@@ -191,7 +242,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
             for content in b.column("content"):
                 rows = []
                 for f, block in parse_records(content.as_py()):
-                    number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                    number, total = (int(x) if x.isascii() and x.isdigit() and len(x) < 10 else None for x in (f.get("warc-segment-number", ""), f.get("warc-segment-total-length", "")))
                     rows.append(
                         (
                             bare(f.get("warc-record-id")),
@@ -200,8 +251,8 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
                             (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
                             bare(f.get("warc-refers-to")),
                             bare(f.get("warc-segment-origin-id")),
-                            int(number) if number else None,
-                            int(total) if total else None,
+                            number,
+                            total,
                             block,
                         )
                     )
@@ -213,6 +264,12 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, _RECORD)
 
 
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """(pieces, bytes): how often reading had to pass over something, and how much."""
+    broken = scan_records(spark, path).filter("record_type = 'damaged'")
+    return broken.agg(F.count("*").alias("pieces"), F.coalesce(F.sum(F.length("block")), F.lit(0)).alias("bytes"))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, uri, refers_to, payload, digest, valid) of responses and revisits.
 
@@ -268,11 +325,11 @@ def archive_index(archive: DataFrame, id_type: str = "long") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record; a revisit has its response's size."""
     # Written, as it is used several times: the archive is then parsed once.
     rows = cut(archive.select("record_id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("size")))
-    revisits = rows.filter("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    wanted = revisits.select(F.col("refers_to").alias("target")).distinct()
-    targets = rows.filter("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("size").alias("full")).join(wanted, "target")
-    targets = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    resolved = revisits.join(targets, (revisits["refers_to"] == targets["target"]) & (revisits["salt"] == targets["salt"]), "left")
+    revisits = rows.filter("record_type = 'revisit'").withColumn("target", F.coalesce("refers_to", F.lit("")))
+    wanted = revisits.groupBy("target").agg(F.count("*").alias("n"))
+    sizes = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.max("size").alias("full"))
+    # A target that the archive lacks gives a revisit without size.
+    resolved = lookup_skewed(revisits, cut(wanted.join(sizes, "target", "left")), "target", "n")
     shown = lambda size: [
         page_of(F.col("record_id"), id_type).alias("page_id"),
         size.alias("payload_bytes"),

@@ -78,3 +78,19 @@ def test_empty(spark):
 def test_digest():
     assert base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert hashlib.sha1(b"").hexdigest() == "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+
+
+def test_damaged_files_are_read_on(spark, tmp_path):
+    from genoframe.llm.warc import damage
+
+    good = [record("response", f"urn:{k}", [], b"HTTP/1.1 200 OK\r\n\r\nbody %d" % k) for k in range(4)]
+    bad = good[1].replace(b"Content-Length: ", b"Content-Length: x")
+    beyond = good[2].replace(b"Content-Length: 25", b"Content-Length: 9999")
+    assert bad != good[1] and beyond != good[2]
+    end = b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(good[0] + end + b"stray\r\nbytes" + end + bad + end + beyond + end + good[3] + end)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record("response", "urn:9", [], b"HTTP/1.1 200 OK\r\n\r\nnine") + end) + gzip.compress(good[0])[:-12])
+    rows = read_archives(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.payload) for r in rows) == [b"body 0", b"body 3", b"nine"]
+    lost = damage(spark, str(tmp_path)).first()
+    assert lost.pieces == 5 and lost.bytes > 300  # the cut member: its whole rest, and the record that it breaks off in
