@@ -195,12 +195,14 @@ def write_archives(
     own = F.struct(F.col("page_id").alias("page_id"), F.col("u").alias("u"))
     is_first = F.col("first").isNotNull() & own.eqNullSafe(F.struct(F.col("first.page_id").alias("page_id"), F.col("first.u").alias("u")))
     marked = marked.withColumns({"is_first": is_first, "serial": F.monotonically_increasing_id()})
-    # A first row that comes several times: its copies are drawn from one of them.
-    repeated = F.col("is_first") & (F.col("first.times") > 1)
-    copied = marked.filter(repeated).groupBy("group").agg(*[F.any_value(c).alias(c) for c in ("page_id", "url", "payload", "sha", "first", "serial")])
-    copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("first.times").cast("int")))).withColumn("is_first", F.col("copy") == 1)
     shown = ["page_id", "url", "payload", "sha", "first", "is_first", "serial"]
-    marked = marked.filter(~repeated).select(*shown, F.lit(0).alias("copy")).unionByName(copied.select(*shown, "copy"))
+    if groups.filter("first.times > 1").isEmpty():
+        marked = marked.select(*shown, F.lit(0).alias("copy"))
+    else:  # a first row that comes several times: its copies are drawn from one of them
+        repeated = F.col("is_first") & (F.col("first.times") > 1)
+        copied = marked.filter(repeated).groupBy("group").agg(*[F.any_value(c).alias(c) for c in ("page_id", "url", "payload", "sha", "first", "serial")])
+        copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("first.times").cast("int")))).withColumn("is_first", F.col("copy") == 1)
+        marked = marked.filter(~repeated).select(*shown, F.lit(0).alias("copy")).unionByName(copied.select(*shown, "copy"))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = lambda i, end: f"urn:page:{'' if i is None else quote(str(i), safe='')}:{end}"
