@@ -58,6 +58,17 @@ def genotype_index(i: Column, j: Column) -> Column:
     return (hi * (hi + 1) / 2).cast("int") + lo
 
 
+def genotype_alleles(k: Column) -> Column:
+    """The inverse of :func:`genotype_index`: (i, j) with i <= j of a place among likelihoods."""
+    j = F.floor((F.sqrt(8 * k + 1) - 1) / 2).cast("int")
+    return F.struct((k - j * (j + 1) / 2).cast("int").alias("i"), j.alias("j"))
+
+
+def compatible_refs(a: Column, b: Column) -> Column:
+    """Whether two REF alleles of one position can be of one reference: one begins with the other."""
+    return F.startswith(a, b) | F.startswith(b, a)
+
+
 def phred_to_prob(pl: Column) -> Column:
     return F.pow(F.lit(10.0), -pl / 10)
 

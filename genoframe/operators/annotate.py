@@ -50,10 +50,26 @@ def _without_tag(samples: Column, kind: ArrayType, tag: str) -> Column:
 def out_of_frame(sites: DataFrame, exons: DataFrame) -> DataFrame:
     """Adds ``oof``: 1 if an indel in an exon has a length that three does not divide, 0 if it has, -1 elsewhere.
 
-    ``exons``: (from1, to1, name); a deletion counts with its whole span.
+    ``exons``: (chrom, from1, to1, name); a deletion counts with its whole span.
     """
     change = F.transform("alts", lambda a: F.abs(F.length(a) - F.length("ref")))
     rows = sites.withColumn("_change", F.filter(change, lambda n: n > 0))
     hit = annotate_intervals(rows, exons.withColumn("_exon", F.lit(True)), start=F.col("pos"), end=F.col("pos") + F.length("ref") - 1, value="_exon", order="name")
     shifted = F.exists("_change", lambda n: n % 3 != 0).cast("int")
     return hit.withColumn("oof", F.when(F.col("_exon") & (F.size("_change") > 0), shifted).otherwise(-1)).drop("_change", "_exon")
+
+
+def frameshifts(sites: DataFrame, exons: DataFrame) -> DataFrame:
+    """One row (in_frame, out_of_frame, not_applicable, share): indel ALTs by the part of them inside an exon.
+
+    Of a deletion only the bases that the exon has count; ``share`` is that of the ALTs out
+    of frame among those in an exon, null without any. Of several exons the first by name.
+    """
+    long = sites.select(*[c for c in ("chrom", "pos", "ref") if c in sites.columns], F.explode("alts").alias("alt")).filter(F.length("ref") != F.length("alt"))
+    end = F.col("pos") + F.greatest(F.length("ref") - F.length("alt"), F.lit(0))
+    hit = annotate_intervals(long, exons.withColumn("_exon", F.struct("from1", "to1")), start=F.col("pos"), end=end, value="_exon", order="name")
+    lost = F.least(end, F.col("_exon.to1")) - F.greatest(F.col("pos") + 1, F.col("_exon.from1")) + 1
+    n = F.when(F.length("alt") > F.length("ref"), F.length("alt") - F.length("ref")).otherwise(lost)
+    inside = F.col("_exon").isNotNull() & (n > 0)
+    out = hit.agg(F.count_if(inside & (n % 3 == 0)).alias("in_frame"), F.count_if(inside & (n % 3 != 0)).alias("out_of_frame"), F.count_if(~inside).alias("not_applicable"))
+    return out.withColumn("share", F.col("out_of_frame") / F.nullif(F.col("in_frame") + F.col("out_of_frame"), F.lit(0)))

@@ -1,8 +1,8 @@
 """Genotype calling from likelihoods.
 
 Likelihoods are phred-scaled arrays, one value for each unordered genotype of a
-sample. Formula-level parts are Columns; the search for the best set of alleles and
-the allele-frequency EM are small vectorised kernels over batches of sites.
+sample. Formula-level parts are Columns; the search for the best set of alleles, the
+consensus call and the bias tests are numpy kernels over batches of sites of one shape.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoframe.functions.genetics import genotype_index
+from genoframe.functions.special import chi2_upper, fisher_exact, minimise, one_sided_t
+from genoframe.operators.reshape import renumber
+
 THETA = 1.1e-3
 
 
@@ -89,31 +93,374 @@ def site_kernel(prob: np.ndarray, qs: np.ndarray, theta: float = THETA) -> tuple
     return keep, min(999.0, max(0.0, quality)), calls
 
 
+def batch_kernel(prob: np.ndarray, qs: np.ndarray, theta: float = THETA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`site_kernel` for many sites of one shape: kept alleles (sites, alleles), QUAL, best genotypes (sites, samples; -1 missing).
+
+    ``prob`` (sites, samples, genotypes), ``qs`` (sites, alleles).
+    """
+    n_alleles = qs.shape[1]
+    pairs = np.array([(i, j) for j in range(n_alleles) for i in range(j + 1)])
+    twice = np.where(pairs[:, 0] == pairs[:, 1], 1.0, 2.0)
+    known = prob.sum(axis=2) > 0
+    prior = watterson(theta, prob.shape[1])
+    sets = [c for size in (1, 2, 3) for c in combinations(range(n_alleles), size) if size == 1 or 0 in c]
+    inside = np.array([[k in c for k in range(n_alleles)] for c in sets])
+    values = np.full((len(qs), len(sets)), -np.inf)
+    for k, chosen in enumerate(inside):
+        f = qs * chosen
+        total = f.sum(axis=1)
+        f = f / np.where(total > 0, total, 1)[:, None]
+        weight = f[:, pairs[:, 0]] * f[:, pairs[:, 1]] * twice
+        fits = np.log(np.maximum(np.einsum("sng,sg->sn", prob, weight), 1e-300))
+        values[:, k] = np.where(total > 0, (fits * known).sum(axis=1) + prior * chosen[1:].sum(), -np.inf)
+    # Of equal scores the larger set in order of alleles wins, as tuples compare.
+    order = sorted(range(len(sets)), key=lambda k: sets[k], reverse=True)
+    best = np.array(order)[values[:, order].argmax(axis=1)]
+    top = values.max(axis=1)
+    safe = np.where(np.isfinite(top), top, 0)
+    total = safe + np.log(np.maximum(np.exp(values - safe[:, None]).sum(axis=1), 1e-300))
+    ref = sets.index((0,))
+    other = np.delete(values, ref, axis=1)
+    other = other.max(axis=1) if other.shape[1] else np.full(len(qs), -np.inf)
+    with np.errstate(invalid="ignore"):
+        quality = 4.343 * np.where(best == ref, np.where(np.isfinite(other), total - other, np.inf), total - values[:, ref])
+    quality = np.where(np.isfinite(top), np.clip(quality, 0, 999), 0)
+    keep = inside[best]
+    keep[:, 0] = True
+    f = qs * keep
+    f = f / np.maximum(f.sum(axis=1), 1e-300)[:, None]
+    allowed = f[:, pairs[:, 0]] * f[:, pairs[:, 1]] * twice * keep[:, pairs[:, 0]] * keep[:, pairs[:, 1]]
+    calls = np.where(known, (prob * allowed[:, None, :]).argmax(axis=2), -1)
+    return keep, quality, np.where(np.isfinite(top)[:, None], calls, -1)
+
+
+def by_shape(rows: pd.DataFrame, column: str) -> Iterator[np.ndarray]:
+    """Row numbers of a batch in groups whose arrays (samples by genotypes) have one shape."""
+    shapes = pd.Series([(len(x), len(x[0]) if len(x) else 0) for x in rows[column]])
+    for _, own in shapes.groupby(shapes).groups.items():
+        yield np.asarray(own)
+
+
 def call_sites(sites: DataFrame, *, theta: float = THETA) -> DataFrame:
-    """(key, alleles, qual, genotypes) for rows with ``key``, ``pls`` (an array of samples' PL arrays) and ``qs``."""
+    """(key, alleles, qual, genotypes, gq) for rows with ``key``, ``pls`` (an array of samples' PL arrays) and ``qs``.
+
+    Sites of a batch are taken together by their numbers of samples and alleles. ``gq``:
+    phred of the chance that a sample's genotype is wrong, at most 127, null if missing.
+    """
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.reset_index(drop=True)
+            out: dict[str, list] = {"alleles": [None] * len(b), "qual": [0.0] * len(b), "genotypes": [None] * len(b), "gq": [None] * len(b)}
+            for own in by_shape(b, "pls"):
+                pl = np.array([np.stack([np.asarray(x, float) for x in b["pls"][k]]) for k in own])
+                p = np.nan_to_num(10.0 ** (-pl / 10))
+                p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-300)
+                q = np.stack([np.asarray(b["qs"][k], float) for k in own])
+                total = q.sum(axis=1, keepdims=True)
+                q = np.where(total > 0, q / np.where(total > 0, total, 1), 1 / q.shape[1])
+                keep, quality, calls = batch_kernel(p, q, theta)
+                names = np.array([f"{i}/{j}" for j in range(q.shape[1]) for i in range(j + 1)] + ["./."])
+                pairs = np.array([(i, j) for j in range(q.shape[1]) for i in range(j + 1)])
+                f = q * keep
+                f /= np.maximum(f.sum(axis=1), 1e-300)[:, None]
+                post = p * (f[:, pairs[:, 0]] * f[:, pairs[:, 1]] * np.where(pairs[:, 0] == pairs[:, 1], 1.0, 2.0))[:, None, :]
+                wrong = 1 - post.max(axis=2) / np.maximum(post.sum(axis=2), 1e-300)
+                gq = np.minimum(127, np.rint(-10 * np.log10(np.maximum(wrong, 1e-13)))).astype(int)
+                for n, k in enumerate(own):
+                    out["alleles"][k], out["qual"][k] = np.flatnonzero(keep[n]).tolist(), float(quality[n])
+                    out["genotypes"][k] = names[calls[n]].tolist()
+                    out["gq"][k] = [int(g) if c >= 0 else None for g, c in zip(gq[n], calls[n])]
+            yield b[["key"]].assign(**out)
+
+    kind = sites.schema["key"].dataType.simpleString()
+    return sites.select("key", "pls", "qs").mapInPandas(call, f"key {kind}, alleles array<int>, qual double, genotypes array<string>, gq array<int>")
+
+
+def fill_unseen(pls: Column, n_alleles: Column) -> Column:
+    """PL arrays in which missing values of real alleles are taken from those of the last, unseen allele; arrays that are all missing stay."""
+    last = n_alleles - 1
+
+    def one(pl: Column) -> Column:
+        filled = F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), last),
+                lambda j: F.transform(
+                    F.sequence(F.lit(0), j),
+                    lambda i: F.coalesce(F.get(pl, genotype_index(i, j)), F.get(pl, genotype_index(i, last)), F.get(pl, genotype_index(j, last)), F.get(pl, genotype_index(last, last))),
+                ),
+            )
+        )
+        return F.when(F.exists(pl, lambda x: x.isNotNull()), filled).otherwise(pl)
+
+    return F.transform(pls, one)
+
+
+def reference_genotypes(pls: Column) -> Column:
+    """Genotypes of a site without ALT: 0/0, or missing where a sample has no likelihood or all are alike (no depth)."""
+    seen = lambda pl: F.exists(pl, lambda x: x.isNotNull() & (x != F.coalesce(F.get(pl, F.lit(0)), F.lit(-1.0)))) | F.exists(pl, lambda x: x > 0)
+    return F.transform(pls, lambda pl: F.when(F.coalesce(seen(pl), F.lit(False)), "0/0").otherwise("./."))
+
+
+def constrained_to_targets(sites: DataFrame, targets: DataFrame, *, insert_missed: bool = False) -> DataFrame:
+    """Sites with the alleles of ``targets`` (``chrom``, ``pos``, ``alleles``, REF first) and likelihoods put in their order.
+
+    Sites that are no target go. A target's ALT that the site lacks takes the
+    likelihoods of its unseen allele (its last ALT, ``<*>``) or null. With
+    ``insert_missed``, targets without a site are added with null ``pls``.
+    """
+    wanted = targets.select("chrom", "pos", F.col("alleles").alias("_want"))
+    both = wanted.join(sites, ["chrom", "pos"], "left" if insert_missed else "inner")
+    own = F.concat(F.array("ref"), F.col("alts"))
+    unseen = F.when(F.element_at(own, -1).isin("<*>", "<X>", "X"), F.size(own) - 1)
+    src = F.transform("_want", lambda a: F.coalesce(F.nullif(F.array_position(own, a).cast("int"), F.lit(0)) - 1, unseen))
+    both = both.withColumn("_src", F.when(F.col("ref").isNotNull(), src))
+    out = {
+        "pls": F.when(F.col("_src").isNotNull(), F.transform("pls", lambda pl: renumber(pl, F.col("_src"), "G", F.size(own)))),
+        "qs": F.when(F.col("_src").isNotNull(), renumber(F.col("qs"), F.col("_src"), "R", F.size(own))),
+    }
+    both = both.withColumns({c: v for c, v in out.items() if c in sites.columns})
+    names = {"ref": F.get("_want", F.lit(0)), "alts": F.slice("_want", 2, F.size("_want"))}
+    return both.withColumns(names).select(*sites.columns)
+
+
+# --- trios -------------------------------------------------------------------
+
+
+def trio_table(n_alleles: int, kind: str = "autosome") -> list[tuple[int, int, int, float]]:
+    """(father, mother, child, chance of the child) of all genotypes that Mendel allows, as places among likelihoods.
+
+    ``kind``: ``autosome``; ``x-boy`` (father and child have one copy, from the mother),
+    ``x-girl`` (father has one copy). A single copy is written as its homozygous place.
+    """
+    pairs = [(i, j) for j in range(n_alleles) for i in range(j + 1)]
+    place = {p: k for k, p in enumerate(pairs)}
+    out = []
+    for f in pairs:
+        if kind != "autosome" and f[0] != f[1]:
+            continue
+        for m in pairs:
+            seen: dict[int, int] = {}
+            for b in m:
+                for a in (b,) if kind == "x-boy" else f:
+                    k = place[tuple(sorted((a, b)))]
+                    seen[k] = seen.get(k, 0) + 1
+            out += [(place[f], place[m], k, n / sum(seen.values())) for k, n in sorted(seen.items())]
+    return out
+
+
+def new_indel_rate(length: Column, scale: float = 1.0) -> Column:
+    """Share of indels of a (signed) length that Mendel explains, where the rate of new ones falls with the length."""
+    rate = F.when(length < 0, F.exp(-21.9313 - 0.2856 * length)).otherwise(F.exp(-22.8689 + 0.2994 * length))
+    return 1 - scale * rate
+
+
+def call_trios(trios: DataFrame, *, mendel: Column | float = 1 - 1e-8, kind: str = "autosome", most_alleles: int = 4) -> DataFrame:
+    """Adds ``unconstrained``, ``constrained`` (places of the genotypes of father, mother, child; -1 missing) and ``de_novo``.
+
+    Rows have ``father``, ``mother``, ``child``: log chances of the genotypes, null where
+    a sample has no depth. ``mendel``: how far the law is trusted. Of all combinations
+    the likeliest is taken, those that Mendel forbids at the chance that he is wrong.
+    """
+    people = ("father", "mother", "child")
+    place = lambda p: F.coalesce(F.array_position(p, F.array_max(p)).cast("int") - 1, F.lit(-1))
+    free = F.array(*[place(F.col(p)) for p in people])
+    n_genotypes = F.coalesce(*[F.size(F.when(F.col(p).isNotNull(), F.col(p))) for p in people])
+    kept = F.lit(mendel) if isinstance(mendel, float) else mendel
+    all_there = F.lit(True)
+    for p in people:
+        all_there = all_there & F.col(p).isNotNull()
+    best = F.lit(None).cast("struct<lk:double,f:int,m:int,c:int,ok:boolean>")
+    for n in range(2, most_alleles + 1):
+        rows = ",".join(f'{{"f":{f},"m":{m},"c":{c},"p":{p}}}' for f, m, c, p in trio_table(n, kind))
+        table = F.from_json(F.lit(f"[{rows}]"), "array<struct<f:int,m:int,c:int,p:double>>")
+
+        def scored(t: Column) -> Column:
+            lk = F.lit(0.0)
+            for p, k in zip(people, "fmc"):
+                lk = lk + F.coalesce(F.get(F.col(p), t[k]), F.lit(0.0))
+            lk = lk + F.log(1 - kept * (1 - F.when(all_there, t["p"]).otherwise(1.0)))
+            return F.struct(lk.alias("lk"), (-t["f"]).alias("f"), (-t["m"]).alias("m"), (-t["c"]).alias("c"))
+
+        top = F.array_max(F.transform(table, scored))
+        lawful = F.exists(table, lambda t: (t["f"] == F.get(free, F.lit(0))) & (t["m"] == F.get(free, F.lit(1))) & (t["c"] == F.get(free, F.lit(2))))
+        found = F.struct(top["lk"].alias("lk"), (-top["f"]).alias("f"), (-top["m"]).alias("m"), (-top["c"]).alias("c"), lawful.alias("ok"))
+        best = F.when(n_genotypes == n * (n + 1) // 2, found).otherwise(best)
+    out = trios.withColumns({"unconstrained": free, "_best": best})
+    alone = F.lit(0.0)
+    for p in people:
+        alone = alone + F.coalesce(F.array_max(p), F.lit(0.0))
+    broken = all_there & ~F.col("_best.ok") & (alone + F.log(1 - kept) > F.col("_best.lk"))
+    lawful = F.array(*[F.when(F.col(p).isNotNull(), F.col(f"_best.{k}")).otherwise(-1) for p, k in zip(people, "fmc")])
+    out = out.withColumns({"de_novo": F.coalesce(broken, F.lit(False))})
+    return out.withColumn("constrained", F.when(F.col("de_novo"), F.col("unconstrained")).otherwise(lawful)).drop("_best")
+
+
+# --- annotations of calls ------------------------------------------------------
+
+
+def inbreeding(nref: Column, nalt: Column, hets: Column, diploid: Column) -> tuple[Column, Column]:
+    """(ICB, HOB): how likely so many heterozygotes are against the likeliest number, and how far their share is from expected.
+
+    Binomial; normal where both numbers expected exceed 10 or there are more than 200
+    samples. Null where REF, ALT or samples are lacking.
+    """
+    n = F.nullif(nref + nalt, F.lit(0)).cast("double")
+    there = (nref > 0) & (nalt > 0) & (diploid > 0)
+    q = 2 * nref * nalt / (n * n)
+    mean = q * diploid
+    normal = F.exp(-0.5 * (hets - mean) * (hets - mean) / F.nullif(mean * (1 - q), F.lit(0.0)))
+    low, high = F.least(F.floor(mean), hets).cast("int"), F.greatest(F.floor(mean), hets).cast("int")
+    steps = F.filter(F.sequence(low, high), lambda k: k > low)
+    ratio = F.aggregate(steps, F.lit(0.0), lambda acc, k: acc + F.log((diploid - k + 1) / k * q / (1 - q)))
+    binomial = F.exp(F.when(hets >= F.floor(mean), ratio).otherwise(-ratio))
+    icb = F.when(((mean > 10) & ((1 - q) * diploid > 10)) | (diploid > 200), normal).otherwise(binomial)
+    return F.when(there, icb), F.when(there, F.abs(hets / F.nullif(diploid, F.lit(0)) - q))
+
+
+def bias_tests(sites: DataFrame, anno: str = "i16") -> DataFrame:
+    """Adds ``dp4``, ``mq`` and ``pv4`` of 16 sums: counts by strand, then sums and squares of qualities for REF and ALT.
+
+    ``pv4``: Fisher's test of strands, then three one-sided t-tests (REF above ALT) of
+    base quality, mapping quality and distance to the end; null without REF or ALT bases.
+    ``mq``: root mean square of the mapping quality, null without depth.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack([np.asarray(v, float) for v in b["_x"]]) if len(b) else np.zeros((0, 16))
+            ref, alt = x[:, 0] + x[:, 1], x[:, 2] + x[:, 3]
+            tests = [one_sided_t(ref, alt, x[:, k], x[:, k + 1], x[:, k + 2], x[:, k + 3]) for k in (4, 8, 12)]
+            strand = [fisher_exact(*map(int, r)) for r in x[:, :4]]
+            tested = (ref > 0) & (alt > 0)
+            pv4 = [list(map(float, p)) if ok else None for p, ok in zip(zip(strand, *tests), tested)]
+            depth = ref + alt
+            mq = np.floor(np.sqrt((x[:, 9] + x[:, 11]) / np.maximum(depth, 1)) + 0.499)
+            yield pd.DataFrame({"_x": b["_x"], "dp4": x[:, :4].astype(int).tolist(), "mq": mq.astype(int), "pv4": pv4, "depth": depth})
+
+    distinct = sites.select(F.col(anno).cast("array<double>").alias("_x")).filter(F.size("_x") == 16).distinct()
+    tested = distinct.mapInPandas(run, "_x array<double>, dp4 array<int>, mq int, pv4 array<double>, depth double")
+    tested = tested.withColumn("mq", F.when(F.col("depth") > 0, F.col("mq"))).drop("depth")
+    return sites.withColumn("_x", F.col(anno).cast("array<double>")).join(tested, "_x", "left").drop("_x")
+
+
+# --- frequencies ---------------------------------------------------------------
+
+
+def frequency_posterior(prob: np.ndarray, theta: float = 1e-3) -> np.ndarray:
+    """(sites, 2 n + 1): the posterior of the number of non-reference alleles among n diploid samples.
+
+    ``prob`` (sites, n, 3): likelihoods of 0, 1, 2 non-reference alleles. The likelihood of
+    each number is built up sample by sample (a convolution with weights 1, 2, 1), divided
+    by the number of ways, and weighed by the neutral prior theta / k. A sample with no
+    information has three equal likelihoods.
+    """
+    sites, n, _ = prob.shape
+    z = np.zeros((sites, 2 * n + 1))
+    z[:, 0] = 1
+    for s in range(n):
+        p = prob[:, s]
+        new = z * p[:, :1]
+        new[:, 1:] += 2 * z[:, :-1] * p[:, 1:2]
+        new[:, 2:] += z[:, :-2] * p[:, 2:3]
+        z = new / np.maximum(new.sum(axis=1, keepdims=True), 1e-300)
+    k = np.arange(2 * n + 1)
+    ways = np.array([math.lgamma(2 * n + 1) - math.lgamma(x + 1) - math.lgamma(2 * n - x + 1) for x in k])
+    prior = np.where(k > 0, theta / np.maximum(k, 1), 0.0)
+    prior[0] = max(1e-10, 1 - prior[1:].sum())
+    with np.errstate(divide="ignore"):
+        log_post = np.log(z) - ways + np.log(prior)
+    post = np.exp(log_post - log_post.max(axis=1, keepdims=True))
+    return post / post.sum(axis=1, keepdims=True)
+
+
+def estimate_frequency(prob: np.ndarray, tries: int = 10, eps: float = 1e-5) -> np.ndarray:
+    """Non-reference frequency of each site: EM, and where it has not settled after ``tries`` the likelihood's maximum by :func:`minimise`."""
+    f = np.full(len(prob), 0.2)
+    settled = np.zeros(len(prob), bool)
+    for _ in range(tries):
+        w = np.stack([(1 - f) ** 2, 2 * f * (1 - f), f**2], axis=1)[:, None, :] * prob
+        new = ((w[..., 1] + 2 * w[..., 2]) / np.maximum(w.sum(axis=2), 1e-300)).mean(axis=1) / 2
+        settled |= np.abs(new - f) < eps
+        f = new
+    if not settled.all():
+        rest = prob[~settled]
+
+        def loss(x: np.ndarray) -> np.ndarray:
+            w = np.stack([(1 - x) ** 2, 2 * x * (1 - x), x**2], axis=1)[:, None, :] * rest
+            return -np.log(np.maximum(w.sum(axis=2), 1e-300)).sum(axis=1)
+
+        f[~settled] = minimise(loss, np.zeros(len(rest)), np.ones(len(rest)))
+    return f
+
+
+def genotype_frequencies(prob: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """(sites, 3): genotype frequencies without Hardy-Weinberg, by EM."""
+    g = np.full((len(prob), 3), 1 / 3)
+    for _ in range(rounds):
+        w = prob * g[:, None, :]
+        g = (w / np.maximum(w.sum(axis=2, keepdims=True), 1e-300)).mean(axis=1)
+    return g
+
+
+def consensus_call(sites: DataFrame, *, p_variant: float = 0.5, theta: float = 1e-3) -> DataFrame:
+    """(key, af1, ac1, g3, hwe, lrt, fq, p_ref, qual, is_variant, genotypes) for rows with ``key`` and ``pls`` (three likelihoods a sample).
+
+    ``af1``: the frequency's estimate; ``ac1``: the likeliest number of non-reference
+    alleles; ``g3`` and ``hwe``: genotype frequencies and the chance of so large a departure
+    from Hardy-Weinberg, null above 0.05; ``lrt``: the chance of a better fit by them alone;
+    ``fq``: phred that all samples are alike, negative if so; a site is a variant if the
+    chance of no ALT is below ``p_variant``. Genotypes are the likeliest under ``af1``.
+    """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for key, pls, qs in zip(b["key"], b["pls"], b["qs"]):
-                p = 10.0 ** (-np.array([np.asarray(x, float) for x in pls]) / 10)
-                p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-                q = np.asarray(qs, float)
-                keep, quality, calls = site_kernel(p, q / q.sum() if q.sum() else np.full(len(q), 1 / len(q)), theta)
-                out.append((key, keep, quality, [f"{i}/{j}" if i >= 0 else "./." for i, j in calls]))
-            yield pd.DataFrame(out, columns=["key", "alleles", "qual", "genotypes"])
+            b = b.reset_index(drop=True)
+            made = []
+            for own in by_shape(b, "pls"):
+                pl = np.array([np.stack([np.asarray(x, float)[:3] for x in b["pls"][k]]) for k in own])
+                p = np.nan_to_num(10.0 ** (-pl / 10), nan=1.0)
+                f, g, post = estimate_frequency(p), genotype_frequencies(p), frequency_posterior(p, theta)
+                n = p.shape[1]
+                free = np.log(np.maximum((p * g[:, None, :]).sum(axis=2), 1e-300)).sum(axis=1)
+                hw = np.stack([(1 - f) ** 2, 2 * f * (1 - f), f**2], axis=1)
+                bound = np.log(np.maximum((p * hw[:, None, :]).sum(axis=2), 1e-300)).sum(axis=1)
+                share = (g[:, 1] + 2 * g[:, 2]) / 2
+                want = np.stack([(1 - share) ** 2, 2 * share * (1 - share), share**2], axis=1)
+                chance = chi2_upper(n * ((g - want) ** 2 / np.maximum(want, 1e-12)).sum(axis=1), 1)
+                lrt = chi2_upper(np.maximum(0, 2 * (free - bound)), 1)
+                p_ref, p_var = post[:, 0], post[:, 2 * n]
+                alike = np.minimum(1.0, p_ref + p_var)
+                variant = p_ref < p_variant
+                r = np.where(variant, p_ref, 1 - p_ref)
+                phred = lambda x: np.minimum(999, -4.343 * np.log(np.maximum(x, 1e-300)))
+                fq = np.where(alike < 0.5, phred(alike), -phred(1 - alike))
+                best = (p * hw[:, None, :]).argmax(axis=2)
+                blank = (np.ptp(p, axis=2) == 0)
+                names = np.array(["0/0", "0/1", "1/1", "./."])
+                calls = names[np.where(blank, 3, best)]
+                for m, k in enumerate(own):
+                    sure = chance[m] <= 0.05
+                    made.append((k, f[m], int(post[m].argmax()), g[m].tolist() if sure else None, float(chance[m]) if sure else None, float(lrt[m]), float(fq[m]), float(p_ref[m]), float(phred(r[m])), bool(variant[m]), calls[m].tolist()))
+            names = ["k", "af1", "ac1", "g3", "hwe", "lrt", "fq", "p_ref", "qual", "is_variant", "genotypes"]
+            out = pd.DataFrame(made, columns=names)
+            out.insert(0, "key", b["key"].iloc[out["k"].to_numpy(int)].to_numpy() if len(out) else [])
+            yield out.drop(columns="k")
 
     kind = sites.schema["key"].dataType.simpleString()
-    return sites.select("key", "pls", "qs").mapInPandas(call, f"key {kind}, alleles array<int>, qual double, genotypes array<string>")
+    return sites.select("key", "pls").mapInPandas(
+        call, f"key {kind}, af1 double, ac1 int, g3 array<double>, hwe double, lrt double, fq double, p_ref double, qual double, is_variant boolean, genotypes array<string>"
+    )
 
 
-def allele_frequency_em(counts: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def allele_frequency_em(counts: DataFrame, key: str | list[str], rounds: int = 20) -> DataFrame:
     """Non-reference allele frequency by EM over three genotype likelihoods a sample.
 
     One row for each (site, sample) with ``g0``, ``g1``, ``g2``; the rounds are unrolled
     over the site's array, so the data are shuffled once.
     """
-    sites = counts.groupBy(key).agg(F.collect_list(F.struct("g0", "g1", "g2")).alias("g"))
+    by = [key] if isinstance(key, str) else key
+    sites = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("g0", "g1", "g2"))).alias("g"))
 
     def step(f: Column) -> Column:
         def share(s: Column) -> Column:
@@ -123,7 +470,7 @@ def allele_frequency_em(counts: DataFrame, key: str, rounds: int = 20) -> DataFr
         return F.aggregate("g", F.lit(0.0), lambda acc, s: acc + share(s)) / (2 * F.size("g"))
 
     est = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.2), lambda f, _: step(f))
-    return sites.select(key, est.alias("af"), F.size("g").alias("samples"))
+    return sites.select(*by, est.alias("af"), F.size("g").alias("samples"))
 
 
 def hardy_weinberg_chi2(n0: Column, n1: Column, n2: Column) -> Column:

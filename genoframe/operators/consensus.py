@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.functions.keys import site_key
 from genoframe.operators.calling import pl_to_prob
 
 
@@ -29,12 +30,18 @@ def consensus(bases: DataFrame, masks: DataFrame, *, size: int = 10_000) -> Data
     return gathered.select("chrom", "chunk", F.rpad(F.array_join(parts, ""), size, "n").alias("seq"))
 
 
-def sample_likelihood(query: DataFrame, likelihoods: DataFrame, key: str = "pos") -> DataFrame:
-    """(sample, lk, sites): how badly each sample's likelihoods fit the query's genotypes; the least fits best.
+def sample_likelihood(query: DataFrame, likelihoods: DataFrame) -> DataFrame:
+    """(sample, lk, sites, rescaled): how badly each sample's likelihoods fit the query's genotypes; the least fits best.
 
-    ``query``: (key, dosage), the number of non-reference alleles; ``likelihoods``:
-    (key, sample, pl). Sites without a likelihood or a genotype are left out.
+    ``query``: (site, dosage), the number of non-reference alleles; ``likelihoods``: (site,
+    sample, pl). Sites without a likelihood or a genotype are left out. ``rescaled`` adds
+    up, site by site, how far the sample is from the site's best on the scale from its best
+    to its worst sample; sites where all are alike add nothing.
     """
+    by = site_key(query, likelihoods)
     fits = F.get(pl_to_prob(F.col("pl")), F.col("dosage"))
-    both = likelihoods.join(query.select(key, F.col("dosage").cast("int").alias("dosage")), key).select("sample", fits.alias("p")).filter("p > 0")
-    return both.groupBy("sample").agg((-F.sum(F.ln("p"))).alias("lk"), F.count("*").alias("sites"))
+    both = likelihoods.join(query.select(*by, F.col("dosage").cast("int").alias("dosage")), by).select(*by, "sample", (-F.ln(fits)).alias("s")).filter("s is not null")
+    site = Window.partitionBy(*by)
+    low, high = F.min("s").over(site), F.max("s").over(site)
+    both = both.withColumn("r", F.coalesce((F.col("s") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)))
+    return both.groupBy("sample").agg(F.sum("s").alias("lk"), F.count("*").alias("sites"), F.sum("r").alias("rescaled"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.functions.genetics import INDEL, SNP
+from genoframe.functions.keys import site_key
+from genoframe.operators.joins import RANGE, annotate_intervals, unite
+from genoframe.operators.ranges import running_total, with_previous
+
 
 def include(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(F.coalesce(condition, F.lit(False)))
@@ -48,32 +56,136 @@ def soft_filter(df: DataFrame, condition: Column, name: str, *, append: bool = F
     return df.withColumn("filters", F.when(ok, passed).otherwise(failed))
 
 
-def snp_gap(df: DataFrame, gap: int, *, chrom: str = "chrom", pos: str = "pos") -> Column:
-    """True for SNP rows within ``gap`` of an indel; needs ``is_snp``, ``is_indel``, ``span`` (1 + longest deletion).
+@dataclass
+class Test:
+    """A condition on a site with its mask of samples: ``samples`` is null for a condition on the site alone."""
+
+    __test__ = False  # not a test case
+    site: Column
+    samples: Column | None = None
+
+    @classmethod
+    def of_samples(cls, samples: Column, condition) -> "Test":
+        return cls._masked(F.transform(samples, lambda s: F.coalesce(condition(s), F.lit(False))))
+
+    @classmethod
+    def _masked(cls, mask: Column) -> "Test":
+        return cls(F.exists(mask, lambda x: x), mask)
+
+    def __and__(self, other: "Test") -> "Test":
+        """Both: in the same sample where both look at samples; a site's condition holds for each of its samples."""
+        if self.samples is None and other.samples is None:
+            return Test(self.site & other.site)
+        if self.samples is None or other.samples is None:
+            whole, part = (self, other) if self.samples is None else (other, self)
+            return self._masked(F.transform(part.samples, lambda x: x & whole.site))
+        return self._masked(F.zip_with(self.samples, other.samples, lambda a, b: a & b))
+
+    def __or__(self, other: "Test") -> "Test":
+        """Either; a condition on the site leaves the mask as the one on samples has it."""
+        if self.samples is None or other.samples is None:
+            return Test(self.site | other.site, self.samples if self.samples is not None else other.samples)
+        return self._masked(F.zip_with(self.samples, other.samples, lambda a, b: a | b))
 
-    An indel covers pos to pos + span - 1; the window looks back by the gap and the
-    longest span that deletions have, which is read off first.
+    def or_all(self, other: "Test") -> "Test":
+        """Either; a condition on the site that holds puts all samples into the mask."""
+        if (self.samples is None) == (other.samples is None):
+            return self | other
+        whole, part = (self, other) if self.samples is None else (other, self)
+        return self._masked(F.transform(part.samples, lambda x: x | whole.site))
+
+
+def with_snp_gap(df: DataFrame, gap: int, name: str = "near") -> DataFrame:
+    """Adds a flag: a SNP (``is_snp``) within ``gap`` of an indel (``is_indel``) that covers pos to pos + ``span`` - 1.
+
+    Indels, widened by the gap, are united and meet the SNPs by contig and bin.
     """
-    longest = int(df.filter("is_indel").agg(F.max("span")).first()[0] or 1)
-    w = Window.partitionBy(chrom).orderBy(pos)
-    before = F.max(F.when(F.col("is_indel"), F.col(pos) + F.col("span") - 1)).over(w.rangeBetween(-(gap + longest), 0))
-    after = F.min(F.when(F.col("is_indel"), F.col(pos))).over(w.rangeBetween(0, gap))
-    near = (before + gap >= F.col(pos)) | (after - gap <= F.col(pos))
-    return F.col("is_snp") & F.coalesce(near, F.lit(False))
+    by = site_key(df)
+    wide = df.filter("is_indel").select(*by[:-1], (F.col("pos") - gap).alias("from1"), (F.col("pos") + F.col("span") - 1 + gap).alias("to1"))
+    wide = unite(wide).withColumn(name, F.lit(True))
+    out = annotate_intervals(df, wide, start=F.col("pos"), end=F.col("pos"), value=name, order="from1")
+    return out.withColumn(name, F.col("is_snp") & F.coalesce(name, F.lit(False)))
 
 
-def indel_gap(indels: DataFrame, gap: int, *, chrom: str = "chrom", pos: str = "pos", order: str = "rec") -> DataFrame:
+def indel_gap(indels: DataFrame, gap: int, *, order: str = "rec", size: int = RANGE) -> DataFrame:
     """Of indels chained by ``gap`` the one with most support (``ac``, then first) stays.
 
     A chain ends where the next indel begins beyond the end of the one right before.
     """
-    w = Window.partitionBy(chrom).orderBy(pos, order)
-    reach = F.lag(F.col(pos) + F.col("span") - 1 + gap).over(w)
-    chained = indels.withColumn("_new", F.when(F.col(pos) <= reach, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(w))
-    best = Window.partitionBy(chrom, "_chain").orderBy(F.desc_nulls_last("ac"), pos, order)
+    reach = with_previous(indels.withColumn("_reach", F.col("pos") + F.col("span") - 1 + gap), "_reach", [F.col("pos"), F.col(order)], size=size)
+    fresh = reach.withColumn("_new", F.when(F.col("pos") <= F.col("previous"), 0).otherwise(1)).drop("previous", "_reach")
+    chained = running_total(fresh, "_new", "_chain", [F.col("pos"), F.col(order)], size=size)
+    best = Window.partitionBy("chrom", "_chain").orderBy(F.desc_nulls_last("ac"), "pos", order)
     return chained.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_new", "_chain", "_rank")
 
 
+def legacy_gates(
+    sites: DataFrame, *, min_quality: float = 10, min_depth: int = 2, max_depth: int = 10_000_000, min_alts: int = 2,
+    indel_window: int = 10, snp_window: int = 3, bias: tuple[float, ...] = (1e-4, 1e-100, 0, 1e-4), hwe: float = 1e-4,
+) -> DataFrame:
+    """Adds ``letter``: the gate of the legacy filter that a site fails, ``-`` if it passes all.
+
+    Of a record alone, the first that applies: S its Hardy-Weinberg chance ``hwe`` is below
+    the limit with more heterozygotes than expected (``g3``); a too few bases for the ALT
+    (``dp4`` third and fourth); d, D depth ``dp`` too low or high; Q RMS mapping quality
+    ``mq`` too low; P one of the four bias tests ``pv4`` below its limit. Then, among those
+    that pass so far: G a SNP or MNP within ``snp_window`` of an indel; g an indel within
+    ``indel_window`` of one of higher score (QUAL times 100 plus ALT bases; of equals the
+    first stays); M a SNP or MNP that shares a position with one of higher score. Missing
+    values pass. Neighbours are judged pair by pair, not in order of reading: a beaten
+    indel still beats a lesser one. Needs ``rec``, ``ref``, ``qual``, ``is_indel``, ``span``.
+    """
+    have = lambda c: F.col(c) if c in sites.columns else F.lit(None)
+    met = lambda x: F.coalesce(x, F.lit(False))
+    g3, dp4, pv4 = have("g3"), have("dp4"), have("pv4")
+    alts = F.get(dp4, F.lit(2)) + F.get(dp4, F.lit(3)) if "dp4" in sites.columns else F.lit(None).cast("double")
+    gates: list[tuple[str, Column]] = []
+    if "g3" in sites.columns and "hwe" in sites.columns:
+        p = F.get(g3, F.lit(0)) + F.get(g3, F.lit(1)) / 2
+        gates.append(("S", met((F.col("hwe") < hwe) & (F.get(g3, F.lit(1)) > 2 * p * (1 - p)))))
+    gates += [("a", met(alts < min_alts)), ("d", met(have("dp") < min_depth)), ("D", met(have("dp") > max_depth)), ("Q", met(have("mq") < min_quality))]
+    if "pv4" in sites.columns:
+        gates.append(("P", reduce(lambda a, b: a | b, [met(F.get(pv4, F.lit(k)) < limit) for k, limit in enumerate(bias)])))
+    score = F.struct((F.coalesce("qual", F.lit(0.0)) * 100 + F.coalesce(alts, F.lit(0))).cast("double").alias("q"), (-F.col("rec")).alias("r"))
+    rows = sites.withColumns({"_alone": first_gate(gates), "_score": score})
+    passing = F.col("_alone") == "-"
+    wide = rows.withColumns({"is_snp": passing & ~F.col("is_indel"), "is_indel": passing & F.col("is_indel")})
+    near = with_snp_gap(wide.select("chrom", "pos", "rec", "span", "is_snp", "is_indel", "_alone", "_score", "ref"), snp_window, "_shadow")
+    by = ["chrom", "rec"]
+    indels = near.filter("is_indel").select("chrom", "pos", "rec", "span", F.col("_score").alias("own"))
+    beaten = _near(indels, indel_window).filter("own < other").select(*by).distinct().withColumn("_beaten", F.lit("g"))
+    plain = near.filter("is_snp and not _shadow").select("chrom", "pos", "rec", F.length("ref").alias("span"), F.col("_score").alias("own"))
+    lesser = _near(plain, 0).filter("own < other").select(*by).distinct().withColumn("_lesser", F.lit("M"))
+    last = F.when(F.col("_alone") != "-", F.col("_alone")).when(F.col("_shadow"), "G")
+    letters = near.join(beaten, by, "left").join(lesser, by, "left").select(*by, F.coalesce(last, "_beaten", "_lesser", F.lit("-")).alias("letter"))
+    return sites.join(letters, by)
+
+
+def _near(rows: DataFrame, window: int) -> DataFrame:
+    """Each row's ``own`` with that of every ``other`` whose span lies within ``window`` of its own; they meet in bins of 1024 positions."""
+    begin, end = F.col("pos") - window, F.col("pos") + F.col("span") - 1 + window
+    a = rows.withColumns({"_a": begin, "_b": end}).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_a") / 1024), F.floor(F.col("_b") / 1024))))
+    b = rows.select("chrom", F.col("pos").alias("_c"), (F.col("pos") + F.col("span") - 1).alias("_d"), F.col("own").alias("other"))
+    b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_c") / 1024), F.floor(F.col("_d") / 1024))))
+    return a.join(b, ["chrom", "_bin"]).filter((F.col("_c") <= F.col("_b")) & (F.col("_d") >= F.col("_a")) & (F.col("own") != F.col("other")))
+
+
+def caller_gate(sites: DataFrame, *, variants_only: bool = False, skip: str | None = None, keep_n: bool = False) -> DataFrame:
+    """Sites that a caller looks at: not those whose REF is N, with ``variants_only`` none without ALT, without ``skip`` (``snps`` or ``indels``)."""
+    out = sites if keep_n else sites.filter(~F.upper("ref").startswith("N"))
+    if variants_only:
+        out = out.filter(F.size("alts") > 0)
+    if skip:
+        out = out.filter(F.col("mask").bitwiseAND({"snps": SNP, "indels": INDEL}[skip]) == 0)
+    return out
+
+
+def biallelic(sites: DataFrame, *, snps_only: bool = True) -> DataFrame:
+    """Sites with one ALT, SNPs unless told otherwise: what runs of homozygosity are read from."""
+    out = sites.filter(F.size("alts") == 1)
+    return out.filter(F.col("mask") == SNP) if snps_only else out
+
+
 def private(samples: Column, subset: list[int]) -> Column:
     """Non-reference alleles occur, and only in the samples of the subset."""
     carriers = F.filter(samples, lambda s: (s["a"] > 0) | (s["b"] > 0))

@@ -1,4 +1,4 @@
-"""Joins by position, allele and interval."""
+"""Joins by site, allele and interval. Every key has the contig in it."""
 
 from __future__ import annotations
 
@@ -7,15 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions to a bin of interval joins.
-BIN = 1024
+from genoframe.functions.genetics import trim_suffix
+from genoframe.functions.keys import site_key
+from genoframe.operators.reshape import by_rule, gathered, recoded_samples, renumbered
+
+#: Positions to a bin of interval joins, and to a range in which regions are united.
+BIN, RANGE = 1024, 1 << 20
+
+
+# --- matching of records -----------------------------------------------------
 
 
 def match_key(mode: str, ref: str = "ref", alts: str = "alts", mask: str = "mask") -> Column:
-    """What must agree, besides the position, for records of several files to be one.
+    """What must agree, besides the site, for records of several files to be one.
 
     ``none``: same REF and ALTs; ``snps``, ``indels``, ``both``: same class of those
-    suffices; ``all``: the position alone.
+    suffices; ``all``: the site alone. For ``some`` see :func:`with_match_key`.
     """
     exact = F.concat(F.col(ref), F.lit(">"), F.array_join(F.array_sort(alts), ","))
     if mode == "all":
@@ -25,21 +32,43 @@ def match_key(mode: str, ref: str = "ref", alts: str = "alts", mask: str = "mask
     return F.when(own != 0, own.cast("string")).otherwise(exact)
 
 
+def with_match_key(rows: DataFrame, mode: str) -> DataFrame:
+    """Adds ``key``. ``some``: same REF and a chain of records that share an ALT.
+
+    The classes of ``some`` are found inside a site, whose records are few.
+    """
+    if mode != "some":
+        return rows.withColumn("key", match_key(mode))
+    by = site_key(rows)
+    shares = lambda c, x: (c["ref"] == x["ref"]) & F.arrays_overlap(c["alts"], x["alts"])
+
+    def add(classes: Column, x: Column) -> Column:
+        met = F.transform(F.filter(classes, lambda c: shares(c, x)), lambda c: c["alts"])
+        whole = F.array_distinct(F.flatten(F.concat(F.array(x["alts"]), met)))
+        return F.concat(F.filter(classes, lambda c: ~shares(c, x)), F.array(F.struct(x["ref"].alias("ref"), whole.alias("alts"))))
+
+    none = F.expr("cast(array() as array<struct<ref:string,alts:array<string>>>)")
+    found = rows.groupBy(*by).agg(F.aggregate(F.collect_set(F.struct("ref", "alts")), none, add).alias("_classes"))
+    own = F.get(F.filter("_classes", lambda c: shares(c, {"ref": F.col("ref"), "alts": F.col("alts")})), F.lit(0))["alts"]
+    key = F.concat(F.col("ref"), F.lit(">"), F.array_join(F.array_sort(F.coalesce(own, F.col("alts"))), ","))
+    return rows.join(found, by).withColumn("key", key).drop("_classes")
+
+
 def presence(files: list[DataFrame], mode: str = "none") -> DataFrame:
     """(chrom, pos, key, nth, present, first): one row for each matched record.
 
     ``present`` has a 1 or 0 for each file; ``first`` is the record of the first file
-    that has it. The n-th record of a key in one file matches the n-th in another.
+    that has it. The n-th record of a key in one file matches the n-th in another. Rows
+    are dealt out by site once, which the numbering and the grouping share.
     """
-    rows = reduce(
-        DataFrame.unionByName,
-        [f.withColumn("key", match_key(mode)).withColumn("file", F.lit(k)) for k, f in enumerate(files)],
-    )
-    nth = F.row_number().over(Window.partitionBy("chrom", "pos", "key", "file").orderBy("ref", F.array_join("alts", ","), "qual"))
+    by = site_key(*files)
+    rows = reduce(DataFrame.unionByName, [f.withColumn("file", F.lit(k)) for k, f in enumerate(files)]).repartition(*by)
+    rows = with_match_key(rows, mode)
+    nth = F.row_number().over(Window.partitionBy(*by, "key", "file").orderBy("ref", F.array_join("alts", ","), "qual"))
     rows = rows.withColumn("nth", nth)
-    carried = [c for c in files[0].columns if c not in ("chrom", "pos")]
+    carried = [c for c in files[0].columns if c not in by]
     present = F.concat(*[F.max((F.col("file") == k).cast("int")).cast("string") for k in range(len(files))])
-    return rows.groupBy("chrom", "pos", "key", "nth").agg(present.alias("present"), F.min_by(F.struct(*carried), "file").alias("first"))
+    return rows.groupBy(*by, "key", "nth").agg(present.alias("present"), F.min_by(F.struct(*carried), "file").alias("first"))
 
 
 def intersect(files: list[DataFrame], n: int, compare: str = "=", mode: str = "none") -> DataFrame:
@@ -49,83 +78,146 @@ def intersect(files: list[DataFrame], n: int, compare: str = "=", mode: str = "n
     return presence(files, mode).filter(test)
 
 
-def select_regions(rows: DataFrame, regions: DataFrame, *, start: Column, end: Column, bin_size: int = BIN) -> DataFrame:
-    """Rows whose span (1-based, inclusive) overlaps any region (``from1``, ``to1``), each once.
+def apply_filters(rows: DataFrame, names: list[str], column: str = "filters") -> DataFrame:
+    """Records with one of the FILTERs named; ``.`` stands for none set. Put it before a join of files."""
+    listed = F.arrays_overlap(column, F.array(*[F.lit(n) for n in names]))
+    return rows.filter(F.coalesce(listed, F.lit(False)) | (F.lit("." in names) & F.col(column).isNull()))
 
-    Both sides are cut into bins of ``bin_size`` positions, so the join is an equi-join
-    on the bin. Of a row's bins, only the one where the overlap with a region begins
-    reports it; regions are first united where they touch, so that is one bin a row.
-    """
-    merged = unite(regions)
-    cut = merged.withColumn("_bin", F.explode(F.sequence(_bin(F.col("from1"), bin_size), _bin(F.col("to1"), bin_size))))
-    spans = rows.withColumns({"_start": start, "_end": end, "_row": F.monotonically_increasing_id()})
-    binned = spans.withColumn("_bin", F.explode(F.sequence(_bin(F.col("_start"), bin_size), _bin(F.col("_end"), bin_size))))
-    hits = binned.join(cut, "_bin").filter((F.col("_start") <= F.col("to1")) & (F.col("_end") >= F.col("from1")))
-    begins = F.greatest("_start", "from1")
-    hits = hits.filter(F.col("_bin") == _bin(begins, bin_size))
-    # A span over several separate regions: the first of them reports it.
-    w = Window.partitionBy("_row").orderBy("from1")
-    return hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*rows.columns)
+
+def mark_known(rows: DataFrame, positions: DataFrame, name: str = "known") -> DataFrame:
+    """Adds a flag: the site is one of ``positions``."""
+    by = site_key(rows, positions)
+    return rows.join(positions.select(*by).distinct().withColumn(name, F.lit(True)), by, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+# --- intervals -----------------------------------------------------------------
+
+
+def _bin(p: Column, size: int) -> Column:
+    return F.floor(p / size)
+
+
+def _bins(begin: Column, end: Column, size: int) -> Column:
+    return F.explode(F.sequence(_bin(begin, size), _bin(end, size)))
 
 
 def unite(regions: DataFrame) -> DataFrame:
-    """Regions with overlapping ones united, within ranges of 2^20 positions at a time."""
-    cut = regions.withColumn("_range", F.explode(F.sequence(_bin(F.col("from1"), 1 << 20), _bin(F.col("to1"), 1 << 20))))
-    cut = cut.select("_range", F.greatest("from1", F.col("_range") * (1 << 20)).alias("from1"), F.least("to1", (F.col("_range") + 1) * (1 << 20) - 1).alias("to1"))
-    w = Window.partitionBy("_range").orderBy("from1", "to1")
+    """Regions with overlapping ones united, within ranges of RANGE positions of a contig at a time."""
+    by = [c for c in ("chrom",) if c in regions.columns]
+    cut = regions.withColumn("_range", _bins(F.col("from1"), F.col("to1"), RANGE))
+    cut = cut.select(*by, "_range", F.greatest("from1", F.col("_range") * RANGE).alias("from1"), F.least("to1", (F.col("_range") + 1) * RANGE - 1).alias("to1"))
+    w = Window.partitionBy(*by, "_range").orderBy("from1", "to1")
     reach = F.max("to1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = cut.withColumn("_new", F.when(F.col("from1") <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
-    return island.groupBy("_range", "_island").agg(F.min("from1").alias("from1"), F.max("to1").alias("to1")).select("from1", "to1")
+    return island.groupBy(*by, "_range", "_island").agg(F.min("from1").alias("from1"), F.max("to1").alias("to1")).select(*by, "from1", "to1")
 
 
-def _bin(p: Column, size: int) -> Column:
-    return F.floor(p / size)
+def _hits(spans: DataFrame, regions: DataFrame, bin_size: int) -> DataFrame:
+    """Distinct spans (``_start``, ``_end``) joined with the regions that they overlap, by contig and bin."""
+    by = site_key(spans.withColumn("pos", F.lit(0)), regions.withColumn("pos", F.lit(0)))[:-1]
+    spans = spans.select(*by, "_start", "_end").distinct()
+    binned = spans.withColumn("_bin", _bins(F.col("_start"), F.col("_end"), bin_size))
+    cut = regions.withColumn("_bin", _bins(F.col("from1"), F.col("to1"), bin_size))
+    return binned.join(cut, [*by, "_bin"]).filter((F.col("_start") <= F.col("to1")) & (F.col("_end") >= F.col("from1")))
 
 
-def annotate_intervals(rows: DataFrame, regions: DataFrame, *, start: Column, end: Column, value: str, order: str, bin_size: int = BIN) -> DataFrame:
-    """Adds ``value`` of the first region (by ``order``) that overlaps the row's span; null without one.
+def select_regions(rows: DataFrame, regions: DataFrame, *, start: Column, end: Column, bin_size: int = BIN) -> DataFrame:
+    """Rows whose span (1-based, inclusive) overlaps any region (``chrom``, ``from1``, ``to1``), as often as they come.
 
-    Needs a column ``pos`` that identifies the row.
+    Both sides are cut into bins of ``bin_size`` positions, so the join is an equi-join
+    on contig and bin. Whether a span is chosen depends on the span alone: distinct
+    spans meet the united regions, and rows are kept by a semi-join.
     """
-    spans = rows.select("pos", start.alias("_start"), end.alias("_end"))
-    binned = spans.withColumn("_bin", F.explode(F.sequence(_bin(F.col("_start"), bin_size), _bin(F.col("_end"), bin_size))))
-    cut = regions.select("from1", "to1", value, order).withColumn("_bin", F.explode(F.sequence(_bin(F.col("from1"), bin_size), _bin(F.col("to1"), bin_size))))
-    hits = binned.join(cut, "_bin").filter((F.col("_start") <= F.col("to1")) & (F.col("_end") >= F.col("from1")))
-    first = hits.groupBy("pos").agg(F.min_by(value, order).alias(value))
-    return rows.join(first, "pos", "left")
+    by = [c for c in ("chrom",) if c in rows.columns]
+    spans = rows.withColumns({"_start": start, "_end": end})
+    chosen = _hits(spans, unite(regions), bin_size).select(*by, "_start", "_end").distinct()
+    return spans.join(chosen, [*by, "_start", "_end"], "left_semi").select(*rows.columns)
+
+
+def annotate_intervals(rows: DataFrame, regions: DataFrame, *, start: Column, end: Column, value: str, order: str, bin_size: int = BIN) -> DataFrame:
+    """Adds ``value`` of the first region (by ``order``) that overlaps the row's span; null without one."""
+    by = [c for c in ("chrom",) if c in rows.columns]
+    spans = rows.withColumns({"_start": start, "_end": end})
+    first = _hits(spans, regions.select(*[c for c in ("chrom",) if c in regions.columns], "from1", "to1", value, order), bin_size)
+    first = first.groupBy(*by, "_start", "_end").agg(F.min_by(value, order).alias(value))
+    return spans.join(first, [*by, "_start", "_end"], "left").select(*rows.columns, value)
+
+
+# --- alleles -------------------------------------------------------------------
 
 
 def annotate_alleles(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds columns of a table keyed by (chrom, pos, ref, alt): the first ALT of the row that matches."""
-    long = rows.select("chrom", "pos", "ref", F.posexplode("alts").alias("k", "alt"))
-    hits = long.join(table, ["chrom", "pos", "ref", "alt"])
-    first = hits.groupBy("chrom", "pos", "ref").agg(F.min_by(F.struct(*columns), "k").alias("_v"))
-    return rows.join(first, ["chrom", "pos", "ref"], "left").select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in columns])
+    """Adds columns of a table keyed by site, ``ref`` and ``alt``: those of the first ALT of the row that matches.
+
+    Both sides are brought to their shortest form (endings that REF and ALT share are
+    taken off), so a longer REF matches a shorter one that says the same.
+    """
+    by = site_key(rows, table)
+    short = lambda df, ref, alt: df.withColumn("_t", trim_suffix(F.array(ref, alt))).withColumns({"_r": F.get("_t", F.lit(0)), "_a": F.get("_t", F.lit(1))}).drop("_t")
+    long = short(rows.select(*by, "ref", "alts", F.posexplode("alts").alias("_k", "_alt")), "ref", "_alt")
+    side = short(table.select(*by, "ref", "alt", *columns), "ref", "alt").select(*by, "_r", "_a", *columns)
+    first = long.join(side, [*by, "_r", "_a"]).groupBy(*by, "ref", "alts").agg(F.min_by(F.struct(*columns), "_k").alias("_v"))
+    return rows.join(first, [*by, "ref", "alts"], "left").select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in columns])
+
+
+def allele_frequencies(rows: DataFrame, source: DataFrame, column: str = "af") -> DataFrame:
+    """Adds ``column`` of a source whose record has exactly the same alleles; records without one are left out."""
+    by = site_key(rows, source)
+    return rows.join(source.select(*by, "ref", "alts", column), [*by, "ref", "alts"])
+
+
+# --- merging -------------------------------------------------------------------
+
 
+def merge_files(files: list[DataFrame], rules: dict[str, str | tuple[str, str]], mode: str = "none", sizes: list[int] | None = None) -> DataFrame:
+    """Full outer merge of files by site and match class, with alleles gathered and renumbered.
 
-def merge_files(files: list[DataFrame], rules: dict[str, str], mode: str = "none") -> DataFrame:
-    """Full outer merge of files by position and key.
+    ``rules``: INFO column -> rule, or (rule, number): ``1`` a single value; ``A``, ``R``,
+    ``G`` an array with a value for each ALT, allele or diploid genotype, which is put in
+    order of the merged alleles before files meet element by element; ``.`` an array as it
+    is. Rules: sum, avg, min, max, first, join (values of all files, comma-joined).
 
-    ``rules``: INFO column -> sum, min, max, avg or join over the files that have the
-    record. IDs are joined without repeats in file order, QUAL is the largest (0 if all
-    are missing), filters are united with PASS dropped where others occur, samples are
-    concatenated in file order (null where a file lacks the record).
+    IDs are joined without repeats in file order, QUAL is the largest (0 if all are
+    missing), filters are united with PASS dropped where others occur. ``samples`` (an
+    array of structs with allele numbers ``a`` and ``b``), where files have it, are
+    renumbered and concatenated in file order; with ``sizes``, the files' numbers of
+    samples, a file without the record gives so many nulls.
     """
-    rows = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [f.withColumn("key", match_key(mode)).withColumn("file", F.lit(k)) for k, f in enumerate(files)],
-    )
-    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("file", c))), lambda s: s[c])
-    aggs = [
-        F.array_join(F.array_distinct(F.array_compact(listed("id"))), ";").alias("id"),
-        F.greatest(F.lit(0.0), F.coalesce(F.max("qual"), F.lit(0.0))).alias("qual"),
-        F.array_distinct(F.array_compact(listed("filter"))).alias("filters"),
-        *[F.max(F.when(F.col("file") == k, F.col("gt"))).alias(f"gt{k}") for k in range(len(files))],
-    ]
+    by = site_key(*files)
+    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    rows = reduce(union, [f.withColumns({"file": F.lit(k), "_nth": F.struct(F.lit(k), "ref", "alts")}) for k, f in enumerate(files)])
+    whole = gathered(with_match_key(rows, mode), [*by, "key"], "_nth")
+    listed = lambda c: F.transform("rows", lambda r: r[c])
+    united = F.array_distinct(F.array_compact(listed("filter") if "filter" in rows.columns else F.flatten(F.array_compact(listed("filters")))))
+    others = F.array_remove(united, "PASS")
+    out = {
+        "id": F.nullif(F.array_join(F.array_distinct(F.array_compact(listed("id"))), ";"), F.lit("")),
+        "qual": F.greatest(F.lit(0.0), F.coalesce(F.array_max(listed("qual")), F.lit(0.0))),
+        "filters": F.when(F.size(others) > 0, others).otherwise(united),
+        "top_alt": top_allele(F.col("rows")) if "samples" in rows.columns else F.lit(None).cast("int"),
+    }
     for c, rule in rules.items():
-        made = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}.get(rule)
-        aggs.append((made(c) if made else F.array_join(listed(c), ",")).alias(c))
-    out = rows.groupBy("chrom", "pos", "key").agg(F.min_by("ref", "file").alias("ref"), F.min_by("alts", "file").alias("alts"), *aggs)
-    others = F.array_remove("filters", "PASS")
-    out = out.withColumn("filters", F.when(F.size(others) > 0, others).otherwise(F.col("filters")))
-    return out.withColumn("id", F.nullif("id", F.lit("")))
+        rule, number = (rule, "1") if isinstance(rule, str) else rule
+        if rule == "join":
+            out[c] = F.array_join(F.transform(listed(c), lambda v: v.cast("string")), ",")
+        elif number == "1":
+            out[c] = F.get(by_rule(rule, F.transform(listed(c), lambda v: F.when(v.isNotNull(), F.array(v)))), F.lit(0))
+        elif number == ".":
+            out[c] = by_rule(rule, listed(c))
+        else:
+            out[c] = by_rule(rule, renumbered(c, number))
+    if "samples" in rows.columns:
+        recoded = F.transform("rows", lambda r: F.struct(r["file"].alias("file"), recoded_samples(r["samples"], r["src"]).alias("s")))
+        own = lambda k: F.get(F.filter(recoded, lambda r: r["file"] == k), F.lit(0))["s"]
+        kind = rows.schema["samples"].dataType.simpleString()
+        absent = lambda k: F.array_repeat(F.lit(None), sizes[k] if sizes else 0).cast(kind)
+        out["samples"] = F.concat(*[F.coalesce(own(k), absent(k)) for k in range(len(files))])
+    return whole.select(*by, "key", "ref", "alts", *[v.alias(c) for c, v in out.items()])
+
+
+def top_allele(rows: Column) -> Column:
+    """The merged ALT number that most sample alleles of ``rows`` (see :func:`gathered`) carry, the first of equals; null if none is carried."""
+    codes = F.flatten(F.transform(rows, lambda r: F.flatten(F.transform(recoded_samples(r["samples"], r["src"]), lambda s: F.array(s["a"], s["b"])))))
+    carried = F.filter(codes, lambda a: a > 0)
+    counted = F.transform(F.array_distinct(carried), lambda k: F.struct(F.size(F.filter(carried, lambda a: a == k)).alias("n"), (-k).alias("k")))
+    return -F.array_max(counted)["k"]

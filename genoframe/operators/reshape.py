@@ -1,32 +1,83 @@
-"""Splitting, joining, trimming and left-aligning of alleles."""
+"""Splitting, joining, trimming and left-aligning of alleles.
+
+Whatever changes a record's alleles is one step: ``src``, for each allele of the new
+record its number in the old one (0 for REF, null if it is new). Genotypes and vectors
+follow from it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoframe.functions.genetics import trim_suffix
+from genoframe.functions.genetics import genotype_index, trim_suffix
+from genoframe.functions.keys import site_key
+
+
+def renumber(values: Column, src: Column, number: str, n_old: Column) -> Column:
+    """A vector of the old record in order of the new alleles; null where an allele is new.
+
+    ``number``: ``A`` a value for each ALT, ``R`` for each allele, ``G`` for each
+    genotype: diploid ones, or haploid ones where there are as many values as the old
+    record has alleles (``n_old``).
+    """
+    if number == "A":
+        return F.transform(F.slice(src, 2, F.size(src)), lambda o: F.get(values, o - 1))
+    if number == "R":
+        return F.transform(src, lambda o: F.get(values, o))
+    pairs = F.flatten(
+        F.transform(
+            src,
+            lambda y, j: F.transform(
+                F.slice(src, 1, j + 1), lambda x: F.when(x.isNotNull() & y.isNotNull(), F.get(values, genotype_index(x, y)))
+            ),
+        )
+    )
+    return F.when((F.size(values) == n_old) & (n_old > 1), F.transform(src, lambda o: F.get(values, o))).otherwise(pairs)
+
+
+def recode(allele: Column, src: Column, absent: int | None = None) -> Column:
+    """The new number of an old allele; ``absent`` if it is gone, null stays null."""
+    place = F.array_position(src, allele).cast("int")
+    return F.when(allele.isNotNull(), F.when(place > 0, place - 1).otherwise(F.lit(absent).cast("int")))
+
+
+def recoded_samples(samples: Column, src: Column, absent: int | None = None) -> Column:
+    """Samples with the allele numbers ``a`` and ``b`` of the new record."""
+    return F.transform(samples, lambda s: s.withField("a", recode(s["a"], src, absent)).withField("b", recode(s["b"], src, absent)))
+
+
+def take_alleles(sites: DataFrame, src: Column, vectors: dict[str, str], absent: int | None = None) -> DataFrame:
+    """The record with the alleles ``src`` (REF first) of its own: ALTs, ``vectors`` (column -> A, R or G) and ``samples``."""
+    sites = sites.withColumns({"_src": src, "_n": F.size("alts") + 1})
+    out = {"alts": F.transform(F.slice("_src", 2, F.size("_src")), lambda o: F.get("alts", o - 1))}
+    out |= {c: renumber(F.col(c), F.col("_src"), number, F.col("_n")) for c, number in vectors.items()}
+    if "samples" in sites.columns:
+        out["samples"] = recoded_samples(F.col("samples"), F.col("_src"), absent)
+    return sites.withColumns(out).drop("_src", "_n")
+
+
+def trim_unused(sites: DataFrame, counts: Column, vectors: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """Records without the ALTs whose allele count is 0; genotypes and vectors follow."""
+    used = F.filter(F.sequence(F.lit(0), F.size("alts")), lambda k: (k == 0) | (F.get(counts, k - 1) > 0))
+    return take_alleles(sites, used, vectors)
 
 
 def split_alleles(sites: DataFrame, per_alt: list[str] = (), per_allele: list[str] = (), per_genotype: list[str] = ()) -> DataFrame:
     """One row for each ALT: ``alts`` has it alone, ``nth`` is its number from 1.
 
-    Arrays with a value for each ALT, each allele or each diploid genotype keep what
-    belongs to the reference and this ALT. The id is not carried over.
+    Arrays with a value for each ALT, each allele or each genotype (diploid or haploid)
+    keep what belongs to the reference and this ALT, of any type; in ``samples`` other
+    ALTs become the reference. The id is not carried over.
     """
-    long = sites.select("*", F.posexplode("alts").alias("_k", "_alt"))
-    i = F.col("_k") + 1
-    out = {"alts": F.array("_alt"), "nth": i}
+    long = sites.filter(F.size("alts") > 0).withColumn("nth", F.explode(F.sequence(F.lit(1), F.size("alts"))))
     if "id" in sites.columns:
-        out["id"] = F.when(F.size("alts") == 1, F.col("id"))
-    out |= {c: F.array(F.get(c, F.col("_k"))) for c in per_alt}
-    out |= {c: F.array(F.get(c, F.lit(0)), F.get(c, i)) for c in per_allele}
-    at = (i * (i + 1) / 2).cast("int")
-    out |= {c: F.array(F.get(c, F.lit(0)), F.get(c, at), F.get(c, at + i)) for c in per_genotype}
-    return long.withColumns(out).drop("_k", "_alt")
+        long = long.withColumn("id", F.when(F.size("alts") == 1, F.col("id")))
+    vectors = {c: "A" for c in per_alt} | {c: "R" for c in per_allele} | {c: "G" for c in per_genotype}
+    return take_alleles(long, F.array(F.lit(0), F.col("nth")), vectors, absent=0)
 
 
 def split_genotype(allele: Column, nth: Column) -> Column:
@@ -34,17 +85,66 @@ def split_genotype(allele: Column, nth: Column) -> Column:
     return F.when(allele.isNotNull(), (allele == nth).cast("int"))
 
 
-def join_alleles(sites: DataFrame, group: Column) -> DataFrame:
-    """Rows of one (chrom, pos, group) into one: the longest REF, ALTs extended to it and without repeats, QUAL of the first."""
-    rows = sites.withColumn("_g", group)
-    gathered = rows.groupBy("chrom", "pos", "_g").agg(
-        F.sort_array(F.collect_list(F.struct("rec", "ref", "alts", "qual"))).alias("rows"),
-        F.max_by("ref", F.struct(F.length("ref"), F.col("ref"))).alias("ref"),
-    )
-    extended = F.flatten(
-        F.transform("rows", lambda r: F.transform(r["alts"], lambda a: F.concat(a, F.substr("ref", F.length(r["ref"]) + 1, F.length("ref")))))
+def join_alleles(sites: DataFrame, group: Column, vectors: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """Rows of one (site, group) into one, in order of ``rec``: the longest REF, ALTs extended to it and without repeats.
+
+    ``qual`` is that of the first row. ``vectors`` (column -> A, R or G) take each value
+    from the first row that has one for the allele or genotype. In ``samples`` a place of
+    a genotype is that of the first row with an ALT there, else the reference, else missing.
+    """
+    by = [*site_key(sites), "_g"]
+    whole = gathered(sites.withColumn("_g", group), by, "rec")
+    out = {"qual": F.get("rows", F.lit(0))["qual"], "n_rows": F.size("rows")}
+    out |= {c: by_rule("first", renumbered(c, n)) for c, n in vectors.items()}
+    if "samples" in sites.columns:
+        rows = F.transform("rows", lambda r: recoded_samples(r["samples"], r["src"]))
+        place = lambda k, x: (
+            lambda codes: F.coalesce(F.get(F.filter(codes, lambda a: a > 0), F.lit(0)), F.get(F.array_compact(codes), F.lit(0)))
+        )(F.transform(rows, lambda s: F.get(s, k)[x]))
+        out["samples"] = F.transform(F.get(rows, F.lit(0)), lambda s, k: s.withField("a", place(k, "a")).withField("b", place(k, "b")))
+    return whole.select(*by[:-1], "ref", "alts", *[v.alias(c) for c, v in out.items()])
+
+
+def gathered(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Records of a group as one row: ``rows`` in order, ``ref``, ``alts``, and in each record ``src``.
+
+    The longest REF is taken, shorter records' alleles are extended by what theirs lacks
+    (symbolic ones stay), and ALTs are gathered without repeats in order. ``src`` has,
+    for each allele of the result, the record's own allele number or null. A group is
+    what shares a site, so its size follows the number of files.
+    """
+    rest = [c for c in rows.columns if c not in (*by, order)]
+    whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rest).alias("_x")))).alias("rows"))
+    whole = whole.withColumn("rows", F.transform("rows", lambda r: r["_x"]))
+    ref = F.aggregate("rows", F.lit(""), lambda acc, r: F.when(F.length(r["ref"]) > F.length(acc), r["ref"]).otherwise(acc))
+    whole = whole.withColumn("ref", ref)
+    longer = lambda r: F.transform(
+        r["alts"], lambda a: F.when(a.rlike(r"[<>\[\]*]"), a).otherwise(F.concat(a, F.substr("ref", F.length(r["ref"]) + 1, F.length("ref"))))
     )
-    return gathered.select("chrom", "pos", "ref", F.array_distinct(extended).alias("alts"), F.get("rows", F.lit(0))["qual"].alias("qual"), F.size("rows").alias("n_rows"))
+    whole = whole.withColumn("_ext", F.transform("rows", longer)).withColumn("alts", F.array_distinct(F.flatten("_ext")))
+    place = lambda ext: F.concat(F.array(F.lit(0)), F.transform("alts", lambda a: F.nullif(F.array_position(ext, a).cast("int"), F.lit(0))))
+    return whole.withColumn("rows", F.zip_with("rows", "_ext", lambda r, ext: r.withField("src", place(ext)))).drop("_ext")
+
+
+def renumbered(column: str, number: str) -> Column:
+    """A vector of every record of a group (see :func:`gathered`) in order of the group's alleles; null where a record lacks it."""
+    return F.transform("rows", lambda r: F.when(r[column].isNotNull(), renumber(r[column], r["src"], number, F.size(r["alts"]) + 1)))
+
+
+def by_rule(rule: str, arrays: Column) -> Column:
+    """Arrays of the files, element by element: sum, avg, min, max, or what comes first (``first``).
+
+    Missing counts as 0 in sums and averages; an average is over the files that have the tag.
+    """
+    have = F.filter(arrays, lambda v: v.isNotNull())
+    width = F.array_max(F.transform(have, lambda v: F.size(v)))
+
+    def one(j: Column) -> Column:
+        known = F.array_compact(F.transform(have, lambda v: F.get(v, j)))
+        total = F.aggregate(F.transform(known, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+        return {"sum": total, "avg": total / F.size(have), "min": F.array_min(known), "max": F.array_max(known), "first": F.get(known, F.lit(0))}[rule]
+
+    return F.when(F.size(have) > 0, F.transform(F.sequence(F.lit(0), width - 1), one))
 
 
 def trim(ref: Column, alts: Column) -> Column:
@@ -52,9 +152,63 @@ def trim(ref: Column, alts: Column) -> Column:
     return trim_suffix(F.concat(F.array(ref), alts))
 
 
-def drop_unused_alts(alts: Column, counts: Column) -> Column:
-    """ALTs whose allele count is not zero."""
-    return F.filter(alts, lambda a, i: F.get(counts, i) > 0)
+def check_ref(sites: DataFrame, reference: DataFrame, policy: str = "warn", *, window: int = 1000) -> DataFrame:
+    """REF against the reference (``chrom``, ``chunk``, ``seq``; chunks of ``window`` bases from 0).
+
+    ``warn`` adds ``ref_ok`` (null where the reference has no such bases); ``exclude``
+    drops records whose REF differs; ``fix`` sets REF, swapping with the ALT that equals
+    the reference where there is one (``samples`` follow) ; ``stop`` fails on the first.
+    """
+    if policy not in ("warn", "exclude", "fix", "stop"):
+        raise ValueError(policy)
+    chunk = F.floor((F.col("pos") - 1) / window)
+    here = reference.select("chrom", F.col("chunk").alias("_chunk"), F.col("seq").alias("_here"))
+    after = reference.select("chrom", (F.col("chunk") - 1).alias("_chunk"), F.col("seq").alias("_after"))
+    rows = sites.withColumn("_chunk", chunk).join(here, ["chrom", "_chunk"], "left").join(after, ["chrom", "_chunk"], "left")
+    seen = F.substr(F.concat("_here", F.coalesce("_after", F.lit(""))), (F.col("pos") - F.col("_chunk") * window).cast("int"), F.length("ref"))
+    rows = rows.withColumn("_seen", F.when(F.length(seen) == F.length("ref"), seen)).drop("_chunk", "_here", "_after")
+    ok = F.upper("ref") == F.upper("_seen")
+    if policy == "warn":
+        return rows.withColumn("ref_ok", ok).drop("_seen")
+    if policy == "exclude":
+        return rows.filter(F.coalesce(ok, F.lit(True))).drop("_seen")
+    if policy == "stop":
+        message = F.concat(F.lit("REF differs at "), F.col("chrom").cast("string"), F.lit(":"), F.col("pos").cast("string"))
+        return rows.filter(F.coalesce(ok, F.lit(True)) | F.raise_error(message).cast("boolean")).drop("_seen")
+    k = F.array_position("alts", F.col("_seen")).cast("int")
+    swap = ~F.coalesce(ok, F.lit(True)) & (k > 0)
+    src = F.when(swap, F.concat(F.array(k), F.transform(F.sequence(F.lit(1), F.size("alts")), lambda j: F.when(j == k, 0).otherwise(j))))
+    rows = rows.withColumns({"_fix": ~F.coalesce(ok, F.lit(True)), "_src": src, "_old": F.col("ref")})
+    turned = F.transform("alts", lambda a, i: F.when(F.get("_src", i + 1) == 0, F.col("_old")).otherwise(a))
+    out = {"ref": F.when(F.col("_fix"), F.col("_seen")).otherwise(F.col("ref")), "alts": F.when(F.col("_src").isNotNull(), turned).otherwise(F.col("alts"))}
+    if "samples" in rows.columns:
+        out["samples"] = F.when(F.col("_src").isNotNull(), recoded_samples(F.col("samples"), F.col("_src"))).otherwise(F.col("samples"))
+    return rows.withColumns(out).drop("_fix", "_src", "_old", "_seen")
+
+
+def remove_duplicates(sites: DataFrame, *, kind: str = "mask", order: str = "rec") -> DataFrame:
+    """The first record, by ``order``, of each site and ``kind``."""
+    w = Window.partitionBy(*site_key(sites), kind).orderBy(order)
+    return sites.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def concat_files(files: list[DataFrame], *, samples: list[list[str]] | None = None, allow_overlap: bool = True) -> DataFrame:
+    """All records of all files, ``file`` telling from which; files must have the same samples in order.
+
+    Without ``allow_overlap`` files must follow each other: a contig's positions in one
+    file may not begin before those of the file before it end.
+    """
+    if samples and any(s != samples[0] for s in samples):
+        raise ValueError("files have different samples")
+    whole = files[0].withColumn("file", F.lit(0))
+    for k, f in enumerate(files[1:], 1):
+        whole = whole.unionByName(f.withColumn("file", F.lit(k)))
+    if not allow_overlap:
+        ends = whole.groupBy("chrom", "file").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))  # a row for each contig and file
+        before = F.max("hi").over(Window.partitionBy("chrom").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+        if not ends.withColumn("before", before).filter("lo < before").isEmpty():
+            raise ValueError("files overlap")
+    return whole
 
 
 def left_align(sites: DataFrame, reference: DataFrame, *, window: int = 1000) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoframe.functions.genetics import INDEL, MNP, OTHER, SNP, is_transition
+from genoframe.functions.keys import site_key
+from genoframe.operators.genotype import matrix
+from genoframe.operators.ranges import running_total
 
 
 def n_if(condition: Column, name: str) -> Column:
@@ -86,10 +89,11 @@ def per_sample(genotypes: DataFrame, sites: DataFrame) -> DataFrame:
 
     A singleton: the only sample of its site with a non-reference allele.
     """
-    facts = sites.select("pos", (F.col("mask") == SNP).alias("snp"), (F.col("mask") == INDEL).alias("indel"), is_transition(F.col("ref"), F.get("alts", F.lit(0))).alias("ts"))
-    rows = genotypes.join(facts, "pos")
+    by = site_key(genotypes, sites)
+    facts = sites.select(*by, (F.col("mask") == SNP).alias("snp"), (F.col("mask") == INDEL).alias("indel"), is_transition(F.col("ref"), F.get("alts", F.lit(0))).alias("ts"))
+    rows = genotypes.join(facts, by)
     carries = (F.col("a") > 0) | (F.col("b") > 0)
-    rows = rows.withColumn("carriers", F.count_if(carries).over(Window.partitionBy("pos")))
+    rows = rows.withColumn("carriers", F.count_if(carries).over(Window.partitionBy(*by)))
     snp, het = F.col("snp"), F.col("a") != F.col("b")
     return rows.groupBy("sample").agg(
         n_if(snp & ~het & (F.col("a") == 0), "hom_ref"),
@@ -122,12 +126,12 @@ def het_percentiles(sites: DataFrame) -> DataFrame:
 
 
 def concordance(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Matches and mismatches of genotype classes of the same (pos, sample) in two sets, and the discordance rate.
+    """Matches and mismatches of genotype classes of the same (site, sample) in two sets, and the discordance rate.
 
     Classes: 0 hom-ref, 1 het, 2 hom-alt. The rate leaves out matching hom-ref.
     """
     kind = lambda p: (F.col(f"{p}.a") > 0).cast("int") + (F.col(f"{p}.b") > 0).cast("int")
-    both = left.alias("x").join(right.alias("y"), ["pos", "sample"]).withColumns({"gx": kind("x"), "gy": kind("y")})
+    both = left.alias("x").join(right.alias("y"), [*site_key(left, right), "sample"]).withColumns({"gx": kind("x"), "gy": kind("y")})
     same = F.col("gx") == F.col("gy")
     out = both.groupBy(*by).agg(
         n_if(same & (F.col("gx") == 0), "rr"), n_if(same & (F.col("gx") == 1), "ra"), n_if(same & (F.col("gx") == 2), "aa"), n_if(~same, "mismatch")
@@ -139,36 +143,125 @@ def concordance(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 def dosage_r2(left: DataFrame, right: DataFrame) -> DataFrame:
     """Squared correlation of dosages by site; 1 where one side does not vary."""
     d = lambda p: ((F.col(f"{p}.a") > 0).cast("int") + (F.col(f"{p}.b") > 0).cast("int")).cast("long")
-    both = left.alias("x").join(right.alias("y"), ["pos", "sample"]).select("pos", d("x").alias("dx"), d("y").alias("dy"))
-    s = both.groupBy("pos").agg(
+    by = site_key(left, right)
+    both = left.alias("x").join(right.alias("y"), [*by, "sample"]).select(*by, d("x").alias("dx"), d("y").alias("dy"))
+    s = both.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("dx").alias("sx"), F.sum("dy").alias("sy"), F.sum(F.col("dx") * F.col("dx")).alias("sxx"),
         F.sum(F.col("dy") * F.col("dy")).alias("syy"), F.sum(F.col("dx") * F.col("dy")).alias("sxy"),
     )
     vx, vy, c = (F.expr(x) for x in ("n * sxx - sx * sx", "n * syy - sy * sy", "n * sxy - sx * sy"))
-    return s.select("pos", "n", F.when((vx == 0) | (vy == 0), 1.0).otherwise(c * c / F.nullif((vx * vy).cast("double"), F.lit(0.0))).alias("r2"))
+    return s.select(*by, "n", F.when((vx == 0) | (vy == 0), 1.0).otherwise(c * c / F.nullif((vx * vy).cast("double"), F.lit(0.0))).alias("r2"))
 
 
-def pair_discordance(genotypes: DataFrame) -> DataFrame:
-    """For each two samples: sites in common and summed allele differences.
+def _sample_pairs(samples: DataFrame, value, width: int) -> DataFrame:
+    """(i, j, d) for each two samples of a site with j < i; ``value`` (x, y) -> d.
 
-    Pairs are made inside a site's row of the matrix, whose width is the number of
-    samples, and added up before anything is shuffled.
+    A site's samples are cut into blocks of ``width``; a row makes the pairs of two blocks,
+    so no row holds all pairs of a site.
     """
-    from genoframe.operators.genotype import matrix
-
+    block = lambda k: F.slice("samples", k * width + 1, F.lit(width))
+    last = F.floor((F.size("samples") - 1) / width).cast("int")
+    two = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda a: F.transform(F.sequence(F.lit(0), a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    cut = samples.filter(F.size("samples") > 0).select("samples", F.explode(two).alias("t")).select(block(F.col("t.a")).alias("x"), block(F.col("t.b")).alias("y"))
     pairs = F.flatten(
-        F.transform(
-            "samples",
-            lambda x: F.transform(
-                F.filter("samples", lambda y: y["sample"] < x["sample"]),
-                lambda y: F.struct(
-                    x["sample"].alias("i"), y["sample"].alias("j"), F.abs((x["a"] + x["b"]) - (y["a"] + y["b"])).alias("d")
-                ),
-            ),
-        )
+        F.transform("x", lambda x: F.transform(F.filter("y", lambda y: y["sample"] < x["sample"]), lambda y: F.struct(x["sample"].alias("i"), y["sample"].alias("j"), value(x, y).alias("d"))))
     )
-    long = matrix(genotypes).select(F.explode(pairs).alias("p"))
-    return long.groupBy("p.i", "p.j").agg(F.count("*").alias("sites"), F.sum("p.d").alias("difference"))
+    return cut.select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def pair_discordance(genotypes: DataFrame, *, width: int = 64) -> DataFrame:
+    """For each two samples: sites in common and summed allele differences, added up before anything is shuffled."""
+    pairs = _sample_pairs(matrix(genotypes), lambda x, y: F.abs((x["a"] + x["b"]) - (y["a"] + y["b"])), width)
+    return pairs.groupBy("i", "j").agg(F.count("d").alias("sites"), F.sum("d").alias("difference"))
+
+
+def likelihood_discordance(likelihoods: DataFrame, *, width: int = 64) -> DataFrame:
+    """(i, j, sites, score, average) for each two samples, the least alike first by ``rank``.
+
+    A site's score is the least sum of both samples' likelihoods over all genotypes, 0 if
+    they can be one; sites where a sample has none are left out.
+    """
+    least = lambda x, y: F.array_min(F.zip_with(x["pl"], y["pl"], lambda a, b: (a + b).cast("double")))
+    known = matrix(likelihoods.filter(F.size("pl") > 0).select(*site_key(likelihoods), "sample", "pl"))
+    out = _sample_pairs(known, least, width).filter("d is not null").groupBy("i", "j").agg(F.count("*").alias("sites"), F.sum("d").alias("score"))
+    out = out.withColumn("average", F.col("score") / F.col("sites"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("average"), "i", "j")) - 1)  # a row for each pair of samples
+
+
+def sample_discordance(pairs: DataFrame) -> DataFrame:
+    """(sample, average, largest, nearest) of each sample against all others, from :func:`likelihood_discordance`."""
+    both = pairs.select(F.col("i").alias("sample"), F.col("j").alias("other"), "average").unionByName(pairs.select(F.col("j").alias("sample"), F.col("i").alias("other"), "average"))
+    return both.groupBy("sample").agg(F.avg("average").alias("average"), F.max("average").alias("largest"), F.min_by("other", F.struct("average", "other")).alias("nearest"))
+
+
+def concordance_by_frequency(left: DataFrame, right: DataFrame, frequencies: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, classes as in :func:`concordance`, r2): genotypes of two sets by the site's frequency ``af`` in ``bins`` equal parts.
+
+    ``r2`` is the mean over sites of the squared correlation of dosages.
+    """
+    by = site_key(left, right, frequencies)
+    at = F.least(F.floor(F.col("af") * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    where = frequencies.select(*by, at)
+    counts = concordance(left.join(where, by), right, ["bin"])
+    r2 = dosage_r2(left, right).join(where, by).groupBy("bin").agg(F.avg("r2").alias("r2"), F.count("*").alias("sites"))
+    return counts.join(r2, "bin")
+
+
+def mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(site, sample, gx, gy): every genotype whose class differs between two sets."""
+    kind = lambda p: (F.col(f"{p}.a") > 0).cast("int") + (F.col(f"{p}.b") > 0).cast("int")
+    by = [*site_key(left, right), "sample"]
+    return left.alias("x").join(right.alias("y"), by).select(*by, kind("x").alias("gx"), kind("y").alias("gy")).filter("gx <> gy")
+
+
+def repeat_context(sites: DataFrame, reference: DataFrame, *, window: int = 50, longest: int = 10, chunk: int = 1000) -> DataFrame:
+    """(unit, copies, consistent, deletions, insertions): indels by the repeat that follows them.
+
+    ``reference``: (chrom, chunk, seq) in chunks of ``chunk`` bases from 0. The repeat begins
+    at the base after the indel's first and lies in ``window`` bases: of units of 1 to
+    ``longest`` bases the one that, repeated at least twice, covers most (the shortest of
+    equals); unit 0 where none is repeated. ``consistent``: the unit divides the length.
+    """
+    long = sites.select("chrom", "pos", "ref", F.explode("alts").alias("alt")).filter(F.length("ref") != F.length("alt"))
+    long = long.withColumns({"_n": F.length("alt") - F.length("ref"), "_chunk": F.floor(F.col("pos") / chunk)})
+    here = reference.select("chrom", F.col("chunk").alias("_chunk"), F.col("seq").alias("_here"))
+    after = reference.select("chrom", (F.col("chunk") - 1).alias("_chunk"), F.col("seq").alias("_after"))
+    rows = long.join(here, ["chrom", "_chunk"]).join(after, ["chrom", "_chunk"], "left")
+    seen = F.substr(F.concat("_here", F.coalesce("_after", F.lit(""))), (F.col("pos") - F.col("_chunk") * chunk + 1).cast("int"), F.lit(window))
+    rows = rows.withColumn("_w", F.upper(seen))
+    cover = lambda k: F.length(F.regexp_extract("_w", f"^((.{{{k}}})\\2+)", 1))
+    best = F.array_max(F.array(*[F.struct(cover(k).alias("c"), F.lit(-k).alias("k")) for k in range(1, longest + 1)]))
+    rows = rows.withColumn("_b", best)
+    unit = F.when(F.col("_b.c") > 0, -F.col("_b.k")).otherwise(0)
+    rows = rows.select("_n", unit.alias("unit"), F.when(F.col("_b.c") > 0, F.col("_b.c") / -F.col("_b.k")).otherwise(0).cast("int").alias("copies"))
+    rows = rows.withColumn("consistent", F.when(F.col("unit") > 0, F.abs("_n") % F.nullif(F.col("unit"), F.lit(0)) == 0).otherwise(False))
+    return rows.groupBy("unit", "copies", "consistent").agg(n_if(F.col("_n") < 0, "deletions"), n_if(F.col("_n") > 0, "insertions"))
+
+
+def roc(scored: DataFrame, *, score: str = "score", good: str = "good", size: float = 1 / 1024) -> DataFrame:
+    """(score, goods, bads, true_rate, false_rate): running counts from the highest score down, ties together.
+
+    Rows are counted by score first; distinct scores are summed by ranges of ``size`` before ranges are put in order.
+    """
+    counted = scored.groupBy(score).agg(n_if(F.col(good), "g"), n_if(~F.col(good), "b"))
+    rows = counted.withColumns({"_k": F.lit(0), "_at": -F.col(score)})
+    rows = running_total(rows, "g", "goods", [F.col("_at")], keys=["_k"], pos="_at", size=size)
+    rows = running_total(rows, "b", "bads", [F.col("_at")], keys=["_k"], pos="_at", size=size)
+    whole = Window.partitionBy("_k")
+    total = lambda c: F.nullif(F.max(c).over(whole), F.lit(0))
+    return rows.select(score, "goods", "bads", (F.col("goods") / total("goods")).alias("true_rate"), (F.col("bads") / total("bads")).alias("false_rate"))
+
+
+def sections(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
+    """All statistics as one result set: (section, row), each row its values tab-joined in order of its columns."""
+    def lines(name: str, df: DataFrame) -> DataFrame:
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in df.columns]
+        return df.select(F.lit(name).alias("section"), F.concat_ws("\t", *cells).alias("row"))
+
+    out = spark.createDataFrame([(n, "# " + "\t".join(df.columns)) for n, df in parts.items()], "section string, row string")
+    for name, df in parts.items():
+        out = out.unionByName(lines(name, df))
+    return out
 
 
 def cumulative_tstv(sites: DataFrame, steps: int = 50) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
-from genoframe.operators import annotate, calling, consensus, filters, genotype, joins, reshape, sequence, stats
+from genoframe.operators import annotate, calling, consensus, filters, genotype, joins, ranges, reshape, sequence, stats
 from genoframe.sources.views import GENOTYPES, INTERVALS, SITES, genotypes, intervals, sites
 from genoframe.streaming import events as ev
 
@@ -18,6 +18,7 @@ ORACLE: dict[str, str] = {}
 _S = f"s AS ({SITES})"
 _G = f"g AS ({GENOTYPES})"
 _I = f"iv AS ({INTERVALS})"
+SITE = ["chrom", "pos"]
 #: One row for each ALT, numbered from 0.
 _L = "l AS (SELECT *, 0 AS nth, alt AS one FROM s UNION ALL SELECT *, 1 AS nth, alt2 AS one FROM s WHERE alt2 IS NOT NULL)"
 _MASK = "CASE WHEN kind IN (1, 2) THEN 2 ELSE 1 END"
@@ -41,7 +42,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     alts = F.array_compact(F.array("alt", "alt2"))
     s = s.withColumn("alts", alts).withColumn("mask", gen.type_mask(F.col("ref"), F.col("alts")))
     longest = F.array_max(F.transform("alts", lambda a: F.length("ref") - F.length(a)))
-    return s.withColumns({"span": 1 + F.greatest(longest, F.lit(0)), "rec": F.col("pos")})
+    return s.withColumn("span", 1 + F.greatest(longest, F.lit(0)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- projections -----------------------------------------------------------
 
 
-@query(f"""WITH {_S} SELECT pos, chrom || ':' || pos || ' ' || coalesce(id, '.') || ' ' || ref || '>' || alt || coalesce(',' || alt2, '') || ' '
+@query(f"""WITH {_S} SELECT chrom, pos, chrom || ':' || pos || ' ' || coalesce(id, '.') || ' ' || ref || '>' || alt || coalesce(',' || alt2, '') || ' '
  || CASE WHEN kind IN (1, 2) THEN 'INDEL' ELSE 'SNP' END || ' ' || CASE WHEN length(ref) = 1 AND length(alt) = 1 AND abs(instr('ACGT', ref) - instr('ACGT', alt)) = 2 THEN '1' ELSE '0' END AS line FROM s""")
 def format_sites(spark, sf_dir):
     v = variants(spark, sf_dir)
@@ -60,55 +61,58 @@ def format_sites(spark, sf_dir):
         F.col("chrom").cast("string"), F.lit(":"), F.col("pos").cast("string"), F.lit(" "), F.coalesce("id", F.lit(".")), F.lit(" "), F.col("ref"), F.lit(">"),
         F.array_join("alts", ","), F.lit(" "), gen.type_names(F.col("mask")), F.lit(" "), ts,
     )
-    return v.select("pos", line.alias("line"))
+    return v.select("chrom", "pos", line.alias("line"))
 
 
-@query(f"""WITH {_S}, {_G} SELECT g.pos AS pos, string_agg(sample || '=' || a || CASE WHEN phased THEN '|' ELSE '/' END || b, ' ' ORDER BY sample) AS gt,
+@query(f"""WITH {_S}, {_G} SELECT g.chrom AS chrom, g.pos AS pos, string_agg(sample || '=' || a || CASE WHEN phased THEN '|' ELSE '/' END || b, ' ' ORDER BY sample) AS gt,
  string_agg(CASE WHEN a = 0 THEN ref ELSE alt END || CASE WHEN phased THEN '|' ELSE '/' END || CASE WHEN b = 0 THEN ref ELSE alt END, ' ' ORDER BY sample) AS tgt
- FROM g JOIN s ON g.pos = s.pos GROUP BY g.pos""")
+ FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos GROUP BY g.chrom, g.pos""")
 def format_samples(spark, sf_dir):
-    m = genotype.matrix(genotypes(spark, sf_dir)).join(variants(spark, sf_dir), "pos")
+    m = genotype.matrix(genotypes(spark, sf_dir)).join(variants(spark, sf_dir), SITE)
     both = lambda s: F.array(s["a"], s["b"])
     gt = F.transform("samples", lambda s: F.concat(s["sample"].cast("string"), F.lit("="), gen.genotype_string(both(s), s["phased"])))
     alleles = F.concat(F.array("ref"), F.col("alts"))
     tgt = F.transform("samples", lambda s: gen.translated_genotype(both(s), s["phased"], alleles))
-    return m.select("pos", F.array_join(gt, " ").alias("gt"), F.array_join(tgt, " ").alias("tgt"))
+    return m.select("chrom", "pos", F.array_join(gt, " ").alias("gt"), F.array_join(tgt, " ").alias("tgt"))
 
 
-@query(f"""WITH {_G} SELECT pos, CAST(2 * count(*) AS INTEGER) AS an, CAST(sum(a + b) AS INTEGER) AS ac FROM g GROUP BY pos""")
+@query(f"""WITH {_G} SELECT chrom, pos, CAST(2 * count(*) AS INTEGER) AS an, CAST(sum(a + b) AS INTEGER) AS ac FROM g GROUP BY chrom, pos""")
 def fill_an_ac(spark, sf_dir):
     m = genotype.matrix(genotypes(spark, sf_dir))
-    return m.select("pos", genotype.allele_number(F.col("samples")).alias("an"), F.get(genotype.allele_counts(F.col("samples"), F.lit(1)), F.lit(0)).alias("ac"))
+    return m.select("chrom", "pos", genotype.allele_number(F.col("samples")).alias("an"), F.get(genotype.allele_counts(F.col("samples"), F.lit(1)), F.lit(0)).alias("ac"))
 
 
-@query(f"""WITH {_G} SELECT pos, string_agg(sample || ':' || dp, ',' ORDER BY CASE sample WHEN 3 THEN 0 ELSE 1 END) AS kept,
- CAST(count(*) AS INTEGER) AS n FROM g WHERE sample IN (3, 1) GROUP BY pos""")
+@query(f"""WITH {_G} SELECT chrom, pos, string_agg(sample || ':' || dp, ',' ORDER BY CASE sample WHEN 3 THEN 0 ELSE 1 END) AS kept,
+ CAST(count(*) AS INTEGER) AS n FROM g WHERE sample IN (3, 1) GROUP BY chrom, pos""")
 def subset_samples(spark, sf_dir):
     m = genotype.matrix(genotypes(spark, sf_dir)).withColumn("samples", genotype.subset_samples(F.col("samples"), [3, 1])).filter(F.size("samples") > 0)
     shown = F.transform("samples", lambda s: F.concat_ws(":", s["sample"].cast("string"), s["dp"].cast("string")))
-    return m.select("pos", F.array_join(shown, ",").alias("kept"), F.size("samples").alias("n"))
+    return m.select("chrom", "pos", F.array_join(shown, ",").alias("kept"), F.size("samples").alias("n"))
 
 
-@query(f"""WITH {_S}, {_L}, {_G}, c AS (SELECT pos, sum(CASE WHEN (pos + sample) % 2 = 0 THEN a ELSE 2 * a END) AS x FROM g GROUP BY pos),
- h AS (SELECT pos, max(CASE WHEN a = 1 THEN 1 ELSE 0 END) AS one, max(CASE WHEN b = 1 THEN 1 ELSE 0 END) AS two FROM g GROUP BY pos)
- SELECT s.pos AS pos, coalesce(CASE WHEN one = 1 AND two = 1 AND alt2 IS NOT NULL THEN alt || ',' || alt2 WHEN one = 1 THEN alt WHEN two = 1 THEN alt2 END, '') AS kept
- FROM s JOIN h ON s.pos = h.pos""")
+@query(f"""WITH {_S}, {_G}, h AS (SELECT chrom, pos, max(a) AS one, max(b) AS two, string_agg(a || '/' || b * 2, ' ' ORDER BY sample) AS old, string_agg(a || '/' || b, ' ' ORDER BY sample) AS new FROM g GROUP BY chrom, pos)
+ SELECT s.chrom AS chrom, s.pos AS pos, CASE WHEN one = 1 AND two = 1 THEN alt || ',' || alt2 WHEN one = 1 THEN alt WHEN two = 1 THEN alt2 ELSE '' END AS kept,
+ CASE WHEN one = 0 AND two = 1 THEN new ELSE old END AS gt, CASE WHEN one = 1 AND two = 1 THEN '0,1,2' WHEN one = 1 THEN '0,1' WHEN two = 1 THEN '0,2' ELSE '0' END AS r,
+ CASE WHEN one = 1 AND two = 1 THEN '0,1,2,3,4,5' WHEN one = 1 THEN '0,1,2' WHEN two = 1 THEN '0,3,5' ELSE '0' END AS g
+ FROM s JOIN h ON s.chrom = h.chrom AND s.pos = h.pos WHERE alt2 IS NOT NULL""")
 def trim_unused_alts(spark, sf_dir):
-    """ALTs without a carrier go; ``b`` stands for the second ALT here."""
+    """Sites with two ALTs, of which ``a`` has the first and ``b`` the second: without a carrier an ALT goes, and genotypes and vectors are renumbered."""
     g = genotypes(spark, sf_dir).withColumn("b", F.col("b") * 2)
-    m = genotype.matrix(g).join(variants(spark, sf_dir), "pos")
-    counts = genotype.allele_counts(F.col("samples"), F.size("alts"))
-    return m.select("pos", F.array_join(reshape.drop_unused_alts(F.col("alts"), counts), ",").alias("kept"))
+    m = genotype.matrix(g).join(variants(spark, sf_dir).filter("alt2 is not null"), SITE)
+    m = m.withColumns({"r": F.array(*[F.lit(k) for k in range(3)]), "g": F.array(*[F.lit(k) for k in range(6)])})
+    out = reshape.trim_unused(m, genotype.allele_counts(F.col("samples"), F.size("alts")), {"r": "R", "g": "G"})
+    gt = F.transform("samples", lambda s: gen.genotype_string(F.array(s["a"], s["b"]), F.lit(False)))
+    return out.select("chrom", "pos", F.array_join("alts", ",").alias("kept"), F.array_join(gt, " ").alias("gt"), F.array_join("r", ",").alias("r"), F.array_join("g", ",").alias("g"))
 
 
 # --- filters ---------------------------------------------------------------
 
 
-@query(f"""WITH {_S} SELECT pos, ref, alt, qual FROM s WHERE qual > 100 AND filter <> 'P' AND kind IN (0, 3) AND id IS NOT NULL""")
+@query(f"""WITH {_S} SELECT chrom, pos, ref, alt, qual FROM s WHERE qual > 100 AND filter <> 'P' AND kind IN (0, 3) AND id IS NOT NULL""")
 def filter_expression(spark, sf_dir):
     v = variants(spark, sf_dir)
     keep = (F.col("qual") > 100) & (F.col("filter") != "P") & (F.col("mask") == gen.SNP) & F.col("id").isNotNull()
-    return filters.include(v, keep).select("pos", "ref", "alt", "qual")
+    return filters.include(v, keep).select("chrom", "pos", "ref", "alt", "qual")
 
 
 @query(f"""WITH {_S} SELECT count(*) AS n, count(*) FILTER (id IS NULL) AS unknown FROM s WHERE NOT coalesce(id LIKE '%7', false)""")
@@ -117,7 +121,7 @@ def exclude_keeps_missing(spark, sf_dir):
     return v.agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("unknown"))
 
 
-@query(f"""WITH {_G} SELECT pos, CAST(min(dp) AS DOUBLE) AS low, CAST(max(dp) AS DOUBLE) AS high, CAST(avg(dp) AS DOUBLE) AS mean FROM g GROUP BY pos
+@query(f"""WITH {_G} SELECT chrom, pos, CAST(min(dp) AS DOUBLE) AS low, CAST(max(dp) AS DOUBLE) AS high, CAST(avg(dp) AS DOUBLE) AS mean FROM g GROUP BY chrom, pos
  HAVING max(CASE WHEN dp > 40 AND a <> b THEN 1 ELSE 0 END) = 1""")
 def filter_any_sample(spark, sf_dir):
     m = filters.include(
@@ -125,81 +129,81 @@ def filter_any_sample(spark, sf_dir):
     )
     dp = lambda s: s["dp"]
     x = F.col("samples")
-    return m.select("pos", filters.minimum(x, dp).alias("low"), filters.maximum(x, dp).alias("high"), filters.average(x, dp).alias("mean"))
+    return m.select("chrom", "pos", filters.minimum(x, dp).alias("low"), filters.maximum(x, dp).alias("high"), filters.average(x, dp).alias("mean"))
 
 
-@query(f"""WITH {_G}, c AS (SELECT pos, sum(a + b) AS ac, 2 * count(*) AS an FROM g GROUP BY pos)
- SELECT pos, CAST(ac AS INTEGER) AS nref, CAST(an AS INTEGER) AS an FROM c WHERE ac >= 2 AND ac * 1.0 / an <= 0.6 AND least(ac, an - ac) >= 1""")
+@query(f"""WITH {_G}, c AS (SELECT chrom, pos, sum(a + b) AS ac, 2 * count(*) AS an FROM g GROUP BY chrom, pos)
+ SELECT chrom, pos, CAST(ac AS INTEGER) AS nref, CAST(an AS INTEGER) AS an FROM c WHERE ac >= 2 AND ac * 1.0 / an <= 0.6 AND least(ac, an - ac) >= 1""")
 def filter_allele_counts(spark, sf_dir):
     c = genotype.with_counts(genotype.matrix(genotypes(spark, sf_dir)))
     minor = F.least("nref", F.col("an") - F.col("nref"))
-    return c.filter((F.col("nref") >= 2) & (F.col("nref") / F.col("an") <= 0.6) & (minor >= 1)).select("pos", "nref", "an")
+    return c.filter((F.col("nref") >= 2) & (F.col("nref") / F.col("an") <= 0.6) & (minor >= 1)).select("chrom", "pos", "nref", "an")
 
 
-@query(f"""WITH {_G} SELECT pos FROM g GROUP BY pos HAVING sum(CASE WHEN a + b > 0 AND sample IN (1, 2) THEN 1 ELSE 0 END) > 0
+@query(f"""WITH {_G} SELECT chrom, pos FROM g GROUP BY chrom, pos HAVING sum(CASE WHEN a + b > 0 AND sample IN (1, 2) THEN 1 ELSE 0 END) > 0
  AND sum(CASE WHEN a + b > 0 AND sample NOT IN (1, 2) THEN 1 ELSE 0 END) = 0""")
 def filter_private(spark, sf_dir):
     m = genotype.matrix(genotypes(spark, sf_dir))
-    return m.filter(filters.private(F.col("samples"), [1, 2])).select("pos")
+    return m.filter(filters.private(F.col("samples"), [1, 2])).select("chrom", "pos")
 
 
-@query(f"""WITH {_G} SELECT pos, min(CASE WHEN phased THEN 1 ELSE 0 END) = 1 AS phased, max(CASE WHEN a <> b THEN 1 ELSE 0 END) = 1 AS any_het,
- max(CASE WHEN a = b THEN 1 ELSE 0 END) = 1 AS any_hom FROM g GROUP BY pos""")
+@query(f"""WITH {_G} SELECT chrom, pos, min(CASE WHEN phased THEN 1 ELSE 0 END) = 1 AS phased, max(CASE WHEN a <> b THEN 1 ELSE 0 END) = 1 AS any_het,
+ max(CASE WHEN a = b THEN 1 ELSE 0 END) = 1 AS any_hom FROM g GROUP BY chrom, pos""")
 def genotype_classes(spark, sf_dir):
     x = F.col("samples")
     return genotype.matrix(genotypes(spark, sf_dir)).select(
-        "pos",
+        "chrom", "pos",
         F.forall(x, lambda s: s["phased"]).alias("phased"),
         F.exists(x, genotype.is_het).alias("any_het"),
         F.exists(x, genotype.is_hom).alias("any_hom"),
     )
 
 
-@query(f"""WITH {_S} SELECT pos, CASE WHEN qual > 50 THEN CASE WHEN filter = 'O' THEN 'PASS' ELSE filter END ELSE CASE WHEN filter = 'O' THEN 'low' ELSE filter || ';low' END END AS filters FROM s""")
+@query(f"""WITH {_S} SELECT chrom, pos, CASE WHEN qual > 50 THEN CASE WHEN filter = 'O' THEN 'PASS' ELSE filter END ELSE CASE WHEN filter = 'O' THEN 'low' ELSE filter || ';low' END END AS filters FROM s""")
 def soft_filter(spark, sf_dir):
     """``O`` stands for an unset FILTER."""
     v = variants(spark, sf_dir).withColumn("filters", F.when(F.col("filter") != "O", F.array("filter")))
     out = filters.soft_filter(v, F.col("qual") > 50, "low", append=True)
-    return out.select("pos", F.array_join("filters", ";").alias("filters"))
+    return out.select("chrom", "pos", F.array_join("filters", ";").alias("filters"))
 
 
-@query(f"""WITH {_G} SELECT pos, string_agg(CASE WHEN dp >= 10 THEN a || '/' || b ELSE './.' END, ' ' ORDER BY sample) AS gt FROM g GROUP BY pos""")
+@query(f"""WITH {_G} SELECT chrom, pos, string_agg(CASE WHEN dp >= 10 THEN a || '/' || b ELSE './.' END, ' ' ORDER BY sample) AS gt FROM g GROUP BY chrom, pos""")
 def set_failed_genotypes(spark, sf_dir):
     m = genotype.matrix(genotypes(spark, sf_dir)).withColumn("samples", genotype.set_failed(F.col("samples"), lambda s: s["dp"] >= 10, None))
-    return m.select("pos", F.array_join(F.transform("samples", lambda s: gen.genotype_string(F.array(s["a"], s["b"]), F.lit(False))), " ").alias("gt"))
+    return m.select("chrom", "pos", F.array_join(F.transform("samples", lambda s: gen.genotype_string(F.array(s["a"], s["b"]), F.lit(False))), " ").alias("gt"))
 
 
 @query(f"""WITH {_S}, x AS (SELECT chrom, pos, kind, CASE WHEN kind = 2 THEN length(ref) ELSE 1 END AS span FROM s)
- SELECT pos FROM x WHERE kind IN (0, 3) AND EXISTS (SELECT 1 FROM x i WHERE i.chrom = x.chrom AND i.kind IN (1, 2)
+ SELECT chrom, pos FROM x WHERE kind IN (0, 3) AND EXISTS (SELECT 1 FROM x i WHERE i.chrom = x.chrom AND i.kind IN (1, 2)
  AND ((i.pos <= x.pos AND i.pos + i.span - 1 + 5 >= x.pos) OR (i.pos >= x.pos AND x.pos + 5 >= i.pos)))""")
 def snp_gap(spark, sf_dir):
     v = variants(spark, sf_dir).withColumns({"is_snp": F.col("mask") == gen.SNP, "is_indel": F.col("mask") == gen.INDEL})
-    return v.withColumn("_near", filters.snp_gap(v, 5)).filter("_near").select("pos")
+    return filters.with_snp_gap(v, 5).filter("near").select("chrom", "pos")
 
 
-@query(f"""WITH {_S}, {_G}, c AS (SELECT pos, sum(a + b) AS ac FROM g GROUP BY pos),
- x AS (SELECT chrom, s.pos AS pos, CASE WHEN kind = 2 THEN length(ref) ELSE 1 END AS span, ac FROM s LEFT JOIN c ON s.pos = c.pos WHERE kind IN (1, 2)),
+@query(f"""WITH {_S}, {_G}, c AS (SELECT chrom, pos, sum(a + b) AS ac FROM g GROUP BY chrom, pos),
+ x AS (SELECT s.chrom AS chrom, s.pos AS pos, CASE WHEN kind = 2 THEN length(ref) ELSE 1 END AS span, ac FROM s LEFT JOIN c ON s.chrom = c.chrom AND s.pos = c.pos WHERE kind IN (1, 2)),
  y AS (SELECT *, CASE WHEN pos <= lag(pos + span - 1 + 4) OVER (PARTITION BY chrom ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM x),
  z AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY pos) AS chain FROM y)
- SELECT pos FROM (SELECT pos, row_number() OVER (PARTITION BY chrom, chain ORDER BY ac DESC NULLS LAST, pos) AS r FROM z) t WHERE r = 1""")
+ SELECT chrom, pos FROM (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom, chain ORDER BY ac DESC NULLS LAST, pos) AS r FROM z) t WHERE r = 1""")
 def indel_gap(spark, sf_dir):
     v = variants(spark, sf_dir).filter(F.col("mask") == gen.INDEL)
-    counts = genotype.with_counts(genotype.matrix(genotypes(spark, sf_dir))).select("pos", F.col("nref").alias("ac"))
-    return filters.indel_gap(v.join(counts, "pos", "left"), 4).select("pos")
+    counts = genotype.with_counts(genotype.matrix(genotypes(spark, sf_dir))).select("chrom", "pos", F.col("nref").alias("ac"))
+    return filters.indel_gap(v.join(counts, SITE, "left"), 4).select("chrom", "pos")
 
 
-@query(f"""WITH {_S}, {_I} SELECT pos FROM s WHERE EXISTS (SELECT 1 FROM iv WHERE name % 50 = 0 AND pos <= to1 AND pos + length(ref) - 1 >= from1)""")
+@query(f"""WITH {_S}, {_I} SELECT chrom, pos FROM s WHERE EXISTS (SELECT 1 FROM iv WHERE iv.chrom = s.chrom AND pos <= to1 AND pos + length(ref) - 1 >= from1)""")
 def regions(spark, sf_dir):
     """The span of a record, a deletion's whole one, overlaps a region."""
-    chosen = intervals(spark, sf_dir).filter("name % 50 = 0")
-    return joins.select_regions(variants(spark, sf_dir), chosen, start=F.col("pos"), end=F.col("pos") + F.length("ref") - 1).select("pos")
+    chosen = intervals(spark, sf_dir)
+    return joins.select_regions(variants(spark, sf_dir), chosen, start=F.col("pos"), end=F.col("pos") + F.length("ref") - 1).select("chrom", "pos")
 
 
-@query(f"""WITH {_S}, {_I} SELECT pos FROM s WHERE EXISTS (SELECT 1 FROM iv WHERE name % 50 = 0 AND pos BETWEEN from1 AND to1)""")
+@query(f"""WITH {_S}, {_I} SELECT chrom, pos FROM s WHERE EXISTS (SELECT 1 FROM iv WHERE iv.chrom = s.chrom AND pos BETWEEN from1 AND to1)""")
 def targets(spark, sf_dir):
     """The first position of a record lies in a region."""
-    chosen = intervals(spark, sf_dir).filter("name % 50 = 0")
-    return joins.select_regions(variants(spark, sf_dir), chosen, start=F.col("pos"), end=F.col("pos")).select("pos")
+    chosen = intervals(spark, sf_dir)
+    return joins.select_regions(variants(spark, sf_dir), chosen, start=F.col("pos"), end=F.col("pos")).select("chrom", "pos")
 
 
 # --- joins -----------------------------------------------------------------
@@ -215,9 +219,9 @@ def three_files(spark, sf_dir) -> list[DataFrame]:
 _ABC = "m AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END AS x, CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END AS y, CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END AS z FROM s)"
 
 
-@query(f"""WITH {_S}, {_ABC} SELECT pos, ref, x || '' || y || z AS present, qual FROM m WHERE x + y + z >= 2""")
+@query(f"""WITH {_S}, {_ABC} SELECT chrom, pos, ref, x || '' || y || z AS present, qual FROM m WHERE x + y + z >= 2""")
 def isec_at_least_two(spark, sf_dir):
-    return joins.intersect(three_files(spark, sf_dir), 2, "+").select("pos", "first.ref", "present", "first.qual")
+    return joins.intersect(three_files(spark, sf_dir), 2, "+").select("chrom", "pos", "first.ref", "present", "first.qual")
 
 
 @query(f"""WITH {_S}, {_ABC} SELECT x || '' || y || z AS present, count(*) AS n FROM m WHERE x + y + z > 0 GROUP BY 1""")
@@ -225,63 +229,100 @@ def isec_venn(spark, sf_dir):
     return joins.presence(three_files(spark, sf_dir)).groupBy("present").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_S} SELECT a.pos AS pos, a.ref AS ref FROM s a JOIN s b ON b.pos = a.pos + 1 AND b.chrom = a.chrom WHERE (a.kind IN (1, 2)) = (b.kind IN (1, 2))""")
+@query(f"""WITH {_S} SELECT a.chrom AS chrom, a.pos AS pos, a.ref AS ref FROM s a JOIN s b ON b.pos = a.pos + 2 AND b.chrom = a.chrom WHERE (a.kind IN (1, 2)) = (b.kind IN (1, 2))""")
 def isec_by_class(spark, sf_dir):
-    """Records of two files at one position match if both are SNPs or both indels; the second file is the first moved by one."""
+    """Records of two files at one position match if both are SNPs or both indels; the second file is the first moved by two."""
     v = variants(spark, sf_dir).select(*_COLUMNS)
-    moved = v.withColumn("pos", F.col("pos") - 1)
-    return joins.intersect([v, moved], 2, "=", "both").select("pos", "first.ref")
+    moved = v.withColumn("pos", F.col("pos") - 2)
+    return joins.intersect([v, moved], 2, "=", "both").select("chrom", "pos", "first.ref")
 
 
-@query(f"""WITH {_S}, {_I}, h AS (SELECT pos, min(name) AS name FROM s JOIN iv ON pos <= to1 AND pos + length(ref) - 1 >= from1 GROUP BY pos)
- SELECT s.pos AS pos, label FROM s LEFT JOIN h ON s.pos = h.pos LEFT JOIN iv ON h.name = iv.name""")
+@query(f"""WITH {_S}, {_I}, h AS (SELECT s.chrom AS chrom, pos, min(name) AS name FROM s JOIN iv ON s.chrom = iv.chrom AND pos <= to1 AND pos + length(ref) - 1 >= from1 GROUP BY s.chrom, pos)
+ SELECT s.chrom AS chrom, s.pos AS pos, label FROM s LEFT JOIN h ON s.chrom = h.chrom AND s.pos = h.pos LEFT JOIN iv ON h.name = iv.name""")
 def annotate_regions(spark, sf_dir):
     end = F.col("pos") + F.length("ref") - 1
-    return joins.annotate_intervals(variants(spark, sf_dir), intervals(spark, sf_dir), start=F.col("pos"), end=end, value="label", order="name").select("pos", "label")
+    return joins.annotate_intervals(variants(spark, sf_dir), intervals(spark, sf_dir), start=F.col("pos"), end=end, value="label", order="name").select("chrom", "pos", "label")
 
 
 @query(f"""WITH {_S}, {_L}, t AS (SELECT chrom, pos, ref, one, src FROM l WHERE pos % 4 <> 1),
- h AS (SELECT l.pos AS pos, arg_min(t.src, l.nth) AS t_int FROM l JOIN t ON l.chrom = t.chrom AND l.pos = t.pos AND l.ref = t.ref AND l.one = t.one GROUP BY l.pos)
- SELECT s.pos AS pos, t_int FROM s LEFT JOIN h ON s.pos = h.pos""")
+ h AS (SELECT l.chrom AS chrom, l.pos AS pos, arg_min(t.src, l.nth) AS t_int FROM l JOIN t ON l.chrom = t.chrom AND l.pos = t.pos AND l.ref = t.ref AND l.one = t.one GROUP BY l.chrom, l.pos)
+ SELECT s.chrom AS chrom, s.pos AS pos, t_int FROM s LEFT JOIN h ON s.chrom = h.chrom AND s.pos = h.pos""")
 def annotate_alleles(spark, sf_dir):
     v = variants(spark, sf_dir)
     side = v.filter("pos % 4 <> 1").select("chrom", "pos", "ref", F.explode("alts").alias("alt"), F.col("src").alias("t_int"))
-    return joins.annotate_alleles(v.select("chrom", "pos", "ref", "alts"), side, ["t_int"]).select("pos", "t_int")
+    return joins.annotate_alleles(v.select("chrom", "pos", "ref", "alts"), side, ["t_int"]).select("chrom", "pos", "t_int")
+
+
+def files_of_samples(spark, sf_dir) -> list[DataFrame]:
+    """Three files of the same sites, but for some of their own, whose records of a SNP have ALTs and longer REFs of their own.
+
+    The second file lacks every third site and has the base after next as its ALT; the
+    third lacks every fifth, and its REF and ALT go on by an A. Each has two samples.
+    """
+    v = variants(spark, sf_dir).filter("kind in (0, 3)").select(*SITE, "id", "ref", "alts", "qual", "filter", "mask", "src", "rec")
+    m = genotype.matrix(genotypes(spark, sf_dir).select(*SITE, "sample", "a", "b"))
+    pair = lambda lo: F.filter("samples", lambda s: s["sample"].between(lo, lo + 1))
+    other = F.translate("ref", "ACGT", "GTAC")
+    one = lambda df, k: df.withColumns({"dp": F.col("src") + k, "ad": F.array(F.lit(10 * k), *[F.lit(10 * k + 1)]), "ac": F.array(F.lit(k + 1))})
+    rows = v.join(m, SITE)
+    first = rows.withColumns({"alts": F.slice("alts", 1, 1), "samples": pair(1)})
+    second = rows.filter("rec % 3 <> 0").withColumns({"alts": F.array(other), "samples": pair(3)})
+    third = rows.filter("rec % 5 <> 0").withColumns({"alts": F.array(F.concat(F.get("alts", F.lit(0)), F.lit("A"))), "ref": F.concat("ref", F.lit("A")), "samples": pair(5)})
+    return [one(f, k) for k, f in enumerate((first, second, third))]
+
+
+_MERGED = f"""WITH {_S}, {_G}, f AS (SELECT chrom, pos, rec, id, ref, alt AS x, translate(ref, 'ACGT', 'GTAC') AS y, rec % 3 <> 0 AS two, rec % 5 <> 0 AS three, src FROM s WHERE kind IN (0, 3) AND rec IN (SELECT l_orderkey FROM lineitem)),
+ m AS (SELECT *, CASE WHEN three THEN ref || 'A' ELSE ref END AS r, CASE WHEN three THEN x || 'A' ELSE x END AS ex, CASE WHEN three THEN y || 'A' ELSE y END AS ey, two AND x <> y AS new FROM f),
+ c AS (SELECT m.chrom AS chrom, m.pos AS pos, string_agg(CASE WHEN sample IN (3, 4) AND new THEN 2 * a || '/' || 2 * b ELSE a || '/' || b END, ' ' ORDER BY sample)
+  FILTER (sample IN (1, 2) OR (two AND sample IN (3, 4)) OR (three AND sample IN (5, 6))) AS gt FROM m JOIN g ON m.chrom = g.chrom AND m.pos = g.pos GROUP BY m.chrom, m.pos)
+ SELECT m.chrom AS chrom, m.pos AS pos, r AS ref, ex || CASE WHEN new THEN ',' || ey ELSE '' END AS alts, coalesce(gt, '') AS gt,
+ CAST(src + CASE WHEN two THEN src + 1 ELSE 0 END + CASE WHEN three THEN src + 2 ELSE 0 END AS DOUBLE) AS dp,
+ CASE WHEN three THEN '20,21' WHEN two AND NOT new THEN '10,11' WHEN two THEN '10,1' ELSE '0,1' END || CASE WHEN new THEN ',11' ELSE '' END AS ad,
+ CASE WHEN new THEN CASE WHEN three THEN '4.0' ELSE '1.0' END || ',2.0' ELSE CAST(1 + CASE WHEN two THEN 2 ELSE 0 END + CASE WHEN three THEN 3 ELSE 0 END AS VARCHAR) || '.0' END AS ac
+ FROM m LEFT JOIN c ON m.chrom = c.chrom AND m.pos = c.pos"""
+
+
+@query(_MERGED)
+def merge_three(spark, sf_dir):
+    """Three files, by class of record: ALTs are gathered, REFs extended, genotypes, R and A vectors renumbered."""
+    out = joins.merge_files(files_of_samples(spark, sf_dir), {"dp": "sum", "ad": ("max", "R"), "ac": ("sum", "A")}, mode="both")
+    gt = F.transform("samples", lambda s: gen.genotype_string(F.array(s["a"], s["b"]), F.lit(False)))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.array_join(gt, " ").alias("gt"), "dp", text("ad").alias("ad"), text("ac").alias("ac"))
 
 
-@query(f"""WITH {_S}, {_ABC}, f AS (SELECT *, CASE WHEN x = 1 THEN qual END AS qx, CASE WHEN y = 1 THEN qual + 1 END AS qy, CASE WHEN z = 1 THEN qual + 2 END AS qz FROM m WHERE x + y + z > 0)
- SELECT pos, id, ref, coalesce(qz, qy, qx) AS qual, src * (x + y + z) AS dp, src + CASE WHEN z = 1 THEN 2 WHEN y = 1 THEN 1 ELSE 0 END AS top,
- CASE WHEN x = 1 THEN 'g0' END AS gt0, CASE WHEN y = 1 THEN 'g1' END AS gt1, CASE WHEN z = 1 THEN 'g2' END AS gt2 FROM f""")
-def merge_three(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    files = []
-    for k, p in enumerate((2, 3, 5)):
-        f = v.filter(F.col("pos") % p == 0).select("chrom", "pos", "id", "ref", "alts", "filter", "mask", (F.col("qual") + k).alias("qual"), F.col("src").alias("dp"))
-        files.append(f.withColumns({"top": F.col("dp") + k, "gt": F.lit(f"g{k}")}))
-    out = joins.merge_files(files, {"dp": "sum", "top": "max"})
-    return out.select("pos", "id", "ref", "qual", "dp", "top", "gt0", "gt1", "gt2")
+_PARTS = """t AS (SELECT *, CASE WHEN kind = 3 THEN 'two' ELSE 'one' END AS k FROM s WHERE kind IN (0, 3)), u AS (SELECT chrom, pos, ref, alt, coalesce(alt2, '') AS alt2, translate(ref, 'ACGT', 'GTAC') AS y FROM t)"""
+
 
+@query(f"""WITH {_S}, {_PARTS} SELECT chrom, pos, ref, CASE WHEN y = alt OR y = alt2 THEN '11' ELSE '10' END AS present FROM u
+ UNION ALL SELECT chrom, pos, ref, '01' FROM u WHERE y <> alt AND y <> alt2""")
+def isec_some(spark, sf_dir):
+    """Records that share any ALT match; the second file has one ALT of its own."""
+    v = variants(spark, sf_dir).filter("kind in (0, 3)").select(*_COLUMNS)
+    other = v.withColumn("alts", F.array(F.translate("ref", "ACGT", "GTAC")))
+    return joins.presence([v, other], "some").select("chrom", "pos", "first.ref", "present")
 
-@query(f"""WITH {_S} SELECT pos, ref FROM s WHERE id IN (SELECT 'rs' || (p_partkey * 2) FROM part)""")
+
+@query(f"""WITH {_S} SELECT chrom, pos, ref FROM s WHERE id IN (SELECT 'rs' || (p_partkey * 2) FROM part)""")
 def id_list(spark, sf_dir):
     wanted = table(spark, sf_dir, "part").select(F.concat(F.lit("rs"), (F.col("p_partkey") * 2).cast("string")).alias("id"))
-    return variants(spark, sf_dir).join(wanted, "id", "left_semi").select("pos", "ref")
+    return variants(spark, sf_dir).join(wanted, "id", "left_semi").select("chrom", "pos", "ref")
 
 
 @query(f"""WITH {_G} SELECT x.sample AS i, y.sample AS j, count(*) AS sites, CAST(sum(abs(x.a + x.b - y.a - y.b)) AS BIGINT) AS difference
- FROM g x JOIN g y ON x.pos = y.pos AND y.sample < x.sample GROUP BY 1, 2""")
+ FROM g x JOIN g y ON x.chrom = y.chrom AND x.pos = y.pos AND y.sample < x.sample GROUP BY 1, 2""")
 def sample_pairs(spark, sf_dir):
     return stats.pair_discordance(genotypes(spark, sf_dir))
 
 
-_TWO = """h AS (SELECT pos, sample, a, CASE WHEN (pos + sample) % 3 = 0 THEN 1 - b ELSE b END AS b FROM g WHERE pos % 4 <> 0)"""
-_PAIR = "p AS (SELECT g.pos AS pos, g.sample AS sample, g.a + g.b AS gx, h.a + h.b AS gy FROM g JOIN h ON g.pos = h.pos AND g.sample = h.sample)"
+_TWO = """h AS (SELECT chrom, pos, sample, a, CASE WHEN (pos + sample) % 3 = 0 THEN 1 - b ELSE b END AS b FROM g WHERE pos % 4 <> 0)"""
+_PAIR = "p AS (SELECT g.chrom AS chrom, g.pos AS pos, g.sample AS sample, g.a + g.b AS gx, h.a + h.b AS gy FROM g JOIN h ON g.chrom = h.chrom AND g.pos = h.pos AND g.sample = h.sample)"
 
 
 def two_sets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     g = genotypes(spark, sf_dir)
     b = F.when((F.col("pos") + F.col("sample")) % 3 == 0, 1 - F.col("b")).otherwise(F.col("b"))
-    return g, g.filter("pos % 4 <> 0").select("pos", "sample", "a", b.alias("b"))
+    return g, g.filter("pos % 4 <> 0").select("chrom", "pos", "sample", "a", b.alias("b"))
 
 
 @query(f"""WITH {_G}, {_TWO}, {_PAIR}, c AS (SELECT sample, count(*) FILTER (gx = gy AND gx = 0) AS rr, count(*) FILTER (gx = gy AND gx = 1) AS ra,
@@ -292,30 +333,30 @@ def concordance_by_sample(spark, sf_dir):
     return stats.concordance(x, y, ["sample"]).withColumn("nrd", F.col("nrd").cast("double"))
 
 
-@query(f"""WITH {_G}, {_TWO}, {_PAIR}, t AS (SELECT pos, count(*) AS n, sum(gx) AS sx, sum(gy) AS sy, sum(gx * gx) AS sxx, sum(gy * gy) AS syy, sum(gx * gy) AS sxy FROM p GROUP BY pos)
- SELECT pos, n, CASE WHEN n * sxx = sx * sx OR n * syy = sy * sy THEN 1.0 ELSE CAST((n * sxy - sx * sy) * (n * sxy - sx * sy) AS DOUBLE) / CAST((n * sxx - sx * sx) * (n * syy - sy * sy) AS DOUBLE) END AS r2 FROM t""")
+@query(f"""WITH {_G}, {_TWO}, {_PAIR}, t AS (SELECT chrom, pos, count(*) AS n, sum(gx) AS sx, sum(gy) AS sy, sum(gx * gx) AS sxx, sum(gy * gy) AS syy, sum(gx * gy) AS sxy FROM p GROUP BY chrom, pos)
+ SELECT chrom, pos, n, CASE WHEN n * sxx = sx * sx OR n * syy = sy * sy THEN 1.0 ELSE CAST((n * sxy - sx * sy) * (n * sxy - sx * sy) AS DOUBLE) / CAST((n * sxx - sx * sx) * (n * syy - sy * sy) AS DOUBLE) END AS r2 FROM t""")
 def dosage_correlation(spark, sf_dir):
     return stats.dosage_r2(*two_sets(spark, sf_dir)).withColumn("r2", F.col("r2").cast("double"))
 
 
-@query(f"""WITH {_G}, t AS (SELECT f.pos AS pos, f.a AS fa, f.b AS fb, m.a AS ma, m.b AS mb, c.a AS ca, c.b AS cb FROM g f JOIN g m ON f.pos = m.pos AND m.sample = 2
- JOIN g c ON f.pos = c.pos AND c.sample = 3 WHERE f.sample = 1)
- SELECT pos, (ca IN (fa, fb) AND cb IN (ma, mb)) OR (cb IN (fa, fb) AND ca IN (ma, mb)) AS consistent FROM t""")
+@query(f"""WITH {_G}, t AS (SELECT f.chrom AS chrom, f.pos AS pos, f.a AS fa, f.b AS fb, m.a AS ma, m.b AS mb, c.a AS ca, c.b AS cb FROM g f JOIN g m ON f.chrom = m.chrom AND f.pos = m.pos AND m.sample = 2
+ JOIN g c ON f.chrom = c.chrom AND f.pos = c.pos AND c.sample = 3 WHERE f.sample = 1)
+ SELECT chrom, pos, (ca IN (fa, fb) AND cb IN (ma, mb)) OR (cb IN (fa, fb) AND ca IN (ma, mb)) AS consistent FROM t""")
 def trio_consistency(spark, sf_dir):
     m = genotype.matrix(genotypes(spark, sf_dir))
     pick = lambda k: F.get(F.filter("samples", lambda s: s["sample"] == k), F.lit(0))
-    t = m.select("pos", pick(1).alias("f"), pick(2).alias("m"), pick(3).alias("c")).filter("f is not null and m is not null and c is not null")
-    t = t.select("pos", *[F.col(f"{p}.{x}").alias(f"{p}{x}") for p in "fmc" for x in "ab"])
-    return calling.mendel_errors(t).select("pos", "consistent")
+    t = m.select("chrom", "pos", pick(1).alias("f"), pick(2).alias("m"), pick(3).alias("c")).filter("f is not null and m is not null and c is not null")
+    t = t.select("chrom", "pos", *[F.col(f"{p}.{x}").alias(f"{p}{x}") for p in "fmc" for x in "ab"])
+    return calling.mendel_errors(t).select("chrom", "pos", "consistent")
 
 
 @query(f"""WITH {_S}, k AS (SELECT chrom, pos, pos * 0.001 + chrom AS cm FROM s WHERE pos % 97 = 0),
  e AS (SELECT s.chrom AS chrom, s.pos AS pos, (SELECT max(k.pos) FROM k WHERE k.chrom = s.chrom AND k.pos <= s.pos) AS lo, (SELECT min(k.pos) FROM k WHERE k.chrom = s.chrom AND k.pos >= s.pos) AS hi FROM s)
- SELECT pos, round(CASE WHEN lo IS NULL THEN hi * 0.001 + chrom WHEN hi IS NULL THEN lo * 0.001 + chrom ELSE pos * 0.001 + chrom END, 6) AS cm FROM e""")
+ SELECT chrom, pos, round(CASE WHEN lo IS NULL THEN hi * 0.001 + chrom WHEN hi IS NULL THEN lo * 0.001 + chrom ELSE pos * 0.001 + chrom END, 6) AS cm FROM e""")
 def genetic_map(spark, sf_dir):
     v = variants(spark, sf_dir).select("chrom", "pos")
     points = v.filter("pos % 97 = 0").withColumn("cm", F.col("pos") * F.lit(0.001) + F.col("chrom"))
-    return sequence.map_position(v, points).select("pos", F.round("cm", 6).alias("cm"))
+    return sequence.map_position(v, points).select("chrom", "pos", F.round("cm", 6).alias("cm"))
 
 
 # --- grouped statistics ----------------------------------------------------
@@ -342,7 +383,7 @@ def substitution_matrix(spark, sf_dir):
     return stats.substitutions(spark, variants(spark, sf_dir))
 
 
-@query(f"""WITH {_G}, c AS (SELECT pos, sum(a + b) AS ac, 2 * count(*) AS an FROM g GROUP BY pos)
+@query(f"""WITH {_G}, c AS (SELECT chrom, pos, sum(a + b) AS ac, 2 * count(*) AS an FROM g GROUP BY chrom, pos)
  SELECT CAST(CASE WHEN ac = 1 THEN 0 ELSE 1 + (ac * 99) // an END AS INTEGER) AS bin, count(*) AS n FROM c GROUP BY 1""")
 def frequency_histogram(spark, sf_dir):
     c = genotype.with_counts(genotype.matrix(genotypes(spark, sf_dir))).withColumn("ac", F.col("nref"))
@@ -366,7 +407,7 @@ def indel_lengths(spark, sf_dir):
 
 
 @query(f"""WITH {_S}, {_G}, j AS (SELECT g.*, kind, abs(instr('ACGT', ref) - instr('ACGT', alt)) = 2 AS ts,
- sum(CASE WHEN a + b > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g.pos) AS carriers FROM g JOIN s ON g.pos = s.pos)
+ sum(CASE WHEN a + b > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g.chrom, g.pos) AS carriers FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos)
  SELECT sample, count(*) FILTER (kind IN (0, 3) AND a = 0 AND b = 0) AS hom_ref, count(*) FILTER (kind IN (0, 3) AND a = 1 AND b = 1) AS hom_alt,
  count(*) FILTER (kind IN (0, 3) AND a <> b) AS het, count(*) FILTER (kind IN (0, 3) AND a + b > 0 AND ts) AS ts, count(*) FILTER (kind IN (0, 3) AND a + b > 0 AND NOT ts) AS tv,
  count(*) FILTER (kind IN (1, 2) AND a + b > 0) AS indels, count(*) FILTER (a + b > 0 AND carriers = 1) AS singletons, CAST(sum(dp) AS BIGINT) AS depth, count(dp) AS n_depth FROM j GROUP BY sample""")
@@ -380,13 +421,13 @@ def depth_distribution(spark, sf_dir):
     return stats.depth_distribution(genotypes(spark, sf_dir), "dp", 5, 45, 4).withColumn("percent", F.col("percent").cast("double"))
 
 
-@query(f"""WITH {_G}, c AS (SELECT CAST((sum(a + b) * 10) // (2 * count(*)) AS INTEGER) AS af_bin, CAST((sum(CASE WHEN a <> b THEN 1 ELSE 0 END) * 100) // count(*) AS INTEGER) AS het_bin FROM g GROUP BY pos),
+@query(f"""WITH {_G}, c AS (SELECT CAST((sum(a + b) * 10) // (2 * count(*)) AS INTEGER) AS af_bin, CAST((sum(CASE WHEN a <> b THEN 1 ELSE 0 END) * 100) // count(*) AS INTEGER) AS het_bin FROM g GROUP BY chrom, pos),
  h AS (SELECT af_bin, het_bin, count(*) AS n FROM c GROUP BY 1, 2),
  r AS (SELECT *, sum(n) OVER (PARTITION BY af_bin) AS total, sum(n) OVER (PARTITION BY af_bin ORDER BY het_bin) AS upto FROM h)
  SELECT af_bin, CAST(max(total) AS BIGINT) AS sites, min(het_bin) FILTER (upto * 100 >= total * 25) AS p25, min(het_bin) FILTER (upto * 100 >= total * 50) AS p50, min(het_bin) FILTER (upto * 100 >= total * 75) AS p75
  FROM r GROUP BY af_bin""")
 def het_percentiles(spark, sf_dir):
-    g = genotypes(spark, sf_dir).groupBy("pos").agg(F.sum(F.col("a") + F.col("b")).alias("ac"), F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("het"))
+    g = genotypes(spark, sf_dir).groupBy(*SITE).agg(F.sum(F.col("a") + F.col("b")).alias("ac"), F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("het"))
     c = g.select(F.expr("cast(ac * 10 div (2 * n) as int)").alias("af_bin"), F.expr("cast(het * 100 div n as int)").alias("het_bin"))
     return stats.het_percentiles(c)
 
@@ -398,14 +439,14 @@ def cumulative_tstv(spark, sf_dir):
     return stats.cumulative_tstv(variants(spark, sf_dir), 50)
 
 
-@query(f"""WITH {_S}, {_L} SELECT count(DISTINCT pos) AS sites, count(*) FILTER (length(one) <> length(ref)) AS indel_alts, count(*) FILTER (length(one) <> length(ref) AND abs(length(one) - length(ref)) % 3 = 0) AS in_frame,
+@query(f"""WITH {_S}, {_L} SELECT count(DISTINCT (chrom, pos)) AS sites, count(*) FILTER (length(one) <> length(ref)) AS indel_alts, count(*) FILTER (length(one) <> length(ref) AND abs(length(one) - length(ref)) % 3 = 0) AS in_frame,
  CAST(sum(CASE WHEN length(one) <> length(ref) THEN 1.0 / (CASE WHEN alt2 IS NULL THEN 1 ELSE 2 END) ELSE 0 END) AS DOUBLE) AS weighted FROM l""")
 def gap_statistics(spark, sf_dir):
     v = variants(spark, sf_dir)
     size = lambda a: F.length(a) - F.length("ref")
     long = v.select("*", F.explode("alts").alias("one"))
     indel = size(F.col("one")) != 0
-    per_site = long.groupBy("pos").agg(
+    per_site = long.groupBy(*SITE).agg(
         F.count_if(indel).alias("i"), F.count_if(indel & (F.abs(size(F.col("one"))) % 3 == 0)).alias("f"), F.sum(F.when(indel, 1.0 / F.size("alts")).otherwise(0.0)).alias("w")
     )
     return per_site.agg(F.count("*").alias("sites"), F.sum("i").alias("indel_alts"), F.sum("f").alias("in_frame"), F.sum("w").cast("double").alias("weighted"))
@@ -414,8 +455,8 @@ def gap_statistics(spark, sf_dir):
 @query(f"""WITH {_S}, d AS (SELECT chrom, pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) AS gap, qual FROM s)
  SELECT chrom, count(gap) AS n, CAST(sum(gap) AS BIGINT) AS total, max(gap) AS largest FROM d WHERE qual > 200 GROUP BY chrom""")
 def neighbour_distances(spark, sf_dir):
-    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("chrom").orderBy("pos"))
-    d = variants(spark, sf_dir).select("chrom", "qual", gap.alias("gap")).filter("qual > 200")
+    v = variants(spark, sf_dir).select("chrom", "pos", "qual", F.col("pos").alias("at"))
+    d = ranges.with_previous(v, "at", [F.col("pos")], size=5000).withColumn("gap", F.col("pos") - F.col("previous")).filter("qual > 200")
     return d.groupBy("chrom").agg(F.count("gap").alias("n"), F.sum("gap").alias("total"), F.max("gap").alias("largest"))
 
 
@@ -427,55 +468,72 @@ def merged_statistics(spark, sf_dir):
     return stats.merge_counts(parts, ["filter"])
 
 
-@query(f"""WITH {_S}, {_G}, c AS (SELECT g.pos AS pos, count(*) FILTER (a + b = 0) AS n0, count(*) FILTER (a + b = 1) AS n1, count(*) FILTER (a + b = 2) AS n2 FROM g GROUP BY g.pos),
+@query(f"""WITH {_S}, {_G}, c AS (SELECT g.chrom AS chrom, g.pos AS pos, count(*) FILTER (a + b = 0) AS n0, count(*) FILTER (a + b = 1) AS n1, count(*) FILTER (a + b = 2) AS n2 FROM g GROUP BY g.chrom, g.pos),
  p AS (SELECT *, CAST(n0 + n1 + n2 AS DOUBLE) AS n, (2 * n0 + n1) / (2.0 * (n0 + n1 + n2)) AS p FROM c)
- SELECT pos, round(coalesce((n0 - n * p * p) * (n0 - n * p * p) / nullif(n * p * p, 0) + (n1 - 2 * n * p * (1 - p)) * (n1 - 2 * n * p * (1 - p)) / nullif(2 * n * p * (1 - p), 0)
+ SELECT chrom, pos, round(coalesce((n0 - n * p * p) * (n0 - n * p * p) / nullif(n * p * p, 0) + (n1 - 2 * n * p * (1 - p)) * (n1 - 2 * n * p * (1 - p)) / nullif(2 * n * p * (1 - p), 0)
  + (n2 - n * (1 - p) * (1 - p)) * (n2 - n * (1 - p) * (1 - p)) / nullif(n * (1 - p) * (1 - p), 0), 0), 6) AS chi2 FROM p""")
 def hardy_weinberg(spark, sf_dir):
     d = F.col("a") + F.col("b")
-    c = genotypes(spark, sf_dir).groupBy("pos").agg(*[F.count_if(d == k).alias(f"n{k}") for k in range(3)])
-    return c.select("pos", F.round(calling.hardy_weinberg_chi2(F.col("n0"), F.col("n1"), F.col("n2")), 6).alias("chi2"))
+    c = genotypes(spark, sf_dir).groupBy(*SITE).agg(*[F.count_if(d == k).alias(f"n{k}") for k in range(3)])
+    return c.select("chrom", "pos", F.round(calling.hardy_weinberg_chi2(F.col("n0"), F.col("n1"), F.col("n2")), 6).alias("chi2"))
 
 
 # --- order, windows, reshaping ---------------------------------------------
 
 
-@query(f"""WITH {_S} SELECT pos, ref, nth + 1 AS nth, one AS alt, CASE WHEN alt2 IS NULL THEN id END AS id FROM (SELECT *, 0 AS nth, alt AS one FROM s UNION ALL SELECT *, 1, alt2 FROM s WHERE alt2 IS NOT NULL) t""")
+@query(f"""WITH {_S} SELECT chrom, pos, ref, nth + 1 AS nth, one AS alt, CASE WHEN alt2 IS NULL THEN id END AS id FROM (SELECT *, 0 AS nth, alt AS one FROM s UNION ALL SELECT *, 1, alt2 FROM s WHERE alt2 IS NOT NULL) t""")
 def split_multiallelics(spark, sf_dir):
-    out = reshape.split_alleles(variants(spark, sf_dir).select("pos", "ref", "alts", "id"))
-    return out.select("pos", "ref", "nth", F.get("alts", F.lit(0)).alias("alt"), "id")
+    out = reshape.split_alleles(variants(spark, sf_dir).select("chrom", "pos", "ref", "alts", "id"))
+    return out.select("chrom", "pos", "ref", "nth", F.get("alts", F.lit(0)).alias("alt"), "id")
+
+
+_SPLIT = f"""{_S}, {_G}, h AS (SELECT chrom, pos, string_agg(CASE WHEN a = 1 THEN 1 + (pos + sample) % 2 ELSE 0 END || '/' || CASE WHEN b = 1 THEN 1 + sample % 2 ELSE 0 END, ' ' ORDER BY sample) AS gt FROM g GROUP BY chrom, pos)"""
+
 
+def two_alts(spark, sf_dir) -> DataFrame:
+    """Sites with two ALTs, genotypes of both, and vectors by ALT, allele and genotype."""
+    g = genotypes(spark, sf_dir).select(*SITE, "sample", "a", "b")
+    pick = lambda c, k: F.when(F.col(c) == 1, (1 + k % 2).cast("int")).otherwise(0)
+    g = g.withColumns({"a": pick("a", F.col("pos") + F.col("sample")), "b": pick("b", F.col("sample"))})
+    v = variants(spark, sf_dir).filter("kind = 3").select(*SITE, "rec", "ref", "alts", "qual", "mask", "src")
+    names = {c: F.array(*[F.concat(F.lit(c), (F.col("src") + k).cast("string")) for k in range(n)]) for c, n in (("va", 2), ("vr", 3), ("vg", 6))}
+    return v.join(genotype.matrix(g), SITE).withColumns(names)
 
-@query(f"""WITH {_S}, x AS (SELECT chrom, pos // 4 AS p, pos AS rec, ref, alt, qual, kind IN (1, 2) AS g FROM s),
- r AS (SELECT chrom, p, g, max(length(ref)) AS k FROM x GROUP BY 1, 2, 3)
- SELECT x.chrom AS chrom, x.p AS pos, CAST(count(*) AS INTEGER) AS n_rows, CAST(max(r.k) AS INTEGER) AS ref_length, arg_min(x.qual, x.rec) AS qual
- FROM x JOIN r ON x.chrom = r.chrom AND x.p = r.p AND x.g = r.g GROUP BY x.chrom, x.p, x.g""")
+
+@query(f"""WITH {_SPLIT} SELECT s.chrom AS chrom, s.pos AS pos, ref, alt || ',' || alt2 AS alts, gt, 'va' || src || ',va' || (src + 1) AS va, 'vr' || src || ',vr' || (src + 1) || ',vr' || (src + 2) AS vr,
+ 'vg' || src || ',vg' || (src + 1) || ',vg' || (src + 2) || ',vg' || (src + 3) || ',.,vg' || (src + 5) AS vg, qual
+ FROM s JOIN h ON s.chrom = h.chrom AND s.pos = h.pos WHERE kind = 3""")
 def join_multiallelics(spark, sf_dir):
-    """SNPs and indels of one position become one row each; positions are taken four at a time."""
-    v = variants(spark, sf_dir).select("chrom", F.expr("pos div 4").alias("pos"), "rec", "ref", F.array("alt").alias("alts"), "qual", "mask")
-    out = reshape.join_alleles(v, F.col("mask"))
-    return out.select("chrom", "pos", "n_rows", F.length("ref").alias("ref_length"), "qual")
+    """Sites with two ALTs are split and joined again: all comes back but for the genotype of both ALTs' value, which no part has."""
+    parts = reshape.split_alleles(two_alts(spark, sf_dir), ["va"], ["vr"], ["vg"])
+    out = reshape.join_alleles(parts.withColumn("rec", F.col("rec") * 10 + F.col("nth")), F.col("mask"), {"va": "A", "vr": "R", "vg": "G"})
+    gt = F.transform("samples", lambda s: gen.genotype_string(F.array(s["a"], s["b"]), F.lit(False)))
+    text = lambda c: F.array_join(c, ",", ".")
+    return out.select("chrom", "pos", "ref", text("alts").alias("alts"), F.array_join(gt, " ").alias("gt"), *[text(c).alias(c) for c in ("va", "vr", "vg")], "qual")
 
 
-@query(f"""WITH {_S} SELECT pos, ref, alt FROM s""")
+@query(f"""WITH {_S} SELECT chrom, pos, CASE WHEN kind = 2 THEN ref || 'CA' WHEN kind = 1 THEN ref || 'C' ELSE ref END AS ref, CASE WHEN kind = 2 THEN alt || 'CA' WHEN kind = 1 THEN alt || 'G' ELSE alt END AS alt FROM s""")
 def trim_alleles(spark, sf_dir):
-    """A shared ending added to all alleles is trimmed off again."""
-    v = variants(spark, sf_dir).select("pos", F.concat("ref", F.lit("CA")).alias("ref"), F.array(F.concat("alt", F.lit("CA"))).alias("alts"))
-    out = v.select("pos", reshape.trim(F.col("ref"), F.col("alts")).alias("t"))
-    return out.select("pos", F.get("t", F.lit(0)).alias("ref"), F.get("t", F.lit(1)).alias("alt"))
+    """A shared ending is trimmed off; ALTs of deletions also get a base that REF lacks, those of insertions end in another base."""
+    ref = F.when(F.col("kind") == 2, F.concat("ref", F.lit("CACA"))).when(F.col("kind") == 1, F.concat("ref", F.lit("CT"))).otherwise(F.concat("ref", F.lit("CA")))
+    alt = F.when(F.col("kind") == 2, F.concat("alt", F.lit("CACA"))).when(F.col("kind") == 1, F.concat("alt", F.lit("GT"))).otherwise(F.concat("alt", F.lit("CA")))
+    v = variants(spark, sf_dir).withColumns({"ref": ref, "alts": F.array(alt)})
+    extra = F.when(F.col("kind") == 2, F.lit("CA")).otherwise(F.lit(""))
+    out = v.select("chrom", "pos", extra.alias("x"), reshape.trim(F.col("ref"), F.col("alts")).alias("t"))
+    return out.select("chrom", "pos", F.concat(F.get("t", F.lit(0)), "x").alias("ref"), F.concat(F.get("t", F.lit(1)), "x").alias("alt"))
 
 
-@query(f"""WITH {_S} SELECT pos, ref FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos // 10, kind IN (1, 2) ORDER BY pos) AS r FROM s) t WHERE r = 1""")
+@query(f"""WITH {_S} SELECT chrom, pos, ref FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos // 10, kind IN (1, 2) ORDER BY pos) AS r FROM s) t WHERE r = 1""")
 def remove_duplicates(spark, sf_dir):
     """The first record of each position (here ten at a time) and type."""
-    w = Window.partitionBy("chrom", F.expr("pos div 10"), "mask").orderBy("rec")
-    return variants(spark, sf_dir).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("pos", "ref")
+    v = variants(spark, sf_dir).withColumns({"at": F.col("pos"), "pos": F.expr("pos div 10")})
+    return reshape.remove_duplicates(v).select("chrom", F.col("at").alias("pos"), "ref")
 
 
 @query(f"""WITH {_S} SELECT chrom, pos, ref FROM s WHERE pos % 2 = 0 UNION ALL SELECT chrom, pos, ref FROM s WHERE pos % 3 = 0""")
 def concat_files(spark, sf_dir):
     a, b, _ = three_files(spark, sf_dir)
-    return a.select("chrom", "pos", "ref").unionByName(b.select("chrom", "pos", "ref"))
+    return reshape.concat_files([a, b]).select("chrom", "pos", "ref")
 
 
 @query("""SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM
@@ -484,7 +542,7 @@ def flagged_runs(spark, sf_dir):
     return sequence.islands(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", F.col("event_type") != "error")
 
 
-@query(f"""WITH c AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS chrom, max(o_orderkey) AS length FROM orders GROUP BY 1), n AS (SELECT *, CAST(greatest(1, floor(length / 2000.0 + 0.9)) AS INTEGER) AS n FROM c),
+@query(f"""WITH {_S}, c AS (SELECT chrom, max(pos) AS length FROM s GROUP BY 1), n AS (SELECT *, CAST(greatest(1, floor(length / 2000.0 + 0.9)) AS INTEGER) AS n FROM c),
  k AS (SELECT *, unnest(range(0, n)) AS k FROM n) SELECT chrom, CAST(k * 2000 + 1 AS BIGINT) AS from1, CAST(CASE WHEN k = n - 1 THEN length ELSE (k + 1) * 2000 END AS BIGINT) AS to1 FROM k""")
 def genome_tiles(spark, sf_dir):
     lengths = variants(spark, sf_dir).groupBy("chrom").agg(F.max("pos").alias("length"))
@@ -493,59 +551,82 @@ def genome_tiles(spark, sf_dir):
 
 # --- calling and models ----------------------------------------------------
 
-_PL = "pl AS (SELECT pos, sample, dp * 3 % 50 AS p0, dp * 7 % 60 AS p1, dp * 11 % 70 AS p2 FROM g)"
+_PL = "pl AS (SELECT chrom, pos, sample, dp * 3 % 50 AS p0, dp * 7 % 60 AS p1, dp * 11 % 70 AS p2 FROM g)"
 
 
 def likelihoods(spark, sf_dir) -> DataFrame:
     dp = F.col("dp")
-    return genotypes(spark, sf_dir).select("pos", "sample", F.array(*[(dp * m % k).cast("double") for m, k in ((3, 50), (7, 60), (11, 70))]).alias("pl"))
+    return genotypes(spark, sf_dir).select("chrom", "pos", "sample", F.array(*[(dp * m % k).cast("double") for m, k in ((3, 50), (7, 60), (11, 70))]).alias("pl"))
 
 
 @query(f"""WITH {_G}, {_PL}, e AS (SELECT *, pow(10, -p0 / 10.0) AS x, pow(10, -p1 / 10.0) AS y, pow(10, -p2 / 10.0) AS z FROM pl)
- SELECT pos, sample, round(x / (x + y + z), 9) AS p0, round(y / (x + y + z), 9) AS p1, round(z / (x + y + z), 9) AS p2 FROM e""")
+ SELECT chrom, pos, sample, round(x / (x + y + z), 9) AS p0, round(y / (x + y + z), 9) AS p1, round(z / (x + y + z), 9) AS p2 FROM e""")
 def genotype_probabilities(spark, sf_dir):
     p = calling.pl_to_prob(F.col("pl"))
-    return likelihoods(spark, sf_dir).select("pos", "sample", *[F.round(F.get(p, F.lit(k)), 9).alias(f"p{k}") for k in range(3)])
+    return likelihoods(spark, sf_dir).select("chrom", "pos", "sample", *[F.round(F.get(p, F.lit(k)), 9).alias(f"p{k}") for k in range(3)])
 
 
-@query(f"""WITH {_G}, {_PL}, e AS (SELECT *, exp(-0.1 * p0) AS x, exp(-0.1 * p1) AS y, exp(-0.1 * p2) AS z FROM pl) SELECT pos, sample, round((y + 2 * z) / (x + y + z), 9) AS dosage FROM e""")
+@query(f"""WITH {_G}, {_PL}, e AS (SELECT *, exp(-0.1 * p0) AS x, exp(-0.1 * p1) AS y, exp(-0.1 * p2) AS z FROM pl) SELECT chrom, pos, sample, round((y + 2 * z) / (x + y + z), 9) AS dosage FROM e""")
 def dosages(spark, sf_dir):
-    return likelihoods(spark, sf_dir).select("pos", "sample", F.round(genotype.likelihood_dosage(F.col("pl")), 9).alias("dosage"))
+    return likelihoods(spark, sf_dir).select("chrom", "pos", "sample", F.round(genotype.likelihood_dosage(F.col("pl")), 9).alias("dosage"))
 
 
-@query()
+#: Likelihoods of each sample's three genotypes, scaled to add up to 1, and the site's quality sums.
+_P = f"""{_G}, {_PL}, e AS (SELECT *, pow(10, -p0 / 10.0) AS x, pow(10, -p1 / 10.0) AS y, pow(10, -p2 / 10.0) AS z FROM pl),
+ w AS (SELECT chrom, pos, sample, x / (x + y + z) AS x, y / (x + y + z) AS y, z / (x + y + z) AS z FROM e)"""
+_QS = "q AS (SELECT chrom, pos, CASE WHEN sum(60 - dp) = 0 THEN 0.001 ELSE CAST(sum(60 - dp) AS DOUBLE) END AS q0, CAST(sum(dp) AS DOUBLE) AS q1, count(*) AS n FROM g GROUP BY chrom, pos), f AS (SELECT chrom, pos, n, q0 / (q0 + q1) AS r, q1 / (q0 + q1) AS a FROM q)"
+_THETA = "ln(least(0.99, 0.0011 * list_sum(list_transform(range(1, 2 * n), lambda i: 1.0 / i))))"
+
+
+@query(f"""WITH {_P}, {_QS}, v AS (SELECT w.chrom AS chrom, w.pos AS pos, any_value(n) AS n, any_value(r) AS r, any_value(a) AS a, sum(ln(x)) AS l0, sum(ln(z)) + {_THETA.replace('n)', 'any_value(n))')} AS l1,
+ sum(ln(r * r * x + 2 * r * a * y + a * a * z)) + {_THETA.replace('n)', 'any_value(n))')} AS l2 FROM w JOIN f ON w.chrom = f.chrom AND w.pos = f.pos GROUP BY w.chrom, w.pos),
+ t AS (SELECT *, greatest(l0, l1, l2) + ln(exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) AS total, CASE WHEN l0 > l1 AND l0 > l2 THEN 0 ELSE 1 END AS variant FROM v)
+ SELECT chrom, pos, CASE WHEN variant = 1 THEN '0,1' ELSE '0' END AS alleles, round(least(999.0, greatest(0.0, 4.343 * CASE WHEN variant = 1 THEN total - l0 ELSE total - greatest(l1, l2) END)), 4) AS qual,
+ (SELECT string_agg(CASE WHEN variant = 0 OR (r * r * x >= 2 * r * a * y AND r * r * x >= a * a * z) THEN '0/0' WHEN 2 * r * a * y >= a * a * z THEN '0/1' ELSE '1/1' END, ' ' ORDER BY sample) FROM w WHERE w.chrom = t.chrom AND w.pos = t.pos) AS genotypes FROM t""")
 def call_genotypes(spark, sf_dir):
-    """Best allele sets and genotypes over all sites; tested against closed forms."""
-    rows = likelihoods(spark, sf_dir).groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("sample", "pl"))).alias("s"))
-    rows = rows.select(F.col("pos").alias("key"), F.transform("s", lambda x: x["pl"]).alias("pls"), F.array(F.lit(0.7), F.lit(0.3)).alias("qs"))
+    """Best allele sets and genotypes over all sites; quality sums from depths."""
+    g = genotypes(spark, sf_dir).select(*SITE, "sample", "dp", F.array(*[(F.col("dp") * m % k).cast("double") for m, k in ((3, 50), (7, 60), (11, 70))]).alias("pl"))
+    rows = g.groupBy(*SITE).agg(F.sort_array(F.collect_list(F.struct("sample", "pl"))).alias("s"), F.array(F.sum(60 - F.col("dp")), F.sum("dp")).cast("array<double>").alias("sums"))
+    rows = rows.select(F.struct(*SITE).alias("key"), F.transform("s", lambda x: x["pl"]).alias("pls"), calling.normalised_quality_sums(F.col("sums")).alias("qs"))
     out = calling.call_sites(rows)
-    return out.select(F.col("key").alias("pos"), F.array_join("alleles", ",").alias("alleles"), F.round("qual", 6).alias("qual"), F.array_join("genotypes", " ").alias("genotypes"))
+    return out.select("key.*", F.array_join("alleles", ",").alias("alleles"), F.round("qual", 4).alias("qual"), F.array_join("genotypes", " ").alias("genotypes"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_P}, s AS (SELECT chrom, pos, list(x ORDER BY x, y, z) AS x, list(y ORDER BY x, y, z) AS y, list(z ORDER BY x, y, z) AS z, CAST(count(*) AS INTEGER) AS samples FROM w GROUP BY chrom, pos),
+ r AS (SELECT *, 0 AS t, CAST(0.2 AS DOUBLE) AS f FROM s UNION ALL
+ SELECT chrom, pos, x, y, z, samples, t + 1, list_sum(list_transform(range(1, samples + 1), lambda i: (2 * f * (1 - f) * y[i] + 2 * f * f * z[i]) / ((1 - f) * (1 - f) * x[i] + 2 * f * (1 - f) * y[i] + f * f * z[i]))) / (2 * samples) FROM r WHERE t < 20)
+ SELECT chrom, pos, round(f, 8) AS af, samples FROM r WHERE t = 20""")
 def frequency_em(spark, sf_dir):
     p = calling.pl_to_prob(F.col("pl"))
-    g = likelihoods(spark, sf_dir).select("pos", *[F.get(p, F.lit(k)).alias(f"g{k}") for k in range(3)])
-    return calling.allele_frequency_em(g, "pos").select("pos", F.round("af", 9).alias("af"), "samples")
+    g = likelihoods(spark, sf_dir).select("chrom", "pos", *[F.get(p, F.lit(k)).alias(f"g{k}") for k in range(3)])
+    return calling.allele_frequency_em(g, SITE).select("chrom", "pos", F.round("af", 8).alias("af"), "samples")
 
 
 @query()
 def homozygous_runs(spark, sf_dir):
+    """Two-state chain by sample and contig, with each site's own frequency; tests hold it against enumeration and the unchunked chain."""
     g = genotypes(spark, sf_dir)
-    s = variants(spark, sf_dir).select("chrom", "pos")
-    rows = g.join(s, "pos").select("sample", "chrom", "pos", (F.col("a") != F.col("b")).cast("int").alias("het"), F.lit(0.3).alias("af"))
+    af = g.groupBy(*SITE).agg(((F.sum(F.col("a") + F.col("b")) + 1) / (2 * F.count("*") + 2)).alias("af"))
+    rows = g.join(af, SITE).select("sample", "chrom", "pos", (F.col("a") != F.col("b")).cast("int").alias("het"), "af")
     return sequence.homozygous_runs(rows, to_az=1e-4, to_hw=1e-4).withColumn("p_az", F.round("p_az", 9))
 
 
-@query(f"""WITH {_S}, {_G}, c AS (SELECT sample, chrom, CAST(g.pos // 500 AS BIGINT) AS chunk, g.pos AS pos, a, b FROM g JOIN s ON g.pos = s.pos
- UNION ALL SELECT sample, chrom, CAST(g.pos // 500 - 1 AS BIGINT), g.pos, CASE WHEN (g.pos // 500) % 2 = 0 THEN a ELSE b END, CASE WHEN (g.pos // 500) % 2 = 0 THEN b ELSE a END FROM g JOIN s ON g.pos = s.pos),
+@query(f"""WITH {_G} SELECT sample, chrom, CAST(pos // 1000 AS BIGINT) AS window, min(pos) AS from1, max(pos) AS to1, count(*) AS sites, CAST(sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS BIGINT) AS hets,
+ sum(CASE WHEN a <> b THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS rate FROM g GROUP BY sample, chrom, pos // 1000""")
+def heterozygous_rates(spark, sf_dir):
+    rows = genotypes(spark, sf_dir).select("sample", "chrom", "pos", (F.col("a") != F.col("b")).alias("het"))
+    return sequence.window_rates(rows, 1000)
+
+
+@query(f"""WITH {_S}, {_G}, c AS (SELECT sample, g.chrom AS chrom, CAST(g.pos // 500 AS BIGINT) AS chunk, g.pos AS pos, a, b FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos
+ UNION ALL SELECT sample, g.chrom, CAST(g.pos // 500 - 1 AS BIGINT), g.pos, CASE WHEN (g.pos // 500) % 2 = 0 THEN a ELSE b END, CASE WHEN (g.pos // 500) % 2 = 0 THEN b ELSE a END FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos),
  h AS (SELECT * FROM c WHERE a <> b), v AS (SELECT x.sample AS sample, x.chrom AS chrom, y.chunk AS chunk, count(*) FILTER (x.a = y.a) AS matches, count(*) FILTER (x.a = y.b) AS mismatches
  FROM h x JOIN h y ON x.sample = y.sample AND x.chrom = y.chrom AND x.pos = y.pos AND y.chunk = x.chunk + 1 GROUP BY 1, 2, 3),
  e AS (SELECT DISTINCT sample, chrom, chunk FROM c), j AS (SELECT e.*, coalesce(matches, 0) AS matches, coalesce(mismatches, 0) AS mismatches FROM e LEFT JOIN v ON e.sample = v.sample AND e.chrom = v.chrom AND e.chunk = v.chunk)
  SELECT sample, chrom, chunk, matches, mismatches, sum(CASE WHEN mismatches > matches THEN 1 ELSE 0 END) OVER (PARTITION BY sample, chrom ORDER BY chunk) % 2 = 1 AS swapped FROM j""")
 def ligate_phase(spark, sf_dir):
     """Chunks of 500 positions, each also holding the next one's sites, in every other chunk with phases swapped."""
-    rows = genotypes(spark, sf_dir).join(variants(spark, sf_dir).select("chrom", "pos"), "pos").select("sample", "chrom", F.expr("pos div 500").alias("chunk"), "pos", "a", "b")
+    rows = genotypes(spark, sf_dir).join(variants(spark, sf_dir).select("chrom", "pos"), SITE).select("sample", "chrom", F.expr("pos div 500").alias("chunk"), "pos", "a", "b")
     even = F.col("chunk") % 2 == 0
     moved = rows.select("sample", "chrom", (F.col("chunk") - 1).alias("chunk"), "pos", F.when(even, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("b"))
     return sequence.ligate_phase(rows.unionByName(moved)).select("sample", "chrom", "chunk", "matches", "mismatches", "swapped")
@@ -565,17 +646,17 @@ def nearest_unit(spark, sf_dir):
 # --- annotations, gates, consensus -----------------------------------------
 
 
-@query(f"""WITH {_S} SELECT pos, '.' AS id, CASE WHEN filter = 'P' THEN '.' ELSE filter END AS filters, '{{"kind":' || kind || '}}' AS info FROM s""")
+@query(f"""WITH {_S} SELECT chrom, pos, '.' AS id, CASE WHEN filter = 'P' THEN '.' ELSE filter END AS filters, '{{"kind":' || kind || '}}' AS info FROM s""")
 def drop_annotations(spark, sf_dir):
-    v = variants(spark, sf_dir).select("pos", "id", F.array("filter").alias("filters"), F.struct("src", "kind").alias("info"))
+    v = variants(spark, sf_dir).select("chrom", "pos", "id", F.array("filter").alias("filters"), F.struct("src", "kind").alias("info"))
     out = annotate.drop_annotations(v, ["ID", "FILTER/P", "INFO/src"])
-    return out.select("pos", F.coalesce("id", F.lit(".")).alias("id"), F.coalesce(F.array_join("filters", ";"), F.lit(".")).alias("filters"), F.to_json("info").alias("info"))
+    return out.select("chrom", "pos", F.coalesce("id", F.lit(".")).alias("id"), F.coalesce(F.array_join("filters", ";"), F.lit(".")).alias("filters"), F.to_json("info").alias("info"))
 
 
-@query(f"""WITH {_S}, {_I} SELECT pos, CAST(CASE WHEN kind IN (1, 2) AND EXISTS (SELECT 1 FROM iv WHERE pos <= to1 AND pos + length(ref) - 1 >= from1)
+@query(f"""WITH {_S}, {_I} SELECT chrom, pos, CAST(CASE WHEN kind IN (1, 2) AND EXISTS (SELECT 1 FROM iv WHERE iv.chrom = s.chrom AND pos <= to1 AND pos + length(ref) - 1 >= from1)
  THEN CASE WHEN (length(alt) - length(ref)) % 3 <> 0 THEN 1 ELSE 0 END ELSE -1 END AS INTEGER) AS oof FROM s""")
 def out_of_frame(spark, sf_dir):
-    return annotate.out_of_frame(variants(spark, sf_dir), intervals(spark, sf_dir)).select("pos", "oof")
+    return annotate.out_of_frame(variants(spark, sf_dir), intervals(spark, sf_dir)).select("chrom", "pos", "oof")
 
 
 @query(f"""WITH {_S}, x AS (SELECT chrom, pos, kind, qual, src, CASE WHEN kind = 2 THEN length(ref) ELSE 1 END AS span FROM s), y AS (SELECT *, kind IN (0, 3) AND EXISTS (SELECT 1 FROM x i
@@ -584,7 +665,7 @@ def out_of_frame(spark, sf_dir):
 def site_gates(spark, sf_dir):
     """Quality, least and most depth, then an indel within three bases; ``src`` stands for the depth."""
     v = variants(spark, sf_dir).withColumns({"is_snp": F.col("mask") == gen.SNP, "is_indel": F.col("mask") == gen.INDEL})
-    v = v.withColumns({"near": filters.snp_gap(v, 3), "depth": F.col("src") % 50})
+    v = filters.with_snp_gap(v, 3).withColumn("depth", F.col("src") % 50)
     gates = [("Q", F.col("qual") < 40), ("d", F.col("depth") < 3), ("D", F.col("depth") > 45), ("G", F.col("near"))]
     return v.groupBy(filters.first_gate(gates).alias("letter")).agg(F.count("*").alias("n"))
 
@@ -605,11 +686,12 @@ def consensus_sequence(spark, sf_dir):
     return consensus.consensus(bases, masks, size=500)
 
 
-@query(f"""WITH {_G}, {_PL}, e AS (SELECT *, pow(10, -p0 / 10.0) AS x, pow(10, -p1 / 10.0) AS y, pow(10, -p2 / 10.0) AS z FROM pl), q AS (SELECT pos, a + b AS d FROM g WHERE sample = 1)
- SELECT sample, round(-sum(ln(CASE d WHEN 0 THEN x WHEN 1 THEN y ELSE z END / (x + y + z))), 4) AS lk, count(*) AS sites FROM e JOIN q ON e.pos = q.pos GROUP BY sample""")
+@query(f"""WITH {_G}, {_PL}, e AS (SELECT *, pow(10, -p0 / 10.0) AS x, pow(10, -p1 / 10.0) AS y, pow(10, -p2 / 10.0) AS z FROM pl), q AS (SELECT chrom, pos, a + b AS d FROM g WHERE sample = 1)
+ SELECT sample, round(-sum(ln(CASE d WHEN 0 THEN x WHEN 1 THEN y ELSE z END / (x + y + z))), 4) AS lk, count(*) AS sites FROM e JOIN q ON e.chrom = q.chrom AND e.pos = q.pos GROUP BY sample""")
 def sample_likelihood(spark, sf_dir):
-    asked = genotypes(spark, sf_dir).filter("sample = 1").select("pos", (F.col("a") + F.col("b")).alias("dosage"))
-    return consensus.sample_likelihood(asked, likelihoods(spark, sf_dir)).withColumn("lk", F.round("lk", 4))
+    asked = genotypes(spark, sf_dir).filter("sample = 1").select("chrom", "pos", (F.col("a") + F.col("b")).alias("dosage"))
+    out = consensus.sample_likelihood(asked, likelihoods(spark, sf_dir))
+    return out.select("sample", F.round("lk", 4).alias("lk"), "sites")
 
 
 # --- events ----------------------------------------------------------------
