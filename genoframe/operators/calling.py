@@ -187,7 +187,9 @@ def fill_unseen(pls: Column, n_alleles: Column) -> Column:
                 F.sequence(F.lit(0), last),
                 lambda j: F.transform(
                     F.sequence(F.lit(0), j),
-                    lambda i: F.coalesce(F.get(pl, genotype_index(i, j)), F.get(pl, genotype_index(i, last)), F.get(pl, genotype_index(j, last)), F.get(pl, genotype_index(last, last))),
+                    lambda i: F.coalesce(
+                        F.get(pl, genotype_index(i, j)), F.when(i != j, F.coalesce(F.get(pl, genotype_index(i, last)), F.get(pl, genotype_index(j, last)))), F.get(pl, genotype_index(last, last))
+                    ),
                 ),
             )
         )
@@ -260,7 +262,7 @@ def call_trios(trios: DataFrame, *, mendel: Column | float = 1 - 1e-8, kind: str
 
     Rows have ``father``, ``mother``, ``child``: log chances of the genotypes, null where
     a sample has no depth. ``mendel``: how far the law is trusted. Of all combinations
-    the likeliest is taken, those that Mendel forbids at the chance that he is wrong.
+    the likeliest (in nine digits; of equals the first) is taken, those that Mendel forbids at the chance that he is wrong.
     """
     people = ("father", "mother", "child")
     place = lambda p: F.coalesce(F.array_position(p, F.array_max(p)).cast("int") - 1, F.lit(-1))
@@ -280,6 +282,7 @@ def call_trios(trios: DataFrame, *, mendel: Column | float = 1 - 1e-8, kind: str
             for p, k in zip(people, "fmc"):
                 lk = lk + F.coalesce(F.get(F.col(p), t[k]), F.lit(0.0))
             lk = lk + F.log(1 - kept * (1 - F.when(all_there, t["p"]).otherwise(1.0)))
+            lk = F.round(lk, 9)  # combinations that are alike may differ in their last digits
             return F.struct(lk.alias("lk"), (-t["f"]).alias("f"), (-t["m"]).alias("m"), (-t["c"]).alias("c"))
 
         top = F.array_max(F.transform(table, scored))

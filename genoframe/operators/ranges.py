@@ -53,13 +53,13 @@ def with_neighbours(rows: DataFrame, value: Column, *, keys: list[str] = ["chrom
     return out.drop("_range", "_v", "_left", "_right")
 
 
-def order_breaks(rows: DataFrame, *, order: str = "rec") -> DataFrame:
+def order_breaks(rows: DataFrame, *, order: str = "rec", size: int = RANGE) -> DataFrame:
     """Rows (by ``order``, the order in the file) that come after a later position of their contig, or after their contig ended: empty if sorted.
 
     Rows are dealt by range of ``order``; of each range only its last row is carried on.
     """
     one = rows.withColumn("_all", F.lit(0))
-    prior = with_previous(one.withColumn("_at", F.struct("chrom", "pos")), "_at", [F.col(order)], keys=["_all"], pos=order, name="_prior")
+    prior = with_previous(one.withColumn("_at", F.struct("chrom", "pos")), "_at", [F.col(order)], keys=["_all"], pos=order, size=size, name="_prior")
     fresh = prior.withColumn("_switch", F.when(F.col("_prior").isNull() | (F.col("_prior.chrom") != F.col("chrom")), 1).otherwise(0))
     blocks = fresh.filter("_switch = 1").groupBy("chrom").agg(F.min(order).alias("_begins"), F.count("*").alias("_blocks"))
     back = (F.col("_switch") == 0) & (F.col("pos") < F.col("_prior.pos"))

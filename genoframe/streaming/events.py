@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
@@ -39,3 +43,26 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "app
     """Runs a stream over what is there now into an in-memory table (tests and small results)."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def latest_totals(events: DataFrame) -> DataFrame:
+    """(user_id, n, total, last) of each user so far: a table once, a stream after every batch.
+
+    A stream keeps a user's count, sum and last time as state and adds to it what a batch
+    brings, so no event is kept. Output mode ``update``.
+    """
+    if not events.isStreaming:
+        return events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max(F.col("ts").cast("timestamp")).alias("last"))
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
+        for b in batches:
+            n, total, last = n + len(b), total + float(b["value"].sum()), max(last, int(b["us"].max()))
+        state.update((n, total, last))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "last": [last]})
+
+    rows = events.select("user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    out = rows.groupBy("user_id").applyInPandasWithState(
+        add, "user_id long, n long, total double, last long", "n long, total double, last long", "update", GroupStateTimeout.NoTimeout
+    )
+    return out.withColumn("last", F.timestamp_micros("last"))

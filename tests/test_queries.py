@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from genoframe.plans import more  # noqa: F401  (registers its queries)
 from genoframe.plans.queries import ORACLE, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
