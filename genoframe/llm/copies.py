@@ -1,11 +1,14 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one node. Nodes meet in buckets, one for each of ``BANDS`` bands of
-``ROWS`` minimum hashes; a pair of similarity s shares none with a chance of
-(1 - s^4)^32, 5e-8 at 0.8 and less above. Every link is confirmed on the whole sets.
-In ``ROUNDS`` rounds, each bucket whose members are not yet of one component compares
-them with one leader, drawn anew; then the pairs still apart are compared one by one.
-No bucket is dropped or capped.
+Equal sets are one node. SimHash fingerprints of the sets go through the Gray-order
+index of :mod:`genoframe.llm.simhash` first, which joins what differs in few bits. At a
+similarity of 0.8 two fingerprints of 64 bits differ in some ten bits, beyond any limit
+that an index can be cut by, so what the index leaves apart meets in buckets as well, one
+for each of ``BANDS`` bands of ``ROWS`` minimum hashes; a pair of similarity s shares none
+with a chance of (1 - s^4)^32, 5e-8 at 0.8 and less above. Every link is confirmed on the
+whole sets. In ``ROUNDS`` rounds, each bucket whose members are not yet of one component
+compares them with one leader, drawn anew; then the pairs still apart are compared one by
+one. No bucket is dropped or capped.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from genoframe.llm.common import lookup_skewed, remove, written
 from genoframe.llm.components import connected_components
-from genoframe.llm.simhash import _FOLD, SEED
+from genoframe.llm.simhash import _FOLD, DISTANCE, SEED, majority_bits, near_links
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -63,7 +66,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sets(rows: DataFrame, made: list[str]) -> DataFrame:
-    """(key, text) -> (key, node, size, bands, shingles), written to the shared folder."""
+    """(key, text) -> (key, node, size, fingerprint, bands, shingles), written to the shared folder."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,29 +74,37 @@ def _sets(rows: DataFrame, made: list[str]) -> DataFrame:
                 part = b.slice(at, 256)
                 found = [shingles(t.as_py()) for t in part.column("text")]
                 node = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
+                bits = np.array([majority_bits(f) for f in found], np.uint64).view(np.int64)
                 keys = pa.array([bands(f) for f in found], pa.list_(pa.int64()))
                 size = pa.array([len(f) for f in found], pa.int64())
-                whole = pa.array([f.tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(node), size, keys, whole], names=["key", "node", "size", "bands", "shingles"])
+                whole = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array(node), size, pa.array(bits), keys, whole], names=["key", "node", "size", "fingerprint", "bands", "shingles"]
+                )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return written(rows.mapInArrow(make, f"key {kind}, node long, size long, bands array<long>, shingles binary"), "copies", made)
+    return written(rows.mapInArrow(make, f"key {kind}, node long, size long, fingerprint long, bands array<long>, shingles array<long>"), "copies", made)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float, made: list[str]) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike enough; a node with many pairs is broadcast."""
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("x")]
-            keep = [similarity(x, np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(own, b.column("y"))]
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
+    """The pairs (u, v) whose whole sets are alike enough; a node with many pairs is broadcast. All inside the JVM, a pair at a time."""
     for side, name in (("u", "x"), ("v", "y")):
         many = pairs.groupBy(side).agg(F.count("*").alias("many"))
         facts = written(many.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side), "copies", made)
         pairs = lookup_skewed(pairs, facts, side, "many")
-    return pairs.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long")
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("u", "v")
+
+
+def _indexed(one: DataFrame, made: list[str]) -> DataFrame:
+    """Candidate pairs (u, v) of nodes from the Gray-order index: a node and the first of its fingerprint, and the first ones that the index links."""
+    own = one.filter("size > 0").select("node", "fingerprint")
+    first = written(own.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("n")), "copies", made)
+    same = lookup_skewed(own, first, "fingerprint", "n").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    links = near_links(first.select("fingerprint"), DISTANCE)
+    name = lambda c, to: first.select(F.col("fingerprint").alias(c), F.col("first").alias(to))
+    far = links.withColumnsRenamed({"u": "fu", "v": "fv"}).join(name("fu", "u"), "fu").join(name("fv", "v"), "fv").select("u", "v")
+    return same.unionByName(far)
 
 
 def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -105,14 +116,19 @@ def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
     made: list[str] = []
     kept = lambda df: written(df, "copies", made)  # noqa: E731  (unlike a checkpoint, no constraints of its plan pile up over the rounds)
     found = _sets(rows.select("key", "text"), made)
-    one = kept(found.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"), F.any_value("bands").alias("bands")))
+    facts = {"size": F.max("size"), "fingerprint": F.max("fingerprint"), "bands": F.any_value("bands")}
+    one = kept(found.groupBy("node").agg(F.min("key").alias("key"), *[v.alias(c) for c, v in facts.items()]))
     keyed = one.select("node", "size", F.explode("bands").alias("bucket"))
     shared = kept(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     members = kept(lookup_skewed(keyed, shared, "bucket", "n"))
-    sets = kept(found.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    indexed = kept(_indexed(one, made).distinct())
+    meeting = members.select("node").unionByName(indexed.select(F.col("u").alias("node"))).unionByName(indexed.select(F.col("v").alias("node"))).distinct()
+    sets = kept(found.select("node", "shingles").join(meeting, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
     near = F.least("size", "size2") >= least * F.greatest("size", "size2")
-    links = members.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    links = kept(_confirmed(indexed, sets, least, made))
+    labels = links.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
+    if not links.isEmpty():
+        labels = kept(connected_components(links))
     for r in range(ROUNDS + 1):
         own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         leader = F.min_by(F.struct("node", "size", "component"), F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("leader")

@@ -56,7 +56,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = [e + k for k, e in enumerate(accumulate(map(len, words)))]
     starts = [0, *(e + 1 for e in ends)]
     hashes = [hash64(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
-    every = np.array(hashes, "<u8")
+    return majority_bits(np.array(hashes, np.uint64))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; none without any."""
+    every = hashes.astype("<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(every), SLICE):
         part = every[at : at + SLICE].view(np.uint8).reshape(-1, 8)
