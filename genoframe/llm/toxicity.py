@@ -33,6 +33,8 @@ PASSAGE = 12
 BUCKETS = 1 << 17
 DIM = 8
 NGRAMS = (3, 5)
+#: Beginnings of words, in bytes with the mark: stems with an ending of any kind share them.
+STEMS = (6, 7, 8)
 CACHE_WORDS = 400_000
 _MASK, _WIDE = BUCKETS - 1, 1 << 32
 
@@ -46,9 +48,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def buckets_of(word: str) -> list[int]:
-    """The word's bucket and those of its byte n-grams between marks."""
+    """The word's bucket and those of its byte n-grams between marks, and of its beginnings."""
     marked = b"<%b>" % word.encode()
     found = [crc32(marked) & _MASK]
+    found += [crc32(marked[:n]) & _MASK for n in STEMS if len(marked) > n]
     for n in NGRAMS:
         found += [crc32(marked[i : i + n]) & _MASK for i in range(len(marked) - n + 1)]
     return found
@@ -108,7 +111,8 @@ class _Logits(dict):
         k = len(self)
         if k == len(self.values):
             self.values = np.concatenate([self.values, np.zeros(k)])
-        self.values[k] = sum([weight[b] for b in found]) / len(found)
+        known = [weight[b] for b in found if weight[b]]
+        self.values[k] = sum(known) / max(1, len(known))
         self[word] = k
         return k
 
@@ -136,8 +140,8 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
 
     All passages of a text with label 0 are examples of 0; of a text with label 1
     the passages share one example of 1 by their strength, as the model stands, so
-    that the share moves to the passages that are like each other. Words of one
-    text only count in averages but are not fitted. Without labels of both classes
+    that the share moves to the passages that are like each other. Buckets that only
+    one text has are not fitted and left out of a word's average. Without labels of both classes
     the score is near that class everywhere.
     """
     y = np.array(labels, np.float32)
@@ -147,10 +151,17 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
     number: dict[str, int] = {}
     rows = [np.array([number.setdefault(w, len(number)) for w in words_of(t) or [""]], np.int32) for t in texts]
     texts_with = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=len(number))
-    compact = np.where(texts_with > 1, np.cumsum(texts_with > 1) - 1, -1)
-    vocabulary = [w for w, k in number.items() if compact[k] >= 0]
+    # Buckets of one text only say nothing of other texts: a word is the average of its others.
+    size = np.fromiter((len(buckets_of(w)) for w in number), np.int32, len(number))
+    grams = np.fromiter((b for w in number for b in buckets_of(w)), np.int32, int(size.sum()))
+    of_word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    shared = (np.bincount(grams, texts_with[of_word], BUCKETS) > 1)[grams]
+    grams, of_word = grams[shared], of_word[shared]
+    size = np.bincount(of_word, minlength=len(size)).astype(np.int32)
+    compact = np.where(size > 0, np.cumsum(size > 0) - 1, -1)
+    of_word, size = compact[of_word].astype(np.int32), size[size > 0]
     del number
-    if not vocabulary:
+    if not len(size):
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     lengths = [len(r) for r in rows]
     token = compact[np.concatenate(rows)].astype(np.int32)
@@ -167,10 +178,8 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
     p_of, w_of = (pair // _WIDE).astype(np.int32), (pair % _WIDE).astype(np.int32)
     del pair, passage, fitted, token
     share_of = (1 / length[p_of]).astype(np.float32)
-    size = np.fromiter((len(buckets_of(w)) for w in vocabulary), np.int32, len(vocabulary))
-    grams = np.fromiter((b for w in vocabulary for b in buckets_of(w)), np.int32, int(size.sum()))
     used, grams = np.unique(grams, return_inverse=True)
-    grams, of_word = grams.astype(np.int32), np.repeat(np.arange(len(size), dtype=np.int32), size)
+    grams = grams.astype(np.int32)
 
     rng = np.random.default_rng(seed)
     emb = (rng.normal(size=(len(used), dim)) * 0.1).astype(np.float32)
