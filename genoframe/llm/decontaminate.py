@@ -11,13 +11,14 @@ of the shard's text, and runs shorter than the shortest window are left out of
 the index; both steps are exact.
 
 The benchmark is the stated query set. It is read to the driver in blocks of at
-most ``BLOCK_ITEMS`` items, and each block is searched in all documents; several
-blocks give per-block spans that are merged per document afterwards.
+most ``BLOCK_ITEMS`` items, and each block is searched in all documents. With several
+blocks the documents are written once with a number for each row; the first block
+gives every row its result, the others only rows with an occurrence, which are merged
+by that number. Texts are not shuffled.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoframe.llm.common import written
+
 WINDOW = 13
 #: Words indexed at a time; about 40 bytes of index and scratch memory a word.
 SHARD_WORDS = 500_000
@@ -247,25 +250,28 @@ def find_contamination(
     listed = items.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
     n_items = listed.count()
     n_blocks = max(1, -(-n_items // block_items))
+    if n_blocks > 1:
+        docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination")
+    else:
+        docs = docs.withColumn("row", F.lit(0).cast("long"))
     results = []
     for block in range(n_blocks):
         own = listed if n_blocks == 1 else listed.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in own.collect()], window))
-        results.append(docs.mapInArrow(_searcher(shared, shard_words), _schema(docs)))
+        rows = docs if block == 0 else docs.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "row")
+        results.append(rows.mapInArrow(_searcher(shared, shard_words, every=block == 0), _schema(docs)))
     if n_blocks == 1:
-        return results[0]
-    # Rows of equal id and text (hash) have equal spans, so blocks merge by that key.
-    every = results[0]
-    for more in results[1:]:
-        every = every.unionByName(more)
-    merged = every.groupBy("doc_id", "crc", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / n_blocks).cast("int").alias("copies"),
-    )
+        return results[0].drop("row")
+    more = results[1]
+    for r in results[2:]:
+        more = more.unionByName(r)
+    more = more.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+    both = lambda c, d: F.when(F.col(d).isNull(), F.col(c)).otherwise(F.array_sort(F.array_distinct(F.concat(c, F.coalesce(d, c)))))
+    merged = results[0].join(more, "row", "left").withColumns({"spans": both("spans", "_spans"), "items": both("items", "_items")})
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     union = F.aggregate(
         "spans",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
+        none,
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
             F.concat(
@@ -279,24 +285,22 @@ def find_contamination(
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return (
-        merged.withColumn("spans", union)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-        .drop("copies", "copy")
-    )
+    return merged.withColumn("spans", F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(union)).select("doc_id", "n_words", "spans", "items")
 
 
 def _schema(docs: DataFrame) -> str:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return f"doc_id {kind}, crc long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    return f"row long, doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+
 
+def _searcher(shared, shard_words: int, every: bool = True):
+    """Rows with their spans and items; without ``every`` only those that have some."""
 
-def _searcher(shared, shard_words: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         number = windows.vocabulary.get
 
-        def rows(ids: list, crcs: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+        def rows(numbers: list, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
             spans: list[list] = [[] for _ in ids]
             items: list[list] = [[] for _ in ids]
             # Equal texts in a shard are indexed once.
@@ -314,32 +318,32 @@ def _searcher(shared, shard_words: int):
                     pairs = set(zip(size[a:b].tolist(), row[a:b].tolist()))
                     found = {int(i) for n, r in pairs for i in windows.by_size[n][1][r]}
                     items[k] = [windows.names[i] for i in sorted(found)]
-            return pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
+                    pa.array(numbers, pa.int64()),
                     pa.array(ids, kind),
-                    pa.array(crcs, pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([spans[k] for k in same], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array([items[k] for k in same], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "crc", "n_words", "spans", "items"],
+                names=["row", "doc_id", "n_words", "spans", "items"],
             )
+            return out if every else out.filter(pa.array([bool(spans[k]) for k in same]))
 
-        ids, crcs, texts, held, kind = [], [], [], 0, None
+        numbers, ids, texts, held, kind = [], [], [], 0, None
         for batch in batches:
             kind = batch.column("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                text = text.as_py()
-                words = words_of(text)
+            for row, doc_id, text in zip(batch.column("row"), batch.column("doc_id"), batch.column("text")):
+                words = words_of(text.as_py())
+                numbers.append(row.as_py())
                 ids.append(doc_id.as_py())
-                crcs.append(zlib.crc32(text.encode()) if text else 0)
                 texts.append(np.fromiter((number(w, 1) for w in words), np.int32, len(words)))
                 held += len(words)
                 if held >= shard_words:
-                    yield rows(ids, crcs, texts)
-                    ids, crcs, texts, held = [], [], [], 0
+                    yield rows(numbers, ids, texts)
+                    numbers, ids, texts, held = [], [], [], 0
         if ids:
-            yield rows(ids, crcs, texts)
+            yield rows(numbers, ids, texts)
 
     return search
 

@@ -27,6 +27,8 @@ GROUP_PIECES = 32_768
 END_ID = 1
 #: Words remembered by a worker, in each of two generations.
 CACHE_WORDS = 250_000
+#: Longer words are encoded anew each time, so that a worker's memory has a bound.
+CACHE_LETTERS = 64
 _ENDS = ".,;:!?%#&*$"
 
 
@@ -46,7 +48,8 @@ class _Memory(dict):
                 found = self[core.lower()] + (self[word[len(core) :]] if core != word else b"")
             else:
                 found = self.encode(word)
-        self[word] = found
+        if len(word) <= CACHE_LETTERS:
+            self[word] = found
         return found
 
 
