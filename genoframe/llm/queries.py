@@ -70,7 +70,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(table(spark, sf_dir, "documents"), dictionary=tokenizer_path())
     places = F.transform("findings", lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string")))
     return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_findings"), F.array_join(places, ",").alias("findings"))
 

@@ -3,13 +3,15 @@
 Candidates are long mixed tokens, values assigned to telling names, and private-key
 headers. The forest (numpy, grown here) looks at length, character transitions,
 dictionary coverage, a path or address around the candidate, and the neighbouring
-words. It is fitted on labelled findings: those handed over, or else those that
+words. The dictionary is a parameter: the words of a tokenizer's vocabulary file, some
+ten thousands, or without one a few common words. It is fitted on labelled findings: those handed over, or else those that
 :func:`draw_findings` makes, secrets of common kinds among hashes, identifiers,
 file names, placeholders and long words.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -38,6 +40,27 @@ _WORDS = frozenset(w for w in _COMMON if len(w) >= 3)
 NEAR = 48
 
 
+@lru_cache(maxsize=4)
+def dictionary_of(path: str, shortest: int = 4) -> frozenset[str]:
+    """The whole words, of plain letters, in a ``tokenizers`` file that marks word ends with ``</w>``."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    words = (t.removesuffix("</w>") for t in tokens if t.endswith("</w>"))
+    return frozenset(w for w in words if len(w) >= shortest and w.isascii() and w.isalpha())
+
+
+def coverage(value: str, words: frozenset[str]) -> float:
+    """The share of a value's characters in dictionary words, the longest first from the left in each run of letters of one case."""
+    covered = 0
+    for run in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value):
+        run, at = run.lower(), 0
+        while at + 3 <= len(run):
+            size = next((n for n in range(min(16, len(run) - at), 2, -1) if run[at : at + n] in words), 0)
+            covered += size
+            at += size or 1
+    return covered / max(1, len(value))
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of candidates, code points, leftmost first, without overlaps."""
     if not text:
@@ -61,21 +84,21 @@ def _kind(c: str) -> int:
 _VOWEL = frozenset("aeiouAEIOU")
 
 
-def features(text: str, start: int, end: int) -> list[float]:
+def features(text: str, start: int, end: int, words: frozenset[str] = _WORDS) -> list[float]:
     value = text[start:end]
     kinds = [_kind(c) for c in value]
     pairs = list(zip(kinds, kinds[1:]))
     n = len(value)
     steps = max(1, len(pairs))
     low = value.lower()
-    covered = sum(len(w) for w in re.findall(r"[a-z]{3,}", low) if w in _WORDS) / n
+    covered = coverage(value, words)
     counts: dict[str, int] = {}
     for c in value:
         counts[c] = counts.get(c, 0) + 1
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
-    words = re.findall(r"[a-z]+[0-9]*", before.lower())[-4:]
-    near = set(words) | set(re.findall(r"[a-z]+", "_".join(words)))
+    last = re.findall(r"[a-z]+[0-9]*", before.lower())[-4:]
+    near = set(last) | set(re.findall(r"[a-z]+", "_".join(last)))
     letters = [c for c in value if c.isalpha()]
     turns = sum((a in _VOWEL) != (b in _VOWEL) for a, b in zip(letters, letters[1:])) / max(1, len(letters) - 1)
     return [
@@ -166,14 +189,16 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def draw_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): labelled findings in drawn surroundings."""
+def draw_findings(n: int = 4000, seed: int = 17, dictionary: frozenset[str] = frozenset()) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): labelled findings in drawn surroundings, of words of the dictionary or else of drawn syllables."""
+    real = sorted(dictionary)
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     some = lambda chars, k: "".join(rng.choice(list(chars), k))
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa, mixed = digit + "abcdef", lower + upper + digit
-    word = lambda: "".join(pick("the an er on ti en nd st ing ha is ly of in ver ung eau pa ci ado".split()) for _ in range(int(rng.integers(1, 5))))
+    syllables = lambda: "".join(pick("the an er on ti en nd st ing ha is ly of in ver ung eau pa ci ado".split()) for _ in range(int(rng.integers(1, 5))))
+    word = lambda: pick(real) if real and rng.random() < 0.7 else syllables()
     out = []
     while len(out) < n:
         names = ["password", "db_password", "secret", "token", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "passwd", "pwd"]
@@ -227,29 +252,36 @@ def draw_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, int, int, in
     return out
 
 
-@lru_cache(maxsize=1)
-def drawn_forest() -> Forest:
-    return fit_forest(draw_findings())
+@lru_cache(maxsize=2)
+def drawn_forest(dictionary: frozenset[str] = frozenset()) -> Forest:
+    return fit_forest(draw_findings(dictionary=dictionary), dictionary or _WORDS)
 
 
-def fit_forest(findings: list[tuple[str, int, int, int]]) -> Forest:
+def fit_forest(findings: list[tuple[str, int, int, int]], dictionary: frozenset[str] = _WORDS) -> Forest:
     """Fit on labelled findings (text, start, end, label), a bounded sample that the caller hands over."""
-    x = np.array([features(t, s, e) for t, s, e, _ in findings])
+    x = np.array([features(t, s, e, dictionary) for t, s, e, _ in findings])
     return Forest().fit(x, np.array([y for *_, y in findings], float))
 
 
-def scan_secrets(documents: DataFrame, forest: Forest | None = None, *, id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
+def scan_secrets(
+    documents: DataFrame, forest: Forest | None = None, *, dictionary: str | None = None, id_col: str = "doc_id", text_col: str = "text", sure: float = SURE
+) -> DataFrame:
     """(doc_id, n_candidates, findings) for every row: findings are (start, end, chance).
 
+    ``dictionary``: the vocabulary file whose words count as dictionary words; a forest
+    that is handed over must have been fitted with the same.
+
     Null and empty texts have none; repeated rows each give a row; other columns are
     not looked at; an empty table gives no rows.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(forest or drawn_forest())
+    words = dictionary_of(dictionary) if dictionary else frozenset()
+    shared = documents.sparkSession.sparkContext.broadcast((forest or drawn_forest(words), words or _WORDS))
     kind = docs.schema["doc_id"].dataType.simpleString()
     finding = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, known = shared.value
         for b in batches:
             number, owner, places, rows = [], [], [], []
             for k, text in enumerate(b.column("text")):
@@ -259,10 +291,10 @@ def scan_secrets(documents: DataFrame, forest: Forest | None = None, *, id_col:
                 for s, e in found:
                     owner.append(k)
                     places.append((s, e))
-                    rows.append(features(text, s, e))
+                    rows.append(features(text, s, e, known))
             findings: list[list] = [[] for _ in number]
             if rows:
-                for k, (s, e), p in zip(owner, places, shared.value.chance(np.array(rows)).tolist()):
+                for k, (s, e), p in zip(owner, places, forest.chance(np.array(rows)).tolist()):
                     if p >= sure:
                         findings[k].append({"start": s, "end": e, "chance": p})
             yield pa.RecordBatch.from_arrays(
