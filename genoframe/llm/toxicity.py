@@ -36,6 +36,8 @@ NGRAMS = (3, 5)
 #: Beginnings of words, in bytes with the mark: stems with an ending of any kind share them.
 STEMS = (6, 7, 8)
 CACHE_WORDS = 400_000
+#: With fewer texts of a label than this, all are trained on and calibration is by parts.
+SCARCE, FOLDS = 1_000, 3
 _MASK, _WIDE = BUCKETS - 1, 1 << 32
 
 #: Letters and digits, with other marks only inside: ``st*pid`` is a word.
@@ -75,7 +77,14 @@ class ToxicityModel:
 
     def calibrated(self, texts: list[str | None], labels: list[int]) -> "ToxicityModel":
         """Scale and shift, fitted on texts that the model was not trained on (one weak pseudo-example a class)."""
-        x = np.array([self.logits.strongest(words_of(t)) for t in texts] + [0.0, self.logits_span(texts)])
+        return self.fitted_to(self.strengths(texts), labels)
+
+    def strengths(self, texts: list[str | None]) -> list[float]:
+        return [self.logits.strongest(words_of(t)) for t in texts]
+
+    def fitted_to(self, strengths: list[float], labels: list[int]) -> "ToxicityModel":
+        """Scale and shift by logistic regression of labels on strengths."""
+        x = np.array([*strengths, 0.0, max([0.0, *strengths])])
         y = np.array([*labels, 0, 1], float)
         a, b, unit = 1.0, self.bias, max(1.0, float(np.abs(x).max()))
         x = x / unit
@@ -91,9 +100,6 @@ class ToxicityModel:
             return self
         return ToxicityModel((self.weight * (a / unit)).astype(np.float32), float(b))
 
-    def logits_span(self, texts: list[str | None]) -> float:
-        return max([0.0, *(self.logits.strongest(words_of(t)) for t in texts)])
-
 
 def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
@@ -183,41 +189,55 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
 
     rng = np.random.default_rng(seed)
     emb = (rng.normal(size=(len(used), dim)) * 0.1).astype(np.float32)
-    out = rng.normal(size=dim).astype(np.float32)
-    bias = np.full(1, -3.0, np.float32)
+    out = (rng.normal(size=(2, dim)) / np.sqrt(2)).astype(np.float32)  # a row for each class
+    bias = np.array([1.5, -1.5], np.float32)
     values = [emb, out, bias]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     scale = np.float32(PASSAGE)  # an average over a passage is small: let one word count
     positive = y[owner] == 1
     for t in range(1, rounds + 1):
         # The softmax is linear, so averages of vectors are taken after the product.
-        gram_logit = emb @ out
+        turn = out[1] - out[0]
+        gram_logit = emb @ turn
         word_logit = np.bincount(of_word, gram_logit[grams], len(size)) / size
-        logit = np.bincount(p_of, word_logit[w_of] * share_of, len(start)) * scale + bias[0]
+        logit = np.bincount(p_of, word_logit[w_of] * share_of, len(start)) * scale + bias[1] - bias[0]
         chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         strong = np.exp(np.minimum(logit - np.maximum.reduceat(logit, text_start)[owner], 0))
         strong /= np.add.reduceat(strong, text_start)[owner]
         g = np.where(positive, strong * (chance - 1), 0.2 * chance) / len(texts)
         g_word = np.bincount(w_of, g[p_of] * share_of, len(size)) * scale / size
         g_gram = np.bincount(grams, g_word[of_word], len(used)).astype(np.float32)
-        grads = [g_gram[:, None] * out + 1e-6 * emb, emb.T @ g_gram, np.array([g.sum()], np.float32)]
+        pull = emb.T @ g_gram
+        grads = [g_gram[:, None] * turn + 1e-6 * emb, np.stack([-pull, pull]), np.array([-g.sum(), g.sum()], np.float32)]
         for value, grad, (m, v) in zip(values, grads, moments):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             value -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = (emb @ out) * scale
-    return ToxicityModel(weight, float(bias[0]))
+    weight[used] = (emb @ (out[1] - out[0])) * scale
+    return ToxicityModel(weight, float(bias[1] - bias[0]))
 
 
 def fit(texts: list[str | None], labels: list[int]) -> ToxicityModel:
-    """Train on seven of eight texts and calibrate on the others."""
+    """Train, and calibrate on texts that were not trained on.
+
+    With many labels one of eight texts is put aside for that. With fewer than ``SCARCE``
+    of a label every text counts: each of ``FOLDS`` parts is scored by a model of the
+    others, and those scores calibrate the model of all.
+    """
     order = np.random.default_rng(11).permutation(len(texts)).tolist()
-    aside, rest = order[: len(order) // 8], order[len(order) // 8 :]
-    model = train([texts[k] for k in rest], [labels[k] for k in rest])
-    if {labels[k] for k in aside} != {0, 1} or not model.weight.any():
-        return model
-    return model.calibrated([texts[k] for k in aside], [labels[k] for k in aside])
+    pick = lambda own: ([texts[k] for k in own], [labels[k] for k in own])
+    if min(sum(labels), len(labels) - sum(labels)) >= SCARCE:
+        aside, rest = order[: len(order) // 8], order[len(order) // 8 :]
+        return train(*pick(rest)).calibrated(*pick(aside))
+    model = train(*pick(order))
+    scores, truth = [], []
+    for k in range(FOLDS):
+        part = train(*pick([t for n, t in enumerate(order) if n % FOLDS != k]))
+        own = order[k::FOLDS]
+        scores += part.strengths([texts[t] for t in own])
+        truth += [labels[t] for t in own]
+    return model.fitted_to(scores, truth) if {0, 1} <= set(truth) and model.weight.any() else model
 
 
 def fit_toxicity(
