@@ -15,6 +15,7 @@ them.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 from zlib import crc32
@@ -38,6 +39,8 @@ STEMS = (6, 7, 8)
 CACHE_WORDS = 400_000
 #: With fewer texts of a label than this, all are trained on and calibration is by parts.
 SCARCE, FOLDS = 1_000, 3
+#: Words whose buckets are made at a time in training.
+WORDS_AT_ONCE = 20_000
 _MASK, _WIDE = BUCKETS - 1, 1 << 32
 
 #: Letters and digits, with other marks only inside: ``st*pid`` is a word.
@@ -135,6 +138,21 @@ class _Logits(dict):
         return float((np.bincount(pair // _WIDE, self.values[pair % _WIDE], len(at)) / size).max())
 
 
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words one after the other, and how many each has."""
+    found = [buckets_of(w) for w in words]
+    size = np.array([len(f) for f in found], np.int32)
+    return np.fromiter((b for f in found for b in f), np.int32, int(size.sum())), size
+
+
+def _added(index: np.ndarray, values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``values[at]`` added up by ``index``, a slice at a time so that no array as long as all pairs is made."""
+    out = np.zeros(n)
+    for k in range(0, len(index), 1 << 20):
+        out += np.bincount(index[k : k + (1 << 20)], values[at[k : k + (1 << 20)]], n)
+    return out
+
+
 def _passages(n: int) -> np.ndarray:
     """Starts of passages of about ``PASSAGE`` words, none much shorter unless alone."""
     k = max(1, round(n / PASSAGE))
@@ -158,15 +176,22 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
     rows = [np.array([number.setdefault(w, len(number)) for w in words_of(t) or [""]], np.int32) for t in texts]
     texts_with = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=len(number))
     # Buckets of one text only say nothing of other texts: a word is the average of its others.
-    size = np.fromiter((len(buckets_of(w)) for w in number), np.int32, len(number))
-    grams = np.fromiter((b for w in number for b in buckets_of(w)), np.int32, int(size.sum()))
-    of_word = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    shared = (np.bincount(grams, texts_with[of_word], BUCKETS) > 1)[grams]
-    grams, of_word = grams[shared], of_word[shared]
-    size = np.bincount(of_word, minlength=len(size)).astype(np.int32)
-    compact = np.where(size > 0, np.cumsum(size > 0) - 1, -1)
-    of_word, size = compact[of_word].astype(np.int32), size[size > 0]
+    words = list(number)
     del number
+    n_texts = np.zeros(BUCKETS)
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        grams, size = _grams(words[at : at + WORDS_AT_ONCE])
+        n_texts += np.bincount(grams, np.repeat(texts_with[at : at + WORDS_AT_ONCE], size), BUCKETS)
+    kept, sizes = array("i"), []
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        grams, size = _grams(words[at : at + WORDS_AT_ONCE])
+        shared = n_texts[grams] > 1
+        kept.frombytes(grams[shared].tobytes())
+        sizes.append(np.bincount(np.repeat(np.arange(len(size)), size)[shared], minlength=len(size)).astype(np.int32))
+    grams, size = np.frombuffer(kept, np.int32), np.concatenate(sizes)
+    del words, sizes, n_texts, texts_with
+    compact = np.where(size > 0, np.cumsum(size > 0) - 1, -1).astype(np.int32)
+    size = size[size > 0]
     if not len(size):
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     lengths = [len(r) for r in rows]
@@ -178,14 +203,25 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
     text_start = np.searchsorted(owner, np.arange(len(texts)))
     length = np.diff(np.append(start, n)).astype(np.float32)
-    passage = np.repeat(np.arange(len(start)), length.astype(np.int64))
-    fitted = token >= 0
-    pair = np.unique(passage[fitted] * np.int64(_WIDE) + token[fitted])
-    p_of, w_of = (pair // _WIDE).astype(np.int32), (pair % _WIDE).astype(np.int32)
-    del pair, passage, fitted, token
-    share_of = (1 / length[p_of]).astype(np.float32)
-    used, grams = np.unique(grams, return_inverse=True)
-    grams = grams.astype(np.int32)
+    firsts, seconds = [], []
+    for at in range(0, len(start), 20_000):  # a word counts once in a passage
+        size_of = length[at : at + 20_000].astype(np.int64)
+        own = token[start[at] : start[at] + int(size_of.sum())]
+        passage = np.repeat(np.arange(at, at + len(size_of)), size_of)
+        pair = np.unique(passage[own >= 0] * np.int64(_WIDE) + own[own >= 0])
+        firsts.append((pair // _WIDE).astype(np.int32))
+        seconds.append((pair % _WIDE).astype(np.int32))
+    p_of, w_of = np.concatenate(firsts), np.concatenate(seconds)
+    del firsts, seconds, token
+    used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    for k in range(0, len(grams), 1 << 20):
+        grams[k : k + (1 << 20)] = place[grams[k : k + (1 << 20)]]
+    # Words in slices of about a million buckets: (first and last word, first and last bucket).
+    ends = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), 1 << 20)), len(size)))
+    slices = [(a, b, int(ends[a] - size[a]), int(ends[b - 1])) for a, b in zip(cuts, cuts[1:])]
 
     rng = np.random.default_rng(seed)
     emb = (rng.normal(size=(len(used), dim)) * 0.1).astype(np.float32)
@@ -199,14 +235,18 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = DIM, rounds:
         # The softmax is linear, so averages of vectors are taken after the product.
         turn = out[1] - out[0]
         gram_logit = emb @ turn
-        word_logit = np.bincount(of_word, gram_logit[grams], len(size)) / size
-        logit = np.bincount(p_of, word_logit[w_of] * share_of, len(start)) * scale + bias[1] - bias[0]
+        sums = [np.add.reduceat(gram_logit[grams[i:j]], ends[a:b] - size[a:b] - i) for a, b, i, j in slices]
+        word_logit = np.concatenate(sums) / size
+        logit = _added(p_of, word_logit, w_of, len(start)) / length * scale + bias[1] - bias[0]
         chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         strong = np.exp(np.minimum(logit - np.maximum.reduceat(logit, text_start)[owner], 0))
         strong /= np.add.reduceat(strong, text_start)[owner]
         g = np.where(positive, strong * (chance - 1), 0.2 * chance) / len(texts)
-        g_word = np.bincount(w_of, g[p_of] * share_of, len(size)) * scale / size
-        g_gram = np.bincount(grams, g_word[of_word], len(used)).astype(np.float32)
+        g_word = _added(w_of, g / length, p_of, len(size)) * scale / size
+        g_gram = np.zeros(len(used))
+        for a, b, i, j in slices:
+            g_gram += np.bincount(grams[i:j], np.repeat(g_word[a:b], size[a:b]), len(used))
+        g_gram = g_gram.astype(np.float32)
         pull = emb.T @ g_gram
         grads = [g_gram[:, None] * turn + 1e-6 * emb, np.stack([-pull, pull]), np.array([-g.sum(), g.sum()], np.float32)]
         for value, grad, (m, v) in zip(values, grads, moments):
