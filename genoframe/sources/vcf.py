@@ -7,8 +7,10 @@ parsed with built-in functions over ``spark.read.text``. ``rec`` keeps their ord
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +42,28 @@ class Header:
         return h
 
 
-def read_header(spark: SparkSession, path: str) -> Header:
-    """The lines that begin with ``#``: bounded by what a file declares, not by its records."""
-    rows = spark.read.text(path).filter(F.col("value").startswith("#")).collect()
-    return Header.of([r["value"] for r in rows])
+def read_header(spark: SparkSession, path: str | list[str]) -> Header:
+    """The lines that begin with ``#`` of the first file, by name, of a path or of the first path of a list.
+
+    Reading stops at the first record, so no more than a batch of each split is looked at.
+    """
+    first = spark.read.format("binaryFile").load(path if isinstance(path, str) else path[0]).agg(F.min("path")).first()[0]
+
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = b[b["value"].str.startswith("#")]
+            yield own
+            if len(own) < len(b):
+                return
+
+    return Header.of([r["value"] for r in spark.read.text(first).mapInPandas(head, "value string").collect()])
 
 
 def _dot(c: Column) -> Column:
     return F.nullif(c, F.lit("."))
 
 
-def read_vcf(spark: SparkSession, path: str, header: Header | None = None) -> tuple[Header, DataFrame]:
+def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None = None) -> tuple[Header, DataFrame]:
     """(header, records): chrom, contig, pos, id, ref, alts, qual, filters, info (struct), samples, rec.
 
     ``samples``: an array in header order of maps FORMAT tag -> text; ``.`` and absent

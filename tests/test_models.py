@@ -249,3 +249,14 @@ def test_stateful_stream_equals_table(spark, tmp_path):
     want = ev.latest_totals(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     got = {r.user_id: (r.n, round(r.total, 6), r.last) for r in spark.table("totals").collect()}
     assert got == {r.user_id: (r.n, round(r.total, 6), r.last) for r in want.collect()}
+
+
+def test_headers_of_several_files(spark, tmp_path):
+    from genoframe.sources.vcf import read_header, read_vcf
+
+    head = "##fileformat=VCFv4.2\n##contig=<ID=1>\n##INFO=<ID=DP,Number=1,Type=Integer>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    for k in range(2):
+        (tmp_path / f"{k}.vcf").write_text(head + "".join(f"1\t{p}\t.\tA\tC\t.\t.\tDP={p}\n" for p in range(1, 4)))
+    paths = [str(tmp_path / f"{k}.vcf") for k in range(2)]
+    assert len(read_header(spark, str(tmp_path)).lines) == 3 and read_header(spark, paths).info == {"DP": ("1", "Integer")}
+    assert sorted(r.info.DP for r in read_vcf(spark, paths)[1].collect()) == [1, 1, 2, 2, 3, 3]
