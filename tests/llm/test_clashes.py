@@ -33,3 +33,19 @@ def test_repeated_labels_and_documents(spark):
     model = fit_toxicity(docs, labels)
     assert model.score("vile awful") > 0.5 > model.score("kind warm")
     assert 0 <= model.score("") <= 1 and model.score("12 345 6") == model.score("")
+
+
+def test_near_dedup_among_rows_of_one_id(spark, tmp_path):
+    """Different texts of one id are documents of their own; rows without id are compared too; of equal rows the least other columns stay."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (1, "alpha beta gamma delta epsilon zeta", "b", {"x": 1}), (1, "one two three four five six seven", "a", {}), (2, long, "z", None), (2, long, "c", None), (None, long + " more", "d", {}),
+        (None, "only here and nowhere else at all", "e", {}), (None, "only here and nowhere else at all", "f", {}), (3, None, "n", {}), (4, "", "m", {}),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key map<string,int>")
+    out = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
+    want = [(1, rows[0][1], "b"), (1, rows[1][1], "a"), (2, long, "c"), (None, rows[5][1], "e"), (3, None, "n")]
+    assert got == sorted(want, key=str)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), str(tmp_path)).count() == 0
