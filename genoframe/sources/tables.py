@@ -87,3 +87,67 @@ def sites_of_snp_table(rows: DataFrame) -> DataFrame:
     pos = F.when(gap, F.col("start")).otherwise(F.col("start") + 1)
     out = rows.withColumns({"_pos": pos.cast("long"), "_alts": alts, "_ref": shown(F.col("ref"))}).filter(F.size("_alts") > 0)
     return out.select("chrom", F.col("_pos").alias("pos"), F.col("name").alias("id"), F.col("_ref").alias("ref"), F.col("_alts").alias("alts"))
+
+
+def genotypes_of_hapmap(rows: DataFrame, snps: DataFrame, samples: list[str]) -> DataFrame:
+    """(chrom, pos, id, ref, alts, samples) of a genotype table (id, observed, strand, calls) by a SNP table.
+
+    ``snps``: as for :func:`sites_of_snp_table`, of which single bases count; ``calls``: an
+    array of two letters for each of ``samples``, ``NN`` where there is none. Alleles and
+    calls are turned to the reference's strand where only their complement has its base.
+    Rows whose id is unknown, that have not two single bases, or neither of whose strands
+    has the reference's base are left out.
+    """
+    known = snps.filter(F.length("ref") == 1).select("chrom", (F.col("start") + 1).cast("long").alias("pos"), F.col("name").alias("id"), F.upper("ref").alias("ref")).dropDuplicates(["id"])
+    both = rows.select("id", F.split("observed", "/").alias("_a"), "calls").filter((F.size("_a") == 2) & F.forall("_a", lambda a: F.length(a) == 1)).join(known, "id")
+    turn = ~F.array_contains("_a", F.col("ref"))
+    letter = lambda c: F.when(F.col("_turn"), F.translate(c, "ACGT", "TGCA")).otherwise(c)
+    both = both.withColumn("_turn", turn).withColumn("_a", F.transform("_a", letter)).filter(F.array_contains("_a", F.col("ref")))
+    both = both.withColumn("alts", F.array_remove("_a", F.col("ref")))
+    code = lambda c: F.when(c == F.col("ref"), 0).when(c == F.get("alts", F.lit(0)), 1)
+    names = F.array(*[F.lit(s) for s in samples])
+    calls = F.zip_with(
+        names, "calls", lambda s, c: F.struct(s.alias("sample"), code(letter(F.substr(c, F.lit(1), F.lit(1)))).alias("a"), code(letter(F.substr(c, F.lit(2), F.lit(1)))).alias("b"))
+    )
+    return both.filter(F.size("alts") == 1).select("chrom", "pos", "id", "ref", "alts", calls.alias("samples"))
+
+
+def read_hapmap(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(samples, rows with id, observed, strand, calls) of a text table whose heading begins with ``rs#`` and has samples from its twelfth column."""
+    lines = spark.read.text(path)
+    heading = lines.filter(F.col("value").startswith("rs#")).first()
+    samples = heading["value"].split()[11:] if heading else []
+    cells = lines.filter(~F.col("value").startswith("rs#") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("c"))
+    return samples, cells.select(_cell(0).alias("id"), _cell(1).alias("observed"), _cell(4).alias("strand"), F.slice("c", 12, max(1, len(samples))).alias("calls"))
+
+
+def read_sample_list(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, ploidy): a name on each line and, where given, its ploidy 0, 1 or 2; 2 otherwise. Others are an error."""
+    ploidy = F.coalesce(_cell(1), F.lit("2"))
+    checked = F.when(ploidy.isin("0", "1", "2"), ploidy.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no ploidy: "), ploidy)).cast("int"))
+    return _cells(spark, path).select(_cell(0).alias("sample"), checked.alias("ploidy"))
+
+
+def sex_ploidy(pedigree: DataFrame, chrom: str) -> DataFrame:
+    """(sample, ploidy) on a chromosome: X is single in males (sex 1), Y single in males and absent in females, all else double."""
+    male, name = F.coalesce(F.col("sex") == 1, F.lit(False)), chrom.removeprefix("chr")
+    copies = {"X": F.when(male, 1).otherwise(2), "Y": F.when(male, 1).otherwise(0)}.get(name, F.lit(2))
+    return pedigree.select("sample", copies.cast("int").alias("ploidy"))
+
+
+def read_genetic_maps(spark: SparkSession, mask: str, chroms: list[str]) -> DataFrame:
+    """(chrom, pos, cm) of one file for each contig, ``{CHROM}`` in the mask standing for its name; a contig without a file is passed over.
+
+    A file must begin with the heading ``position COMBINED_rate(cM/Mb) Genetic_Map(cM)``.
+    """
+    out = spark.createDataFrame([], "chrom string, pos long, cm double")
+    for chrom in chroms:  # a file for each contig
+        path = mask.replace("{CHROM}", chrom)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            continue
+        heading = spark.read.text(path).first()
+        if heading is None or heading["value"].split() != ["position", "COMBINED_rate(cM/Mb)", "Genetic_Map(cM)"]:
+            raise ValueError(f"no genetic map: {path}")
+        out = out.unionByName(read_genetic_map(spark, path, chrom))
+    return out

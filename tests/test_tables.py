@@ -39,3 +39,31 @@ def test_snp_table(spark):
     df = spark.createDataFrame(rows, "chrom string, start long, name string, strand string, ref string, observed string")
     got = sorted((r["pos"], r["ref"], r["alts"]) for r in tables.sites_of_snp_table(df).collect())
     assert got == [(10, "A", ["G"]), (20, "A", ["G"]), (29, "N", ["NAC"]), (49, "NAC", ["N"])]
+
+
+def test_hapmap_on_both_strands(spark, tmp_path):
+    (tmp_path / "h").write_text(
+        "rs# alleles chrom pos strand a b c d e f S1 S2\n"
+        "rs1 A/G 1 6 + . . . . . . AG NN\nrs2 C/T 1 9 - . . . . . . CC CT\nrs3 A/C/G 1 9 + . . . . . . AA AC\nrs4 A/T 1 1 + . . . . . . AA AT\nrs9 A/T 1 1 + . . . . . . AA AT\n"
+    )
+    samples, rows = tables.read_hapmap(spark, str(tmp_path / "h"))
+    assert samples == ["S1", "S2"]
+    snps = spark.createDataFrame([("1", 5, "rs1", "+", "G", "A/G"), ("1", 8, "rs2", "-", "A", "C/T"), ("1", 8, "rs3", "+", "A", "A/C/G"), ("1", 20, "rs4", "+", "G", "A/T")], "chrom string, start long, name string, strand string, ref string, observed string")
+    got = {r.id: (r.pos, r.ref, r.alts, [(s.sample, s.a, s.b) for s in r.samples]) for r in tables.genotypes_of_hapmap(rows, snps, samples).collect()}
+    assert got == {"rs1": (6, "G", ["A"], [("S1", 1, 0), ("S2", None, None)]), "rs2": (9, "A", ["G"], [("S1", 1, 1), ("S2", 1, 0)])}
+
+
+def test_ploidy_and_masked_maps(spark, tmp_path):
+    (tmp_path / "s").write_text("a\nb 1\nc 0\n")
+    assert sorted(map(tuple, tables.read_sample_list(spark, str(tmp_path / "s")).collect())) == [("a", 2), ("b", 1), ("c", 0)]
+    people = spark.createDataFrame([("m", 1), ("f", 2), ("u", None)], "sample string, sex int")
+    on = lambda c: {r.sample: r.ploidy for r in tables.sex_ploidy(people, c).collect()}
+    assert on("chrX") == {"m": 1, "f": 2, "u": 2} and on("Y") == {"m": 1, "f": 0, "u": 0} and set(on("7").values()) == {2}
+    (tmp_path / "map.7").write_text("position COMBINED_rate(cM/Mb) Genetic_Map(cM)\n100 1.0 0.5\n")
+    got = tables.read_genetic_maps(spark, str(tmp_path / "map.{CHROM}"), ["7", "8"]).collect()
+    assert [tuple(r) for r in got] == [("7", 100, 0.5)]
+    (tmp_path / "map.9").write_text("wrong\n100 1.0 0.5\n")
+    import pytest
+
+    with pytest.raises(ValueError):
+        tables.read_genetic_maps(spark, str(tmp_path / "map.{CHROM}"), ["9"])
