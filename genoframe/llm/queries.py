@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.llm.chat import format_turns, read_back
+from genoframe.llm.collocations import collocations
 from genoframe.llm.common import cut, remove, scratch, table
 from genoframe.llm.decontaminate import contamination_report, find_contamination
+from genoframe.llm.filter_audit import flagged_documents, interaction_audit, with_labels
 from genoframe.llm.html_extract import extract_main_text
+from genoframe.llm.mixing import mixed
 from genoframe.llm.packing import pack, token_pieces
 from genoframe.llm.pii import find_pii, pii_report
 from genoframe.llm.secret_scan import scan_secrets
@@ -83,6 +86,25 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"), least=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language; null texts, null langs and empty tables as in :func:`collocations`."""
+    made: list[str] = []
+    best = cut(collocations(table(spark, sf_dir, "documents"), made=made))
+    remove(spark, *made)
+    return best
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every order of them and for each lang; nulls as in :func:`flagged_documents` and :func:`with_labels`."""
+    flagged = flagged_documents(table(spark, sf_dir, "documents"))
+    return interaction_audit(with_labels(flagged, table(spark, sf_dir, "labels")), list("ABCDE"), ["good", "toxic"])
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that the mix of sources takes; nulls, ties and empty tables as in :func:`mixed`."""
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -94,6 +116,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
     "op10_syncmers": op10_syncmers,
+    "op11_collocations": op11_collocations,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_mix": op13_source_mix,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,5 +165,43 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, shown) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(shown)) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
+""",
+    "op11_collocations": f"""
+WITH piece AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+               FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)),
+total AS (SELECT lang, sum(len(w)) AS n FROM piece GROUP BY lang),
+gram AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+         FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM piece, range(1, 6) AS s(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM gram GROUP BY lang, m, phrase HAVING count(*) >= 100),
+part AS (SELECT lang, m, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+cut AS (SELECT part.lang, part.m, part.phrase, a, k, p.f AS l, q.f AS r, n, CAST(1000 AS HUGEINT) * a * n // (CAST(p.f AS HUGEINT) * q.f) AS score
+        FROM part JOIN f AS p ON part.lang = p.lang AND head = p.phrase JOIN f AS q ON part.lang = q.lang AND rest = q.phrase
+        JOIN total ON part.lang = total.lang),
+least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, f
+           FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM f, range(2, 5) AS s(j) WHERE j < m)),
+kept AS (SELECT * FROM least WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = least.lang AND inside.phrase = least.phrase AND 100 * inside.f >= 100 * a))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+                      CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept) WHERE rank <= 2000
+""",
+    "op12_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+flag AS (SELECT doc_id, part, {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+                'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+                'E': doc_id > min(doc_id) OVER (PARTITION BY t)} AS f FROM d),
+doc AS (SELECT part, f, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+        FROM flag LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+walk AS (SELECT part, f, good, toxic, o, list_transform(string_split(o, ''), lambda c: CASE c WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails FROM doc, o),
+step AS (SELECT part, good, toxic, o, s, fails[s] AS fail, list_position(fails, true) AS gone, len(list_filter(fails, lambda v: v)) AS n
+         FROM (SELECT *, unnest(range(1, 6)) AS s FROM walk)),
+cnt AS (SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, count(*) FILTER (gone IS NULL OR gone > s) AS kept, count(*) FILTER (gone = s) AS removed,
+               count(*) FILTER (fail AND gone < s) AS redundant, count(*) FILTER (fail AND n = 1) AS unique_fails,
+               count(*) FILTER (gone = s AND good) AS good_lost, count(*) FILTER (gone = s AND toxic) AS toxic_lost
+        FROM step GROUP BY part, o, s)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM cnt
 """,
 }
