@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ SNP, INDEL, MNP, OTHER = 1, 2, 4, 8
 _NAMES = ((SNP, "SNP"), (INDEL, "INDEL"), (MNP, "MNP"), (OTHER, "OTHER"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def base_code(base: Column) -> Column:
     """A 0, C 1, G 2, T 3; other letters -1."""
     return F.when(F.length(base) == 1, F.instr(F.lit("ACGT"), F.upper(base)) - 1).otherwise(-1)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from genoframe.functions.genetics import trim_suffix
 from genoframe.functions.keys import site_key
-from genoframe.operators.reshape import by_rule, gathered, recoded_samples, renumbered
 
 #: Positions to a bin of interval joins, and to a range in which regions are united.
 BIN, RANGE = 1024, 1 << 20
@@ -164,60 +163,3 @@ def allele_frequencies(rows: DataFrame, source: DataFrame, column: str = "af") -
     """Adds ``column`` of a source whose record has exactly the same alleles; records without one are left out."""
     by = site_key(rows, source)
     return rows.join(source.select(*by, "ref", "alts", column), [*by, "ref", "alts"])
-
-
-# --- merging -------------------------------------------------------------------
-
-
-def merge_files(files: list[DataFrame], rules: dict[str, str | tuple[str, str]], mode: str = "none", sizes: list[int] | None = None) -> DataFrame:
-    """Full outer merge of files by site and match class, with alleles gathered and renumbered.
-
-    ``rules``: INFO column -> rule, or (rule, number): ``1`` a single value; ``A``, ``R``,
-    ``G`` an array with a value for each ALT, allele or diploid genotype, which is put in
-    order of the merged alleles before files meet element by element; ``.`` an array as it
-    is. Rules: sum, avg, min, max, first, join (values of all files, comma-joined).
-
-    IDs are joined without repeats in file order, QUAL is the largest (0 if all are
-    missing), filters are united with PASS dropped where others occur. ``samples`` (an
-    array of structs with allele numbers ``a`` and ``b``), where files have it, are
-    renumbered and concatenated in file order; with ``sizes``, the files' numbers of
-    samples, a file without the record gives so many nulls.
-    """
-    by = site_key(*files)
-    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    rows = reduce(union, [f.withColumns({"file": F.lit(k), "_nth": F.struct(F.lit(k), "ref", "alts")}) for k, f in enumerate(files)])
-    whole = gathered(with_match_key(rows, mode), [*by, "key"], "_nth")
-    listed = lambda c: F.transform("rows", lambda r: r[c])
-    united = F.array_distinct(F.array_compact(listed("filter") if "filter" in rows.columns else F.flatten(F.array_compact(listed("filters")))))
-    others = F.array_remove(united, "PASS")
-    out = {
-        "id": F.nullif(F.array_join(F.array_distinct(F.array_compact(listed("id"))), ";"), F.lit("")),
-        "qual": F.greatest(F.lit(0.0), F.coalesce(F.array_max(listed("qual")), F.lit(0.0))),
-        "filters": F.when(F.size(others) > 0, others).otherwise(united),
-        "top_alt": top_allele(F.col("rows")) if "samples" in rows.columns else F.lit(None).cast("int"),
-    }
-    for c, rule in rules.items():
-        rule, number = (rule, "1") if isinstance(rule, str) else rule
-        if rule == "join":
-            out[c] = F.array_join(F.transform(listed(c), lambda v: v.cast("string")), ",")
-        elif number == "1":
-            out[c] = F.get(by_rule(rule, F.transform(listed(c), lambda v: F.when(v.isNotNull(), F.array(v)))), F.lit(0))
-        elif number == ".":
-            out[c] = by_rule(rule, listed(c))
-        else:
-            out[c] = by_rule(rule, renumbered(c, number))
-    if "samples" in rows.columns:
-        recoded = F.transform("rows", lambda r: F.struct(r["file"].alias("file"), recoded_samples(r["samples"], r["src"]).alias("s")))
-        own = lambda k: F.get(F.filter(recoded, lambda r: r["file"] == k), F.lit(0))["s"]
-        kind = rows.schema["samples"].dataType.simpleString()
-        absent = lambda k: F.array_repeat(F.lit(None), sizes[k] if sizes else 0).cast(kind)
-        out["samples"] = F.concat(*[F.coalesce(own(k), absent(k)) for k in range(len(files))])
-    return whole.select(*by, "key", "ref", "alts", *[v.alias(c) for c, v in out.items()])
-
-
-def top_allele(rows: Column) -> Column:
-    """The merged ALT number that most sample alleles of ``rows`` (see :func:`gathered`) carry, the first of equals; null if none is carried."""
-    codes = F.flatten(F.transform(rows, lambda r: F.flatten(F.transform(recoded_samples(r["samples"], r["src"]), lambda s: F.array(s["a"], s["b"])))))
-    carried = F.filter(codes, lambda a: a > 0)
-    counted = F.transform(F.array_distinct(carried), lambda k: F.struct(F.size(F.filter(carried, lambda a: a == k)).alias("n"), (-k).alias("k")))
-    return -F.array_max(counted)["k"]

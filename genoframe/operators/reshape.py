@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoframe.functions.genetics import genotype_index, trim_suffix
+from genoframe.functions.genetics import genotype_index, let, trim_suffix
 from genoframe.functions.keys import site_key
 
 
@@ -45,9 +45,22 @@ def recode(allele: Column, src: Column, absent: int | None = None) -> Column:
     return F.when(allele.isNotNull(), F.when(place > 0, place - 1).otherwise(F.lit(absent).cast("int")))
 
 
-def recoded_samples(samples: Column, src: Column, absent: int | None = None) -> Column:
-    """Samples with the allele numbers ``a`` and ``b`` of the new record."""
-    return F.transform(samples, lambda s: s.withField("a", recode(s["a"], src, absent)).withField("b", recode(s["b"], src, absent)))
+def recoded_samples(samples: Column, src: Column, absent: int | None = None, *, fields: list[str] = ("a", "b"), vectors: dict[str, str] = {}, n_old: Column | None = None) -> Column:  # noqa: B006
+    """Samples with the allele numbers of the new record: those of ``a`` and ``b``, or of the array ``gt`` where ``fields`` has it.
+
+    ``vectors``: field -> A, R or G; each sample's vector is renumbered like a record's.
+    """
+
+    def new(s: Column) -> Column:
+        if "gt" in fields:
+            s = s.withField("gt", F.transform(s["gt"], lambda a: recode(a, src, absent)))
+        else:
+            s = s.withField("a", recode(s["a"], src, absent)).withField("b", recode(s["b"], src, absent))
+        for c, number in vectors.items():
+            s = s.withField(c, F.when(s[c].isNotNull(), renumber(s[c], src, number, n_old)))
+        return s
+
+    return F.transform(samples, new)
 
 
 def take_alleles(sites: DataFrame, src: Column, vectors: dict[str, str], absent: int | None = None) -> DataFrame:
@@ -105,23 +118,35 @@ def join_alleles(sites: DataFrame, group: Column, vectors: dict[str, str] = {})
     return whole.select(*by[:-1], "ref", "alts", *[v.alias(c) for c, v in out.items()])
 
 
+def collected(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Records of a group as one row: ``rows`` in order. A group is what shares a site, so its size follows the number of files."""
+    rest = [c for c in rows.columns if c not in (*by, order)]
+    whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rest).alias("_x")))).alias("rows"))
+    return whole.withColumn("rows", F.transform("rows", lambda r: r["_x"]))
+
+
 def gathered(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Records of a group as one row: ``rows`` in order, ``ref``, ``alts``, and in each record ``src``.
+    """Records of a group as one row with their alleles united, see :func:`united_alleles`."""
+    return united_alleles(collected(rows, by, order))
+
+
+def united_alleles(whole: DataFrame, among: str = "rows") -> DataFrame:
+    """Adds ``ref`` and ``alts`` of all ``rows``, and to each of them ``src``.
 
     The longest REF is taken, shorter records' alleles are extended by what theirs lacks
-    (symbolic ones stay), and ALTs are gathered without repeats in order. ``src`` has,
-    for each allele of the result, the record's own allele number or null. A group is
-    what shares a site, so its size follows the number of files.
+    (symbolic ones stay), and ALTs are gathered without repeats in order of the records
+    of ``among``, which are these rows or more. ``src`` has, for each allele of the
+    result, the record's own allele number or null.
     """
-    rest = [c for c in rows.columns if c not in (*by, order)]
-    whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rest).alias("_x")))).alias("rows"))
-    whole = whole.withColumn("rows", F.transform("rows", lambda r: r["_x"]))
-    ref = F.aggregate("rows", F.lit(""), lambda acc, r: F.when(F.length(r["ref"]) > F.length(acc), r["ref"]).otherwise(acc))
+    ref = F.aggregate(among, F.lit(""), lambda acc, r: F.when(F.length(r["ref"]) > F.length(acc), r["ref"]).otherwise(acc))
     whole = whole.withColumn("ref", ref)
     longer = lambda r: F.transform(
         r["alts"], lambda a: F.when(a.rlike(r"[<>\[\]*]"), a).otherwise(F.concat(a, F.substr("ref", F.length(r["ref"]) + 1, F.length("ref"))))
     )
-    whole = whole.withColumn("_ext", F.transform("rows", longer)).withColumn("alts", F.array_distinct(F.flatten("_ext")))
+    alts = F.array_distinct(F.flatten("_ext"))
+    if among != "rows":
+        alts = F.array_intersect(F.array_distinct(F.flatten(F.transform(among, longer))), alts)
+    whole = whole.withColumn("_ext", F.transform("rows", longer)).withColumn("alts", alts)
     place = lambda ext: F.concat(F.array(F.lit(0)), F.transform("alts", lambda a: F.nullif(F.array_position(ext, a).cast("int"), F.lit(0))))
     return whole.withColumn("rows", F.zip_with("rows", "_ext", lambda r, ext: r.withField("src", place(ext)))).drop("_ext")
 
@@ -132,19 +157,26 @@ def renumbered(column: str, number: str) -> Column:
 
 
 def by_rule(rule: str, arrays: Column) -> Column:
-    """Arrays of the files, element by element: sum, avg, min, max, or what comes first (``first``).
+    """Arrays of the files, element by element: sum, avg, min, max, what comes first (``first``) or last (``last``).
 
     Missing counts as 0 in sums and averages; an average is over the files that have the tag.
     """
-    have = F.filter(arrays, lambda v: v.isNotNull())
-    width = F.array_max(F.transform(have, lambda v: F.size(v)))
-
-    def one(j: Column) -> Column:
-        known = F.array_compact(F.transform(have, lambda v: F.get(v, j)))
-        total = F.aggregate(F.transform(known, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-        return {"sum": total, "avg": total / F.size(have), "min": F.array_min(known), "max": F.array_max(known), "first": F.get(known, F.lit(0))}[rule]
 
-    return F.when(F.size(have) > 0, F.transform(F.sequence(F.lit(0), width - 1), one))
+    def one(have: Column, j: Column) -> Column:
+        values = F.transform(have, lambda v: F.get(v, j))
+        if rule in ("sum", "avg"):
+            total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+            return total if rule == "sum" else total / F.size(have)
+        if rule in ("min", "max"):
+            return F.array_min(values) if rule == "min" else F.array_max(values)
+        known = F.array_compact(values)
+        return {"first": F.get(known, F.lit(0)), "last": F.get(known, F.size(known) - 1)}[rule]
+
+    def whole(have: Column) -> Column:
+        width = F.array_max(F.transform(have, lambda v: F.size(v)))
+        return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda j: one(have, j)))
+
+    return let(F.filter(arrays, lambda v: v.isNotNull()), whole)
 
 
 def trim(ref: Column, alts: Column) -> Column:

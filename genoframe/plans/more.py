@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
-from genoframe.operators import annotate, calling, filters, genotype, joins, lines, ranges, reshape, sequence, stats
-from genoframe.plans.queries import _G, _I, _P, _PAIR, _PL, _S, _TWO, SITE, files_of_samples, likelihoods, query, table, two_sets, variants
+from genoframe.operators import annotate, calling, filters, genotype, joins, lines, merge, ranges, reshape, sequence, stats
+from genoframe.plans.queries import _G, _I, _P, _PAIR, _PL, _S, _TWO, MERGED_ROWS, SITE, files_of_samples, likelihoods, query, table, two_sets, variants
 from genoframe.sources.views import genotypes, intervals
 from genoframe.streaming import events as ev
 
@@ -302,12 +302,20 @@ def strand_bias(spark, sf_dir):
     return out.select(*SITE, F.array_join("dp4", ",").alias("dp4"), "mq", *[F.round(F.get("pv4", F.lit(k)), 6).alias(f"p{k}") for k in range(4)])
 
 
-@query(f"""WITH {_S}, {_G}, f AS (SELECT chrom, pos, rec % 3 <> 0 AS two, rec % 5 <> 0 AS three, alt <> translate(ref, 'ACGT', 'GTAC') AS new FROM s WHERE kind IN (0, 3)),
- c AS (SELECT f.chrom AS chrom, f.pos AS pos, sum(CASE WHEN sample IN (1, 2) OR (sample IN (3, 4) AND two AND NOT new) OR (sample IN (5, 6) AND three) THEN a + b ELSE 0 END) AS one,
- sum(CASE WHEN sample IN (3, 4) AND two AND new THEN a + b ELSE 0 END) AS two FROM f JOIN g ON f.chrom = g.chrom AND f.pos = g.pos GROUP BY f.chrom, f.pos)
- SELECT chrom, pos, CAST(CASE WHEN one = 0 AND two = 0 THEN NULL WHEN two > one THEN 2 ELSE 1 END AS INTEGER) AS top_alt FROM c""")
+def _carried(number: int) -> str:
+    """How many sample alleles of a merged row have this number."""
+    one = lambda k, j: f"((src + {k} + {j}) % 2 + CASE WHEN rec % 11 = 0 OR {j == 1} AND (src + {k}) % 5 = 0 THEN 0 ELSE (rec + {j} * {k}) % 2 END)"
+    of = lambda k: f"{one(k, 0)} + {one(k, 1)}"
+    first = f"CASE WHEN own = 3 THEN {of(3)} ELSE {of(0)} END"
+    return " + ".join(f"CASE WHEN f{k} = 1 AND m{k} = {number} THEN {first if k == 0 else of(k)} ELSE 0 END" for k in range(3))
+
+
+@query(f"""WITH {_S}, {MERGED_ROWS}, c AS (SELECT *, {_carried(1)} AS one, {_carried(2)} AS two FROM m)
+ SELECT chrom, pos, CAST(row AS INTEGER) AS row, CAST(CASE WHEN one = 0 AND two = 0 THEN NULL WHEN two > one THEN 2 ELSE 1 END AS INTEGER) AS top_alt, CAST(one + two AS BIGINT) AS carried FROM c""")
 def merged_top_alleles(spark, sf_dir):
-    return joins.merge_files(files_of_samples(spark, sf_dir), {}, mode="both").select(*SITE, "top_alt")
+    """The ALT that most samples carry, and how many ALT alleles there are, by the genotypes of the merged record."""
+    out = merge.merge_files(files_of_samples(spark, sf_dir), {}, "both", order="line", recount=True)
+    return out.select(*SITE, "row", "top_alt", F.aggregate("ac", F.lit(0), lambda t, n: t + n).cast("long").alias("carried"))
 
 
 @query("""SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS last FROM events GROUP BY user_id""")

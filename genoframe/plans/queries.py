@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
-from genoframe.operators import annotate, calling, consensus, filters, genotype, joins, ranges, reshape, sequence, stats
+from genoframe.operators import annotate, calling, consensus, filters, genotype, joins, merge, ranges, reshape, sequence, stats
 from genoframe.sources.views import GENOTYPES, INTERVALS, SITES, genotypes, intervals, sites
 from genoframe.streaming import events as ev
 
@@ -254,41 +254,96 @@ def annotate_alleles(spark, sf_dir):
 
 
 def files_of_samples(spark, sf_dir) -> list[DataFrame]:
-    """Three files of the same sites, but for some of their own, whose records of a SNP have ALTs and longer REFs of their own.
+    """Three files of all sites, each with two samples, haploid and diploid.
 
-    The second file lacks every third site and has the base after next as its ALT; the
-    third lacks every fifth, and its REF and ALT go on by an A. Each has two samples.
+    The first has the site's record with its first ALT and, at even ``rec``, a SNP of its
+    own; the second lacks every third site and has another ALT at SNPs, and at indels the
+    same one with a base more; the third lacks every fifth and has a SNP, with a base
+    more in REF and ALT where the first file has a SNP.
     """
-    v = variants(spark, sf_dir).filter("kind in (0, 3)").select(*SITE, "id", "ref", "alts", "qual", "filter", "mask", "src", "rec")
-    m = genotype.matrix(genotypes(spark, sf_dir).select(*SITE, "sample", "a", "b"))
-    pair = lambda lo: F.filter("samples", lambda s: s["sample"].between(lo, lo + 1))
-    other = F.translate("ref", "ACGT", "GTAC")
-    one = lambda df, k: df.withColumns({"dp": F.col("src") + k, "ad": F.array(F.lit(10 * k), *[F.lit(10 * k + 1)]), "ac": F.array(F.lit(k + 1))})
-    rows = v.join(m, SITE)
-    first = rows.withColumns({"alts": F.slice("alts", 1, 1), "samples": pair(1)})
-    second = rows.filter("rec % 3 <> 0").withColumns({"alts": F.array(other), "samples": pair(3)})
-    third = rows.filter("rec % 5 <> 0").withColumns({"alts": F.array(F.concat(F.get("alts", F.lit(0)), F.lit("A"))), "ref": F.concat("ref", F.lit("A")), "samples": pair(5)})
-    return [one(f, k) for k, f in enumerate((first, second, third))]
-
-
-_MERGED = f"""WITH {_S}, {_G}, f AS (SELECT chrom, pos, rec, id, ref, alt AS x, translate(ref, 'ACGT', 'GTAC') AS y, rec % 3 <> 0 AS two, rec % 5 <> 0 AS three, src FROM s WHERE kind IN (0, 3) AND rec IN (SELECT l_orderkey FROM lineitem)),
- m AS (SELECT *, CASE WHEN three THEN ref || 'A' ELSE ref END AS r, CASE WHEN three THEN x || 'A' ELSE x END AS ex, CASE WHEN three THEN y || 'A' ELSE y END AS ey, two AND x <> y AS new FROM f),
- c AS (SELECT m.chrom AS chrom, m.pos AS pos, string_agg(CASE WHEN sample IN (3, 4) AND new THEN 2 * a || '/' || 2 * b ELSE a || '/' || b END, ' ' ORDER BY sample)
-  FILTER (sample IN (1, 2) OR (two AND sample IN (3, 4)) OR (three AND sample IN (5, 6))) AS gt FROM m JOIN g ON m.chrom = g.chrom AND m.pos = g.pos GROUP BY m.chrom, m.pos)
- SELECT m.chrom AS chrom, m.pos AS pos, r AS ref, ex || CASE WHEN new THEN ',' || ey ELSE '' END AS alts, coalesce(gt, '') AS gt,
- CAST(src + CASE WHEN two THEN src + 1 ELSE 0 END + CASE WHEN three THEN src + 2 ELSE 0 END AS DOUBLE) AS dp,
- CASE WHEN three THEN '20,21' WHEN two AND NOT new THEN '10,11' WHEN two THEN '10,1' ELSE '0,1' END || CASE WHEN new THEN ',11' ELSE '' END AS ad,
- CASE WHEN new THEN CASE WHEN three THEN '4.0' ELSE '1.0' END || ',2.0' ELSE CAST(1 + CASE WHEN two THEN 2 ELSE 0 END + CASE WHEN three THEN 3 ELSE 0 END AS VARCHAR) || '.0' END AS ac
- FROM m LEFT JOIN c ON m.chrom = c.chrom AND m.pos = c.pos"""
-
-
-@query(_MERGED)
+    v = variants(spark, sf_dir).select(*SITE, "id", "ref", "alts", "qual", "filter", "src", "rec", "kind").withColumn("snp", F.col("kind").isin(0, 3))
+    base, alt = F.substr("ref", F.lit(1), F.lit(1)), F.get("alts", F.lit(0))
+    other, third = F.translate(base, "ACGT", "GTAC"), F.translate(base, "ACGT", "CATG")
+    haploid = lambda k, j: (F.col("rec") % 11 == 0) | (F.lit(j == 1) & ((F.col("src") + k) % 5 == 0))
+
+    def sample(k, j):
+        a, b = ((F.col("src") + k + j) % 2).cast("int"), ((F.col("rec") + j * k) % 2).cast("int")
+        low, mid, high = (F.col("src") % 7).cast("int") + k, F.lit(10 + j), F.lit(20 + k)
+        return F.struct(F.when(haploid(k, j), F.array(a)).otherwise(F.array(a, b)).alias("gt"), F.when(haploid(k, j), F.array(low, mid)).otherwise(F.array(low, mid, high)).alias("pl"))
+
+    def file(rows, k, ref, alt, line=0):
+        more = {"dp": F.col("src") + k, "ad": F.array(F.lit(10 * k), F.lit(10 * k + 1)), "cnt": F.array(F.lit(k + 1)), "line": F.lit(line), "samples": F.array(sample(k, 0), sample(k, 1))}
+        more |= {"id": F.lit(None).cast("string"), "filter": F.lit("PASS"), "qual": F.lit(0.5).cast("double")} if line else {}
+        rows = rows.withColumns({"ref": ref, "alts": F.array(alt)} | more)
+        return rows.withColumn("mask", gen.type_mask(F.col("ref"), F.col("alts"))).drop("kind", "src", "rec", "snp")
+
+    v = v.withColumn("qual", F.col("qual").cast("double"))
+    v = v.withColumns({"b": base, "o": other, "t": third, "r": F.col("ref"), "x": alt})
+    more_a = lambda c: F.concat(c, F.lit("A"))
+    first = file(v, 0, F.col("r"), F.col("x")).unionByName(file(v.filter("rec % 2 = 0"), 3, F.col("b"), F.col("t"), line=1))
+    second = v.filter("rec % 3 <> 0").withColumns({"id": F.when(F.col("rec") % 4 == 0, F.concat("id", F.lit("b"))).otherwise(F.col("id")), "filter": F.lit("PASS")})
+    second = file(second, 1, F.when(F.col("snp"), F.col("r")).otherwise(more_a(F.col("r"))), F.when(F.col("snp"), F.col("o")).otherwise(more_a(F.col("x"))))
+    last = v.filter("rec % 5 <> 0").withColumn("qual", F.col("qual") + 1)
+    last = file(last, 2, F.when(F.col("snp"), more_a(F.col("b"))).otherwise(F.col("b")), F.when(F.col("snp"), more_a(F.col("x"))).otherwise(F.col("o")))
+    return [f.drop("b", "o", "t", "r", "x") for f in (first, second, last)]
+
+
+#: The merged rows: whose records they have (f0 to f2; ``own`` 3 if the first file's second one), their alleles, and the number that each file's ALT gets.
+MERGED_ROWS = """v AS (SELECT *, kind IN (0, 3) AS snp, substr(ref, 1, 1) AS base, translate(substr(ref, 1, 1), 'ACGT', 'GTAC') AS o, translate(substr(ref, 1, 1), 'ACGT', 'CATG') AS t,
+ CAST(rec % 2 = 0 AS INT) AS h0, CAST(rec % 3 <> 0 AS INT) AS h1, CAST(rec % 5 <> 0 AS INT) AS h2 FROM s),
+ m AS (SELECT chrom, pos, 0 AS row, rec, src, 0 AS own, 1 AS f0, h1 AS f1, CASE WHEN snp THEN h2 ELSE 0 END AS f2, ref AS r, alt AS x, CASE WHEN snp AND h1 = 1 AND o <> alt THEN o END AS y, 1 AS m0,
+   CASE WHEN snp AND o <> alt THEN 2 ELSE 1 END AS m1, 1 AS m2, id AS id0, qual AS q0, filter AS w0, id, qual, filter FROM v
+  UNION ALL SELECT chrom, pos, 1, rec, src, 3, 1, 0, 0, base, t, NULL, 1, 1, 1, NULL, 0.5, 'PASS', id, qual, filter FROM v WHERE snp AND h0 = 1
+  UNION ALL SELECT chrom, pos, 1, rec, src, 3, h0, 0, h2, base, CASE WHEN h0 = 1 THEN t ELSE o END, CASE WHEN h0 = 1 AND h2 = 1 THEN o END, 1, 1, CASE WHEN h0 = 1 THEN 2 ELSE 1 END,
+   NULL, 0.5, 'PASS', id, qual, filter FROM v WHERE NOT snp AND (h0 = 1 OR h2 = 1))"""
+
+
+def _merged_sql() -> str:
+    """Case by case: row 0 of a SNP has all three files and row 1 the first file's second record; row 0 of an indel has two files, and row 1 the SNPs beside it."""
+
+    def sample(k, j, at):
+        """A sample of record ``k`` (3: the second one of the first file); ``at``: the number of its ALT."""
+        hap = f"(rec % 11 = 0 OR {j == 1} AND (src + {k}) % 5 = 0)"
+        code = lambda x: f"CASE WHEN {x} = 1 THEN {at} ELSE 0 END"
+        a, b = code(f"(src + {k + j}) % 2"), code(f"(rec + {j * k}) % 2")
+        low, mid, high = f"CAST(src % 7 + {k} AS VARCHAR)", 10 + j, 20 + k
+        two = f"CASE WHEN {hap} THEN {low} || ',{mid}' ELSE {low} || ',{mid},{high}' END"
+        first = f"CASE WHEN {hap} THEN {low} || ',{mid},.' ELSE {low} || ',{mid},{high},.,.,.' END"
+        second = f"CASE WHEN {hap} THEN {low} || ',.,{mid}' ELSE {low} || ',.,.,{mid},.,{high}' END"
+        pl = f"CASE WHEN n = 1 THEN {two} WHEN {at} = 1 THEN {first} ELSE {second} END"
+        return f"CASE WHEN {hap} THEN CAST({a} AS VARCHAR) ELSE {a} || '/' || {b} END || ':' || {pl}"
+
+    none = "CASE WHEN rec % 11 = 0 OR (f0 + f1 + f2 = 1 AND one_hap) THEN '.' ELSE './.' END || ':.'"
+    cell = lambda f, k, j, at: f"CASE WHEN {f} = 0 THEN {none} WHEN own = 3 AND {k} = 0 THEN {sample(3, j, at)} ELSE {sample(k, j, at)} END"
+    cells = " || ' ' || ".join(f"({cell(f'f{k}', k, j, f'm{k}')})" for k in range(3) for j in range(2))
+    value = lambda k, what: f"CASE WHEN f{k} = 1 THEN {what} END"
+    of = lambda k: "CASE WHEN own = 3 THEN 3 ELSE 0 END" if k == 0 else str(k)
+    ad0 = ", ".join(value(k, f"10 * {of(k)}") for k in range(3))
+    ad = lambda m: ", ".join(f"CASE WHEN f{k} = 1 AND m{k} = {m} THEN 10 * {of(k)} + 1 END" for k in range(3))
+    cnt = lambda m: " + ".join(f"CASE WHEN f{k} = 1 AND m{k} = {m} THEN {of(k)} + 1 ELSE 0 END" for k in range(3))
+    dp = " + ".join(f"CASE WHEN f{k} = 1 THEN src + {of(k)} ELSE 0 END" for k in range(3))
+    return f"""WITH {_S}, {MERGED_ROWS},
+ z AS (SELECT *, CASE WHEN y IS NULL THEN 1 ELSE 2 END AS n, false AS one_hap,
+  list_distinct(list_filter([CASE WHEN f0 = 1 THEN w0 END, CASE WHEN f1 = 1 THEN 'PASS' END, CASE WHEN f2 = 1 THEN filter END], lambda w: w IS NOT NULL)) AS ws,
+  CASE WHEN f0 = 1 THEN id0 END AS i0, CASE WHEN f1 = 1 THEN CASE WHEN rec % 4 = 0 THEN id || 'b' ELSE id END END AS i1, CASE WHEN f2 = 1 THEN id END AS i2 FROM m)
+ SELECT chrom, pos, CAST(row AS INTEGER) AS row, r AS ref, x || coalesce(',' || y, '') AS alts,
+ nullif(concat_ws(';', i0, CASE WHEN i1 IS DISTINCT FROM i0 THEN i1 END, CASE WHEN i2 IS DISTINCT FROM i0 AND i2 IS DISTINCT FROM i1 THEN i2 END), '') AS id,
+ CAST(greatest(CASE WHEN f0 = 1 THEN q0 END, CASE WHEN f1 = 1 THEN qual END, CASE WHEN f2 = 1 THEN qual + 1 END) AS DOUBLE) AS qual,
+ CASE WHEN len(list_filter(ws, lambda w: w <> 'PASS')) > 0 THEN list_aggregate(list_sort(list_filter(ws, lambda w: w <> 'PASS')), 'string_agg', ',') ELSE 'PASS' END AS filters,
+ CAST({dp} AS DOUBLE) AS dp, CAST(greatest({ad0}) AS VARCHAR) || ',' || CAST(greatest({ad(1)}) AS VARCHAR) || CASE WHEN y IS NULL THEN '' ELSE ',' || CAST(greatest({ad(2)}) AS VARCHAR) END AS ad,
+ CAST({cnt(1)} AS VARCHAR) || '.0' || CASE WHEN y IS NULL THEN '' ELSE ',' || CAST({cnt(2)} AS VARCHAR) || '.0' END AS cnt, {cells} AS samples FROM z"""
+
+
+@query(_merged_sql())
 def merge_three(spark, sf_dir):
-    """Three files, by class of record: ALTs are gathered, REFs extended, genotypes, R and A vectors renumbered."""
-    out = joins.merge_files(files_of_samples(spark, sf_dir), {"dp": "sum", "ad": ("max", "R"), "ac": ("sum", "A")}, mode="both")
-    gt = F.transform("samples", lambda s: gen.genotype_string(F.array(s["a"], s["b"]), F.lit(False)))
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return out.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.array_join(gt, " ").alias("gt"), "dp", text("ad").alias("ad"), text("ac").alias("ac"))
+    """Three files, SNPs with SNPs and indels with indels, two records of a file at a site; genotypes and likelihoods of haploid and diploid samples are renumbered."""
+    rules = {"dp": "sum", "ad": ("max", "R"), "cnt": ("sum", "A")}
+    out = merge.merge_files(files_of_samples(spark, sf_dir), rules, "both", [2, 2, 2], order="line", sample_vectors={"pl": "G"})
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",", ".")
+    gt = lambda s: F.array_join(F.transform(s["gt"], lambda a: a.cast("string")), "/", ".")
+    shown = F.array_join(F.transform("samples", lambda s: F.concat(gt(s), F.lit(":"), F.coalesce(text(s["pl"]), F.lit(".")))), " ")
+    filters_text = F.array_join(F.array_sort("filters"), ",")
+    return out.select(*SITE, "row", "ref", F.array_join("alts", ",").alias("alts"), "id", F.col("qual").cast("double").alias("qual"), filters_text.alias("filters"), "dp", text("ad").alias("ad"), text("cnt").alias("cnt"), shown.alias("samples"))
 
 
 _PARTS = """t AS (SELECT *, CASE WHEN kind = 3 THEN 'two' ELSE 'one' END AS k FROM s WHERE kind IN (0, 3)), u AS (SELECT chrom, pos, ref, alt, coalesce(alt2, '') AS alt2, translate(ref, 'ACGT', 'GTAC') AS y FROM t)"""

@@ -9,7 +9,7 @@ import pytest
 from genoframe.functions import genetics as gen
 from genoframe.functions import special
 from genoframe.functions.keys import site_key
-from genoframe.operators import calling, filters, genotype, joins, lines, ranges, reshape, sequence, stats
+from genoframe.operators import calling, filters, genotype, joins, lines, merge, ranges, reshape, sequence, stats
 from genoframe.sources.vcf import Header
 from genoframe.streaming import events as ev
 from pyspark.sql import functions as F
@@ -30,12 +30,12 @@ def test_merge_gathers_alleles(spark):
     schema = "chrom int, pos long, id string, ref string, alts array<string>, qual double, filter string, mask int, samples array<struct<sample:int,a:int,b:int>>, x array<int>, g array<int>"
     one = spark.createDataFrame([(1, 5, "a", "A", ["C"], 9.0, "PASS", 1, [(1, 0, 1)], [3], [0, 1, 2])], schema)
     two = spark.createDataFrame([(1, 5, "b", "AT", ["GT", "<DEL>"], None, "q10", 1, [(2, 1, 2), (3, None, 0)], [5, 6], [9, 8, 7, 6, 5, 4])], schema)
-    r = joins.merge_files([one, two], {"x": ("sum", "A"), "g": ("max", "G")}, mode="both").first()
+    r = merge.merge_files([one, two], {"x": ("sum", "A"), "g": ("max", "G")}, mode="both").first()
     assert (r.ref, r.alts, r.id, r.qual, r.filters) == ("AT", ["CT", "GT", "<DEL>"], "a;b", 9.0, ["q10"])
     assert [(s.sample, s.a, s.b) for s in r.samples] == [(1, 0, 1), (2, 2, 3), (3, None, 0)]
     assert r.x == [3.0, 5.0, 6.0] and r.g == [9, 1, 2, 8, None, 7, 6, None, 5, 4] and r.top_alt in (1, 2, 3)
     for mode in ("none", "some", "all", "snps", "indels"):
-        assert joins.merge_files([one, two], {}, mode=mode, sizes=[1, 2]).count() in (1, 2)
+        assert merge.merge_files([one, two], {}, mode=mode, sizes=[1, 2]).count() in (1, 2)
 
 
 def test_split_and_join_of_haploid_vectors(spark):
