@@ -1,4 +1,4 @@
-"""Operators along a chromosome: runs of homozygosity, phase ligation, maps, nearest units."""
+"""Operators along a chromosome: islands, phase ligation, maps, nearest units."""
 
 from __future__ import annotations
 
@@ -9,167 +9,6 @@ from pyspark.sql import functions as F
 
 from genoframe.operators.ranges import RANGE, running_total, with_neighbours, with_previous
 
-#: Positions of a chromosome handled together by the hidden Markov model.
-CHUNK = 1_000_000
-
-
-def homozygous_runs(sites: DataFrame, *, to_az: float = 6.7e-8, to_hw: float = 5e-9, chunk: int = CHUNK) -> DataFrame:
-    """(sample, chrom, pos, state, p_az) for rows with ``sample``, ``chrom``, ``pos``, ``het`` (0 or 1), ``af``.
-
-    A two-state chain (autozygous or not) with transition chances that grow with the
-    distance between sites; states by the likeliest path, chances by both directions.
-    Rows may have ``p_hw`` and ``p_az`` (chances of the data in either state) in place of
-    ``het`` and ``af``.
-
-    Exact for any cut into chunks: each chunk of a (sample, chromosome) is reduced to its
-    transfer matrices (sums and maxima), the few matrices of a chromosome are put in order
-    and give each chunk what enters it from both sides, and each chunk is solved with that.
-    """
-    emissions = ["p_hw", "p_az"] if "p_hw" in sites.columns else ["het", "af"]
-    rows = sites.select("sample", "chrom", F.col("pos").cast("long").alias("pos"), *emissions).withColumn("chunk", F.floor(F.col("pos") / chunk))
-    kinds = {f.name: f.dataType.simpleString() for f in sites.schema}
-    by = ["sample", "chrom", "chunk"]
-    key = f"sample {kinds['sample']}, chrom {kinds['chrom']}, chunk long"
-
-    def emitted(p: pd.DataFrame) -> np.ndarray:
-        if emissions[0] == "p_hw":
-            return np.maximum(p[["p_hw", "p_az"]].to_numpy(float), 1e-300)
-        return _emissions(p["het"].to_numpy(), p["af"].to_numpy())
-
-    def reduce_chunk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos", kind="stable")
-        pos, emit = p["pos"].to_numpy(), emitted(p)
-        sums, tops = _products(pos, emit, to_az, to_hw)
-        whole, best = np.log(emit[0])[:, None] + sums[-1], np.log(emit[0])[:, None] + tops[-1]
-        return p.iloc[:1][by].assign(first=pos[0], last=pos[-1], sums=[whole.ravel().tolist()], tops=[best.ravel().tolist()])
-
-    def pass_on(p: pd.DataFrame) -> pd.DataFrame:
-        """What enters each chunk of a (sample, chromosome), in logs: forward and best from the left, backward and best from the right."""
-        p = p.sort_values("chunk", kind="stable")
-        sums, tops = (np.array(p[c].tolist()).reshape(-1, 2, 2) for c in ("sums", "tops"))
-        first, last, n = p["first"].to_numpy(), p["last"].to_numpy(), len(p)
-        left, left_best = np.full((n, 2), np.log(0.5)), np.full((n, 2), np.log(0.5))
-        right, right_best = np.zeros((n, 2)), np.zeros((n, 2))
-        step = np.log(np.maximum(_steps(first[1:] - last[:-1] + 1.0, to_az, to_hw), 1e-300))
-        for k in range(1, n):
-            over = _log_matmul(left[k - 1][None, :], sums[k - 1])
-            left[k] = _log_matmul(over, step[k - 1])[0]
-            left_best[k] = ((left_best[k - 1][:, None] + tops[k - 1]).max(axis=0)[:, None] + step[k - 1]).max(axis=0)
-            left[k] -= left[k].max()
-            left_best[k] -= left_best[k].max()
-        for k in range(n - 2, -1, -1):
-            right[k] = _log_matmul(step[k], _log_matmul(sums[k + 1], right[k + 1][:, None]))[:, 0]
-            right_best[k] = (step[k] + (tops[k + 1] + right_best[k + 1][None, :]).max(axis=1)[None, :]).max(axis=1)
-            right[k] -= right[k].max()
-            right_best[k] -= right_best[k].max()
-        sides = {"l": left, "lb": left_best, "r": right, "rb": right_best}
-        return p[by].assign(**{f"{c}{s}": v[:, s] for c, v in sides.items() for s in (0, 1)})
-
-    def solve(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos", kind="stable").reset_index(drop=True)
-        side = lambda c: p[[f"{c}0", f"{c}1"]].iloc[0].to_numpy(float)
-        state, chance = _solve(p["pos"].to_numpy(), emitted(p), to_az, to_hw, side("l"), side("lb"), side("r"), side("rb"))
-        return p[["sample", "chrom", "pos"]].assign(state=state, p_az=chance)
-
-    matrices = rows.groupBy(*by).applyInPandas(reduce_chunk, f"{key}, first long, last long, sums array<double>, tops array<double>")
-    names = [f"{c}{s}" for c in ("l", "lb", "r", "rb") for s in (0, 1)]
-    entering = matrices.groupBy("sample", "chrom").applyInPandas(pass_on, f"{key}, {', '.join(f'{n} double' for n in names)}")
-    return rows.join(entering, by).groupBy(*by).applyInPandas(solve, f"sample {kinds['sample']}, chrom {kinds['chrom']}, pos long, state int, p_az double")
-
-
-def _emissions(het: np.ndarray, af: np.ndarray) -> np.ndarray:
-    """(n, 2): chance of what a site shows, not autozygous and autozygous."""
-    f = np.clip(af.astype(float), 1e-6, 1 - 1e-6)
-    het_hw = 2 * f * (1 - f)
-    return np.where((het > 0)[:, None], np.stack([het_hw, 1e-3 * het_hw], 1), np.stack([1 - het_hw, 1 - 1e-3 * het_hw], 1))
-
-
-def likelihood_emissions(pl: Column, af: Column) -> tuple[Column, Column]:
-    """(p_hw, p_az) from three likelihoods and the ALT's frequency; 1 and 1 where there are none."""
-    p = F.transform(pl, lambda x: F.pow(F.lit(10.0), -x / 10))
-    f = F.greatest(F.least(af, F.lit(1 - 1e-6)), F.lit(1e-6))
-    rr, ra, aa = (F.get(p, F.lit(k)) for k in range(3))
-    hw = rr * (1 - f) * (1 - f) + 2 * ra * f * (1 - f) + aa * f * f
-    az = rr * (1 - f) + aa * f + F.lit(1e-3) * 2 * ra * f * (1 - f)
-    there = (F.size(pl) == 3) & F.forall(pl, lambda x: x.isNotNull())
-    return F.when(there, hw).otherwise(1.0), F.when(there, az).otherwise(1.0)
-
-
-def _steps(gap: np.ndarray, to_az: float, to_hw: float) -> np.ndarray:
-    a, h = 1 - np.exp(-to_az * gap), 1 - np.exp(-to_hw * gap)
-    step = np.empty((len(gap), 2, 2))
-    step[:, 0, 1], step[:, 0, 0], step[:, 1, 0], step[:, 1, 1] = a, 1 - a, h, 1 - h
-    return step
-
-
-def _log_matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products of matrices of logs, over all leading places at once."""
-    x = a[..., :, :, None] + b[..., None, :, :]
-    top = x.max(axis=-2)
-    with np.errstate(divide="ignore"):
-        return top + np.log(np.exp(x - np.where(np.isfinite(top), top, 0)[..., None, :]).sum(axis=-2))
-
-
-def _top_matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
-
-
-def _running(mats: np.ndarray, multiply) -> np.ndarray:
-    """All products of the first 1, 2, ... matrices, by doubling: no loop over sites."""
-    out, reach = mats.copy(), 1
-    while reach < len(out):
-        out = np.concatenate([out[:reach], multiply(out[:-reach], out[reach:])])
-        reach *= 2
-    return out
-
-
-def _links(pos: np.ndarray, emit: np.ndarray, to_az: float, to_hw: float) -> np.ndarray:
-    """Logs of step times emission from each site to the next: (n - 1, 2, 2)."""
-    return np.log(np.maximum(_steps(np.diff(pos) + 1.0, to_az, to_hw), 1e-300)) + np.log(emit[1:])[:, None, :]
-
-
-_SAME = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
-
-
-def _products(pos: np.ndarray, emit: np.ndarray, to_az: float, to_hw: float) -> tuple[np.ndarray, np.ndarray]:
-    """From the first site to each: sums over ways and the best way, in logs."""
-    links = _links(pos, emit, to_az, to_hw)
-    same = _SAME[None]
-    if not len(links):
-        return same, same
-    return np.concatenate([same, _running(links, _log_matmul)]), np.concatenate([same, _running(links, _top_matmul)])
-
-
-def _solve(pos, emit, to_az, to_hw, left, left_best, right, right_best) -> tuple[np.ndarray, np.ndarray]:
-    """States and chances of a chunk from what enters it on both sides (logs)."""
-    sums, tops = _products(pos, emit, to_az, to_hw)
-    links = _links(pos, emit, to_az, to_hw)
-    turned = links[::-1].transpose(0, 2, 1)
-    back = np.concatenate([_SAME[None], _running(turned, _log_matmul)])[::-1] if len(links) else _SAME[None]
-    back_top = np.concatenate([_SAME[None], _running(turned, _top_matmul)])[::-1] if len(links) else _SAME[None]
-    begin, begin_best = left + np.log(emit[0]), left_best + np.log(emit[0])
-    ahead = _log_matmul(np.broadcast_to(begin[None, None, :], (len(pos), 1, 2)), sums)[:, 0]
-    behind = _log_matmul(np.broadcast_to(right[None, None, :], (len(pos), 1, 2)), back)[:, 0]
-    both = ahead + behind
-    chance = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
-    best = (begin_best[None, :, None] + tops).max(axis=1) + (right_best[None, :, None] + back_top).max(axis=1)
-    return best.argmax(axis=1).astype(np.int32), chance
-
-
-def two_state_chain(pos: np.ndarray, het: np.ndarray, af: np.ndarray, to_az: float, to_hw: float) -> tuple[np.ndarray, np.ndarray]:
-    """Most likely states (1 autozygous) and the posterior chance of 1, site by site."""
-    even, zero = np.full(2, np.log(0.5)), np.zeros(2)
-    return _solve(pos, _emissions(het, af), to_az, to_hw, even, even, zero, zero)
-
-
-def window_rates(sites: DataFrame, width: int = 100_000) -> DataFrame:
-    """Counts only: (sample, chrom, window, from1, to1, sites, hets, rate) for windows of ``width`` positions that have sites."""
-    at = F.floor(F.col("pos") / width)
-    out = sites.groupBy("sample", "chrom", at.alias("window")).agg(
-        F.min("pos").alias("from1"), F.max("pos").alias("to1"), F.count("*").alias("sites"), F.sum(F.col("het").cast("long")).alias("hets")
-    )
-    return out.withColumn("rate", F.col("hets") / F.col("sites"))
-
 
 def islands(rows: DataFrame, keys: list[str], order: str, flag: Column, *, size: int = RANGE) -> DataFrame:
     """Runs of consecutive rows with ``flag``: (keys, first, last, n). ``order`` is a number without ties inside the keys."""

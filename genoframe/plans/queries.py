@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
-from genoframe.operators import annotate, calling, consensus, filters, genotype, joins, merge, ranges, reshape, sequence, stats
+from genoframe.operators import annotate, calling, consensus, filters, genotype, homozygosity, joins, merge, ranges, reshape, sequence, stats
 from genoframe.sources.views import GENOTYPES, INTERVALS, SITES, genotypes, intervals, sites
 from genoframe.streaming import events as ev
 
@@ -657,20 +657,47 @@ def frequency_em(spark, sf_dir):
     return calling.allele_frequency_em(g, SITE).select("chrom", "pos", F.round("af", 8).alias("af"), "samples")
 
 
-@query()
+_TAZ, _THW = 1e-4, 1e-3
+
+
+@query(f"""WITH RECURSIVE {_S}, {_G}, {_PL}, k AS (SELECT chrom, pos AS kp, pow(pos, 1.1) AS cm FROM s WHERE pos % 97 = 0),
+ ends AS (SELECT chrom, min(kp) AS lo, max(kp) AS hi, min(cm) AS locm, max(cm) AS hicm FROM k GROUP BY chrom),
+ e AS (SELECT pl.chrom AS chrom, pl.pos AS pos, sample, (1 + src % 98) / 100.0 AS f, pow(10, -p0 / 10.0) AS x, pow(10, -p1 / 10.0) AS y, pow(10, -p2 / 10.0) AS z
+   FROM pl JOIN s ON pl.chrom = s.chrom AND pl.pos = s.pos WHERE kind <> 3 AND rec % 3 <> 0 AND p1 + p2 > 0),
+ o AS (SELECT chrom, pos, sample, (x * (1 - f) + z * f) / (x + y + z) AS az, (x * (1 - f) * (1 - f) + 2 * y * f * (1 - f) + z * f * f) / (x + y + z) AS hw,
+   row_number() OVER w AS i, coalesce(lag(pos) OVER w, pos - 1) AS start, coalesce(lag(pos) OVER w, pos) AS here FROM e WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos)),
+ b AS (SELECT o.*, coalesce(k.kp, lo) AS x0, coalesce(k.cm, locm) AS c0, hi, hicm FROM o JOIN ends ON o.chrom = ends.chrom ASOF LEFT JOIN k ON o.chrom = k.chrom AND o.here >= k.kp),
+ q AS (SELECT b.*, coalesce(k.kp, hi) AS x1, coalesce(k.cm, hicm) AS c1 FROM b ASOF LEFT JOIN k ON b.chrom = k.chrom AND b.pos <= k.kp),
+ c AS (SELECT sample, chrom, pos, i, az, hw, CASE WHEN x1 > x0 THEN greatest(0, least(1, (c1 - c0) / hicm / (x1 - x0) * (least(pos, x1) - greatest(start, x0)))) ELSE 0 END AS r FROM q),
+ fw AS (SELECT DISTINCT sample, chrom, CAST(0 AS BIGINT) AS i, CAST(0.5 AS DOUBLE) AS f, CAST(0.5 AS DOUBLE) AS v, false AS from_az, false AS stay_az FROM c
+  UNION ALL SELECT sample, chrom, i, fa / (fa + fh), va / (va + vh), az_hw, az_az FROM (SELECT c.sample, c.chrom, c.i,
+   az * ({1 - _THW} * (1 - r) * f + {_TAZ} * r * (1 - f)) AS fa, hw * ({1 - _TAZ} * (1 - r) * (1 - f) + {_THW} * r * f) AS fh,
+   az * greatest({1 - _THW} * (1 - r) * v, {_TAZ} * r * (1 - v)) AS va, hw * greatest({1 - _TAZ} * (1 - r) * (1 - v), {_THW} * r * v) AS vh,
+   {_THW} * r * v > {1 - _TAZ} * (1 - r) * (1 - v) AS az_hw, {1 - _THW} * (1 - r) * v > {_TAZ} * r * (1 - v) AS az_az
+   FROM fw JOIN c ON fw.sample = c.sample AND fw.chrom = c.chrom AND c.i = fw.i + 1) t),
+ last AS (SELECT sample, chrom, max(i) AS i FROM c GROUP BY sample, chrom),
+ bw AS (SELECT fw.sample AS sample, fw.chrom AS chrom, fw.i AS i, f, CAST(0.5 AS DOUBLE) AS a, v > 0.5 AS s, from_az, stay_az FROM fw JOIN last ON fw.sample = last.sample AND fw.chrom = last.chrom AND fw.i = last.i
+  UNION ALL SELECT sample, chrom, i, f, ba / (ba + bh), s, from_az, stay_az FROM (SELECT fw.sample, fw.chrom, fw.i, fw.f, fw.from_az, fw.stay_az, CASE WHEN bw.s THEN bw.stay_az ELSE bw.from_az END AS s,
+   {1 - _THW} * (1 - r) * az * a + {_THW} * r * hw * (1 - a) AS ba, {1 - _TAZ} * (1 - r) * hw * (1 - a) + {_TAZ} * r * az * a AS bh
+   FROM bw JOIN c ON bw.sample = c.sample AND bw.chrom = c.chrom AND bw.i = c.i JOIN fw ON fw.sample = bw.sample AND fw.chrom = bw.chrom AND fw.i = bw.i - 1 WHERE fw.i > 0) t)
+ SELECT c.sample AS sample, c.chrom AS chrom, c.pos AS pos, CAST(bw.s AS INTEGER) AS state, round(f * a / (f * a + (1 - f) * (1 - a)), 6) AS p_az
+ FROM bw JOIN c ON bw.sample = c.sample AND bw.chrom = c.chrom AND bw.i = c.i""")
 def homozygous_runs(spark, sf_dir):
-    """Two-state chain by sample and contig, with each site's own frequency; tests hold it against enumeration and the unchunked chain."""
-    g = genotypes(spark, sf_dir)
-    af = g.groupBy(*SITE).agg(((F.sum(F.col("a") + F.col("b")) + 1) / (2 * F.count("*") + 2)).alias("af"))
-    rows = g.join(af, SITE).select("sample", "chrom", "pos", (F.col("a") != F.col("b")).cast("int").alias("het"), "af")
-    return sequence.homozygous_runs(rows, to_az=1e-4, to_hw=1e-4).withColumn("p_az", F.round("p_az", 9))
+    """Likelihoods, frequencies of a source with the same alleles, a genetic map; the SQL goes forward and back along each chain, site by site."""
+    v = variants(spark, sf_dir)
+    source = v.filter("rec % 3 <> 0 and kind <> 3").select(*SITE, "ref", "alts", F.array((1 + F.col("src") % 98) / F.lit(100.0)).alias("af"))
+    sites = joins.allele_frequencies(v.select(*SITE, "ref", "alts"), source).select(*SITE, homozygosity.frequencies_of_tag(F.col("af"), F.size("alts")).alias("af"))
+    rows = likelihoods(spark, sf_dir).join(sites, SITE).withColumn("e", homozygosity.likelihood_emissions(F.col("pl"), F.col("af")))
+    points = v.filter("pos % 97 = 0").select(*SITE, F.pow("pos", F.lit(1.1)).alias("cm"))
+    runs = homozygosity.homozygous_runs(rows.select(*SITE, "sample", "e.p_hw", "e.p_az"), to_az=_TAZ, to_hw=_THW, genetic_map=points)
+    return runs.withColumn("p_az", F.round("p_az", 6))
 
 
 @query(f"""WITH {_G} SELECT sample, chrom, CAST(pos // 1000 AS BIGINT) AS window, min(pos) AS from1, max(pos) AS to1, count(*) AS sites, CAST(sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS BIGINT) AS hets,
  sum(CASE WHEN a <> b THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS rate FROM g GROUP BY sample, chrom, pos // 1000""")
 def heterozygous_rates(spark, sf_dir):
     rows = genotypes(spark, sf_dir).select("sample", "chrom", "pos", (F.col("a") != F.col("b")).alias("het"))
-    return sequence.window_rates(rows, 1000)
+    return homozygosity.window_rates(rows, 1000)
 
 
 @query(f"""WITH {_S}, {_G}, c AS (SELECT sample, g.chrom AS chrom, CAST(g.pos // 500 AS BIGINT) AS chunk, g.pos AS pos, a, b FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos

@@ -47,26 +47,6 @@ def test_split_and_join_of_haploid_vectors(spark):
     assert r.alts == ["C", "G"] and r.p == [10, 11, 12] and (r.samples[0].a, r.samples[0].b) == (2, None)
 
 
-def test_chain_is_exact_for_any_chunk(spark):
-    rng = np.random.default_rng(6)
-    rows = []
-    for chrom in (1, 2):
-        pos = np.sort(rng.choice(60_000, 400, replace=False))
-        af, het = rng.uniform(0.05, 0.6, 400), np.where((pos // 9000) % 2 == 0, 0, rng.integers(0, 2, 400))
-        rows += [(7, chrom, int(p), int(h), float(f)) for p, h, f in zip(pos, het, af)]
-    df = spark.createDataFrame(rows, "sample int, chrom int, pos long, het int, af double")
-    want = {}
-    for chrom in (1, 2):
-        own = [r for r in rows if r[1] == chrom]
-        state, chance = sequence.two_state_chain(*(np.array([r[k] for r in own]) for k in (2, 3, 4)), 1e-5, 2e-5)
-        want |= {(chrom, r[2]): (s, c) for r, s, c in zip(own, state.tolist(), chance.tolist())}
-    for chunk in (1000, 7777, 10**9):
-        got = {(r.chrom, r.pos): (r.state, r.p_az) for r in sequence.homozygous_runs(df, to_az=1e-5, to_hw=2e-5, chunk=chunk).collect()}
-        assert got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-        assert max(abs(got[k][1] - want[k][1]) for k in want) < 1e-9
-    assert len({v[0] for v in want.values()}) == 2
-
-
 def test_batches_equal_single_sites():
     rng = np.random.default_rng(1)
     for n_alleles, samples in ((1, 3), (2, 5), (3, 4), (4, 2)):

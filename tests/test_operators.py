@@ -125,26 +125,6 @@ def test_em_finds_frequency(spark):
     assert r.af == pytest.approx(0.3) and r.samples == 10
 
 
-def test_chain_matches_enumeration():
-    rng = np.random.default_rng(2)
-    pos, het, af = np.array([1, 50, 70, 400, 900]), rng.integers(0, 2, 5), rng.uniform(0.1, 0.5, 5)
-    state, chance = sequence.two_state_chain(pos, het, af, 1e-2, 2e-2)
-    weight = {}
-    for way in itertools.product((0, 1), repeat=5):
-        p = 0.5
-        for t, s in enumerate(way):
-            h = 2 * af[t] * (1 - af[t]) * (1e-3 if s else 1)
-            if t:
-                d = pos[t] - pos[t - 1] + 1
-                turn = 1 - math.exp(-(2e-2 if way[t - 1] else 1e-2) * d)
-                p *= turn if way[t - 1] != s else 1 - turn
-            p *= h if het[t] else 1 - h
-        weight[way] = p
-    assert tuple(state) == max(weight, key=weight.get)
-    for t in range(5):
-        assert chance[t] == pytest.approx(sum(p for w, p in weight.items() if w[t]) / sum(weight.values()))
-
-
 def test_map_trains():
     rng = np.random.default_rng(0)
     sample = np.concatenate([rng.normal(m, 0.1, (50, 2)) for m in (0, 5, 10)])
