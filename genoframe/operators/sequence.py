@@ -18,45 +18,96 @@ def islands(rows: DataFrame, keys: list[str], order: str, flag: Column, *, size:
     return numbered.groupBy(*keys, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
-def ligate_phase(chunks: DataFrame) -> DataFrame:
-    """Joins phased chunks of a (sample, chrom): (sample, chrom, chunk, swapped, matches, mismatches, quality).
+#: Fixed values of the quality of a join: its largest, and what shifts and scales it.
+_BEST_QUALITY, _SHIFT = 99, 0.7
 
-    Rows: ``sample``, ``chrom``, ``chunk``, ``pos``, ``a``, ``b``. In the overlap of a chunk
-    with the next, heterozygous sites vote for or against a swap; a chunk is swapped if
-    an odd number of joins up to it were swaps.
-    """
-    left = chunks.filter("a != b")
-    right = left.select("sample", "chrom", (F.col("chunk") - 1).alias("chunk"), "pos", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    votes = left.join(right, ["sample", "chrom", "chunk", "pos"]).groupBy("sample", "chrom", "chunk").agg(
-        F.count_if(F.col("a") == F.col("a2")).alias("matches"), F.count_if(F.col("a") == F.col("b2")).alias("mismatches")
-    )
-    every = chunks.select("sample", "chrom", "chunk").distinct()
-    joined = every.join(votes.withColumn("chunk", F.col("chunk") + 1), ["sample", "chrom", "chunk"], "left").fillna(0, ["matches", "mismatches"])
-    w = Window.partitionBy("sample", "chrom").orderBy("chunk")
-    turns = F.sum((F.col("mismatches") > F.col("matches")).cast("int")).over(w)
-    f = F.greatest("matches", "mismatches") / F.nullif(F.col("matches") + F.col("mismatches"), F.lit(0))
-    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
-    quality = F.when(f.isNull(), 0).when(f == 1, 99).otherwise(F.floor(99 * (0.7 + part(f) + part(1 - f)) / 0.7))
-    return joined.withColumns({"swapped": turns % 2 == 1, "quality": quality.cast("int")})
-
-
-def ligated_rows(chunks: DataFrame) -> DataFrame:
-    """(sample, chrom, pos, a, b, quality) of all chunks as one phased call set, each site once.
-
-    A site of two chunks is taken from the earlier one in the first half of their overlap
-    and from the later one beyond it; alleles are exchanged where the chunk is swapped.
-    ``quality`` is that of the join that the row's chunk was attached by, null in the first.
+
+def _file_ends(chunks: DataFrame) -> DataFrame:
+    """(chrom, chunk, k, lo, hi, start, prior_hi, next_lo, next_hi): a row for each file of a contig, numbered in order."""
+    w = Window.partitionBy("chrom").orderBy("chunk")
+    ends = chunks.groupBy("chrom", "chunk").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    ends = ends.withColumns({"k": F.row_number().over(w), "start": F.min("lo").over(Window.partitionBy("chrom")), "prior_hi": F.lag("hi").over(w), "next_lo": F.lead("lo").over(w), "next_hi": F.lead("hi").over(w), "_third": F.lead("lo", 2).over(w)})
+    if not ends.filter("_third <= hi").isEmpty():
+        raise ValueError("more than two files overlap")
+    return ends.drop("_third")
+
+
+def _in_overlaps(rows: DataFrame) -> DataFrame:
+    """Rows with :func:`_file_ends`, once for each overlap they are in: ``join`` is the first file's number, ``side`` 0 in it and 1 in the next."""
+    after, before = F.col("pos").between(F.col("next_lo"), F.col("next_hi")), F.col("pos") <= F.col("prior_hi")
+    met = F.array(F.when(after, F.struct(F.col("k").alias("join"), F.lit(0).alias("side"))), F.when(before, F.struct((F.col("k") - 1).alias("join"), F.lit(1).alias("side"))))
+    return rows.withColumn("_met", F.explode(F.array_compact(met))).select("*", "_met.*").drop("_met")
+
+
+def _paired_sites(placed: DataFrame) -> DataFrame:
+    """(chrom, join, pos, nth, n) for sites that both files of an overlap have, numbered by range along it."""
+    both = _in_overlaps(placed).groupBy("chrom", "join", "pos").agg(F.count("*").alias("_n")).filter("_n = 2").withColumn("_one", F.lit(1)).drop("_n")
+    nth = running_total(both, "_one", "nth", [F.col("pos")], keys=["chrom", "join"]).drop("_one")
+    return nth.join(nth.groupBy("chrom", "join").agg(F.max("nth").alias("n")), ["chrom", "join"])
+
+
+def ligate_phase(chunks: DataFrame, *, min_quality: int = 30) -> DataFrame:
+    """How the files of a phased set join: (sample, chrom, chunk, matches, mismatches, swapped, quality, phase_set).
+
+    Rows: ``sample``, ``chrom``, ``chunk`` (the file, in order), ``pos``, ``a``, ``b``,
+    ``phased``; samples of a file have the same sites. At sites of an overlap that both
+    files have, samples that are heterozygous and phased in both vote. By the majority
+    a file keeps or turns the state of the one before; a draw leaves it unswapped, and
+    where no site is in both files the state stays. ``quality`` is null in the first file
+    and where there is no such site; below ``min_quality`` the second half of the overlap,
+    if it has a site, begins a new phase set; the first one begins at the contig's first site.
     """
+    ends = _file_ends(chunks)
+    paired = _paired_sites(chunks.select("chrom", "chunk", "pos").distinct().join(ends, ["chrom", "chunk"]))
+    return _joined_files(chunks, ends, paired, min_quality).drop("k", "second")
+
+
+def _joined_files(chunks: DataFrame, ends: DataFrame, paired: DataFrame, min_quality: int) -> DataFrame:
     by = ["sample", "chrom"]
-    turned = ligate_phase(chunks).select(*by, "chunk", "swapped", F.when(F.col("matches") + F.col("mismatches") > 0, F.col("quality")).alias("quality"))
-    ends = chunks.groupBy(*by, "chunk").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    w = Window.partitionBy(*by).orderBy("chunk")  # a row for each chunk
-    before, after = F.floor((F.lag("hi").over(w) + F.col("lo")) / 2), F.floor((F.col("hi") + F.lead("lo").over(w)) / 2)
-    ends = ends.withColumns({"_from": F.when(F.lag("hi").over(w) >= F.col("lo"), before), "_to": F.when(F.lead("lo").over(w) <= F.col("hi"), after)})
-    rows = chunks.join(ends, [*by, "chunk"]).filter((F.col("_from").isNull() | (F.col("pos") > F.col("_from"))) & (F.col("_to").isNull() | (F.col("pos") <= F.col("_to"))))
-    rows = rows.join(turned, [*by, "chunk"])
+    het = chunks.filter("a != b and phased").select(*by, "chunk", "pos", "a", "b").join(ends, ["chrom", "chunk"])
+    own = lambda side: F.max(F.when(F.col("side") == side, F.struct("a", "b")))
+    two = _in_overlaps(het).groupBy(*by, "join", "pos").agg(own(0).alias("x"), own(1).alias("y"))
+    same, turned = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))
+    votes = two.groupBy(*by, "join").agg(F.count_if(same).alias("matches"), F.count_if(turned).alias("mismatches"))
+    second = paired.groupBy("chrom", "join").agg(F.min(F.when(F.col("nth") > F.ceil(F.col("n") / 2), F.col("pos"))).alias("second"), F.max("n").alias("n"))
+    at = {"join": F.col("join") + 1}
+    files = chunks.select(*by, "chunk").distinct().join(ends.select("chrom", "chunk", "k", "start"), ["chrom", "chunk"])
+    rows = files.join(second.withColumns(at).withColumnRenamed("join", "k"), ["chrom", "k"], "left")
+    rows = rows.join(votes.withColumns(at).withColumnRenamed("join", "k"), [*by, "k"], "left").fillna(0, ["matches", "mismatches", "n"])
+    w = Window.partitionBy(*by).orderBy("k")  # a row for each file
+    drawn = (F.col("n") > 0) & (F.col("matches") == F.col("mismatches"))
+    rows = rows.withColumn("_since", F.sum(drawn.cast("int")).over(w))
+    turns = F.sum((F.col("mismatches") > F.col("matches")).cast("int")).over(Window.partitionBy(*by, "_since").orderBy("k"))
+    f = F.col("matches") / (F.col("matches") + F.col("mismatches"))
+    mixed = (F.col("matches") > 0) & (F.col("mismatches") > 0)
+    quality = F.when(mixed, (_BEST_QUALITY * (_SHIFT + f * F.log(f) + (1 - f) * F.log(1 - f)) / _SHIFT).cast("int")).otherwise(_BEST_QUALITY)
+    rows = rows.withColumns({"swapped": turns % 2 == 1, "quality": F.when((F.col("k") > 1) & (F.col("n") > 0), quality)})
+    begins = F.when(F.col("quality") < min_quality, F.col("second"))
+    rows = rows.withColumn("phase_set", F.coalesce(F.last(begins, ignorenulls=True).over(w), "start"))
+    return rows.select(*by, "chunk", "k", "matches", "mismatches", "swapped", "quality", "phase_set", "second")
+
+
+def ligated_rows(chunks: DataFrame, *, min_quality: int = 30) -> DataFrame:
+    """(sample, chrom, pos, a, b, phased, phase_set, quality) of all files as one phased call set, each site once; see :func:`ligate_phase`.
+
+    The first half of the sites that an overlap's files share is the earlier file's, the
+    rest the later one's; sites of an overlap that one file lacks go. Alleles are
+    exchanged, and phased, where the file is swapped. ``quality`` is given at the first
+    site that the later file gives of an overlap, null elsewhere.
+    """
+    ends = _file_ends(chunks)
+    placed = chunks.select("chrom", "chunk", "pos").distinct().join(ends, ["chrom", "chunk"])
+    paired = _paired_sites(placed)
+    files = _joined_files(chunks, ends, paired, min_quality)
+    met = F.col("pos").between(F.col("next_lo"), F.col("next_hi")) | (F.col("pos") <= F.col("prior_hi"))
+    apart = placed.filter(~F.coalesce(met, F.lit(False)))
+    first = F.col("nth") <= F.ceil(F.col("n") / 2)
+    shared = paired.select("chrom", "pos", F.when(first, F.col("join")).otherwise(F.col("join") + 1).alias("k"))
+    kept = apart.select("chrom", "pos", "k").unionByName(shared).join(ends.select("chrom", "k", "chunk"), ["chrom", "k"]).select("chrom", "chunk", "pos")
+    rows = chunks.join(kept, ["chrom", "chunk", "pos"]).join(files, ["sample", "chrom", "chunk"])
     swap = lambda x, y: F.when(F.col("swapped"), F.col(y)).otherwise(F.col(x))
-    return rows.select(*by, "pos", swap("a", "b").alias("a"), swap("b", "a").alias("b"), "quality")
+    phased = F.col("phased") | (F.col("swapped") & F.col("a").isNotNull())
+    return rows.select("sample", "chrom", "pos", swap("a", "b").alias("a"), swap("b", "a").alias("b"), phased.alias("phased"), "phase_set", F.when(F.col("pos") == F.col("second"), F.col("quality")).alias("quality"))
 
 
 def map_position(sites: DataFrame, genetic_map: DataFrame, *, size: int = RANGE) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
 from genoframe.operators import annotate, calling, filters, genotype, joins, lines, merge, ranges, reshape, sequence, stats
-from genoframe.plans.queries import _G, _I, _P, _PAIR, _PL, _S, _TWO, MERGED_ROWS, SITE, files_of_samples, likelihoods, query, table, two_sets, variants
+from genoframe.plans.queries import _G, _I, _P, _PAIR, _PL, _S, _TWO, LIGATED, MERGED_ROWS, SITE, files_of_samples, likelihoods, phased_files, query, table, two_sets, variants
 from genoframe.sources.views import genotypes, intervals
 from genoframe.streaming import events as ev
 
@@ -222,14 +222,12 @@ def left_aligned(spark, sf_dir):
     return reshape.left_align(own.select(*SITE, "rec", base.alias("ref"), F.array(F.substr(base, F.lit(1), F.lit(1))).alias("alts")), ref)
 
 
-@query(f"""WITH {_G} SELECT sample, chrom, pos, a, b FROM g""")
+@query(f"""WITH RECURSIVE {LIGATED}, kept AS (SELECT chrom, k, pos FROM site WHERE NOT coalesce(before, false) AND NOT coalesce(after, false) UNION ALL SELECT chrom, CASE WHEN later THEN k + 1 ELSE k END, pos FROM pairs)
+ SELECT num.sample AS sample, num.chrom AS chrom, num.pos AS pos, CASE WHEN swapped THEN b ELSE a END AS a, CASE WHEN swapped THEN a ELSE b END AS b, phased OR swapped AS phased, ps AS phase_set,
+ CASE WHEN num.pos = second THEN q END AS quality FROM num JOIN kept ON num.chrom = kept.chrom AND num.k = kept.k AND num.pos = kept.pos JOIN st ON num.sample = st.sample AND num.chrom = st.chrom AND num.k = st.k""")
 def ligated_rows(spark, sf_dir):
-    """Chunks of 500 positions, each also holding the next one's sites, in every other chunk with phases swapped: all come back as they were."""
-    rows = genotypes(spark, sf_dir).select("sample", "chrom", F.expr("pos div 500").alias("chunk"), "pos", "a", "b")
-    both = rows.unionByName(rows.withColumn("chunk", F.col("chunk") - 1).filter("chunk >= 0"))
-    odd = F.col("chunk") % 2 == 1
-    turned = both.withColumns({"x": F.when(odd, F.col("b")).otherwise(F.col("a")), "y": F.when(odd, F.col("a")).otherwise(F.col("b"))})
-    return sequence.ligated_rows(turned.select("sample", "chrom", "chunk", "pos", F.col("x").alias("a"), F.col("y").alias("b"))).select("sample", "chrom", "pos", "a", "b")
+    """The files as one call set with phase sets."""
+    return sequence.ligated_rows(phased_files(spark, sf_dir))
 
 
 @query(f"""WITH {_S} SELECT chrom, pos, chrom || chr(9) || pos || chr(9) || ref || chr(9) || alt || CASE WHEN alt2 IS NULL THEN '' ELSE ',' || alt2 END || chr(9) || CASE WHEN kind IN (1, 2) THEN 'INDEL' ELSE 'SNP' END

@@ -700,18 +700,44 @@ def heterozygous_rates(spark, sf_dir):
     return homozygosity.window_rates(rows, 1000)
 
 
-@query(f"""WITH {_S}, {_G}, c AS (SELECT sample, g.chrom AS chrom, CAST(g.pos // 500 AS BIGINT) AS chunk, g.pos AS pos, a, b FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos
- UNION ALL SELECT sample, g.chrom, CAST(g.pos // 500 - 1 AS BIGINT), g.pos, CASE WHEN (g.pos // 500) % 2 = 0 THEN a ELSE b END, CASE WHEN (g.pos // 500) % 2 = 0 THEN b ELSE a END FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos),
- h AS (SELECT * FROM c WHERE a <> b), v AS (SELECT x.sample AS sample, x.chrom AS chrom, y.chunk AS chunk, count(*) FILTER (x.a = y.a) AS matches, count(*) FILTER (x.a = y.b) AS mismatches
- FROM h x JOIN h y ON x.sample = y.sample AND x.chrom = y.chrom AND x.pos = y.pos AND y.chunk = x.chunk + 1 GROUP BY 1, 2, 3),
- e AS (SELECT DISTINCT sample, chrom, chunk FROM c), j AS (SELECT e.*, coalesce(matches, 0) AS matches, coalesce(mismatches, 0) AS mismatches FROM e LEFT JOIN v ON e.sample = v.sample AND e.chrom = v.chrom AND e.chunk = v.chunk)
- SELECT sample, chrom, chunk, matches, mismatches, sum(CASE WHEN mismatches > matches THEN 1 ELSE 0 END) OVER (PARTITION BY sample, chrom ORDER BY chunk) % 2 = 1 AS swapped FROM j""")
+def phased_files(spark, sf_dir) -> DataFrame:
+    """Files of 500 positions, each with the next one's sites too, but for some that only one of the two has; some files have turned phases, and some sites of them have not."""
+    g = genotypes(spark, sf_dir).join(variants(spark, sf_dir).select(*SITE), SITE).withColumns({"own": F.expr("pos div 500"), "phased": F.col("pos") % 13 != 0})
+    own = g.filter("pos % 11 <> 0").withColumn("chunk", F.col("own"))
+    copy = g.filter("pos % 7 <> 0").withColumn("chunk", F.col("own") - 1)
+    noise = (F.col("own") != F.col("chunk")) & ((F.col("pos") + F.col("sample")) % (2 + F.col("own") % 5) == 0)
+    rows = own.unionByName(copy).withColumn("turn", ((F.col("sample") + F.col("chunk") + 1) % 3 == 0) != noise)
+    pick = lambda x, y: F.when(F.col("turn"), F.col(y)).otherwise(F.col(x))
+    return rows.select("sample", "chrom", "chunk", "pos", pick("a", "b").alias("a"), pick("b", "a").alias("b"), "phased")
+
+
+#: The joins file by file: ``st`` carries swap state and phase set on from each file to the next.
+LIGATED = f"""{_S}, {_G}, f AS (SELECT sample, g.chrom AS chrom, CAST(g.pos // 500 AS BIGINT) AS own, g.pos AS pos, a, b, g.pos % 13 <> 0 AS phased FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos),
+ t AS (SELECT *, own AS chunk, (sample + own + 1) % 3 = 0 AS turn FROM f WHERE pos % 11 <> 0
+  UNION ALL SELECT *, own - 1, ((sample + own) % 3 = 0) <> ((pos + sample) % (2 + own % 5) = 0) FROM f WHERE pos % 7 <> 0),
+ c AS (SELECT sample, chrom, chunk, pos, CASE WHEN turn THEN b ELSE a END AS a, CASE WHEN turn THEN a ELSE b END AS b, phased FROM t),
+ ends AS (SELECT chrom, chunk, min(pos) AS lo, max(pos) AS hi FROM c GROUP BY chrom, chunk),
+ nums AS (SELECT *, row_number() OVER w AS k, lag(hi) OVER w AS phi, lead(lo) OVER w AS nlo, lead(hi) OVER w AS nhi FROM ends WINDOW w AS (PARTITION BY chrom ORDER BY chunk)),
+ site AS (SELECT DISTINCT c.chrom AS chrom, k, pos, pos <= phi AS before, pos BETWEEN nlo AND nhi AS after FROM c JOIN nums ON c.chrom = nums.chrom AND c.chunk = nums.chunk),
+ pairs AS (SELECT x.chrom AS chrom, x.k AS k, x.pos AS pos, row_number() OVER (PARTITION BY x.chrom, x.k ORDER BY x.pos) * 2 > count(*) OVER (PARTITION BY x.chrom, x.k) + 1 AS later
+  FROM site x JOIN site y ON x.chrom = y.chrom AND x.pos = y.pos AND y.k = x.k + 1 WHERE x.after AND y.before),
+ half AS (SELECT chrom, k, count(*) AS n, min(pos) FILTER (later) AS second FROM pairs GROUP BY chrom, k),
+ num AS (SELECT c.*, k FROM c JOIN nums ON c.chrom = nums.chrom AND c.chunk = nums.chunk),
+ vote AS (SELECT x.sample AS sample, x.chrom AS chrom, x.k AS k, count(*) FILTER (x.a = y.a AND x.b = y.b) AS m, count(*) FILTER (x.a = y.b AND x.b = y.a) AS o
+  FROM num x JOIN num y ON x.sample = y.sample AND x.chrom = y.chrom AND x.pos = y.pos AND y.k = x.k + 1 WHERE x.a <> x.b AND y.a <> y.b AND x.phased AND y.phased GROUP BY 1, 2, 3),
+ files AS (SELECT DISTINCT sample, num.chrom AS chrom, num.chunk AS chunk, k FROM num),
+ j AS (SELECT files.*, coalesce(n, 0) AS n, second, coalesce(m, 0) AS m, coalesce(o, 0) AS o,
+  CASE WHEN n > 0 THEN CASE WHEN m > 0 AND o > 0 THEN CAST(trunc(99 * (0.7 + m / (m + o) * ln(m / (m + o)) + o / (m + o) * ln(o / (m + o))) / 0.7) AS INTEGER) ELSE 99 END END AS q
+  FROM files LEFT JOIN half ON files.chrom = half.chrom AND files.k = half.k + 1 LEFT JOIN vote ON files.sample = vote.sample AND files.chrom = vote.chrom AND files.k = vote.k + 1),
+ st AS (SELECT sample, chrom, chunk, k, m, o, q, second, false AS swapped, (SELECT min(lo) FROM ends WHERE ends.chrom = j.chrom) AS ps FROM j WHERE k = 1
+  UNION ALL SELECT j.sample, j.chrom, j.chunk, j.k, j.m, j.o, j.q, j.second, CASE WHEN j.n = 0 THEN st.swapped WHEN j.m = j.o THEN false ELSE st.swapped <> (j.o > j.m) END,
+   CASE WHEN j.q < 30 AND j.second IS NOT NULL THEN j.second ELSE st.ps END FROM st JOIN j ON st.sample = j.sample AND st.chrom = j.chrom AND j.k = st.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {LIGATED} SELECT sample, chrom, chunk, m AS matches, o AS mismatches, swapped, q AS quality, ps AS phase_set FROM st""")
 def ligate_phase(spark, sf_dir):
-    """Chunks of 500 positions, each also holding the next one's sites, in every other chunk with phases swapped."""
-    rows = genotypes(spark, sf_dir).join(variants(spark, sf_dir).select("chrom", "pos"), SITE).select("sample", "chrom", F.expr("pos div 500").alias("chunk"), "pos", "a", "b")
-    even = F.col("chunk") % 2 == 0
-    moved = rows.select("sample", "chrom", (F.col("chunk") - 1).alias("chunk"), "pos", F.when(even, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("b"))
-    return sequence.ligate_phase(rows.unionByName(moved)).select("sample", "chrom", "chunk", "matches", "mismatches", "swapped")
+    """How phased files join: votes, swap states, qualities and phase sets."""
+    return sequence.ligate_phase(phased_files(spark, sf_dir))
 
 
 _UNITS = [[round(((i * 37 + k * 11) % 100) / 100 - 0.5, 2) for k in range(64)] for i in range(9)]
