@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoframe.functions.genetics import INDEL, SNP
 from genoframe.functions.keys import site_key
 from genoframe.operators.joins import RANGE, annotate_intervals, unite
-from genoframe.operators.ranges import running_total, with_previous
+from genoframe.operators.ranges import reach_before, running_total, with_previous
 
 
 def include(df: DataFrame, condition: Column) -> DataFrame:
@@ -119,55 +122,121 @@ def indel_gap(indels: DataFrame, gap: int, *, order: str = "rec", size: int = RA
     return chained.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_new", "_chain", "_rank")
 
 
+#: The letters of the legacy filter, fixed: passed, mapping quality, depth low and high, ALT bases, gap, lesser gap, bias, lesser neighbour or genotype quality, Hardy-Weinberg.
+LETTERS = "UQdDaGgPMS"
+
+
 def legacy_gates(
-    sites: DataFrame, *, min_quality: float = 10, min_depth: int = 2, max_depth: int = 10_000_000, min_alts: int = 2,
-    indel_window: int = 10, snp_window: int = 3, bias: tuple[float, ...] = (1e-4, 1e-100, 0, 1e-4), hwe: float = 1e-4,
+    sites: DataFrame, *, min_quality: float = 10, min_depth: int = 2, max_depth: int = 10_000_000, min_alts: int = 2, indel_window: int = 10, snp_window: int = 3,
+    bias: tuple[float, ...] = (1e-4, 1e-100, 0, 1e-4), hwe: float = 1e-4, min_genotype_quality: float = 0, max_strand: float = 1000,
 ) -> DataFrame:
-    """Adds ``letter``: the gate of the legacy filter that a site fails, ``-`` if it passes all.
-
-    Of a record alone, the first that applies: S its Hardy-Weinberg chance ``hwe`` is below
-    the limit with more heterozygotes than expected (``g3``); a too few bases for the ALT
-    (``dp4`` third and fourth); d, D depth ``dp`` too low or high; Q RMS mapping quality
-    ``mq`` too low; P one of the four bias tests ``pv4`` below its limit. Then, among those
-    that pass so far: G a SNP or MNP within ``snp_window`` of an indel; g an indel within
-    ``indel_window`` of one of higher score (QUAL times 100 plus ALT bases; of equals the
-    first stays); M a SNP or MNP that shares a position with one of higher score. Missing
-    values pass. Neighbours are judged pair by pair, not in order of reading: a beaten
-    indel still beats a lesser one. Needs ``rec``, ``ref``, ``qual``, ``is_indel``, ``span``.
+    """Adds ``letter``, one of ``LETTERS``: why the legacy filter drops a site, U if it stays.
+
+    Sites without ALT or with REF N are left out. Of a record alone: d, D depth ``dp``
+    too low or high; in its place a, too few ALT bases (the last two of ``dp4``); else Q
+    RMS mapping quality ``mq``; else P one of the four bias tests ``pv4``; else M least
+    genotype quality ``mxgq`` or strand value ``mxsp``; in place of all, S its
+    Hardy-Weinberg chance ``hwe`` below the limit with more heterozygotes than expected
+    of ``g3``. Missing values pass.
+
+    Then records meet those read before them (by ``pos``, ``rec``), see :func:`_judge`.
+    What is read before matters only as far as it reaches, so each contig falls into
+    islands, dealt whole to tasks, which walk them in order and hold only what still
+    reaches the current record. Needs ``rec``, ``ref``, ``alts``, ``qual``.
     """
     have = lambda c: F.col(c) if c in sites.columns else F.lit(None)
     met = lambda x: F.coalesce(x, F.lit(False))
-    g3, dp4, pv4 = have("g3"), have("dp4"), have("pv4")
-    alts = F.get(dp4, F.lit(2)) + F.get(dp4, F.lit(3)) if "dp4" in sites.columns else F.lit(None).cast("double")
-    gates: list[tuple[str, Column]] = []
-    if "g3" in sites.columns and "hwe" in sites.columns:
-        p = F.get(g3, F.lit(0)) + F.get(g3, F.lit(1)) / 2
-        gates.append(("S", met((F.col("hwe") < hwe) & (F.get(g3, F.lit(1)) > 2 * p * (1 - p)))))
-    gates += [("a", met(alts < min_alts)), ("d", met(have("dp") < min_depth)), ("D", met(have("dp") > max_depth)), ("Q", met(have("mq") < min_quality))]
-    if "pv4" in sites.columns:
-        gates.append(("P", reduce(lambda a, b: a | b, [met(F.get(pv4, F.lit(k)) < limit) for k, limit in enumerate(bias)])))
-    score = F.struct((F.coalesce("qual", F.lit(0.0)) * 100 + F.coalesce(alts, F.lit(0))).cast("double").alias("q"), (-F.col("rec")).alias("r"))
-    rows = sites.withColumns({"_alone": first_gate(gates), "_score": score})
-    passing = F.col("_alone") == "-"
-    wide = rows.withColumns({"is_snp": passing & ~F.col("is_indel"), "is_indel": passing & F.col("is_indel")})
-    near = with_snp_gap(wide.select("chrom", "pos", "rec", "span", "is_snp", "is_indel", "_alone", "_score", "ref"), snp_window, "_shadow")
-    by = ["chrom", "rec"]
-    indels = near.filter("is_indel").select("chrom", "pos", "rec", "span", F.col("_score").alias("own"))
-    beaten = _near(indels, indel_window).filter("own < other").select(*by).distinct().withColumn("_beaten", F.lit("g"))
-    plain = near.filter("is_snp and not _shadow").select("chrom", "pos", "rec", F.length("ref").alias("span"), F.col("_score").alias("own"))
-    lesser = _near(plain, 0).filter("own < other").select(*by).distinct().withColumn("_lesser", F.lit("M"))
-    last = F.when(F.col("_alone") != "-", F.col("_alone")).when(F.col("_shadow"), "G")
-    letters = near.join(beaten, by, "left").join(lesser, by, "left").select(*by, F.coalesce(last, "_beaten", "_lesser", F.lit("-")).alias("letter"))
-    return sites.join(letters, by)
-
-
-def _near(rows: DataFrame, window: int) -> DataFrame:
-    """Each row's ``own`` with that of every ``other`` whose span lies within ``window`` of its own; they meet in bins of 1024 positions."""
-    begin, end = F.col("pos") - window, F.col("pos") + F.col("span") - 1 + window
-    a = rows.withColumns({"_a": begin, "_b": end}).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_a") / 1024), F.floor(F.col("_b") / 1024))))
-    b = rows.select("chrom", F.col("pos").alias("_c"), (F.col("pos") + F.col("span") - 1).alias("_d"), F.col("own").alias("other"))
-    b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_c") / 1024), F.floor(F.col("_d") / 1024))))
-    return a.join(b, ["chrom", "_bin"]).filter((F.col("_c") <= F.col("_b")) & (F.col("_d") >= F.col("_a")) & (F.col("own") != F.col("other")))
+    at = lambda c, k: F.get(c, F.lit(k)).cast("double") if c in sites.columns else F.lit(None).cast("double")
+    alt_bases = at("dp4", 2) + at("dp4", 3)
+    depth = F.when(met(have("dp") < min_depth), "d").when(met(have("dp") > max_depth), "D")
+    depth = F.when(met(alt_bases < min_alts), "a").otherwise(depth)
+    biased = reduce(lambda x, y: x | y, [met(at("pv4", k) < limit) for k, limit in enumerate(bias)])
+    low = met(have("mxgq") < min_genotype_quality) | met(have("mxsp") >= max_strand)
+    p = 2 * at("g3", 0) + at("g3", 1)
+    excess = met(have("hwe") < hwe) & met((p > 0) & (p < 1) & (at("g3", 1) > p * (1 - p)))
+    alone = F.when(excess, "S").otherwise(F.coalesce(depth, F.when(met(have("mq") < min_quality), "Q").when(biased, "P").when(low, "M"), F.lit("U")))
+    size = F.length("ref")
+    longer = F.exists("alts", lambda a: F.length(a) != size)
+    kind = F.when(longer, 3).when(size > 1, 2).otherwise(1)
+    rows = sites.filter((F.size("alts") > 0) & (F.col("ref") != "N")).select(
+        "chrom", F.col("pos").cast("long").alias("pos"), F.col("rec").cast("long").alias("rec"), "ref", F.array_join("alts", ",").alias("alt"), kind.alias("kind"),
+        (F.coalesce(have("qual").cast("double"), F.lit(0.0)) * 100 + F.coalesce(alt_bases, F.lit(-1.0))).alias("score"), alone.alias("letter"),
+    )
+    order = [F.col("pos"), F.col("rec")]
+    window = F.when(F.col("kind") == 3, max(indel_window, snp_window)).otherwise(snp_window)
+    reach = reach_before(rows.withColumn("_reach", F.col("pos") + F.length("ref") - 1 + window), "_reach", "_before", order)
+    fresh = reach.withColumn("_new", F.when(F.col("pos") <= F.col("_before"), 0).otherwise(1)).drop("_reach", "_before")
+    islands = running_total(fresh, "_new", "island", order).drop("_new").repartition("chrom", "island").sortWithinPartitions("chrom", "island", *order)
+    kinds = {f.name: f.dataType.simpleString() for f in islands.schema}
+    letters = islands.mapInPandas(_walk(indel_window, snp_window), f"chrom {kinds['chrom']}, rec long, letter string")
+    return sites.join(letters, ["chrom", "rec"])
+
+
+class _Site:
+    __slots__ = ("chrom", "pos", "rec", "ref", "alt", "kind", "score", "letter", "end")
+
+    def __init__(self, chrom, pos, rec, ref, alt, kind, score, letter) -> None:
+        self.chrom, self.pos, self.rec, self.ref, self.alt, self.kind, self.score, self.letter = chrom, pos, rec, ref, alt, kind, score, letter
+        self.end = pos + len(ref) - 1
+
+
+def _judge(site: _Site, before: Iterable[_Site], indel_window: int, snp_window: int) -> None:
+    """Letters of a record that is fine by itself and of those read before it.
+
+    An indel takes the SNPs and MNPs that still stand within ``snp_window`` (G), and of the
+    standing indels within ``indel_window``, in order, all of lower score (g) until one
+    of no lower score takes it. A SNP or MNP goes by the first indel within ``snp_window``, standing
+    or not, unless that is one base longer than its REF and ends at the site in its ALT's
+    first base: then the indel goes (G). And of the SNPs and MNPs that reach the site, standing or
+    not, all of lower score go until one of no lower score takes it (M). A score read
+    before counts without its fraction.
+    """
+    if site.kind == 3:
+        for x in before:
+            if x.kind != 3 and x.letter == "U" and x.end + snp_window >= site.pos:
+                x.letter = "G"
+        rivals, mark = [x for x in before if x.kind == 3 and x.letter == "U" and x.end + indel_window >= site.pos], "g"
+    else:
+        gap = next((x for x in before if x.kind == 3 and x.end + snp_window >= site.pos), None)
+        if gap:
+            same = len(gap.alt) - len(gap.ref) == 1 and gap.pos + len(gap.alt) - 1 == site.pos and gap.alt[-1] == site.alt[0]
+            (gap if same else site).letter = "G"
+        rivals, mark = [x for x in before if x.kind != 3 and x.end >= site.pos], "M"
+    for x in rivals:
+        loser = x if int(x.score) < site.score else site
+        loser.letter = mark
+        if loser is site:
+            break
+
+
+def _walk(indel_window: int, snp_window: int):
+    far = max(indel_window, snp_window)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: deque[_Site] = deque()  # of one island, in order
+        island = None
+        for b in batches:
+            done: list[_Site] = []
+            for chrom, pos, rec, ref, alt, kind, score, letter, own in b[["chrom", "pos", "rec", "ref", "alt", "kind", "score", "letter", "island"]].itertuples(index=False):
+                if (chrom, own) != island:
+                    done += held
+                    held.clear()
+                    island = (chrom, own)
+                while held and held[0].end + far < pos:
+                    done.append(held.popleft())
+                site = _Site(chrom, pos, rec, ref, alt, kind, score, letter)
+                if letter == "U":
+                    _judge(site, held, indel_window, snp_window)
+                held.append(site)
+            yield _letters(done, b)
+        if island is not None:
+            yield _letters(list(held), b)
+
+    return walk
+
+
+def _letters(done: list[_Site], like: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"chrom": pd.Series([s.chrom for s in done], dtype=like["chrom"].dtype), "rec": [s.rec for s in done], "letter": [s.letter for s in done]})
 
 
 def caller_gate(sites: DataFrame, *, variants_only: bool = False, skip: str | None = None, keep_n: bool = False) -> DataFrame:

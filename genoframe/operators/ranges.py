@@ -37,6 +37,16 @@ def running_total(rows: DataFrame, value: str, name: str, order: list[Column], *
     return cut.join(carry, [*keys, "_range"]).withColumn(name, F.col("_carry") + F.sum(value).over(w)).drop("_range", "_carry")
 
 
+def reach_before(rows: DataFrame, value: str, name: str, order: list[Column], *, keys: list[str] = ["chrom"], pos: str = "pos", size: int = RANGE) -> DataFrame:  # noqa: B006
+    """Adds the largest ``value`` of all rows before by ``order``, which begins with ``pos``; null for the first of its keys."""
+    cut = _ranged(rows, keys, pos, size)
+    tops = cut.groupBy(*keys, "_range").agg(F.max(value).alias("_top"))
+    above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(*keys, "_range", F.max("_top").over(above).alias("_carry"))
+    w = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(carry, [*keys, "_range"]).withColumn(name, F.greatest(F.max(value).over(w), "_carry")).drop("_range", "_carry")
+
+
 def with_neighbours(rows: DataFrame, value: Column, *, keys: list[str] = ["chrom"], pos: str = "pos", size: int = RANGE) -> DataFrame:  # noqa: B006
     """Adds ``before`` and ``after``: the nearest values that are not null at or before and at or after the row's position."""
     cut = _ranged(rows.withColumn("_v", value), keys, pos, size)

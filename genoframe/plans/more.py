@@ -65,18 +65,40 @@ def caller_gates(spark, sf_dir):
     return filters.biallelic(filters.caller_gate(v, variants_only=True, skip="indels")).select(*SITE)
 
 
-@query(f"""WITH {_S}, x AS (SELECT *, kind IN (1, 2) AS indel, CASE WHEN kind = 2 THEN length(ref) ELSE 1 END AS span, src % 50 AS dp, src % 37 AS mq, src % 5 AS alts, (src % 11) / 10000.0 AS p FROM s),
- a AS (SELECT *, qual * 100 + alts AS score, CASE WHEN alts < 2 THEN 'a' WHEN dp < 3 THEN 'd' WHEN dp > 45 THEN 'D' WHEN mq < 10 THEN 'Q' WHEN p < 0.0002 THEN 'P' ELSE '-' END AS alone FROM x),
- n AS (SELECT * FROM a WHERE alone = '-'), i AS (SELECT * FROM n WHERE indel),
- b AS (SELECT *, NOT indel AND alone = '-' AND EXISTS (SELECT 1 FROM i WHERE i.chrom = a.chrom AND a.pos BETWEEN i.pos - 3 AND i.pos + i.span + 2) AS shadow,
- indel AND alone = '-' AND EXISTS (SELECT 1 FROM i WHERE i.chrom = a.chrom AND i.pos <= a.pos + a.span + 9 AND i.pos + i.span - 1 >= a.pos - 10 AND i.rec <> a.rec AND (i.score > a.score OR (i.score = a.score AND i.rec < a.rec))) AS beaten FROM a)
- SELECT chrom, pos, CASE WHEN alone <> '-' THEN alone WHEN shadow THEN 'G' WHEN beaten THEN 'g' ELSE '-' END AS letter FROM b""")
+def _legacy_sql() -> str:
+    """A fold of each island, record by record: ``st`` is the list of its records so far with their letters."""
+    made = lambda letter: "{'rec': x.rec, 'pos': x.pos, 'fin': x.fin, 'rl': x.rl, 'alt': x.alt, 'kind': x.kind, 'score': x.score, 'letter': " + letter + "}"
+    rival = "CASE WHEN kind = 3 THEN x.kind = 3 AND x.letter = 'U' AND x.fin + 10 >= pos ELSE x.kind <> 3 AND x.fin >= pos END"
+    return f"""WITH RECURSIVE {_S}, x AS (SELECT chrom, pos, rec, CASE WHEN kind = 3 THEN ref || 'ACG' ELSE ref END AS ref, CASE WHEN kind = 3 THEN alt || 'ACG,' || alt2 || 'TTT' ELSE alt END AS alt,
+   CASE WHEN kind IN (1, 2) THEN 3 WHEN kind = 3 THEN 2 ELSE 1 END AS kind, CAST(qual AS DOUBLE) AS qual, src % 50 AS dp, src % 37 AS mq, src % 9 AS alts, (src % 29) / 10000.0 AS p, (rec % 9) / 20.0 AS g0, (rec % 7) / 10.0 AS g1, (rec % 13) / 10000.0 AS hwe FROM s),
+ y AS (SELECT *, pos + length(ref) - 1 AS fin, qual * 100 + alts AS score, CASE WHEN hwe < 0.0001 AND 2 * g0 + g1 > 0 AND 2 * g0 + g1 < 1 AND g1 > (2 * g0 + g1) * (1 - 2 * g0 - g1) THEN 'S'
+   WHEN alts < 2 THEN 'a' WHEN dp < 3 THEN 'd' WHEN dp > 45 THEN 'D' WHEN mq < 3 THEN 'Q' WHEN p < 0.0002 THEN 'P' ELSE 'U' END AS letter FROM x),
+ f AS (SELECT *, max(fin + CASE WHEN kind = 3 THEN 10 ELSE 3 END) OVER (PARTITION BY chrom ORDER BY pos, rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM y),
+ g AS (SELECT *, sum(CASE WHEN pos <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos, rec) AS isle FROM f),
+ n AS (SELECT *, row_number() OVER (PARTITION BY chrom, isle ORDER BY pos, rec) AS i, {{'rec': rec, 'pos': pos, 'fin': fin, 'rl': length(ref), 'alt': alt, 'kind': kind, 'score': score, 'letter': letter}} AS own FROM g),
+ fold AS (SELECT chrom, isle, i, [own] AS st FROM n WHERE i = 1 UNION ALL
+  SELECT chrom, isle, i, CASE WHEN letter <> 'U' THEN list_append(st, own) ELSE list_append(list_transform(st2, lambda x, k: {made("CASE WHEN " + rival + " AND (halt IS NULL OR k < halt) THEN mark ELSE x.letter END")}),
+    {{'rec': own.rec, 'pos': own.pos, 'fin': own.fin, 'rl': own.rl, 'alt': own.alt, 'kind': own.kind, 'score': own.score, 'letter': CASE WHEN halt IS NOT NULL THEN mark WHEN gapped AND NOT same THEN 'G' ELSE 'U' END}}) END
+  FROM (SELECT *, list_position(list_transform(st2, lambda x: {rival} AND floor(x.score) >= score), true) AS halt, CASE WHEN kind = 3 THEN 'g' ELSE 'M' END AS mark FROM (
+   SELECT *, list_transform(st, lambda x: {made("CASE WHEN kind = 3 AND x.kind <> 3 AND x.letter = 'U' AND x.fin + 3 >= pos OR gapped AND same AND x.rec = gap.rec THEN 'G' ELSE x.letter END")}) AS st2 FROM (
+    SELECT *, gap IS NOT NULL AS gapped, coalesce(length(gap.alt) - gap.rl = 1 AND gap.pos + length(gap.alt) - 1 = pos AND right(gap.alt, 1) = left(alt, 1), false) AS same FROM (
+     SELECT n.*, st, CASE WHEN n.kind <> 3 THEN list_filter(st, lambda x: x.kind = 3 AND x.fin + 3 >= n.pos)[1] END AS gap FROM fold JOIN n ON fold.chrom = n.chrom AND fold.isle = n.isle AND n.i = fold.i + 1) a) b) c) d),
+ whole AS (SELECT chrom, unnest(st) AS x FROM (SELECT chrom, isle, max_by(st, i) AS st FROM fold GROUP BY chrom, isle))
+ SELECT chrom, x.pos AS pos, x.letter AS letter FROM whole"""
+
+
+@query(_legacy_sql())
 def legacy_filter(spark, sf_dir):
-    v = variants(spark, sf_dir).withColumns({
-        "is_indel": F.col("mask") == gen.INDEL, "dp": F.col("src") % 50, "mq": F.col("src") % 37, "dp4": F.array(F.lit(0), F.lit(0), F.lit(0).cast("long"), F.col("src") % 5),
-        "pv4": F.array(*[(F.col("src") % 11) / 10000.0] * 4),
+    """All gates, and neighbours in order of reading; sites with two ALTs are made MNPs, which reach their neighbours."""
+    v = variants(spark, sf_dir)
+    two, src, rec = F.col("kind") == 3, F.col("src"), F.col("rec")
+    alt = lambda k, tail: F.concat(F.get("alts", F.lit(k)), F.lit(tail))
+    rows = v.withColumns({
+        "ref": F.when(two, F.concat("ref", F.lit("ACG"))).otherwise(F.col("ref")), "alts": F.when(two, F.array(alt(0, "ACG"), alt(1, "TTT"))).otherwise(F.col("alts")),
+        "dp": src % 50, "mq": src % 37, "dp4": F.array(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), src % 9), "pv4": F.array(*[(src % 29) / 10000.0] * 4),
+        "g3": F.array((rec % 9) / 20.0, (rec % 7) / 10.0, F.lit(0.0)), "hwe": (rec % 13) / 10000.0,
     })
-    return filters.legacy_gates(v, min_depth=3, max_depth=45, bias=(2e-4,) * 4).select(*SITE, "letter")
+    return filters.legacy_gates(rows, min_depth=3, max_depth=45, min_quality=3, bias=(2e-4,) * 4).select(*SITE, "letter")
 
 
 # --- joins ---------------------------------------------------------------------
