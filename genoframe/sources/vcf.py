@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoframe.sources.blocks import SPLIT_BYTES, read_block_lines
+
 _KIND = {"Integer": "int", "Float": "float", "String": "string", "Character": "string", "Flag": "boolean"}
 _FIXED = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
 
@@ -42,12 +44,12 @@ class Header:
         return h
 
 
-def read_header(spark: SparkSession, path: str | list[str]) -> Header:
-    """The lines that begin with ``#`` of the first file, by name, of a path or of the first path of a list.
+def read_header(spark: SparkSession, path: str | list[str], lines: DataFrame | None = None) -> Header:
+    """The lines that begin with ``#`` of the first file, by name, of a path or of the first path of a list, or of its ``lines``.
 
     Reading stops at the first record, so no more than a batch of each split is looked at.
     """
-    first = spark.read.format("binaryFile").load(path if isinstance(path, str) else path[0]).agg(F.min("path")).first()[0]
+    first = lines is None and spark.read.format("binaryFile").load(path if isinstance(path, str) else path[0]).agg(F.min("path")).first()[0]
 
     def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -56,20 +58,23 @@ def read_header(spark: SparkSession, path: str | list[str]) -> Header:
             if len(own) < len(b):
                 return
 
-    return Header.of([r["value"] for r in spark.read.text(first).mapInPandas(head, "value string").collect()])
+    return Header.of([r["value"] for r in (spark.read.text(first) if lines is None else lines).mapInPandas(head, "value string").collect()])
 
 
 def _dot(c: Column) -> Column:
     return F.nullif(c, F.lit("."))
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None = None) -> tuple[Header, DataFrame]:
+def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None = None, *, blocks: bool = False, split_bytes: int = SPLIT_BYTES) -> tuple[Header, DataFrame]:
     """(header, records): chrom, contig, pos, id, ref, alts, qual, filters, info (struct), samples, rec.
 
+    With ``blocks``, files are block-gzipped text, read by many tasks, or binary; see :mod:`genoframe.sources.blocks`.
+
     ``samples``: an array in header order of maps FORMAT tag -> text; ``.`` and absent
     values are null, absent flags false, filters null where ``.``, alts empty where ``.``.
     """
-    header = header or read_header(spark, path)
+    lines = read_block_lines(spark, path, split_bytes) if blocks else spark.read.text(path)
+    header = header or (read_header(spark, path, read_block_lines(spark, path if isinstance(path, str) else path[0], split_bytes)) if blocks else read_header(spark, path))
     cells = F.split("value", "\t")
     at = {n: F.get(cells, F.lit(k)) for k, n in enumerate(_FIXED)}
     info = F.str_to_map(at["INFO"], F.lit(";"), F.lit("="))
@@ -88,7 +93,7 @@ def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None =
         F.slice(cells, 10, F.greatest(F.size(cells), F.lit(9))),
         lambda s: F.map_from_arrays(F.slice(tags, 1, F.size(F.split(s, ":"))), F.transform(F.split(s, ":"), _dot)),
     )
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != ""))
     rows = rows.withColumns({"rec": F.monotonically_increasing_id(), "_info": info})
     out = rows.select(
         at["CHROM"].alias("chrom"),
