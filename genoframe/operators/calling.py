@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.functions.genetics import genotype_index
+from genoframe.functions.genetics import genotype_index, let
 from genoframe.functions.special import chi2_upper, fisher_exact, minimise, one_sided_t
 from genoframe.operators.reshape import renumber
 
-THETA = 1.1e-3
+#: The expected share of variant sites, fixed; and what a reference without quality is given: that of one good read where sums are unscaled, else a small share.
+THETA, GOOD_READ, SMALL_SHARE = 1e-3, 32.0, 1e-3
 
 
 def pl_to_prob(pl: Column) -> Column:
@@ -31,16 +32,18 @@ def pl_to_prob(pl: Column) -> Column:
 
 
 def normalised_quality_sums(qs: Column) -> Column:
-    """Allele frequency prior from summed qualities; a reference without any gets a small share."""
-    first = F.when(F.get(qs, F.lit(0)) == 0, F.lit(1e-3)).otherwise(F.get(qs, F.lit(0)))
+    """Allele frequency prior from summed qualities; a reference without any gets ``GOOD_READ`` where the sums are over 2, else ``SMALL_SHARE``."""
+    sum_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    least = F.when(sum_of(qs) > 2, GOOD_READ).otherwise(SMALL_SHARE)
+    first = F.when(F.get(qs, F.lit(0)) == 0, least).otherwise(F.get(qs, F.lit(0)))
     whole = F.concat(F.array(first), F.slice(qs, 2, F.size(qs)))
-    total = F.aggregate(whole, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(whole, lambda x: x / total)
+    return let(whole, lambda w: let(sum_of(w), lambda total: F.transform(w, lambda x: x / total)))
 
 
 def watterson(theta: float, n_samples: int) -> float:
-    """log of the prior for a variant allele among ``2 n`` chromosomes, capped below 1."""
-    return math.log(min(0.99, theta * sum(1 / i for i in range(1, max(2, 2 * n_samples)))))
+    """log of the prior for a variant allele among ``2 n`` chromosomes; 0.99 if it is 1 or more."""
+    prior = theta * sum(1 / i for i in range(1, max(2, 2 * n_samples)))
+    return math.log(prior if prior < 1 else 0.99)
 
 
 def genotype_quality(p: Column) -> Column:
@@ -350,13 +353,12 @@ def bias_tests(sites: DataFrame, anno: str = "i16") -> DataFrame:
 # --- frequencies ---------------------------------------------------------------
 
 
-def frequency_posterior(prob: np.ndarray, theta: float = 1e-3) -> np.ndarray:
-    """(sites, 2 n + 1): the posterior of the number of non-reference alleles among n diploid samples.
+def count_likelihood(prob: np.ndarray) -> np.ndarray:
+    """(sites, 2 n + 1): log likelihoods of the number of non-reference alleles among n diploid samples, but for a constant of the site.
 
-    ``prob`` (sites, n, 3): likelihoods of 0, 1, 2 non-reference alleles. The likelihood of
-    each number is built up sample by sample (a convolution with weights 1, 2, 1), divided
-    by the number of ways, and weighed by the neutral prior theta / k. A sample with no
-    information has three equal likelihoods.
+    ``prob`` (sites, n, 3): likelihoods of 0, 1, 2 non-reference alleles. That of each
+    number is built up sample by sample (a convolution with weights 1, 2, 1) and divided
+    by the number of ways. A sample with no information has three equal likelihoods.
     """
     sites, n, _ = prob.shape
     z = np.zeros((sites, 2 * n + 1))
@@ -367,16 +369,30 @@ def frequency_posterior(prob: np.ndarray, theta: float = 1e-3) -> np.ndarray:
         new[:, 1:] += 2 * z[:, :-1] * p[:, 1:2]
         new[:, 2:] += z[:, :-2] * p[:, 2:3]
         z = new / np.maximum(new.sum(axis=1, keepdims=True), 1e-300)
-    k = np.arange(2 * n + 1)
-    ways = np.array([math.lgamma(2 * n + 1) - math.lgamma(x + 1) - math.lgamma(2 * n - x + 1) for x in k])
+    ways = np.array([math.lgamma(2 * n + 1) - math.lgamma(x + 1) - math.lgamma(2 * n - x + 1) for x in range(2 * n + 1)])
+    with np.errstate(divide="ignore"):
+        return np.log(z) - ways
+
+
+def frequency_posterior(prob: np.ndarray, theta: float = 1e-3, *, folded: bool = False) -> np.ndarray:
+    """(sites, 2 n + 1): the posterior of that number under the neutral prior theta / k; ``folded``: under the mean of it and its mirror image, which does not know the reference."""
+    like = count_likelihood(prob)
+    k = np.arange(like.shape[1])
     prior = np.where(k > 0, theta / np.maximum(k, 1), 0.0)
     prior[0] = max(1e-10, 1 - prior[1:].sum())
-    with np.errstate(divide="ignore"):
-        log_post = np.log(z) - ways + np.log(prior)
+    log_post = like + np.log((prior + prior[::-1]) / 2 if folded else prior)
     post = np.exp(log_post - log_post.max(axis=1, keepdims=True))
     return post / post.sum(axis=1, keepdims=True)
 
 
+def credible_interval(post: np.ndarray, outside: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """The equal-tailed interval of the frequency: the first numbers from either end at which more than half of ``outside`` is passed."""
+    m = post.shape[1] - 1
+    low = (np.cumsum(post, axis=1) > outside / 2).argmax(axis=1)
+    high = m - (np.cumsum(post[:, ::-1], axis=1) > outside / 2).argmax(axis=1)
+    return low / m, high / m
+
+
 def estimate_frequency(prob: np.ndarray, tries: int = 10, eps: float = 1e-5) -> np.ndarray:
     """Non-reference frequency of each site: EM, and where it has not settled after ``tries`` the likelihood's maximum by :func:`minimise`."""
     f = np.full(len(prob), 0.2)
@@ -407,12 +423,12 @@ def genotype_frequencies(prob: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def consensus_call(sites: DataFrame, *, p_variant: float = 0.5, theta: float = 1e-3) -> DataFrame:
-    """(key, af1, ac1, g3, hwe, lrt, fq, p_ref, qual, is_variant, genotypes) for rows with ``key`` and ``pls`` (three likelihoods a sample).
+    """(key, af1, ac1, ci_low, ci_high, g3, hwe, lrt, fq, p_ref, qual, is_variant, genotypes) for rows with ``key`` and ``pls`` (three likelihoods a sample).
 
-    ``af1``: the frequency's estimate; ``ac1``: the likeliest number of non-reference
-    alleles; ``g3`` and ``hwe``: genotype frequencies and the chance of so large a departure
+    ``af1``: the frequency's estimate; ``ac1``: the number of non-reference alleles that
+    fits best; ``ci_low``, ``ci_high``: the 95% interval of the frequency; ``g3`` and ``hwe``: genotype frequencies and the chance of so large a departure
     from Hardy-Weinberg, null above 0.05; ``lrt``: the chance of a better fit by them alone;
-    ``fq``: phred that all samples are alike, negative if so; a site is a variant if the
+    ``fq``: phred that all samples are alike under the folded prior, negative if so; a site is a variant if the
     chance of no ALT is below ``p_variant``. Genotypes are the likeliest under ``af1``.
     """
 
@@ -432,8 +448,9 @@ def consensus_call(sites: DataFrame, *, p_variant: float = 0.5, theta: float = 1
                 want = np.stack([(1 - share) ** 2, 2 * share * (1 - share), share**2], axis=1)
                 chance = chi2_upper(n * ((g - want) ** 2 / np.maximum(want, 1e-12)).sum(axis=1), 1)
                 lrt = chi2_upper(np.maximum(0, 2 * (free - bound)), 1)
-                p_ref, p_var = post[:, 0], post[:, 2 * n]
-                alike = np.minimum(1.0, p_ref + p_var)
+                p_ref, folded = post[:, 0], frequency_posterior(p, theta, folded=True)
+                alike = np.minimum(1.0, folded[:, 0] + folded[:, 2 * n])
+                count, (low, high) = np.round(count_likelihood(p), 9).argmax(axis=1), credible_interval(post)  # of equal fits the least
                 variant = p_ref < p_variant
                 r = np.where(variant, p_ref, 1 - p_ref)
                 phred = lambda x: np.minimum(999, -4.343 * np.log(np.maximum(x, 1e-300)))
@@ -444,15 +461,15 @@ def consensus_call(sites: DataFrame, *, p_variant: float = 0.5, theta: float = 1
                 calls = names[np.where(blank, 3, best)]
                 for m, k in enumerate(own):
                     sure = chance[m] <= 0.05
-                    made.append((k, f[m], int(post[m].argmax()), g[m].tolist() if sure else None, float(chance[m]) if sure else None, float(lrt[m]), float(fq[m]), float(p_ref[m]), float(phred(r[m])), bool(variant[m]), calls[m].tolist()))
-            names = ["k", "af1", "ac1", "g3", "hwe", "lrt", "fq", "p_ref", "qual", "is_variant", "genotypes"]
+                    made.append((k, f[m], int(count[m]), float(low[m]), float(high[m]), g[m].tolist() if sure else None, float(chance[m]) if sure else None, float(lrt[m]), float(fq[m]), float(p_ref[m]), float(phred(r[m])), bool(variant[m]), calls[m].tolist()))
+            names = ["k", "af1", "ac1", "ci_low", "ci_high", "g3", "hwe", "lrt", "fq", "p_ref", "qual", "is_variant", "genotypes"]
             out = pd.DataFrame(made, columns=names)
             out.insert(0, "key", b["key"].iloc[out["k"].to_numpy(int)].to_numpy() if len(out) else [])
             yield out.drop(columns="k")
 
     kind = sites.schema["key"].dataType.simpleString()
     return sites.select("key", "pls").mapInPandas(
-        call, f"key {kind}, af1 double, ac1 int, g3 array<double>, hwe double, lrt double, fq double, p_ref double, qual double, is_variant boolean, genotypes array<string>"
+        call, f"key {kind}, af1 double, ac1 int, ci_low double, ci_high double, g3 array<double>, hwe double, lrt double, fq double, p_ref double, qual double, is_variant boolean, genotypes array<string>"
     )
 
 

@@ -306,6 +306,23 @@ def consensus_calls(spark, sf_dir):
     return out.select("key.*", F.round("af1", 6).alias("af1"), "ac1", F.round("qual", 4).alias("qual"), F.round("fq", 4).alias("fq"), "is_variant", F.array_join("genotypes", " ").alias("genotypes"))
 
 
+@query(f"""WITH RECURSIVE {_P}, d AS (SELECT chrom, pos, list(x ORDER BY sample) AS x, list(y ORDER BY sample) AS y, list(z ORDER BY sample) AS z, CAST(count(*) AS INTEGER) AS n FROM w GROUP BY chrom, pos),
+ r AS (SELECT chrom, pos, n, 0 AS t, [CAST(1.0 AS DOUBLE)] AS l, x, y, z FROM d
+  UNION ALL SELECT chrom, pos, n, t + 1, list_transform(range(1, len(l) + 3), lambda k: coalesce(l[k], 0) * x[t + 1] + CASE WHEN k > 1 THEN 2 * coalesce(l[k - 1], 0) * y[t + 1] ELSE 0 END + CASE WHEN k > 2 THEN l[k - 2] * z[t + 1] ELSE 0 END), x, y, z FROM r WHERE t < n),
+ k AS (SELECT chrom, pos, 2 * n AS m, list_transform(l, lambda v, i: v * CAST(factorial(CAST(i - 1 AS INTEGER)) AS DOUBLE) * CAST(factorial(CAST(2 * n - i + 1 AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(2 * n AS INTEGER)) AS DOUBLE)) AS l,
+  1 - 0.001 * list_sum(list_transform(range(1, 2 * n + 1), lambda j: 1.0 / j)) AS p0 FROM r WHERE t = n),
+ p AS (SELECT *, list_transform(l, lambda v, i: v * CASE WHEN i = 1 THEN p0 ELSE 0.001 / (i - 1) END) AS a,
+  list_transform(l, lambda v, i: v * (CASE WHEN i = 1 THEN p0 ELSE 0.001 / (i - 1) END + CASE WHEN i = m + 1 THEN p0 ELSE 0.001 / (m + 1 - i) END) / 2) AS b FROM k),
+ o AS (SELECT *, list_sum(a) AS s, (b[1] + b[m + 1]) / list_sum(b) AS alike FROM p)
+ SELECT chrom, pos, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS ac1, round(a[1] / s, 8) AS p_ref, round(CASE WHEN alike < 0.5 THEN least(999, -4.343 * ln(alike)) ELSE -least(999, -4.343 * ln(1 - alike)) END, 4) AS fq,
+ list_filter(range(0, m + 1), lambda i: list_sum(a[1:i + 1]) > 0.025 * s)[1] / m AS ci_low, list_filter(range(m, -1, -1), lambda i: list_sum(a[i + 1:]) > 0.025 * s)[1] / m AS ci_high FROM o""")
+def allele_count_posterior(spark, sf_dir):
+    """The best allele count, the chance of none, the folded quality and the interval of the frequency."""
+    rows = likelihoods(spark, sf_dir).groupBy(*SITE).agg(F.sort_array(F.collect_list(F.struct("sample", "pl"))).alias("s"))
+    out = calling.consensus_call(rows.select(F.struct(*SITE).alias("key"), F.transform("s", lambda x: x["pl"]).alias("pls")))
+    return out.select("key.*", "ac1", F.round("p_ref", 8).alias("p_ref"), F.round("fq", 4).alias("fq"), "ci_low", "ci_high")
+
+
 @query()
 def strand_bias(spark, sf_dir):
     """Counts by strand and sums of qualities of each site's rows; tests hold the tests against plain forms."""

@@ -629,8 +629,8 @@ def dosages(spark, sf_dir):
 #: Likelihoods of each sample's three genotypes, scaled to add up to 1, and the site's quality sums.
 _P = f"""{_G}, {_PL}, e AS (SELECT *, pow(10, -p0 / 10.0) AS x, pow(10, -p1 / 10.0) AS y, pow(10, -p2 / 10.0) AS z FROM pl),
  w AS (SELECT chrom, pos, sample, x / (x + y + z) AS x, y / (x + y + z) AS y, z / (x + y + z) AS z FROM e)"""
-_QS = "q AS (SELECT chrom, pos, CASE WHEN sum(60 - dp) = 0 THEN 0.001 ELSE CAST(sum(60 - dp) AS DOUBLE) END AS q0, CAST(sum(dp) AS DOUBLE) AS q1, count(*) AS n FROM g GROUP BY chrom, pos), f AS (SELECT chrom, pos, n, q0 / (q0 + q1) AS r, q1 / (q0 + q1) AS a FROM q)"
-_THETA = "ln(least(0.99, 0.0011 * list_sum(list_transform(range(1, 2 * n), lambda i: 1.0 / i))))"
+_QS = "q AS (SELECT chrom, pos, CASE WHEN sum(greatest(30 - dp, 0)) = 0 THEN CASE WHEN sum(dp) > 2 THEN 32.0 ELSE 0.001 END ELSE CAST(sum(greatest(30 - dp, 0)) AS DOUBLE) END AS q0, CAST(sum(dp) AS DOUBLE) AS q1, count(*) AS n FROM g GROUP BY chrom, pos), f AS (SELECT chrom, pos, n, q0 / (q0 + q1) AS r, q1 / (q0 + q1) AS a FROM q)"
+_THETA = "ln(least(0.99, 0.001 * list_sum(list_transform(range(1, 2 * n), lambda i: 1.0 / i))))"
 
 
 @query(f"""WITH {_P}, {_QS}, v AS (SELECT w.chrom AS chrom, w.pos AS pos, any_value(n) AS n, any_value(r) AS r, any_value(a) AS a, sum(ln(x)) AS l0, sum(ln(z)) + {_THETA.replace('n)', 'any_value(n))')} AS l1,
@@ -641,7 +641,7 @@ _THETA = "ln(least(0.99, 0.0011 * list_sum(list_transform(range(1, 2 * n), lambd
 def call_genotypes(spark, sf_dir):
     """Best allele sets and genotypes over all sites; quality sums from depths."""
     g = genotypes(spark, sf_dir).select(*SITE, "sample", "dp", F.array(*[(F.col("dp") * m % k).cast("double") for m, k in ((3, 50), (7, 60), (11, 70))]).alias("pl"))
-    rows = g.groupBy(*SITE).agg(F.sort_array(F.collect_list(F.struct("sample", "pl"))).alias("s"), F.array(F.sum(60 - F.col("dp")), F.sum("dp")).cast("array<double>").alias("sums"))
+    rows = g.groupBy(*SITE).agg(F.sort_array(F.collect_list(F.struct("sample", "pl"))).alias("s"), F.array(F.sum(F.greatest(30 - F.col("dp"), F.lit(0))), F.sum("dp")).cast("array<double>").alias("sums"))
     rows = rows.select(F.struct(*SITE).alias("key"), F.transform("s", lambda x: x["pl"]).alias("pls"), calling.normalised_quality_sums(F.col("sums")).alias("qs"))
     out = calling.call_sites(rows)
     return out.select("key.*", F.array_join("alleles", ",").alias("alleles"), F.round("qual", 4).alias("qual"), F.array_join("genotypes", " ").alias("genotypes"))

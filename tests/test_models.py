@@ -76,6 +76,23 @@ def test_frequency_posterior_by_enumeration():
         prior[0] = 1 - prior[1:].sum()
         post = weight / [math.comb(6, j) for j in range(7)] * prior
         assert got[k] == pytest.approx(post / post.sum())
+        fold = weight / [math.comb(6, j) for j in range(7)] * (prior + prior[::-1]) / 2
+        assert calling.frequency_posterior(p, 1e-2, folded=True)[k] == pytest.approx(fold / fold.sum())
+        like = np.exp(calling.count_likelihood(p)[k])
+        assert like / like.sum() == pytest.approx(weight / [math.comb(6, j) for j in range(7)] / sum(weight / [math.comb(6, j) for j in range(7)]))
+
+
+def test_interval_leaves_a_fortieth_on_either_side():
+    post = np.array([[0.02, 0.01, 0.5, 0.44, 0.03], [1.0, 0, 0, 0, 0], [0.025, 0.95, 0, 0, 0.025], [0.2] * 5])
+    low, high = calling.credible_interval(post)
+    assert low.tolist() == [0.25, 0, 0.25, 0] and high.tolist() == [1, 0, 0.25, 1]
+
+
+def test_reference_without_quality(spark):
+    rows = spark.createDataFrame([([0.0, 30.0],), ([0.0, 1.5],), ([5.0, 5.0],), ([0.0, 0.0],)], "q array<double>")
+    got = [r.n for r in rows.select(calling.normalised_quality_sums(F.col("q")).alias("n")).collect()]
+    assert got == [pytest.approx(x) for x in ([32 / 62, 30 / 62], [1e-3 / 1.501, 1.5 / 1.501], [0.5, 0.5], [1.0, 0.0])]
+    assert calling.watterson(1e-3, 2) == pytest.approx(math.log(1e-3 * (1 + 1 / 2 + 1 / 3))) and calling.watterson(5, 2) == math.log(0.99)
 
 
 def test_frequency_estimates_reach_the_maximum():
