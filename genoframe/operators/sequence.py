@@ -1,9 +1,7 @@
-"""Operators along a chromosome: islands, phase ligation, maps, nearest units."""
+"""Operators along a chromosome: islands, phase ligation, maps, tiles."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,33 +124,6 @@ def map_position(sites: DataFrame, genetic_map: DataFrame, *, size: int = RANGE)
     return near.select("chrom", "pos", cm.otherwise(F.col("x.at") + F.coalesce(share, F.lit(0.0)) * (F.col("y.at") - F.col("x.at"))).alias("cm"))
 
 
-def nearest_unit(rows: DataFrame, units: list[list[float]], vector: str = "embedding") -> DataFrame:
-    """Adds ``unit`` (the map unit of least distance, the first of equals) and ``distance2``.
-
-    Units are a trained map of fixed size, part of the plan as literals.
-    """
-    def d2(unit: list[float]) -> Column:
-        diff = F.zip_with(vector, F.array(*[F.lit(float(x)) for x in unit]), lambda a, b: a.cast("double") - b)
-        return F.aggregate(diff, F.lit(0.0), lambda s, x: s + x * x)
-
-    far = F.array(*[d2(u) for u in units])
-    return rows.withColumn("_d", far).withColumns({"unit": F.array_position("_d", F.array_min("_d")).cast("int") - 1, "distance2": F.array_min("_d")}).drop("_d")
-
-
-def train_units(sample: np.ndarray, side: int, rounds: int = 2000, rate: float = 0.5, seed: int = 1) -> np.ndarray:
-    """A self-organising map of ``side`` x ``side`` units, fitted on a bounded sample of vectors."""
-    rng = np.random.default_rng(seed)
-    units = sample[rng.integers(0, len(sample), side * side)].astype(float).copy()
-    grid = np.array([(i, j) for i in range(side) for j in range(side)])
-    for t in range(rounds):
-        x = sample[rng.integers(len(sample))]
-        hit = ((units - x) ** 2).sum(axis=1).argmin()
-        radius = max(0.5, side / 2 * (1 - t / rounds))
-        near = np.exp(-((grid - grid[hit]) ** 2).sum(axis=1) / (2 * radius**2))
-        units += rate * (1 - t / rounds) * near[:, None] * (x - units)
-    return units
-
-
 def tiles(lengths: DataFrame, size: int) -> DataFrame:
     """(chrom, length) -> tiles of ``size``; the last takes a rest of less than a tenth."""
     n = F.greatest(F.lit(1), F.floor((F.col("length") / size) + 0.9).cast("int"))

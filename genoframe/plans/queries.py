@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
-from genoframe.operators import annotate, calling, consensus, filters, genotype, homozygosity, joins, merge, ranges, reshape, sequence, stats
+from genoframe.operators import annotate, calling, consensus, filters, genotype, homozygosity, joins, merge, ranges, reshape, sequence, som, stats
 from genoframe.sources.views import GENOTYPES, INTERVALS, SITES, genotypes, intervals, sites
 from genoframe.streaming import events as ev
 
@@ -747,7 +747,7 @@ _UNITS = [[round(((i * 37 + k * 11) % 100) / 100 - 0.5, 2) for k in range(64)] f
  d AS (SELECT vec_id, unit, list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - w[i]) * (CAST(embedding[i] AS DOUBLE) - w[i]))) AS d2 FROM embeddings, u)
  SELECT vec_id, CAST(arg_min(unit, d2) AS INTEGER) AS unit, round(min(d2), 6) AS distance2 FROM d GROUP BY vec_id""")
 def nearest_unit(spark, sf_dir):
-    out = sequence.nearest_unit(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _UNITS)
+    out = som.nearest_unit(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _UNITS)
     return out.select("vec_id", "unit", F.round("distance2", 6).alias("distance2"))
 
 

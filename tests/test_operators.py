@@ -125,13 +125,6 @@ def test_em_finds_frequency(spark):
     assert r.af == pytest.approx(0.3) and r.samples == 10
 
 
-def test_map_trains():
-    rng = np.random.default_rng(0)
-    sample = np.concatenate([rng.normal(m, 0.1, (50, 2)) for m in (0, 5, 10)])
-    units = sequence.train_units(sample, 3)
-    assert max(min(((u - x) ** 2).sum() for u in units) for x in sample) < 2
-
-
 def test_concordance_and_merge(spark):
     g = spark.createDataFrame([(1, 1, 0, 1), (1, 2, 0, 0), (2, 1, 1, 1)], "pos int, sample int, a int, b int")
     r = stats.concordance(g, g.withColumn("a", F.when(F.col("pos") == 2, 0).otherwise(F.col("a"))), []).first()
