@@ -264,6 +264,76 @@ def sections(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Fixed values of the report: bins of allele frequency and of quality, and the longest indel that has a row of its own.
+AF_BINS, QUAL_BINS, LONGEST_INDEL = 101, 999, 60
+
+
+def report(sites: DataFrame, *, n_samples: int = 0, genotypes: DataFrame | None = None, user: dict[str, tuple[float, float, int]] = {}, depth: tuple[int, int, int] = (0, 500, 1), more: dict[str, DataFrame] = {}) -> DataFrame:  # noqa: B006
+    """All sections of the statistics in one result: (section, row), tab-joined, a heading row that begins with ``#`` in each.
+
+    ``sites``: ``id`` (the set a record is counted in), ``ref``, ``alts``, ``mask``, ``qual``,
+    ``ac`` (a count for each ALT), ``an``, and the columns of ``user`` (column -> least,
+    largest, number of bins). SN, TSTV, SiS, AF, QUAL, USR:column, IDD and ST count per set;
+    with ``genotypes`` (site, sample, a, b, dp) DP and PSC follow, over all sets. ``more`` adds
+    tables of its own. A record counts in each of its types, an ALT in the bin of its own
+    frequency; singletons are listed apart and again in the first bin. Sets without a
+    record of a kind have no row of it, but in SN, TSTV and ST.
+    """
+    sets = sites.select("id").distinct()
+    text = lambda *cells: F.concat_ws("\t", *[c.cast("string") for c in cells])
+    per_cent = lambda b: F.format_string("%.6f", 100.0 * (b - 1) / (AF_BINS - 1))
+    ratio = lambda a, b: F.format_string("%.2f", F.when(b == 0, 0.0).otherwise(a / F.nullif(b, F.lit(0))))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    parts: dict[str, tuple[str, DataFrame]] = {}
+    keys = [("SNPs", "snps"), ("MNPs", "mnps"), ("indels", "indels"), ("others", "others"), ("multiallelic sites", "multiallelic"), ("multiallelic SNP sites", "multiallelic_snps")]
+    told = F.array(F.struct(F.lit("number of samples:").alias("k"), F.lit(n_samples).cast("long").alias("v")), *[F.struct(F.lit(f"number of {k}:").alias("k"), F.col(c).alias("v")) for k, c in keys])
+    parts["SN"] = ("id\tkey\tvalue", summary(sites, "id").select("id", F.explode(told).alias("x")).select(text(F.col("id"), F.col("x.k"), F.col("x.v")).alias("row")))
+    t = sets.join(tstv(sites, "id"), "id", "left")
+    ts, tv, ts1, tv1 = (zero(F.col(c)) for c in ("ts", "tv", "ts_first", "tv_first"))
+    parts["TSTV"] = ("id\tts\ttv\tts/tv\tts (1st ALT)\ttv (1st ALT)\tts/tv (1st ALT)", t.select(text(F.col("id"), ts, tv, ratio(ts, tv), ts1, tv1, ratio(ts1, tv1)).alias("row")))
+
+    at = F.get("ac", F.col("nth"))
+    bin_ = F.when(at == 1, 0).when(zero(F.col("an")) == 0, 1).otherwise(1 + F.floor(at * (AF_BINS - 2) / F.nullif(F.col("an"), F.lit(0)))).cast("int")
+    snps = snp_alleles(sites).select("id", bin_.alias("bin"), F.when(F.col("ts"), "ts").otherwise("tv").alias("what"))
+    gaps = sites.select("id", "ref", "ac", "an", F.posexplode("alts").alias("nth", "alt")).filter((F.length("ref") != F.length("alt")) & ~F.col("alt").rlike(r"[<>\[\]*]"))
+    binned = snps.unionByName(gaps.select("id", bin_.alias("bin"), F.lit("indel").alias("what"))).groupBy("id", "bin").agg(*[n_if(F.col("what") == w, w) for w in ("ts", "tv", "indel")])
+    shown = [F.col("ts") + F.col("tv"), F.col("ts"), F.col("tv"), F.col("indel"), F.lit(0), F.lit(0), F.col("indel")]
+    heading = "number of SNPs\tnumber of transitions\tnumber of transversions\tnumber of indels\trepeat-consistent\trepeat-inconsistent\tnot applicable"
+    single = sets.join(binned.filter("bin = 0"), "id", "left").fillna(0, ["ts", "tv", "indel"])
+    parts["SiS"] = (f"id\tallele count\t{heading}", single.select(text(F.col("id"), F.lit(1), *shown).alias("row")))
+    whole = binned.groupBy("id", F.greatest("bin", F.lit(1)).alias("bin")).agg(*[F.sum(c).alias(c) for c in ("ts", "tv", "indel")])
+    parts["AF"] = (f"id\tallele frequency\t{heading}", whole.select(text(F.col("id"), per_cent(F.col("bin")), *shown).alias("row")))
+
+    level = F.coalesce(F.least(F.floor("qual"), F.lit(QUAL_BINS - 1)), F.lit(QUAL_BINS - 1)).cast("int")
+    has = lambda bit: F.col("mask").bitwiseAND(bit) != 0
+    records = sites.filter(has(SNP) | has(INDEL)).groupBy("id", level.alias("level")).agg(n_if(has(SNP), "snps"), n_if(has(INDEL), "indels"))
+    first = snp_alleles(sites).filter("nth = 0").groupBy("id", level.alias("level")).agg(n_if(F.col("ts"), "ts"), n_if(~F.col("ts"), "tv"))
+    by_level = records.join(first, ["id", "level"], "left")
+    parts["QUAL"] = ("id\tQuality\tnumber of SNPs\tnumber of transitions (1st ALT)\tnumber of transversions (1st ALT)\tnumber of indels", by_level.select(text(F.col("id"), F.col("level"), F.col("snps"), zero(F.col("ts")), zero(F.col("tv")), F.col("indels")).alias("row")))
+    for column, (low, high, n) in user.items():
+        own = snp_alleles(sites).filter(F.col("nth") == 0).filter(F.col(column).isNotNull()).groupBy("id", user_bins(F.col(column), low, high, n).alias("bin"))
+        own = own.agg(n_if(F.col("ts"), "ts"), n_if(~F.col("ts"), "tv"))
+        value = F.format_string("%e", F.lit(float(low)) + F.lit(float(high - low)) * F.col("bin") / (n - 1))
+        parts[f"USR:{column}"] = (f"id\t{column}\tnumber of SNPs\tnumber of transitions (1st ALT)\tnumber of transversions (1st ALT)", own.select(text(F.col("id"), value, F.col("ts") + F.col("tv"), F.col("ts"), F.col("tv")).alias("row")))
+    size = F.least(F.greatest(F.length("alt") - F.length("ref"), F.lit(-LONGEST_INDEL)), F.lit(LONGEST_INDEL))
+    parts["IDD"] = ("id\tlength (deletions negative)\tcount", gaps.groupBy("id", size.alias("size")).count().select(text(F.col("id"), F.col("size"), F.col("count")).alias("row")))
+    pairs = F.array(*[F.struct(F.lit(a).alias("ref"), F.lit(b).alias("alt")) for a in "ACGT" for b in "ACGT" if a != b])
+    seen = snp_alleles(sites).groupBy("id", "ref", F.col("one_alt").alias("alt")).count()
+    every = sets.select("id", F.explode(pairs).alias("p")).select("id", "p.*").join(seen, ["id", "ref", "alt"], "left")
+    parts["ST"] = ("id\ttype\tcount", every.select(text(F.col("id"), F.concat("ref", F.lit(">"), "alt"), zero(F.col("count"))).alias("row")))
+    if genotypes is not None:
+        deep = depth_distribution(genotypes.filter("dp is not null"), "dp", *depth)
+        edge = F.when(F.col("bin") < 0, f"<{depth[0]}").when(F.col("bin") >= depth[1], f">{depth[1]}").otherwise(F.col("bin").cast("string"))
+        parts["DP"] = ("bin\tnumber of genotypes\tfraction of genotypes (%)", deep.select(text(edge, F.col("n"), F.format_string("%.6f", "percent")).alias("row")))
+        p = per_sample(genotypes, sites)
+        mean = F.format_string("%.1f", F.when(F.col("n_depth") > 0, F.col("depth") / F.nullif(F.col("n_depth"), F.lit(0))).otherwise(0.0))
+        parts["PSC"] = ("sample\tnRefHom\tnNonRefHom\tnHets\tnTransitions\tnTransversions\tnIndels\taverage depth\tnSingletons", p.select(text(*[F.col(c) for c in ("sample", "hom_ref", "hom_alt", "het", "ts", "tv", "indels")], mean, F.col("singletons")).alias("row")))
+    out = sites.sparkSession.createDataFrame([(name, f"# {heading}") for name, (heading, _) in parts.items()], "section string, row string")
+    for name, (_, rows) in parts.items():
+        out = out.unionByName(rows.select(F.lit(name).alias("section"), "row"))
+    return out.unionByName(sections(sites.sparkSession, more)) if more else out
+
+
 def cumulative_tstv(sites: DataFrame, steps: int = 50) -> DataFrame:
     """Running ts and tv by falling QUAL, read off at ``steps`` shares of the rows; ties stay together.
 

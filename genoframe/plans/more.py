@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from genoframe.functions import genetics as gen
 from genoframe.operators import annotate, calling, filters, genotype, joins, lines, merge, ranges, reshape, sequence, stats
-from genoframe.plans.queries import _G, _I, _P, _PAIR, _PL, _S, _TWO, LIGATED, MERGED_ROWS, SITE, files_of_samples, likelihoods, phased_files, query, table, two_sets, variants
+from genoframe.plans.queries import _G, _I, _L, _MASK, _P, _PAIR, _PL, _S, _SNPS, _TWO, LIGATED, MERGED_ROWS, SITE, files_of_samples, likelihoods, phased_files, query, table, two_sets, variants
 from genoframe.sources.views import genotypes, intervals
 from genoframe.streaming import events as ev
 
@@ -189,12 +189,48 @@ def score_roc(spark, sf_dir):
     return stats.roc(rows, size=16)
 
 
-@query(f"""WITH {_S}, a AS (SELECT filter, count(*) AS n FROM s GROUP BY filter), b AS (SELECT chrom, max(pos) AS top FROM s GROUP BY chrom)
- SELECT 'FILTERS' AS section, '# filter' || chr(9) || 'n' AS row UNION ALL SELECT 'ENDS', '# chrom' || chr(9) || 'top'
- UNION ALL SELECT 'FILTERS', filter || chr(9) || n FROM a UNION ALL SELECT 'ENDS', chrom || chr(9) || top FROM b""")
+_H = "number of SNPs\tnumber of transitions\tnumber of transversions\tnumber of indels\trepeat-consistent\trepeat-inconsistent\tnot applicable"
+_HEADINGS = {
+    "SN": "id\tkey\tvalue", "TSTV": "id\tts\ttv\tts/tv\tts (1st ALT)\ttv (1st ALT)\tts/tv (1st ALT)", "SiS": f"id\tallele count\t{_H}", "AF": f"id\tallele frequency\t{_H}",
+    "QUAL": "id\tQuality\tnumber of SNPs\tnumber of transitions (1st ALT)\tnumber of transversions (1st ALT)\tnumber of indels", "USR:price": "id\tprice\tnumber of SNPs\tnumber of transitions (1st ALT)\tnumber of transversions (1st ALT)",
+    "IDD": "id\tlength (deletions negative)\tcount", "ST": "id\ttype\tcount", "DP": "bin\tnumber of genotypes\tfraction of genotypes (%)",
+    "PSC": "sample\tnRefHom\tnNonRefHom\tnHets\tnTransitions\tnTransversions\tnIndels\taverage depth\tnSingletons", "ENDS": "chrom\ttop",
+}
+_TAB = lambda *cells: "concat_ws(chr(9), " + ", ".join(cells) + ")"
+_AT = "CASE WHEN ac = 1 THEN 0 WHEN an = 0 THEN 1 ELSE 1 + CAST(floor(ac * 99 / an) AS INTEGER) END"
+
+
+@query(f"""WITH {_S}, {_G}, {_L}, {_SNPS}, c AS (SELECT chrom, pos, sum(a + b) AS ac, 2 * count(*) AS an, sum(CASE WHEN a + b > 0 THEN 1 ELSE 0 END) AS carriers FROM g GROUP BY chrom, pos),
+ v AS (SELECT s.*, filter AS id2, {_MASK} AS mask, CAST(least(floor(qual), 998) AS INTEGER) AS level FROM s), w AS (SELECT DISTINCT filter FROM s),
+ x AS (SELECT n.*, CASE WHEN nth = 0 THEN coalesce(c.ac, 0) ELSE 0 END AS ac, coalesce(an, 0) AS an, CAST(least(floor(qual), 998) AS INTEGER) AS level FROM n LEFT JOIN c ON n.chrom = c.chrom AND n.pos = c.pos),
+ d AS (SELECT s.filter AS filter, length(alt) - length(ref) AS size, coalesce(c.ac, 0) AS ac, coalesce(an, 0) AS an FROM s LEFT JOIN c ON s.chrom = c.chrom AND s.pos = c.pos WHERE kind IN (1, 2)),
+ b AS (SELECT filter, bin, sum(ts) AS ts, sum(tv) AS tv, sum(gap) AS gap FROM (SELECT filter, {_AT} AS bin, CAST(ts AS INT) AS ts, CAST(NOT ts AS INT) AS tv, 0 AS gap FROM x UNION ALL SELECT filter, {_AT}, 0, 0, 1 FROM d) u GROUP BY filter, bin),
+ t AS (SELECT filter, count(*) FILTER (ts) AS ts, count(*) FILTER (NOT ts) AS tv, count(*) FILTER (ts AND nth = 0) AS ts1, count(*) FILTER (NOT ts AND nth = 0) AS tv1 FROM x GROUP BY filter),
+ p AS (SELECT g.*, kind IN (0, 3) AS snp, s.ref AS ref, s.alt AS alt, carriers, abs(instr('ACGT', s.ref) - instr('ACGT', s.alt)) = 2 AS its FROM g JOIN s ON g.chrom = s.chrom AND g.pos = s.pos JOIN c ON g.chrom = c.chrom AND g.pos = c.pos)
+ SELECT unnest({list(_HEADINGS)}) AS section, replace(unnest({['# ' + h for h in _HEADINGS.values()]}), '\\t', chr(9)) AS row
+ UNION ALL SELECT 'SN', {_TAB('filter', "k", "CAST(n AS VARCHAR)")} FROM (SELECT filter, unnest(['number of samples:', 'number of SNPs:', 'number of MNPs:', 'number of indels:', 'number of others:', 'number of multiallelic sites:', 'number of multiallelic SNP sites:']) AS k,
+  unnest([7, count(*) FILTER (mask = 1), 0, count(*) FILTER (mask = 2), 0, count(*) FILTER (kind = 3), count(*) FILTER (kind = 3)]) AS n FROM v GROUP BY filter)
+ UNION ALL SELECT 'TSTV', {_TAB('filter', 'ts', 'tv', "printf('%.2f', CASE WHEN tv = 0 THEN 0 ELSE ts / tv END)", 'ts1', 'tv1', "printf('%.2f', CASE WHEN tv1 = 0 THEN 0 ELSE ts1 / tv1 END)")} FROM t
+ UNION ALL SELECT 'SiS', {_TAB('w.filter', "'1'", 'coalesce(ts + tv, 0)', 'coalesce(ts, 0)', 'coalesce(tv, 0)', 'coalesce(gap, 0)', "'0'", "'0'", 'coalesce(gap, 0)')} FROM w LEFT JOIN b ON w.filter = b.filter AND bin = 0
+ UNION ALL SELECT 'AF', {_TAB('filter', "printf('%f', 100.0 * (greatest(bin, 1) - 1) / 100)", 'sum(ts + tv)', 'sum(ts)', 'sum(tv)', 'sum(gap)', "'0'", "'0'", 'sum(gap)')} FROM b GROUP BY filter, greatest(bin, 1)
+ UNION ALL SELECT 'QUAL', {_TAB('v.filter', 'v.level', 'v.a', 'coalesce(q.a, 0)', 'coalesce(q.b, 0)', 'v.b')} FROM (SELECT filter, level, count(*) FILTER (mask = 1) AS a, count(*) FILTER (mask = 2) AS b FROM v GROUP BY filter, level) v
+  LEFT JOIN (SELECT filter, level, count(*) FILTER (ts) AS a, count(*) FILTER (NOT ts) AS b FROM x WHERE nth = 0 GROUP BY filter, level) q ON v.filter = q.filter AND v.level = q.level
+ UNION ALL SELECT 'USR:price', {_TAB('filter', "printf('%e', 10.0 + 390.0 * bin / 20)", 'ts + tv', 'ts', 'tv')} FROM (SELECT filter, CAST(floor((greatest(10, least(400, CAST(qual AS DOUBLE))) - 10) / 390 * 20) AS INTEGER) AS bin, count(*) FILTER (ts) AS ts, count(*) FILTER (NOT ts) AS tv FROM x WHERE nth = 0 GROUP BY 1, 2)
+ UNION ALL SELECT 'IDD', {_TAB('filter', 'size', 'count(*)')} FROM d GROUP BY filter, size
+ UNION ALL SELECT 'ST', {_TAB('w.filter', "r.b || '>' || a.b", '(SELECT count(*) FROM x WHERE x.filter = w.filter AND x.ref = r.b AND x.one = a.b)')} FROM w, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) r, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) a WHERE r.b <> a.b
+ UNION ALL SELECT 'DP', {_TAB("CASE WHEN dp >= 40 THEN '>40' ELSE CAST(dp // 5 * 5 AS VARCHAR) END", 'count(*)', "printf('%.6f', count(*) * 100.0 / (SELECT count(*) FROM g))")} FROM g GROUP BY CASE WHEN dp >= 40 THEN '>40' ELSE CAST(dp // 5 * 5 AS VARCHAR) END
+ UNION ALL SELECT 'PSC', {_TAB('sample', 'count(*) FILTER (snp AND a + b = 0)', 'count(*) FILTER (snp AND a + b = 2)', 'count(*) FILTER (snp AND a <> b)', 'count(*) FILTER (snp AND a + b > 0 AND its)', 'count(*) FILTER (snp AND a + b > 0 AND NOT its)',
+   'count(*) FILTER (NOT snp AND a + b > 0)', "printf('%.1f', sum(dp) / count(*))", 'count(*) FILTER (a + b > 0 AND carriers = 1)')} FROM p GROUP BY sample
+ UNION ALL SELECT 'ENDS', {_TAB('chrom', 'max(pos)')} FROM s GROUP BY chrom""")
 def statistics_sections(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    return stats.sections(spark, {"FILTERS": v.groupBy("filter").agg(F.count("*").alias("n")), "ENDS": v.groupBy("chrom").agg(F.max("pos").alias("top"))})
+    """All sections from one call, sets by FILTER; counts of alleles are those of the genotypes."""
+    g = genotypes(spark, sf_dir)
+    counts = g.groupBy(*SITE).agg(F.sum(F.col("a") + F.col("b")).alias("n"), (2 * F.count("*")).alias("an"))
+    v = variants(spark, sf_dir).withColumnsRenamed({"id": "name"}).withColumns({"id": F.col("filter"), "price": F.col("qual").cast("double")}).join(counts, SITE, "left")
+    ac = F.transform("alts", lambda a, k: F.when(k == 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)))
+    v = v.withColumns({"ac": ac, "an": F.coalesce("an", F.lit(0))})
+    ends = {"ENDS": v.groupBy("chrom").agg(F.max("pos").alias("top"))}
+    return stats.report(v, n_samples=7, genotypes=g, user={"price": (10, 400, 21)}, depth=(0, 40, 5), more=ends)
 
 
 @query()
