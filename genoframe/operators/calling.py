@@ -92,7 +92,7 @@ def site_kernel(prob: np.ndarray, qs: np.ndarray, theta: float = THETA) -> tuple
     f[keep] = qs[keep]
     f /= f.sum()
     allowed = np.array([f[i] * f[j] * (1 if i == j else 2) if i in keep and j in keep else 0.0 for i, j in pairs])
-    calls = [pairs[int(k)] if ok else (-1, -1) for k, ok in zip((prob * allowed).argmax(axis=1), known)]
+    calls = [pairs[int(k)] if ok else (-1, -1) for k, ok in zip(_likeliest(prob * allowed, np.array(pairs)), known)]
     return keep, min(999.0, max(0.0, quality)), calls
 
 
@@ -133,10 +133,16 @@ def batch_kernel(prob: np.ndarray, qs: np.ndarray, theta: float = THETA) -> tupl
     f = qs * keep
     f = f / np.maximum(f.sum(axis=1), 1e-300)[:, None]
     allowed = f[:, pairs[:, 0]] * f[:, pairs[:, 1]] * twice * keep[:, pairs[:, 0]] * keep[:, pairs[:, 1]]
-    calls = np.where(known, (prob * allowed[:, None, :]).argmax(axis=2), -1)
+    calls = np.where(known, _likeliest(prob * allowed[:, None, :], pairs), -1)
     return keep, quality, np.where(np.isfinite(top)[:, None], calls, -1)
 
 
+def _likeliest(chance: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The best genotype (last axis); of equals a homozygous one, the first of its kind."""
+    order = np.argsort(pairs[:, 0] != pairs[:, 1], kind="stable")
+    return order[chance[..., order].argmax(axis=-1)]
+
+
 def by_shape(rows: pd.DataFrame, column: str) -> Iterator[np.ndarray]:
     """Row numbers of a batch in groups whose arrays (samples by genotypes) have one shape."""
     shapes = pd.Series([(len(x), len(x[0]) if len(x) else 0) for x in rows[column]])
@@ -144,17 +150,24 @@ def by_shape(rows: pd.DataFrame, column: str) -> Iterator[np.ndarray]:
         yield np.asarray(own)
 
 
+#: Fixed values of genotype qualities: phred of a natural logarithm, and the largest.
+PHRED, BEST_GQ = 4.34294, 127
+
+
 def call_sites(sites: DataFrame, *, theta: float = THETA) -> DataFrame:
-    """(key, alleles, qual, genotypes, gq) for rows with ``key``, ``pls`` (an array of samples' PL arrays) and ``qs``.
+    """(key, alleles, qual, genotypes, gq, gp, pl) for rows with ``key``, ``pls`` (an array of samples' PL arrays) and ``qs``.
 
     Sites of a batch are taken together by their numbers of samples and alleles. ``gq``:
-    phred of the chance that a sample's genotype is wrong, at most 127, null if missing.
+    phred of the chance that a sample's genotype is wrong, without its fraction, at most
+    ``BEST_GQ``; ``gp``: phred of each genotype's chance, likewise; ``pl``: the
+    likelihoods; both of the genotypes of the alleles kept. A sample without information
+    has ``./.`` and zeros.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.reset_index(drop=True)
-            out: dict[str, list] = {"alleles": [None] * len(b), "qual": [0.0] * len(b), "genotypes": [None] * len(b), "gq": [None] * len(b)}
+            out: dict[str, list] = {"alleles": [None] * len(b), "qual": [0.0] * len(b), **{c: [None] * len(b) for c in ("genotypes", "gq", "gp", "pl")}}
             for own in by_shape(b, "pls"):
                 pl = np.array([np.stack([np.asarray(x, float) for x in b["pls"][k]]) for k in own])
                 p = np.nan_to_num(10.0 ** (-pl / 10))
@@ -168,16 +181,20 @@ def call_sites(sites: DataFrame, *, theta: float = THETA) -> DataFrame:
                 f = q * keep
                 f /= np.maximum(f.sum(axis=1), 1e-300)[:, None]
                 post = p * (f[:, pairs[:, 0]] * f[:, pairs[:, 1]] * np.where(pairs[:, 0] == pairs[:, 1], 1.0, 2.0))[:, None, :]
-                wrong = 1 - post.max(axis=2) / np.maximum(post.sum(axis=2), 1e-300)
-                gq = np.minimum(127, np.rint(-10 * np.log10(np.maximum(wrong, 1e-13)))).astype(int)
+                post /= np.maximum(post.sum(axis=2, keepdims=True), 1e-300)
+                told = calls >= 0
+                gq = np.where(told, np.minimum(BEST_GQ, -PHRED * np.log(np.maximum(1 - post.max(axis=2), 1e-300))), 0).astype(int)
+                gp = np.where(told[..., None], -PHRED * np.log(np.maximum(post, 1e-300)), 0).astype(int)
+                kept = keep[:, pairs[:, 0]] & keep[:, pairs[:, 1]]
                 for n, k in enumerate(own):
                     out["alleles"][k], out["qual"][k] = np.flatnonzero(keep[n]).tolist(), float(quality[n])
-                    out["genotypes"][k] = names[calls[n]].tolist()
-                    out["gq"][k] = [int(g) if c >= 0 else None for g, c in zip(gq[n], calls[n])]
+                    out["genotypes"][k], out["gq"][k] = names[calls[n]].tolist(), gq[n].tolist()
+                    out["gp"][k] = gp[n][:, kept[n]].tolist()
+                    out["pl"][k] = [[None if np.isnan(v) else v for v in x] for x in pl[n][:, kept[n]].tolist()]
             yield b[["key"]].assign(**out)
 
     kind = sites.schema["key"].dataType.simpleString()
-    return sites.select("key", "pls", "qs").mapInPandas(call, f"key {kind}, alleles array<int>, qual double, genotypes array<string>, gq array<int>")
+    return sites.select("key", "pls", "qs").mapInPandas(call, f"key {kind}, alleles array<int>, qual double, genotypes array<string>, gq array<int>, gp array<array<int>>, pl array<array<double>>")
 
 
 def fill_unseen(pls: Column, n_alleles: Column) -> Column:

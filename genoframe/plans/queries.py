@@ -636,15 +636,22 @@ _THETA = "ln(least(0.99, 0.001 * list_sum(list_transform(range(1, 2 * n), lambda
 @query(f"""WITH {_P}, {_QS}, v AS (SELECT w.chrom AS chrom, w.pos AS pos, any_value(n) AS n, any_value(r) AS r, any_value(a) AS a, sum(ln(x)) AS l0, sum(ln(z)) + {_THETA.replace('n)', 'any_value(n))')} AS l1,
  sum(ln(r * r * x + 2 * r * a * y + a * a * z)) + {_THETA.replace('n)', 'any_value(n))')} AS l2 FROM w JOIN f ON w.chrom = f.chrom AND w.pos = f.pos GROUP BY w.chrom, w.pos),
  t AS (SELECT *, greatest(l0, l1, l2) + ln(exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) AS total, CASE WHEN l0 > l1 AND l0 > l2 THEN 0 ELSE 1 END AS variant FROM v)
- SELECT chrom, pos, CASE WHEN variant = 1 THEN '0,1' ELSE '0' END AS alleles, round(least(999.0, greatest(0.0, 4.343 * CASE WHEN variant = 1 THEN total - l0 ELSE total - greatest(l1, l2) END)), 4) AS qual,
- (SELECT string_agg(CASE WHEN variant = 0 OR (r * r * x >= 2 * r * a * y AND r * r * x >= a * a * z) THEN '0/0' WHEN 2 * r * a * y >= a * a * z THEN '0/1' ELSE '1/1' END, ' ' ORDER BY sample) FROM w WHERE w.chrom = t.chrom AND w.pos = t.pos) AS genotypes FROM t""")
+ SELECT t.chrom AS chrom, t.pos AS pos, CASE WHEN variant = 1 THEN '0,1' ELSE '0' END AS alleles, round(least(999.0, greatest(0.0, 4.343 * CASE WHEN variant = 1 THEN total - l0 ELSE total - greatest(l1, l2) END)), 4) AS qual,
+ o.genotypes AS genotypes, o.gq AS gq, o.gp AS gp, o.pl AS pl FROM t JOIN (SELECT chrom, pos, string_agg(gt, ' ' ORDER BY sample) AS genotypes, string_agg(gq, ' ' ORDER BY sample) AS gq, string_agg(gp, ' ' ORDER BY sample) AS gp, string_agg(pl, ' ' ORDER BY sample) AS pl FROM (
+  SELECT chrom, pos, sample, CASE WHEN variant = 0 OR (p >= h AND p >= q) THEN '0/0' WHEN q >= h THEN '1/1' ELSE '0/1' END AS gt,
+  CAST(CASE WHEN variant = 0 THEN 127 ELSE least(127, trunc(-4.34294 * ln(greatest(1e-300, 1 - greatest(p, h, q) / (p + h + q))))) END AS VARCHAR).replace('.0', '') AS gq,
+  CASE WHEN variant = 0 THEN '0' ELSE concat_ws(',', CAST(trunc(-4.34294 * ln(p / (p + h + q))) AS INTEGER), CAST(trunc(-4.34294 * ln(h / (p + h + q))) AS INTEGER), CAST(trunc(-4.34294 * ln(q / (p + h + q))) AS INTEGER)) END AS gp,
+  CASE WHEN variant = 0 THEN p0 || '.0' ELSE concat_ws(',', p0 || '.0', p1 || '.0', p2 || '.0') END AS pl
+  FROM (SELECT w.chrom AS chrom, w.pos AS pos, w.sample AS sample, variant, r * r * x AS p, 2 * r * a * y AS h, a * a * z AS q, p0, p1, p2 FROM w JOIN t ON w.chrom = t.chrom AND w.pos = t.pos JOIN pl ON w.chrom = pl.chrom AND w.pos = pl.pos AND w.sample = pl.sample) i) j GROUP BY chrom, pos) o ON o.chrom = t.chrom AND o.pos = t.pos""")
 def call_genotypes(spark, sf_dir):
     """Best allele sets and genotypes over all sites; quality sums from depths."""
     g = genotypes(spark, sf_dir).select(*SITE, "sample", "dp", F.array(*[(F.col("dp") * m % k).cast("double") for m, k in ((3, 50), (7, 60), (11, 70))]).alias("pl"))
     rows = g.groupBy(*SITE).agg(F.sort_array(F.collect_list(F.struct("sample", "pl"))).alias("s"), F.array(F.sum(F.greatest(30 - F.col("dp"), F.lit(0))), F.sum("dp")).cast("array<double>").alias("sums"))
     rows = rows.select(F.struct(*SITE).alias("key"), F.transform("s", lambda x: x["pl"]).alias("pls"), calling.normalised_quality_sums(F.col("sums")).alias("qs"))
     out = calling.call_sites(rows)
-    return out.select("key.*", F.array_join("alleles", ",").alias("alleles"), F.round("qual", 4).alias("qual"), F.array_join("genotypes", " ").alias("genotypes"))
+    each = lambda c: F.array_join(F.transform(c, lambda s: F.array_join(F.transform(s, lambda x: x.cast("string")), ",")), " ")
+    shown = {"alleles": F.array_join("alleles", ","), "qual": F.round("qual", 4), "genotypes": F.array_join("genotypes", " "), "gq": F.array_join(F.transform("gq", lambda x: x.cast("string")), " "), "gp": each("gp"), "pl": each("pl")}
+    return out.select("key.*", *[v.alias(c) for c, v in shown.items()])
 
 
 @query(f"""WITH RECURSIVE {_P}, s AS (SELECT chrom, pos, list(x ORDER BY x, y, z) AS x, list(y ORDER BY x, y, z) AS y, list(z ORDER BY x, y, z) AS z, CAST(count(*) AS INTEGER) AS samples FROM w GROUP BY chrom, pos),

@@ -82,6 +82,25 @@ def test_frequency_posterior_by_enumeration():
         assert like / like.sum() == pytest.approx(weight / [math.comb(6, j) for j in range(7)] / sum(weight / [math.comb(6, j) for j in range(7)]))
 
 
+def test_posteriors_of_three_alleles(spark):
+    """Of the alleles kept only, in their order; equal chances go to the homozygous genotype."""
+    pls = [[[60.0, 50.0, 40.0, 0.0, 45.0, 50.0], [0.0, 30.0, 60.0, 40.0, 70.0, 80.0], [0.0] * 6], [[0.0, 40.0, 80.0, 40.0, 80.0, 80.0]] * 3]
+    rows = spark.createDataFrame([(k, x, q) for k, (x, q) in enumerate(zip(pls, ([0.5, 0.01, 0.49], [0.9, 0.05, 0.05])))], "key int, pls array<array<double>>, qs array<double>")
+    got = {r.key: r for r in calling.call_sites(rows).collect()}
+    for k, r in got.items():
+        q = np.where(np.isin(range(3), r.alleles), [0.5, 0.01, 0.49] if k == 0 else [0.9, 0.05, 0.05], 0)
+        q = q / q.sum()
+        pairs = [(i, j) for j in range(3) for i in range(j + 1)]
+        kept = [n for n, (i, j) in enumerate(pairs) if i in r.alleles and j in r.alleles]
+        for s, pl in enumerate(pls[k]):
+            post = np.array([10 ** (-pl[n] / 10) * q[pairs[n][0]] * q[pairs[n][1]] * (1 if pairs[n][0] == pairs[n][1] else 2) for n in kept])
+            post /= post.sum()
+            assert r.gp[s] == [int(-4.34294 * math.log(x)) for x in post] and r.pl[s] == [pl[n] for n in kept]
+            assert r.gq[s] == (127 if post.max() == 1 else min(127, int(-4.34294 * math.log(1 - post.max()))))
+    assert got[0].alleles == [0, 2] and got[1].alleles == [0] and got[1].gp == [[0]] * 3
+    assert calling._likeliest(np.array([0.0, 0.25, 0.25]), np.array([(0, 0), (0, 1), (1, 1)])) == 2
+
+
 def test_interval_leaves_a_fortieth_on_either_side():
     post = np.array([[0.02, 0.01, 0.5, 0.44, 0.03], [1.0, 0, 0, 0, 0], [0.025, 0.95, 0, 0, 0.025], [0.2] * 5])
     low, high = calling.credible_interval(post)
