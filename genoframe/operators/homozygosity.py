@@ -53,19 +53,25 @@ def likelihood_emissions(pl: Column, af: Column) -> Column:
     """
     n = F.size(af)
 
-    def pair(j: Column, k: Column) -> Column:
-        p = F.transform(pl, lambda x: F.pow(F.lit(10.0), -x / 10))
-        low, high = F.when(j == k, F.lit(0)).otherwise(j), F.when(k == 0, F.lit(1)).otherwise(k)
+    def emitted(p: Column, j: Column, k: Column) -> Column:
+        chance = lambda a, b: F.get(p, genotype_index(a, b))
         total = F.aggregate(p, F.lit(0.0), lambda t, x: t + x)
-        chance = lambda a, b: F.get(p, genotype_index(a, b)) / total
-        hw, az = _emitted(chance(low, low), chance(low, high), chance(high, high), F.get(af, low), F.get(af, high))
-        return F.struct(hw.alias("p_hw"), az.alias("p_az"))
+        hw, az = _emitted(chance(j, j), chance(j, k), chance(k, k), F.get(af, j), F.get(af, k))
+        return F.struct((hw / total).alias("p_hw"), (az / total).alias("p_az"))
+
+    def pair(p: Column) -> Column:
+        best = F.array_position(pl, F.array_min(pl)).cast("int") - 1
+
+        def compared(g: Column) -> Column:
+            k = F.floor((F.sqrt(8 * g + 1) - 1) / 2).cast("int")
+            j = (g - k * (k + 1) / 2).cast("int")
+            low, high = F.when(j == k, F.lit(0)).otherwise(j), F.when(k == 0, F.lit(1)).otherwise(k)
+            return let(F.struct(low.alias("j"), high.alias("k")), lambda x: emitted(p, x["j"], x["k"]))
+
+        return F.when(n == 2, emitted(p, F.lit(0), F.lit(1))).otherwise(let(best, compared))
 
-    best = F.array_position(pl, F.array_min(pl)).cast("int") - 1
-    k = F.floor((F.sqrt(8 * best + 1) - 1) / 2).cast("int")
-    j = (best - k * (k + 1) / 2).cast("int")
     told = (F.size(pl) == n * (n + 1) / 2) & F.forall(pl, lambda x: x.isNotNull()) & F.exists(F.slice(pl, 2, F.size(pl)), lambda x: x != 0) & (n > 1)
-    return F.when(told, let(F.struct(j.alias("j"), k.alias("k")), lambda g: pair(g["j"], g["k"])))
+    return F.when(told, let(F.transform(pl, lambda x: F.pow(F.lit(10.0), -x / 10)), pair))
 
 
 def genotype_emissions(a: Column, b: Column, af: Column, unseen: float = 30.0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,10 +95,23 @@ def assigned(files: list[int], masks: list[int], refs: list[str], alts: list[lis
     return to
 
 
+#: What separates records, their fields and ALTs in the text of a site that a task looks at.
+_RECORD, _FIELD, _ALT = "\x1e", "\x1f", "\x1d"
+
+
+@lru_cache(maxsize=1 << 16)
+def _assigned_text(site: str, mode: str) -> list[int]:
+    """:func:`assigned` of a site given as text, one list; many sites have the same alleles."""
+    records = [r.split(_FIELD) for r in site.split(_RECORD)]
+    files, masks, refs, alts = zip(*records)
+    to = assigned(list(map(int, files)), list(map(int, masks)), list(refs), [a.split(_ALT) if a else [] for a in alts], mode)
+    return [x for pair in to for x in pair]
+
+
 def _assign(mode: str):
-    @F.pandas_udf("array<struct<row:int,group:int>>")
-    def assign(files: pd.Series, masks: pd.Series, refs: pd.Series, alts: pd.Series) -> pd.Series:
-        return pd.Series([None if f is None else [{"row": r, "group": g} for r, g in assigned(list(f), list(m), list(r), [list(x) for x in a], mode)] for f, m, r, a in zip(files, masks, refs, alts)])
+    @F.pandas_udf("array<int>")
+    def assign(sites: pd.Series) -> pd.Series:
+        return sites.map(lambda t: None if t is None else _assigned_text(t, mode))
 
     return assign
 
@@ -125,8 +138,11 @@ def merged_records(files: list[DataFrame], mode: str, order: str | None = None)
         same = lambda r: prefix(r) & (F.lit(mode == "all") | ~(bad(r, SNP) | bad(r, INDEL)))
     plain = (F.size(F.array_distinct(each("file"))) == F.size("rows")) & F.forall("rows", same)
     sites = sites.withColumn("_plain", plain)
-    asked = [F.when(~F.col("_plain"), each(c)) for c in ("file", "mask", "ref", "alts")]
-    sites = sites.withColumn("_to", _assign(mode)(*asked))
+    record = lambda r: F.concat_ws(_FIELD, r["file"].cast("string"), r["mask"].cast("string"), r["ref"], F.array_join(r["alts"], _ALT))
+    asked = F.when(~F.col("_plain"), F.array_join(F.transform("rows", record), _RECORD))
+    told = sites.withColumn("_told", _assign(mode)(asked))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("rows") - 1), lambda k: F.struct(F.get("_told", 2 * k).alias("row"), F.get("_told", 2 * k + 1).alias("group")))
+    sites = told.withColumn("_to", F.when(~F.col("_plain"), pairs)).drop("_told")
     listed = F.when(F.col("_plain"), F.array(F.lit(0))).otherwise(F.array_distinct(F.transform("_to", lambda t: t["row"])))
     sites = sites.withColumn("row", F.explode(listed))
     own = F.when(F.col("_plain"), F.col("rows")).otherwise(F.filter("rows", lambda r, i: F.get("_to", i)["row"] == F.col("row")))

@@ -55,10 +55,12 @@ def with_neighbours(rows: DataFrame, value: Column, *, keys: list[str] = ["chrom
     ends = cut.groupBy(*keys, "_range").agg(F.max_by("_v", place).alias("_hi"), F.min_by("_v", place).alias("_lo"))
     every = Window.partitionBy(*keys).orderBy("_range")
     left = F.last("_hi", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first("_lo", ignorenulls=True).over(every.rowsBetween(1, Window.unboundedFollowing))
+    turned = Window.partitionBy(*keys).orderBy(F.desc("_range"))  # a frame that is open ahead would be gone through again for each row
+    right = F.last("_lo", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, -1))
     carry = ends.select(*keys, "_range", left.alias("_left"), right.alias("_right"))
     before = F.last("_v", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_v", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys, "_range").orderBy(F.desc(pos))
+    after = F.last("_v", ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0))
     out = cut.join(carry, [*keys, "_range"]).withColumns({"before": F.coalesce(before, "_left"), "after": F.coalesce(after, "_right")})
     return out.drop("_range", "_v", "_left", "_right")
 
