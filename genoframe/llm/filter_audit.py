@@ -21,6 +21,8 @@ from genoframe.llm.common import cut
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of the input to a task that counts words, and the most such tasks.
 TASK_BYTES, MOST_TASKS = 4 << 20, 1 << 16
+#: The optimizer's estimate of what it cannot know is of this order.
+_UNKNOWN = 1 << 56
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -29,10 +31,13 @@ def document_key(doc_id: Column, text: Column) -> Column:
 
 
 def tasks_for(docs: DataFrame) -> int:
-    """Tasks of about ``TASK_BYTES`` of the input by the optimizer's estimate, which is the files' size for a table."""
+    """Tasks of about ``TASK_BYTES`` of the input by the optimizer's estimate, which is the files' size for a table.
+
+    Where it knows no size (rows that come from no file) the session's number of shuffle partitions.
+    """
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MOST_TASKS, max(least, size // TASK_BYTES))
+    return least if size >= _UNKNOWN else min(MOST_TASKS, max(least, size // TASK_BYTES))
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
