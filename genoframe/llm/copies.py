@@ -8,7 +8,12 @@ for each of ``BANDS`` bands of ``ROWS`` minimum hashes; a pair of similarity s s
 with a chance of (1 - s^4)^32, 5e-8 at 0.8 and less above. Every link is confirmed on the
 whole sets. In ``ROUNDS`` rounds, each bucket whose members are not yet of one component
 compares them with one leader, drawn anew; then the pairs still apart are compared one by
-one. No bucket is dropped or capped.
+one, a large bucket in blocks. No bucket is dropped or capped.
+
+Whole sets are made only of texts that share a bucket or that the index pairs. Before two
+of them meet, a bound rules out most pairs: the odd sketch of a set, ``ODD`` bits, has a
+bit for the parity of the number of its hashes in each of as many parts, so the bits in
+which two sketches differ are no more than the hashes that only one of the sets has.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import lookup_skewed, remove, written
+from genoframe.llm.common import let, lookup_skewed, remove, written
 from genoframe.llm.components import connected_components
 from genoframe.llm.simhash import _FOLD, DISTANCE, SEED, majority_bits, near_links
 
@@ -30,6 +35,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Shingles hashed together, and rounds with leaders.
 SLICE, ROUNDS = 4096, 2
+#: Bits of an odd sketch; pairs of one node, and nodes of one bucket, that are compared under one key.
+ODD, SPLIT = 1024, 2048
 
 _rng = np.random.default_rng(SEED)
 _FLIP, _TIMES = (_rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
@@ -65,8 +72,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
-def _sets(rows: DataFrame, made: list[str]) -> DataFrame:
-    """(key, text) -> (key, node, size, fingerprint, bands, shingles), written to the shared folder."""
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """``ODD`` bits as int64: the parity of the number of hashes in each part."""
+    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) % ODD, minlength=ODD)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketches(rows: DataFrame, made: list[str]) -> DataFrame:
+    """(key, text) -> (key, node, size, fingerprint, bands), written to the shared folder."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,23 +90,85 @@ def _sets(rows: DataFrame, made: list[str]) -> DataFrame:
                 bits = np.array([majority_bits(f) for f in found], np.uint64).view(np.int64)
                 keys = pa.array([bands(f) for f in found], pa.list_(pa.int64()))
                 size = pa.array([len(f) for f in found], pa.int64())
-                whole = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(node), size, pa.array(bits), keys, whole], names=["key", "node", "size", "fingerprint", "bands", "shingles"]
+                    [part.column("key"), pa.array(node), size, pa.array(bits), keys], names=["key", "node", "size", "fingerprint", "bands"]
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return written(rows.mapInArrow(make, f"key {kind}, node long, size long, fingerprint long, bands array<long>, shingles array<long>"), "copies", made)
+    return written(rows.mapInArrow(make, f"key {kind}, node long, size long, fingerprint long, bands array<long>"), "copies", made)
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, made: list[str]) -> DataFrame:
+    """(key, text) and the written (key, node, n) -> (node, size, odd, shingles) of each wanted node, written.
+
+    ``n``: how many rows of ``rows`` have the key, at most. Keys with over a thousandth of
+    the rows, a thousand at most, are found by a broadcast; their rows are one before the shuffle.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                found = [shingles(t.as_py()) for t in part.column("text")]
+                size = pa.array([len(f) for f in found], pa.int64())
+                odd = pa.array([odd_sketch(f) for f in found], pa.list_(pa.int64()))
+                whole = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), size, odd, whole], names=["node", "size", "odd", "shingles"])
+
+    least = max(1000, (wanted.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot, cold = wanted.filter(F.col("n") > least).select("key", "node"), wanted.filter(F.col("n") <= least).select("key", "node")
+    if hot.isEmpty():
+        texts = rows.join(cold, "key")
+    else:
+        few = F.broadcast(hot)
+        texts = rows.join(few, "key").unionByName(rows.join(few.select("key"), "key", "left_anti").join(cold, "key"))
+    texts = texts.groupBy("node").agg(F.any_value("text").alias("text"))
+    return written(texts.mapInArrow(make, "node long, size long, odd array<long>, shingles array<long>"), "copies", made)
+
+
+def _within(least: float, size: str, size2: str, odd: str, odd2: str) -> Column:
+    """Whether two sets can be alike enough, by their sizes and odd sketches: never false for a pair that is."""
+    apart = sum((F.bit_count(F.get(odd, F.lit(k)).bitwiseXOR(F.get(odd2, F.lit(k)))) for k in range(ODD // 64)), F.lit(0))
+    near = F.least(size, size2) >= least * F.greatest(size, size2)
+    return near & (apart <= (1 - least) / (1 + least) * (F.col(size) + F.col(size2)) + 1e-6)
+
+
+def _beside(pairs: DataFrame, written_pairs: DataFrame, sets: DataFrame, side: str, name: str, made: list[str]) -> DataFrame:
+    """The pairs, the same as written, with the set of their ``side``; a node with many pairs is dealt over several keys, so no set is broadcast."""
+    counts = written(written_pairs.groupBy(side).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / SPLIT).cast("int")), "copies", made)
+    dealt = lookup_skewed(pairs, counts, side, "n").withColumn("part", F.pmod(F.xxhash64("v" if side == "u" else "u"), "parts").cast("int"))
+    facts = sets.select(F.col("node").alias(side), F.col("shingles").alias(name)).join(counts.select(side, "parts"), side)
+    facts = facts.select(side, name, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(facts, [side, "part"]).drop("parts", "part")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float, made: list[str]) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike enough; a node with many pairs is broadcast. All inside the JVM, a pair at a time."""
+    """The written pairs (u, v) whose whole sets are alike enough, after the bound. All inside the JVM, a pair at a time."""
+    given = pairs
+    for side, size, odd in (("u", "size", "odd"), ("v", "size2", "odd2")):
+        facts = given.groupBy(side).agg(F.count("*").alias("n"))
+        facts = facts.join(sets.select(F.col("node").alias(side), F.col("size").alias(size), F.col("odd").alias(odd)), side)
+        pairs = lookup_skewed(pairs, written(facts, "copies", made), side, "n")  # a sketch has some hundred bytes
+    left = pairs = written(pairs.filter(_within(least, "size", "size2", "odd", "odd2")).select("u", "v"), "copies", made)
     for side, name in (("u", "x"), ("v", "y")):
-        many = pairs.groupBy(side).agg(F.count("*").alias("many"))
-        facts = written(many.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side), "copies", made)
-        pairs = lookup_skewed(pairs, facts, side, "many")
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("u", "v")
+        pairs = _beside(pairs, left, sets, side, name, made)
+    shared = let(F.size(F.array_intersect("x", "y")), lambda n: n >= least * (F.size("x") + F.size("y") - n))
+    return pairs.filter(shared).select("u", "v")
+
+
+def _blocked(members: DataFrame, sets: DataFrame, least: float, made: list[str]) -> DataFrame:
+    """(bucket, node, many, component) -> the pairs (u, v) of a bucket, apart in component, that the bound leaves.
+
+    A bucket of ``many`` nodes is dealt over as many keys as it has blocks of ``SPLIT``;
+    each meets all its nodes. Both conditions are the join's own, so no other pair is made.
+    """
+    members = written(members.join(sets.select("node", "size", "odd"), "node"), "copies", made)
+    parts = F.ceil(F.col("many") / SPLIT).cast("int")
+    a = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("many")
+    b = members.select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "odd")])
+    apart = (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
+    pairs = a.join(b, ["bucket", "part"]).filter(apart & _within(least, "size", "size2", "odd", "odd2"))
+    return pairs.select(F.col("node").alias("u"), F.col("node2").alias("v"))
 
 
 def _indexed(one: DataFrame, made: list[str]) -> DataFrame:
@@ -115,15 +190,16 @@ def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
     """
     made: list[str] = []
     kept = lambda df: written(df, "copies", made)  # noqa: E731  (unlike a checkpoint, no constraints of its plan pile up over the rounds)
-    found = _sets(rows.select("key", "text"), made)
+    rows = rows.select("key", "text")
+    found = _sketches(rows, made)
     facts = {"size": F.max("size"), "fingerprint": F.max("fingerprint"), "bands": F.any_value("bands")}
-    one = kept(found.groupBy("node").agg(F.min("key").alias("key"), *[v.alias(c) for c, v in facts.items()]))
+    one = kept(found.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("n"), *[v.alias(c) for c, v in facts.items()]))
     keyed = one.select("node", "size", F.explode("bands").alias("bucket"))
     shared = kept(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     members = kept(lookup_skewed(keyed, shared, "bucket", "n"))
     indexed = kept(_indexed(one, made).distinct())
     meeting = members.select("node").unionByName(indexed.select(F.col("u").alias("node"))).unionByName(indexed.select(F.col("v").alias("node"))).distinct()
-    sets = kept(found.select("node", "shingles").join(meeting, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    sets = _sets(rows, kept(one.select("key", "node", "n").join(meeting, "node", "left_semi")), made)
     near = F.least("size", "size2") >= least * F.greatest("size", "size2")
     links = kept(_confirmed(indexed, sets, least, made))
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
@@ -137,13 +213,13 @@ def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
         most = open_.agg(F.max("many")).first()[0] or 0
         if not most:
             break
-        across = lookup_skewed(own, open_, "bucket", "many")
         last = r == ROUNDS or most == 2
         if last and most > 2:
-            a = kept(across.select("bucket", "node", "size", "component"))
-            b = a.select("bucket", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("component").alias("component2"))
-            across = a.join(b, "bucket").filter("node < node2")
-        pairs = across.filter(near & (F.col("component") != F.col("component2"))).select(F.col("node2").alias("u"), F.col("node").alias("v"))
+            rest = lookup_skewed(own.drop("size"), open_.select("bucket", "many", F.col("many").alias("weight")), "bucket", "weight")
+            pairs = _blocked(rest, sets, least, made)
+        else:
+            across = lookup_skewed(own, open_, "bucket", "many")
+            pairs = across.filter(near & (F.col("component") != F.col("component2"))).select(F.col("node2").alias("u"), F.col("node").alias("v"))
         fresh = kept(_confirmed(kept(pairs.distinct()), sets, least, made))
         if not fresh.isEmpty():
             links = kept(links.unionByName(fresh))

@@ -1,6 +1,7 @@
 import corpus_pipeline as cp
 import numpy as np
-from genoframe.llm.copies import copy_groups, shingles, similarity
+from genoframe.llm import copies
+from genoframe.llm.copies import copy_groups, odd_sketch, shingles, similarity
 
 
 def slow_shingles(text):
@@ -69,3 +70,35 @@ def test_dissimilar_texts_of_one_bucket_are_all_compared(spark):
     assert len(got) == 24 and len(set(got.values())) == 12
     assert all(got[k] == got[k + 1] for k in range(0, 24, 2))
     assert copy_groups(docs.limit(0)).collect() == []
+
+
+def test_odd_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 40, 400, 9000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.append(a[: int(0.8 * n)], rng.integers(0, 2**64, n // 5, np.uint64)))
+        bits = int(np.bitwise_count((odd_sketch(a) ^ odd_sketch(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+    assert not odd_sketch(shingles(None)).any()
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Many texts of one template, alike in pairs only, with one text repeated and one key given twice."""
+    monkeypatch.setattr(copies, "SPLIT", 5)
+    rng = np.random.default_rng(11)
+    base = [str(x) for x in rng.integers(0, 10**6, 120)]
+    texts = []
+    for k in range(30):
+        w = list(base)
+        for at in rng.choice(120, 6, replace=False):
+            w[at] = f"x{k}"
+        texts += [" ".join(w), " ".join([*w, "end"])]
+    texts += [texts[0]]
+    rows = [*enumerate(texts), (3, texts[3])]
+    label, links = groups([t for _, t in rows])
+    assert len({label[k] for k in range(60)}) > 15
+    got = {r["key"]: r["group"] for r in copy_groups(spark.createDataFrame(rows, "key long, text string")).collect()}
+    assert set(got) == set(range(60))
+    for a in range(60):
+        for b in range(a):
+            assert (got[a] == got[b]) == (label[a] == label[b])
