@@ -11,7 +11,7 @@ of the shard's text, and runs shorter than the shortest window are left out of
 the index; both steps are exact.
 
 The benchmark is the stated query set. It is read to the driver in blocks of at
-most ``BLOCK_ITEMS`` items, and each block is searched in all documents. With several
+most ``BLOCK_ITEMS`` items and about ``BLOCK_CHARS`` characters, and each block is searched in all documents. With several
 blocks the documents are written once with a number for each row; the first block
 gives every row its result, the others only rows with an occurrence, which are merged
 by that number. Texts are not shuffled.
@@ -33,6 +33,8 @@ WINDOW = 13
 SHARD_WORDS = 500_000
 SAMPLE = 16
 BLOCK_ITEMS = 20_000
+#: Characters of items in a block, about; one longer item is a block of its own at most.
+BLOCK_CHARS = 64_000_000
 
 #: Bytes of words stay (A-Z in lower case), all others become spaces.
 _FOLD = bytes(
@@ -161,8 +163,11 @@ class FMIndex:
 class Windows:
     """The windows of a block of benchmark items, as rows of word numbers."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.names = sorted(str(i) for i, _ in items)
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        # Items without an id are one item, which comes last and has no name.
+        self.names: list[str | None] = sorted({str(i) for i, _ in items if i is not None})
+        if any(i is None for i, _ in items):
+            self.names.append(None)
         number = {n: k for k, n in enumerate(self.names)}
         self.vocabulary: dict[bytes, int] = {}
         found: dict[int, dict[tuple, set[int]]] = {}
@@ -170,7 +175,7 @@ class Windows:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
             size = min(len(ids), window)
             for at in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), set()).add(number[str(name)])
+                found.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), set()).add(number[None if name is None else str(name)])
         self.by_size = {
             size: (np.array(list(rows), np.int64), [np.array(sorted(x), np.int64) for x in rows.values()])
             for size, rows in sorted(found.items())
@@ -235,12 +240,14 @@ def find_contamination(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
     block_items: int = BLOCK_ITEMS,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row per row of ``documents``: id, ``n_words``, ``spans``, ``items``.
 
     ``spans``: merged word spans ``(start, end)``, end exclusive, covered by
     occurrences of windows; ``items``: ids (as strings, sorted) of the items
-    whose windows occur. A window is ``window`` consecutive item words; a shorter
+    whose windows occur. Items whose id is null are one item without a name: a null at the
+    end of ``items``, counted, but not in the report's digest. A window is ``window`` consecutive item words; a shorter
     item is one window; an item without words has none. Null and empty texts have
     no words; repeated rows each give a row; an empty benchmark or an empty
     ``documents`` gives no spans or no rows. Other columns are not looked at.
@@ -248,15 +255,15 @@ def find_contamination(
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     listed = items.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
-    n_items = listed.count()
-    n_blocks = max(1, -(-n_items // block_items))
+    n_items, n_chars = listed.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_items // block_items), -(-n_chars // block_chars))
     if n_blocks > 1:
         docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination")
     else:
         docs = docs.withColumn("row", F.lit(0).cast("long"))
     results = []
     for block in range(n_blocks):
-        own = listed if n_blocks == 1 else listed.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
+        own = listed if n_blocks == 1 else listed.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block)
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in own.collect()], window))
         rows = docs if block == 0 else docs.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "row")
         results.append(rows.mapInArrow(_searcher(shared, shard_words, every=block == 0), _schema(docs)))

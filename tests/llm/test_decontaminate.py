@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -50,6 +51,18 @@ def test_against_brute_force(spark):
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in report) == sorted((k, n, h, c) for k, _, n, h, _, c in want)
 
 
+def test_items_without_id(spark):
+    """They count as one item and have no name; an item called None is another."""
+    d = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "e f a b"), (4, "x")], "doc_id long, text string")
+    i = spark.createDataFrame([(None, "a b"), (None, "c d"), ("None", "e f"), (None, None)], "item_id string, text string")
+    for options in ({}, {"block_items": 1}, {"block_chars": 3}):
+        found = find_contamination(d, i, **options)
+        assert {r.doc_id: r["items"] for r in found.collect()} == {1: [None], 2: [None], 3: ["None", None], 4: []}
+        report = {r.doc_id: (r.n_items, r.items_sha256) for r in contamination_report(found).collect()}
+        empty, named = (hashlib.sha256(x).hexdigest() for x in (b"", b"None"))
+        assert report == {1: (1, empty), 2: (1, empty), 3: (2, named), 4: (0, empty)}
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id string, text string")
     i = spark.createDataFrame([], "item_id long, text string")
