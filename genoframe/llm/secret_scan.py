@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 SURE = 0.5
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ASSIGNED = re.compile(
-    r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"'`]?([^\s\"'`,;<>]{8,})"
+    r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+[\"'`]?([^\s\"'`,;<>]{8,})"
 )
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN [A-Z ]*?PRIVATE KEY-----")
 #: Beginnings of well-known keys.
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}\Z|ASIA[0-9A-Z]{16}\Z|gh[pousr]_[A-Za-z0-9]{36}\Z|xox[abps]-[A-Za-z0-9-]+\Z|sk_live_[A-Za-z0-9]{24,}\Z|AIza[0-9A-Za-z_-]{35}\Z|eyJ[A-Za-z0-9_-]+")
 _TELLING = frozenset("password passwd pwd secret token key apikey api access auth credential credentials bearer private signing".split())

@@ -18,8 +18,9 @@ def test_candidates():
 
 def test_long_names():
     for name in ("DB_PASSWORD", "SPRING_DATASOURCE_PRIMARY_CONNECTION_PASSWORD", "a." * 40 + "secret", "éàPASSWORD"):
-        text = f"set {name}=hunt3r!2x now"
-        assert [text[s:e] for s, e in candidates(text)] == ["hunt3r!2x"]
+        for sign in ("=", "  :  ", "\t" * 9 + "=" + " " * 40):
+            text = f"set {name}{sign}hunt3r!2x now"
+            assert [text[s:e] for s, e in candidates(text)] == ["hunt3r!2x"]
 
 
 def test_rows(spark):
