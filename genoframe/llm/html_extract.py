@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -41,25 +42,59 @@ _HIDDEN_TAGS = frozenset("script style template noscript iframe object svg math
 _HEAD = frozenset("base link meta noscript script style template title".split())
 _RAW = frozenset("script style title textarea iframe noscript template".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)",
     re.S,
 )
 _NAMES = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+@lru_cache(maxsize=20_000)
+def _bits(tag: str, names: tuple[str, ...]) -> tuple[int, int]:
+    """The bits that an element sets in the vector of a path, and in that of its innermost two."""
+    path = own = 0
+    for x in (tag, *names):
+        own |= 1 << crc32(b"own " + x.encode()) % OWN_DIM
+    if tag not in ("html", "body"):
+        for x in (f"<{tag}>", *names):
+            path |= 1 << crc32(x.encode()) % PATH_DIM
+    return path, own
+
+
+class Open:
+    """An open element; its path is itself and its parents. What it adds to a vector is kept, so that a deep page costs no more than a flat one."""
+
+    __slots__ = ("tag", "names", "parent", "path", "own")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Open | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.path, self.own = _bits(tag, names)
+        if parent:
+            self.path |= parent.path
+
+    def __iter__(self) -> Iterator[tuple[str, tuple[str, ...]]]:
+        node: Open | None = self
+        while node:
+            yield node.tag, node.names
+            node = node.parent
+
+
 class Block:
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: int):
+    def __init__(self, text: str, path: Open | None, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The text blocks of a page, in order, with white space made single and ends trimmed."""
+    """The text blocks of a page, in order, with white space made single and ends trimmed.
+
+    An end tag without an open element of its name is passed over; a null or empty page has no blocks.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[Open] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, links, hidden = 0, 0, 0
 
@@ -68,13 +103,13 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if hidden and stack[-1][0] == "head" and raw.strip():
+        if hidden and stack[-1].tag == "head" and raw.strip():
             close("head")
         if raw and not hidden:
             text = entities.unescape(raw) if "&" in raw else raw
@@ -84,12 +119,14 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def close(tag: str) -> None:
         nonlocal links, hidden
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                for name, _ in stack[k:]:
-                    links -= name == "a"
-                    hidden -= name in _HIDDEN_TAGS
-                del stack[k:]
+        if not opened[tag]:
+            return
+        while True:
+            name = stack.pop().tag
+            opened[name] -= 1
+            links -= name == "a"
+            hidden -= name in _HIDDEN_TAGS
+            if name == tag:
                 return
 
     at = 0
@@ -105,7 +142,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in _BLOCK:
             flush()
-        if not (m[1] or m[4]) and stack and stack[-1][0] == "head" and tag not in _HEAD and tag not in ("head", "html"):
+        if not (m[1] or m[4]) and stack and stack[-1].tag == "head" and tag not in _HEAD and tag not in ("head", "html"):
             close("head")
         if m[1] or m[4]:
             close(tag)
@@ -115,14 +152,15 @@ def blocks_of(page: str | None) -> list[Block]:
         attributes = m[3] or m[6] or ""
         if tag in _VOID or attributes.endswith("/"):
             continue
-        if tag in _BLOCK and any(name == "p" for name, _ in stack[-4:]):
+        if tag in _BLOCK and any(e.tag == "p" for e in stack[-4:]):
             close("p")  # an open paragraph ends where a block begins
-        if tag in ("li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == tag:
+        if tag in ("li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1].tag == tag:
             close(tag)
         names = ()
         if "class" in attributes or "id" in attributes or "role" in attributes:
             names = tuple(p.lower() for f in _NAMES.findall(attributes) for v in f if v for p in _PART.findall(v))
-        stack.append((tag, names))
+        stack.append(Open(tag, names, stack[-1] if stack else None))
+        opened[tag] += 1
         links += tag == "a"
         hidden += tag in _HIDDEN_TAGS
         if tag in _RAW:
@@ -135,17 +173,9 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 @lru_cache(maxsize=20_000)
-def _path_vector(path: tuple) -> np.ndarray:
-    v = np.zeros(PATH_DIM + OWN_DIM, np.float32)
-    for tag, names in path:
-        if tag in ("html", "body"):
-            continue
-        for x in (f"<{tag}>", *names):
-            v[crc32(x.encode()) % PATH_DIM] = 1
-    for tag, names in path[-2:]:
-        for x in (tag, *names):
-            v[PATH_DIM + crc32(b"own " + x.encode()) % OWN_DIM] = 1
-    return v
+def _path_vector(path: int, own: int) -> np.ndarray:
+    bits = path | own << PATH_DIM
+    return np.unpackbits(np.frombuffer(bits.to_bytes((PATH_DIM + OWN_DIM) // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
 _WORD = re.compile(r"\w+")
@@ -154,7 +184,7 @@ _WORD = re.compile(r"\w+")
 def vectors(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), INPUT), np.float32)
     for k, b in enumerate(blocks):
-        x[k, : PATH_DIM + OWN_DIM] = _path_vector(b.path)
+        x[k, : PATH_DIM + OWN_DIM] = _path_vector(b.path.path, b.path.own | (b.path.parent.own if b.path.parent else 0)) if b.path else 0
         words = _WORD.findall(b.text.lower())
         n = max(1, len(words))
         counts = np.bincount([crc32(w.encode()) % WORD_DIM for w in words], minlength=WORD_DIM) if words else 0
@@ -296,7 +326,7 @@ _CUES = {
 _WRAPS = {
     "nav": [("nav", ""), ("nav", "main-nav"), ("div", "menu"), ("div", "navbar"), ("ul", "navigation"), ("div", "breadcrumb"), ("div", "topnav"), ("nav", "menu")],
     "footer": [("footer", ""), ("footer", "site-footer"), ("div", "footer"), ("div", "bottom"), ("div", "copyright"), ("div", "page-footer")],
-    "ad": [("div", "ad"), ("div", "ads"), ("div", "advert"), ("aside", "ad"), ("div", "sponsored"), ("div", "promo"), ("div", "banner"), ("section", "advertisement"), ("ins", "adsbygoogle")],
+    "ad": [("div", "ad"), ("div", "ads"), ("div", "advert"), ("aside", "ad"), ("div", "sponsored"), ("div", "promo"), ("div", "banner"), ("section", "advertisement"), ("div", "adsbygoogle")],
     "notice": [("div", "cookie-notice"), ("div", "cookie-banner"), ("div", "notice"), ("div", "consent"), ("div", "alert"), ("div", "newsletter"), ("div", "popup"), ("div", "gdpr")],
     "form": [("form", ""), ("form", "search-form"), ("form", "subscribe"), ("form", "login")],
     "comments": [("div", "comments"), ("section", "comments"), ("div", "comment-list"), ("div", "reader-comments"), ("ol", "commentlist"), ("div", "disqus"), ("section", "discussion"), ("div", "responses")],
@@ -360,25 +390,33 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
             bottom.append(kind)
     page = "".join(boiler(k, named()) for k in top)
     wrapper = pick(_ARTICLE[:3]) if rng.random() < 0.6 else pick(_ARTICLE)
-    body = ""
+    body, plain = "", rng.random() < 0.25  # some pages have no paragraphs, only plain divisions
     if rng.random() < 0.8:
         body += f"<h1>{say(phrase(int(rng.integers(2, 12))), True)}</h1>"
     for _ in range(int(rng.integers(1, 14))):
         kind = rng.random()
         n = int(np.exp(rng.uniform(0, 5)))
-        if kind < 0.75:
+        if kind < 0.7 and plain:
+            body += f"<div>{say(prose(n), True)}</div>"
+        elif kind < 0.7:
             body += f"<p>{say(prose(n), True)}</p>" if rng.random() < 0.9 else f"<p><b>{say(prose(n), True)}<br>"
-        elif kind < 0.82:
+        elif kind < 0.77:
             body += f"<{(t := pick(['h2', 'h3']))}>{say(phrase(int(rng.integers(1, 6))), True)}</{t}>"
         elif kind < 0.88:
-            body += "<ul>" + "".join(f"<li>{say(prose(int(rng.integers(2, 12))), True)}</li>" for _ in range(int(rng.integers(1, 5)))) + "</ul>"
+            entry = prose if rng.random() < 0.5 else phrase
+            items = "".join(f"<li>{say(entry(int(rng.integers(1, 12))), True)}</li>" for _ in range(int(rng.integers(1, 7))))
+            body += f"<{(t := pick(['ul', 'ol']))}>{items}</{t}>"
         elif kind < 0.92:
             body += f"<blockquote><p>{say(prose(n), True)}</p></blockquote>"
         elif kind < 0.95:
             body += f'<p>{say(phrase(4) + f" <a href=x>{phrase(2)}</a> " + prose(8), True)}</p>'
         else:
             body += boiler(pick(["ad", "side", "form", "notice"]), True)
-    page += wrap(wrapper, body)
+    article = wrap(wrapper, body)
+    if rng.random() < 0.12:  # laid out by a table, the menus in one cell and the article in another
+        page = f"<table><tr><td>{page}</td><td>{article}</td></tr></table>"
+    else:
+        page += article
     page += "".join(boiler(k, named()) for k in bottom)
     return f"<html><head><title>{phrase(4)}</title></head><body>{page}</body></html>", labels
 
@@ -407,7 +445,9 @@ def main_text(pages: list[str | None], model: BlockLabeller) -> list[str]:
 def extract_main_text(pages: DataFrame, model: BlockLabeller | None = None, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """Every row of ``pages`` with ``out_col`` added (replaced if there): the page's main text.
 
-    Null and empty html, and pages without main text, give ""; other columns stay.
+    Null and empty html, and pages without main text, give ""; other columns stay. Repeated
+    rows come back as often, an empty table gives no rows, and long or deep pages are read
+    whole, in time linear in their length.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained_labeller())
 

@@ -98,6 +98,12 @@ PAGES = [
     ("""<html><body><div class="topbar">Sign in | Register | Help</div><div class="ad">Sponsored: buy one, get one free!</div><div id="content"><h1>Minutes of the meeting</h1><p>Present were the chair, the treasurer and nine members; two members had sent their excuses.</p><p>The treasurer reported that the accounts were in order and that the roof had been paid for.</p><p>It was agreed to meet again in March.</p></div><div id="sidebar"><p>Opening hours: Monday to Friday, 9 to 5</p><p><a href=m>Become a member</a></p></div><div class="share">Share this: <a>Mail</a> <a>Print</a></div><div class="legal">Terms of use. No part of this page may be copied.</div></body></html>""",
      ["Minutes of the meeting", "Present were the chair, the treasurer and nine members; two members had sent their excuses.", "The treasurer reported that the accounts were in order and that the roof had been paid for.", "It was agreed to meet again in March."],
      []),
+    ("""<html><body><div id="nav"><a href=/>Start</a> | <a href=/docs>Manual</a> | <a href=/dl>Downloads</a></div><div class="doc-body"><h1>Setting the clock</h1><div>The clock keeps time while the mains are off, but must be set once after the battery was changed.</div><ol><li>Hold the upper button until the hour blinks</li><li>Turn the wheel to the right hour</li><li>Press the button again and set the minutes</li></ol><div>If the display stays dark, the battery is empty or was put in the wrong way round.</div></div><div class="feedback"><form><label>Was this page helpful?</label><button>Yes</button><button>No</button></form></div><div class="page-footer">Maker of Clocks Ltd. All rights reserved.</div></body></html>""",
+     ["Setting the clock", "The clock keeps time while the mains are off, but must be set once after the battery was changed.", "Hold the upper button until the hour blinks", "Turn the wheel to the right hour", "Press the button again and set the minutes", "If the display stays dark, the battery is empty or was put in the wrong way round."],
+     []),
+    ("""<html><body><header class="masthead"><div class="logo">Notes from the hills</div></header><main><h1>Three days on foot</h1><p>We left the hut before the sun was up. The path was frozen, and nobody spoke for the first hour.</p><h2>What we carried</h2><ul><li>Bread, cheese and dried plums</li><li>A rope of thirty metres</li></ul><p>On the second evening the fog came in from the sea, so we waited under a rock until it was gone.</p><section class="comments"><h3>Responses</h3><p>I was there last year, lovely place!</p></section></main><aside class="widget"><h3>Archive</h3><ul><li><a href=1>March</a></li><li><a href=2>April</a></li></ul></aside><footer>Written by hand. Imprint.</footer></body></html>""",
+     ["Three days on foot", "We left the hut before the sun was up. The path was frozen, and nobody spoke for the first hour.", "What we carried", "Bread, cheese and dried plums", "A rope of thirty metres", "On the second evening the fog came in from the sea, so we waited under a rock until it was gone."],
+     []),
 ]
 
 
@@ -110,4 +116,37 @@ def test_layouts_written_by_hand():
         right += sum(x in want for x in have)
         extra += sum(x not in want for x in have)
         lost += sum(x not in have for x in want)
-    assert 2 * right / (2 * right + extra + lost) > 0.88 and extra <= 1
+    assert 2 * right / (2 * right + extra + lost) > 0.9 and extra <= 1
+
+
+def steps(page):
+    """Lines of Python that the parser runs: work that does not depend on the machine."""
+    import sys
+
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return count
+
+    old = sys.gettrace()
+    sys.settrace(count)
+    try:
+        blocks_of(page)
+    finally:
+        sys.settrace(old)
+    return n
+
+
+def test_odd_pages_take_linear_work():
+    for make in (lambda n: "<div>x" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<p>x</q>" * n, lambda n: "<i>" * n + "</b>x<p>" * n):
+        assert steps(make(800)) < 4.4 * steps(make(200))
+
+
+def test_deep_and_unclosed_pages():
+    got = blocks_of("<div class=a>x" * 40_000)
+    assert len(got) == 40_000 and sum(1 for _ in got[-1].path) == 40_000
+    assert [b.text for b in blocks_of("one <" + "a" * 400_000)] == ["one"]
+    assert [b.text for b in blocks_of("<b>" * 20_000 + "</i>" * 20_000 + "end")] == ["end"]
+    assert [b.text for b in blocks_of("<div><p>one</section>two</div>three")] == ["one", "two", "three"]
