@@ -36,7 +36,7 @@ DIM = 8
 NGRAMS = (3, 5)
 #: Beginnings of words, in bytes with the mark: stems with an ending of any kind share them.
 STEMS = (6, 7, 8)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: With fewer texts of a label than this, all are trained on and calibration is by parts.
 SCARCE, FOLDS = 1_000, 3
 #: Words whose buckets are made at a time in training.
