@@ -39,8 +39,9 @@ STEMS = (6, 7, 8)
 CACHE_WORDS = 100_000
 #: With fewer texts of a label than this, all are trained on and calibration is by parts.
 SCARCE, FOLDS = 1_000, 3
-#: Words whose buckets are made at a time in training.
+#: Words whose buckets are made at a time, and characters and texts that are scored together.
 WORDS_AT_ONCE = 20_000
+CHARS_AT_ONCE, TEXTS_AT_ONCE = 500_000, 1_000
 _MASK, _WIDE = BUCKETS - 1, 1 << 32
 
 #: Letters and digits, with other marks only inside: ``st*pid`` is a word.
@@ -69,7 +70,10 @@ class ToxicityModel:
         self.weight, self.bias = weight, bias
 
     def score(self, text: str | None) -> float:
-        return _sigmoid(self.logits.strongest(words_of(text)) + self.bias)
+        return float(self.scores([text])[0])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.array(self.strengths(texts)) + self.bias, -30, 30)))
 
     @cached_property
     def logits(self) -> "_Logits":
@@ -83,7 +87,10 @@ class ToxicityModel:
         return self.fitted_to(self.strengths(texts), labels)
 
     def strengths(self, texts: list[str | None]) -> list[float]:
-        return [self.logits.strongest(words_of(t)) for t in texts]
+        found: list[float] = []
+        for own in _batches(texts):
+            found += self.logits.strongest([words_of(t) for t in own]).tolist()
+        return found
 
     def fitted_to(self, strengths: list[float], labels: list[int]) -> "ToxicityModel":
         """Scale and shift by logistic regression of labels on strengths."""
@@ -104,8 +111,17 @@ class ToxicityModel:
         return ToxicityModel((self.weight * (a / unit)).astype(np.float32), float(b))
 
 
-def _sigmoid(x: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+def _batches(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``CHARS_AT_ONCE`` characters."""
+    own, chars = [], 0
+    for t in texts:
+        own.append(t)
+        chars += len(t or "")
+        if chars >= CHARS_AT_ONCE or len(own) >= TEXTS_AT_ONCE:
+            yield own
+            own, chars = [], 0
+    if own:
+        yield own
 
 
 class _Logits(dict):
@@ -113,29 +129,76 @@ class _Logits(dict):
 
     def __init__(self, weight: np.ndarray):
         super().__init__()
-        self.weight, self.values = weight.tolist(), np.zeros(1024)
-
-    def __missing__(self, word: str) -> int:
-        weight, found = self.weight, buckets_of(word)
-        k = len(self)
-        if k == len(self.values):
-            self.values = np.concatenate([self.values, np.zeros(k)])
-        known = [weight[b] for b in found if weight[b]]
-        self.values[k] = sum(known) / max(1, len(known))
-        self[word] = k
-        return k
-
-    def strongest(self, words: list[str]) -> float:
-        """The largest sum over a passage's different words, by its length."""
-        if not words:
-            return 0.0
+        self.weight, self.values = weight.astype(float), np.zeros(1024)
+
+    def learn(self, words: list[str]) -> None:
+        """Number new words: the average weight of a word's buckets that have one."""
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part, k = words[at : at + WORDS_AT_ONCE], len(self)
+            buckets, owner = _all_buckets(part)
+            weight = self.weight[buckets]
+            known = np.bincount(owner, weight != 0, len(part))
+            sums = np.bincount(owner, weight, len(part))
+            if k + len(part) > len(self.values):
+                self.values = np.concatenate([self.values[:k], np.zeros(k + 2 * len(part))])
+            self.values[k : k + len(part)] = sums / np.maximum(1, known)
+            self.update(zip(part, range(k, k + len(part))))
+
+    def strongest(self, texts: list[list[str]]) -> np.ndarray:
+        """For each text's words, the largest sum over a passage's different words, by its length; 0 without words."""
+        out = np.zeros(len(texts))
+        flat = [w for words in texts for w in words]
+        if not flat:
+            return out
         if len(self) > CACHE_WORDS:
             self.clear()
-        ids = np.array([self[w] for w in words])
-        at = _passages(len(ids))
+        self.learn([w for w in dict.fromkeys(flat) if w not in self])
+        ids = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        n = np.array([len(words) for words in texts])
+        own = np.flatnonzero(n)
+        n = n[own]
+        k = np.maximum(1, np.rint(n / PASSAGE).astype(np.int64))
+        first = np.cumsum(k) - k
+        at = (np.arange(k.sum()) - np.repeat(first, k)) * np.repeat(n, k) // np.repeat(k, k) + np.repeat(np.cumsum(n) - n, k)
         size = np.diff(np.append(at, len(ids)))
-        pair = np.unique(np.repeat(np.arange(len(at)), size) * _WIDE + ids)
-        return float((np.bincount(pair // _WIDE, self.values[pair % _WIDE], len(at)) / size).max())
+        pair = np.sort(np.repeat(np.arange(len(at)), size) * _WIDE + ids)
+        pair = pair[np.diff(pair, prepend=-1) != 0]
+        sums = np.bincount(pair // _WIDE, self.values[pair % _WIDE], len(at)) / size
+        out[own] = np.maximum.reduceat(sums, first)
+        return out
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+_CRC = _crc_table()
+
+
+def _all_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`buckets_of` finds, for many words at once, and the number of the word of each; a byte further in each step."""
+    marked = [b"<%b>" % w.encode() for w in words]
+    whole = np.fromiter(map(crc32, marked), np.int64, len(marked)) & _MASK
+    data = np.frombuffer(b"".join(marked), np.uint8)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # bytes of the word from here on
+    begins = np.repeat(np.cumsum(size) - size, size) == np.arange(len(data))
+    at, state = np.arange(len(data)), np.full(len(data), 0xFFFFFFFF, np.uint32)
+    found, owners = [whole], [np.arange(len(words))]
+    for n in range(1, max(*NGRAMS, *STEMS) + 1):
+        wanted = left[at] >= n
+        if n > max(NGRAMS):
+            wanted &= begins[at]
+        at, state = at[wanted], state[wanted]
+        state = _CRC[(state ^ data[at + n - 1]) & np.uint32(255)] ^ (state >> np.uint32(8))
+        for take in [np.s_[:]] * (n in NGRAMS) + [begins[at] & (left[at] > n)] * (n in STEMS):
+            found.append((~state[take]).astype(np.int64) & _MASK)
+            owners.append(owner[at[take]])
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -333,6 +396,6 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, *, threshold: flo
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         for batch in texts:
-            yield pd.Series([model.score(t) for t in batch], dtype=float)
+            yield pd.Series(model.scores(batch.tolist()), dtype=float)
 
     return documents.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

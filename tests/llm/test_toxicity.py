@@ -1,4 +1,5 @@
 import numpy as np
+from genoframe.llm import toxicity
 from genoframe.llm.toxicity import fit, fit_toxicity, score_toxicity, train
 
 
@@ -47,3 +48,30 @@ def test_spark_rows(spark):
     assert {r.score for r in rows if not r.text} == {model.score("")}
     assert fit_toxicity(docs, known.limit(0)).score("stupid") < 0.01
     assert score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_scores_of_many_texts_are_those_of_plain_sums(monkeypatch):
+    rng = np.random.default_rng(5)
+    pool = ["a", "stupid", "ß漢é", "x" * 300, "a*b", "st*pid", "1a", *("".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(1, 12, 400))]
+    texts = [None, "", "12 7", *(" ".join(rng.choice(pool, int(n))) for n in rng.integers(1, 90, 60))]
+    weight = (rng.normal(size=toxicity.BUCKETS) * (rng.random(toxicity.BUCKETS) < 0.6)).astype(np.float32)
+    model = toxicity.ToxicityModel(weight, -0.5)
+
+    def of_word(w):
+        known = [float(weight[b]) for b in toxicity.buckets_of(w) if weight[b]]
+        return sum(known) / max(1, len(known))
+
+    def plain(text):
+        words = toxicity.words_of(text)
+        at = [*toxicity._passages(len(words)), len(words)]
+        sums = [sum(map(of_word, set(words[a:b]))) / (b - a) for a, b in zip(at, at[1:]) if b > a]
+        return 1 / (1 + np.exp(0.5 - max(sums, default=0.0)))
+
+    wanted = [plain(t) for t in texts]
+    # Buckets of words are made for many words together, whatever is remembered, and texts are scored together.
+    monkeypatch.setattr(toxicity, "buckets_of", None)
+    for words, chars in ((100_000, 500_000), (50, 700)):
+        monkeypatch.setattr(toxicity, "CACHE_WORDS", words)
+        monkeypatch.setattr(toxicity, "CHARS_AT_ONCE", chars)
+        assert np.allclose(toxicity.ToxicityModel(weight, -0.5).scores(texts), wanted, rtol=0, atol=1e-12)
+    assert model.score(texts[5]) == model.scores(texts)[5]
