@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import remove, scratch, table
+from genoframe.llm.common import possibly, remove, scratch, table, written
 from genoframe.llm.copies import copy_groups
 from genoframe.llm.decontaminate import contamination_report, find_contamination
 from genoframe.llm.packing import pack, token_pieces
@@ -38,10 +38,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns come first as JSON stays.
     """
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("h"), F.col("text").isNull().alias("none"))
-    first = copy_groups(docs.select(key.alias("key"), "text")).groupBy("group").agg(F.min("key").alias("key")).select("key")
-    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"), others.alias("others"))
-    return rows.join(first, "key", "left_semi").groupBy("key").agg(F.min_by("doc", "others").alias("doc")).select("doc.*")
+    keyed = docs.select(key.alias("key"), "text")
+    first = written(copy_groups(keyed).groupBy("group").agg(F.min("key").alias("key")).select("key"), "first")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).join(first.withColumn("stays", F.lit(True)), "key", "left")
+    unsure = written(counts.filter("n > 1 or stays is null").select("key"), "unsure")  # only these are shuffled with their texts
+    rows = possibly(docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key")), unsure, "key")
+    rest = rows.filter("_possible").select("doc", "key", F.to_json(F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "text"])).alias("others"))
+    rest = rest.join(first, "key", "left_semi").groupBy("key").agg(F.min_by("doc", "others").alias("doc"))
+    return rows.filter("not _possible").select("doc.*").unionByName(rest.select("doc.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

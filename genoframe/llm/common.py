@@ -89,3 +89,20 @@ def lookup_skewed(rows: DataFrame, facts: DataFrame, key: str, weight: str, hot_
         return rows.join(rest, key)
     is_hot = F.col(key).isin(keys)
     return rows.filter(is_hot).join(F.broadcast(hot), key).unionByName(rows.filter(~is_hot).join(rest, key))
+
+
+#: Bits of the filter that :func:`possibly` broadcasts, as a power of two.
+FILTER_BITS = 24
+
+
+def possibly(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_possible``: false only where ``key`` is in no row of ``keys``, so that such rows need no shuffle.
+
+    Keys are hashed to ``2 ** FILTER_BITS`` bits, which are broadcast whatever the size (262,144
+    words at most); the fuller they are the more other rows pass too, and a join settles those.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).alias("_place")
+    word, bit = F.expr("_place div 64").alias("_word"), F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    marks = keys.select(place).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(marks), "_word", "left")
+    return marked.withColumn("_possible", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_place", "_word", "_bits")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import let, lookup_skewed, remove, written
+from genoframe.llm.common import let, lookup_skewed, possibly, remove, written
 from genoframe.llm.components import connected_components
 from genoframe.llm.simhash import _FOLD, DISTANCE, SEED, majority_bits, near_links
 
@@ -103,6 +103,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, made: list[str]) -> DataFrame:
 
     ``n``: how many rows of ``rows`` have the key, at most. Keys with over a thousandth of
     the rows, a thousand at most, are found by a broadcast; their rows are one before the shuffle.
+    Texts of no such key are not shuffled, but for the few that :func:`possibly` lets pass.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +118,13 @@ def _sets(rows: DataFrame, wanted: DataFrame, made: list[str]) -> DataFrame:
 
     least = max(1000, (wanted.agg(F.sum("n")).first()[0] or 0) // 1000)
     hot, cold = wanted.filter(F.col("n") > least).select("key", "node"), wanted.filter(F.col("n") <= least).select("key", "node")
+    rows = possibly(rows, wanted, "key").filter("_possible").drop("_possible")
     if hot.isEmpty():
         texts = rows.join(cold, "key")
     else:
         few = F.broadcast(hot)
         texts = rows.join(few, "key").unionByName(rows.join(few.select("key"), "key", "left_anti").join(cold, "key"))
-    texts = texts.groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = texts.groupBy("key", "node").agg(F.any_value("text").alias("text")).select("node", "text")  # a node has one key, so the join's order serves
     return written(texts.mapInArrow(make, "node long, size long, odd array<long>, shingles array<long>"), "copies", made)
 
 
@@ -204,7 +206,7 @@ def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
     links = kept(_confirmed(indexed, sets, least, made))
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
     if not links.isEmpty():
-        labels = kept(connected_components(links))
+        labels = connected_components(links, made)
     for r in range(ROUNDS + 1):
         own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         leader = F.min_by(F.struct("node", "size", "component"), F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("leader")
@@ -223,7 +225,7 @@ def copy_groups(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
         fresh = kept(_confirmed(kept(pairs.distinct()), sets, least, made))
         if not fresh.isEmpty():
             links = kept(links.unionByName(fresh))
-            labels = kept(connected_components(links))
+            labels = connected_components(links, made)
         if last:
             break
     out = written(one.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("group")), "copies")

@@ -102,3 +102,35 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     for a in range(60):
         for b in range(a):
             assert (got[a] == got[b]) == (label[a] == label[b])
+
+
+def test_components_leave_one_table(spark):
+    import os
+
+    from genoframe.llm.common import remove, shared_dir
+    from genoframe.llm.components import connected_components
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 10 != 9], "u long, v long")
+    here = shared_dir(spark).removeprefix("file:")
+    before, made = set(os.listdir(here)) | {""}, []
+    subs = {d: set(os.listdir(f"{here}/{d}")) for d in before if d and os.path.isdir(f"{here}/{d}")}
+    out = connected_components(links, made)
+    assert {(r.node, r.component) for r in out.collect()} == {(k, k // 10 * 10) for k in range(40)}
+    fresh = [f"{here}/{d}" for d in set(os.listdir(here)) - before] + [f"{here}/{d}/{x}" for d, own in subs.items() if os.path.isdir(f"{here}/{d}") for x in set(os.listdir(f"{here}/{d}")) - own]
+    assert fresh == [p.removeprefix("file:") for p in made] and len(made) == 1
+    remove(spark, *made)
+
+
+def test_filter_before_a_shuffle_loses_no_key(spark, monkeypatch):
+    from genoframe.llm import common
+
+    rows = spark.range(20_000).selectExpr("nullif(id, 7) as id", "struct(id % 3 = 0 as odd, nullif(id, 7) as id) as key")
+    keys = rows.filter("id is null or id % 50 = 3").select("key")
+    wanted = {r.id for r in rows.filter("id is null or id % 50 = 3").collect()}
+    for bits, most in ((24, len(wanted) + 20), (6, 20_000)):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        got = common.possibly(rows, keys, "key")
+        assert got.count() == 20_000
+        passed = {r.id for r in got.filter("_possible").collect()}
+        assert wanted <= passed and len(passed) <= most
+    assert not common.possibly(rows, keys.limit(0), "key").filter("_possible").count()

@@ -91,3 +91,15 @@ def test_run(spark, tables):
     out = cp.run(spark, d)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 150
+
+
+def test_near_dedup_is_the_same_whatever_its_filter_lets_pass(spark, tables, monkeypatch):
+    from genoframe.llm import common
+
+    d = tables[0]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    wide = cp.near_dedup(spark, docs, d).collect()
+    monkeypatch.setattr(common, "FILTER_BITS", 1)
+    every = cp.near_dedup(spark, docs, d).collect()
+    key = lambda rows: sorted(map(str, rows))
+    assert key(wide) == key(every) and 0 < len(wide) < docs.count()
