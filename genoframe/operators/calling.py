@@ -13,6 +13,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -349,22 +351,27 @@ def bias_tests(sites: DataFrame, anno: str = "i16") -> DataFrame:
     ``mq``: root mean square of the mapping quality, null without depth.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack([np.asarray(v, float) for v in b["_x"]]) if len(b) else np.zeros((0, 16))
-            ref, alt = x[:, 0] + x[:, 1], x[:, 2] + x[:, 3]
-            tests = [one_sided_t(ref, alt, x[:, k], x[:, k + 1], x[:, k + 2], x[:, k + 3]) for k in (4, 8, 12)]
-            strand = [fisher_exact(*map(int, r)) for r in x[:, :4]]
-            tested = (ref > 0) & (alt > 0)
-            pv4 = [list(map(float, p)) if ok else None for p, ok in zip(zip(strand, *tests), tested)]
-            depth = ref + alt
-            mq = np.floor(np.sqrt((x[:, 9] + x[:, 11]) / np.maximum(depth, 1)) + 0.499)
-            yield pd.DataFrame({"_x": b["_x"], "dp4": x[:, :4].astype(int).tolist(), "mq": mq.astype(int), "pv4": pv4, "depth": depth})
-
-    distinct = sites.select(F.col(anno).cast("array<double>").alias("_x")).filter(F.size("_x") == 16).distinct()
-    tested = distinct.mapInPandas(run, "_x array<double>, dp4 array<int>, mq int, pv4 array<double>, depth double")
-    tested = tested.withColumn("mq", F.when(F.col("depth") > 0, F.col("mq"))).drop("depth")
-    return sites.withColumn("_x", F.col(anno).cast("array<double>")).join(tested, "_x", "left").drop("_x")
+    @F.pandas_udf("dp4 array<int>, mq int, pv4 array<double>")
+    def run(sums: pd.Series) -> pd.DataFrame:
+        own = np.array([k for k, v in enumerate(sums) if v is not None and len(v) == 16], int)
+        x = np.stack([np.asarray(sums.iloc[k], float) for k in own]) if len(own) else np.zeros((0, 16))
+        ref, alt = x[:, 0] + x[:, 1], x[:, 2] + x[:, 3]
+        tests = [one_sided_t(ref, alt, x[:, k], x[:, k + 1], x[:, k + 2], x[:, k + 3]) for k in (4, 8, 12)]
+        cells = x[:, :4].astype(int)
+        tables, which = np.unique(cells, axis=0, return_inverse=True)
+        strand = np.array([fisher_exact(*map(int, r)) for r in tables])[which.reshape(-1)] if len(own) else np.zeros(0)  # few tables differ
+        depth = ref + alt
+        mq = np.floor(np.sqrt((x[:, 9] + x[:, 11]) / np.maximum(depth, 1)) + 0.499).astype(int)
+        out = pd.DataFrame({c: pd.Series([None] * len(sums), dtype=object) for c in ("dp4", "mq", "pv4")})
+        pv4 = np.stack([strand, *tests], axis=1).tolist()
+        for c, values, given in (("dp4", cells.tolist(), np.ones(len(own), bool)), ("mq", mq.tolist(), depth > 0), ("pv4", pv4, (ref > 0) & (alt > 0))):
+            made = [None] * len(sums)
+            for k, v, ok in zip(own, values, given):
+                made[k] = v if ok else None
+            out[c] = pd.Series(made, dtype=object)
+        return out
+
+    return sites.select("*", run(F.col(anno).cast("array<double>")).alias("_t")).select("*", "_t.*").drop("_t")
 
 
 # --- frequencies ---------------------------------------------------------------
@@ -449,12 +456,21 @@ def consensus_call(sites: DataFrame, *, p_variant: float = 0.5, theta: float = 1
     chance of no ALT is below ``p_variant``. Genotypes are the likeliest under ``af1``.
     """
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = np.array(["0/0", "0/1", "1/1", "./."])
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.reset_index(drop=True)
-            made = []
-            for own in by_shape(b, "pls"):
-                pl = np.array([np.stack([np.asarray(x, float)[:3] for x in b["pls"][k]]) for k in own])
+            pls = b.column("pls")
+            samples = pls.flatten()
+            if pls.null_count or samples.null_count or (pc.min(pc.list_value_length(samples)).as_py() or 3) < 3:
+                raise ValueError("three likelihoods a sample are needed")
+            first = samples.offsets.to_numpy()[:-1] - samples.offsets[0].as_py()
+            values = np.asarray(samples.flatten().to_numpy(zero_copy_only=False), float)
+            out = {c: np.zeros(b.num_rows) for c in ("af1", "ac1", "ci_low", "ci_high", "hwe", "lrt", "fq", "p_ref", "qual")}
+            g3, sizes = np.zeros((b.num_rows, 3)), pc.list_value_length(pls).to_numpy()
+            calls = np.zeros(len(samples), int)
+            for own, at in _by_length(sizes):
+                pl = values[first[at][:, :, None] + np.arange(3)]
                 p = np.nan_to_num(10.0 ** (-pl / 10), nan=1.0)
                 f, g, post = estimate_frequency(p), genotype_frequencies(p), frequency_posterior(p, theta)
                 n = p.shape[1]
@@ -468,46 +484,73 @@ def consensus_call(sites: DataFrame, *, p_variant: float = 0.5, theta: float = 1
                 p_ref, folded = post[:, 0], frequency_posterior(p, theta, folded=True)
                 alike = np.minimum(1.0, folded[:, 0] + folded[:, 2 * n])
                 count, (low, high) = np.round(count_likelihood(p), 9).argmax(axis=1), credible_interval(post)  # of equal fits the least
-                variant = p_ref < p_variant
-                r = np.where(variant, p_ref, 1 - p_ref)
+                r = np.where(p_ref < p_variant, p_ref, 1 - p_ref)
                 phred = lambda x: np.minimum(999, -4.343 * np.log(np.maximum(x, 1e-300)))
                 fq = np.where(alike < 0.5, phred(alike), -phred(1 - alike))
-                best = (p * hw[:, None, :]).argmax(axis=2)
                 blank = (np.ptp(p, axis=2) == 0)
-                names = np.array(["0/0", "0/1", "1/1", "./."])
-                calls = names[np.where(blank, 3, best)]
-                for m, k in enumerate(own):
-                    sure = chance[m] <= 0.05
-                    made.append((k, f[m], int(count[m]), float(low[m]), float(high[m]), g[m].tolist() if sure else None, float(chance[m]) if sure else None, float(lrt[m]), float(fq[m]), float(p_ref[m]), float(phred(r[m])), bool(variant[m]), calls[m].tolist()))
-            names = ["k", "af1", "ac1", "ci_low", "ci_high", "g3", "hwe", "lrt", "fq", "p_ref", "qual", "is_variant", "genotypes"]
-            out = pd.DataFrame(made, columns=names)
-            out.insert(0, "key", b["key"].iloc[out["k"].to_numpy(int)].to_numpy() if len(out) else [])
-            yield out.drop(columns="k")
+                calls[at] = np.where(blank, 3, (p * hw[:, None, :]).argmax(axis=2))
+                g3[own] = g
+                for c, x in zip(out, (f, count, low, high, chance, lrt, fq, p_ref, phred(r))):
+                    out[c][own] = x
+            sure = out["hwe"] <= 0.05
+            made = {c: pa.array(x, from_pandas=True, mask=~sure if c == "hwe" else None) for c, x in out.items()}
+            made["ac1"] = pa.array(out["ac1"].astype(np.int32))
+            made["g3"] = pa.ListArray.from_arrays(_offsets(np.where(sure, 3, 0)), pa.array(g3[sure].ravel()), mask=pa.array(~sure))
+            made["is_variant"] = pa.array(out["p_ref"] < p_variant)
+            made["genotypes"] = pa.ListArray.from_arrays(_offsets(sizes), pa.array(names.astype(object), pa.string()).take(pa.array(calls)))
+            order = ["af1", "ac1", "ci_low", "ci_high", "g3", "hwe", "lrt", "fq", "p_ref", "qual", "is_variant", "genotypes"]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *[made[c] for c in order]], names=["key", *order])
 
     kind = sites.schema["key"].dataType.simpleString()
-    return sites.select("key", "pls").mapInPandas(
+    return sites.select("key", F.col("pls").cast("array<array<double>>").alias("pls")).mapInArrow(
         call, f"key {kind}, af1 double, ac1 int, ci_low double, ci_high double, g3 array<double>, hwe double, lrt double, fq double, p_ref double, qual double, is_variant boolean, genotypes array<string>"
     )
 
 
+def _by_length(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For lists one after the other: numbers of those of one length, and where their values are (lists by length)."""
+    start = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        yield own, start[own][:, None] + np.arange(n)
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+
+
 def allele_frequency_em(counts: DataFrame, key: str | list[str], rounds: int = 20) -> DataFrame:
     """Non-reference allele frequency by EM over three genotype likelihoods a sample.
 
-    One row for each (site, sample) with ``g0``, ``g1``, ``g2``; the rounds are unrolled
-    over the site's array, so the data are shuffled once.
+    One row for each (site, sample) with ``g0``, ``g1``, ``g2``; the data are shuffled once,
+    and the rounds go over batches of sites of one number of samples. A sample with a null adds nothing.
     """
     by = [key] if isinstance(key, str) else key
-    sites = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("g0", "g1", "g2"))).alias("g"))
-
-    def step(f: Column) -> Column:
-        def share(s: Column) -> Column:
-            a, b, c = s["g0"] * (1 - f) * (1 - f), s["g1"] * 2 * f * (1 - f), s["g2"] * f * f
-            return F.coalesce((b + 2 * c) / F.nullif(a + b + c, F.lit(0.0)), F.lit(0.0))
-
-        return F.aggregate("g", F.lit(0.0), lambda acc, s: acc + share(s)) / (2 * F.size("g"))
-
-    est = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.2), lambda f, _: step(f))
-    return sites.select(*by, est.alias("af"), F.size("g").alias("samples"))
+    each = F.struct(*[F.col(c).cast("double").alias(c) for c in ("g0", "g1", "g2")])
+    sites = counts.groupBy(*by).agg(F.sort_array(F.collect_list(each)).alias("_g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_g")
+            parts = lists.flatten().flatten()
+            sizes = pc.list_value_length(lists).to_numpy()
+            g0, g1, g2 = (np.asarray(x.to_numpy(zero_copy_only=False), float) for x in parts)
+            lacks = np.any([x.is_null().to_numpy(zero_copy_only=False) for x in parts], axis=0)
+            af = np.zeros(batch.num_rows)
+            for own, at in _by_length(sizes):
+                x, y, z, void = g0[at], g1[at], g2[at], lacks[at]
+                f = np.full((len(own), 1), 0.2)
+                for _ in range(rounds):
+                    a, b, c = x * (1 - f) * (1 - f), y * 2 * f * (1 - f), z * f * f
+                    total = a + b + c
+                    none = void | (total == 0)
+                    share = np.where(none, 0.0, (b + 2 * c) / np.where(none, 1.0, total))
+                    f = np.cumsum(share, axis=1)[:, -1:] / (2 * at.shape[1])
+                af[own] = f[:, 0]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], pa.array(af), pa.array(sizes.astype(np.int32))], names=[*by, "af", "samples"])
+
+    kinds = "".join(f"`{c}` {counts.schema[c].dataType.simpleString()}, " for c in by)
+    return sites.mapInArrow(run, f"{kinds}af double, samples int")
 
 
 def hardy_weinberg_chi2(n0: Column, n1: Column, n2: Column) -> Column:

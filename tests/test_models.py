@@ -276,3 +276,41 @@ def test_headers_of_several_files(spark, tmp_path):
     paths = [str(tmp_path / f"{k}.vcf") for k in range(2)]
     assert len(read_header(spark, str(tmp_path)).lines) == 3 and read_header(spark, paths).info == {"DP": ("1", "Integer")}
     assert sorted(r.info.DP for r in read_vcf(spark, paths)[1].collect()) == [1, 1, 2, 2, 3, 3]
+
+
+def test_batches_of_sites_of_many_shapes(spark):
+    """Sites of one to four samples in one batch: rows come as they went in, each as if it were alone."""
+    pls = [[[0.0, 7.0 * k + s, 40.0] for s in range(1 + k % 4)] for k in range(12)]
+    pls[5][0] = [None, 3.0, 9.0, 1.0]
+    rows = spark.createDataFrame(list(enumerate(pls)), "key int, pls array<array<double>>").coalesce(1)
+    got = calling.consensus_call(rows).collect()
+    assert [r.key for r in got] == list(range(12)) and [len(r.genotypes) for r in got] == [len(p) for p in pls]
+    for k in (0, 5, 11):
+        assert calling.consensus_call(rows.filter(f"key = {k}")).first() == got[k]
+
+
+def test_bias_tests_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(k, [float(k % 5), 2.0, 3.0, k % 3 + 0.0, *([30.0 * k, 900.0 * k] * 6)]) for k in range(20)], "k int, i16 array<double>")
+    out = calling.bias_tests(rows)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        a, b, c, d = r.dp4
+        assert r.pv4[0] == special.fisher_exact(a, b, c, d)
+
+
+def test_frequency_rounds_in_batches(spark):
+    g = [(k, 0.2 + 0.1 * s, 0.5, 0.1 * k) for k in range(6) for s in range(1 + k)] + [(9, None, 1.0, 1.0), (9, 0.1, 0.1, 0.8), (10, 0.0, 0.0, 0.0)]
+    out = calling.allele_frequency_em(spark.createDataFrame(g, "k int, g0 double, g1 double, g2 double"), "k")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: (r.af, r.samples) for r in out.collect()}
+    for key in {r[0] for r in g}:
+        own = sorted((r[1:] for r in g if r[0] == key), key=lambda r: (r[0] is not None, r))
+        f = 0.2
+        for _ in range(20):
+            t = 0.0
+            for x in own:
+                if None not in x and sum(x):
+                    a, b, c = x[0] * (1 - f) * (1 - f), x[1] * 2 * f * (1 - f), x[2] * f * f
+                    t += (b + 2 * c) / (a + b + c)
+            f = t / (2 * len(own))
+        assert got[key] == (pytest.approx(f, abs=1e-12), len(own))
