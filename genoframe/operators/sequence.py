@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.functions.shared import written
 from genoframe.operators.ranges import RANGE, running_total, with_neighbours, with_previous
 
 
@@ -24,10 +25,10 @@ def _file_ends(chunks: DataFrame) -> DataFrame:
     """(chrom, chunk, k, lo, hi, start, prior_hi, next_lo, next_hi): a row for each file of a contig, numbered in order."""
     w = Window.partitionBy("chrom").orderBy("chunk")
     ends = chunks.groupBy("chrom", "chunk").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    ends = ends.withColumns({"k": F.row_number().over(w), "start": F.min("lo").over(Window.partitionBy("chrom")), "prior_hi": F.lag("hi").over(w), "next_lo": F.lead("lo").over(w), "next_hi": F.lead("hi").over(w), "_third": F.lead("lo", 2).over(w)})
+    ends = written(ends, "file-ends").withColumns({"k": F.row_number().over(w), "start": F.min("lo").over(Window.partitionBy("chrom")), "prior_hi": F.lag("hi").over(w), "next_lo": F.lead("lo").over(w), "next_hi": F.lead("hi").over(w), "_third": F.lead("lo", 2).over(w)})
     if not ends.filter("_third <= hi").isEmpty():
         raise ValueError("more than two files overlap")
-    return ends.drop("_third")
+    return written(ends.drop("_third"), "file-ends")
 
 
 def _in_overlaps(rows: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def _in_overlaps(rows: DataFrame) -> DataFrame:
 def _paired_sites(placed: DataFrame) -> DataFrame:
     """(chrom, join, pos, nth, n) for sites that both files of an overlap have, numbered by range along it."""
     both = _in_overlaps(placed).groupBy("chrom", "join", "pos").agg(F.count("*").alias("_n")).filter("_n = 2").withColumn("_one", F.lit(1)).drop("_n")
-    nth = running_total(both, "_one", "nth", [F.col("pos")], keys=["chrom", "join"]).drop("_one")
+    nth = written(running_total(both, "_one", "nth", [F.col("pos")], keys=["chrom", "join"]).drop("_one"), "paired")
     return nth.join(nth.groupBy("chrom", "join").agg(F.max("nth").alias("n")), ["chrom", "join"])
 
 
@@ -54,7 +55,9 @@ def ligate_phase(chunks: DataFrame, *, min_quality: int = 30) -> DataFrame:
     where no site is in both files the state stays. ``quality`` is null in the first file
     and where there is no such site; below ``min_quality`` the second half of the overlap,
     if it has a site, begins a new phase set; the first one begins at the contig's first site.
+    Rows are worked out once and written to the shared folder, from where all passes read.
     """
+    chunks = written(chunks, "phased")
     ends = _file_ends(chunks)
     paired = _paired_sites(chunks.select("chrom", "chunk", "pos").distinct().join(ends, ["chrom", "chunk"]))
     return _joined_files(chunks, ends, paired, min_quality).drop("k", "second")
@@ -93,8 +96,9 @@ def ligated_rows(chunks: DataFrame, *, min_quality: int = 30) -> DataFrame:
     exchanged, and phased, where the file is swapped. ``quality`` is given at the first
     site that the later file gives of an overlap, null elsewhere.
     """
+    chunks = written(chunks, "phased")
     ends = _file_ends(chunks)
-    placed = chunks.select("chrom", "chunk", "pos").distinct().join(ends, ["chrom", "chunk"])
+    placed = written(chunks.select("chrom", "chunk", "pos").distinct().join(ends, ["chrom", "chunk"]), "placed")
     paired = _paired_sites(placed)
     files = _joined_files(chunks, ends, paired, min_quality)
     met = F.col("pos").between(F.col("next_lo"), F.col("next_hi")) | (F.col("pos") <= F.col("prior_hi"))

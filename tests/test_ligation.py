@@ -75,3 +75,19 @@ def test_draws_and_missing_overlaps(spark):
     assert got == [(False, None, 1), (True, 99, 1), (True, None, 1), (False, 0, 31)]  # one site: the first file's; no overlap keeps the state; a draw ends it
     with pytest.raises(ValueError):
         sequence.ligate_phase(spark.createDataFrame([("x", 1, k, p, 0, 1, True) for k in range(3) for p in (1, 50)], df.schema))
+
+
+@pytest.mark.parametrize("operator", [sequence.ligate_phase, sequence.ligated_rows])
+def test_rows_are_worked_out_once(spark, operator):
+    rows = [(s, 1, k, p, 0, 1, True) for k in range(4) for p in range(10 * k + 1, 10 * k + 16) for s in (1, 2)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    kind = "sample int, chrom int, chunk long, pos long, a int, b int, phased boolean"
+    chunks = spark.createDataFrame(rows, kind).mapInPandas(counted, kind)
+    assert operator(chunks).count()
+    assert seen.value == len(rows)
