@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.functions.genetics import INDEL, SNP, let, trim_suffix
+from genoframe.functions.genetics import INDEL, SNP, let
 from genoframe.functions.keys import site_key
-from genoframe.operators.reshape import by_rule, collected, recoded_samples, renumbered, united_alleles
+from genoframe.operators.reshape import by_rule, collected
 
 MODES = {"none": 0, "snps": SNP, "indels": INDEL, "both": SNP | INDEL, "all": -1}
 
@@ -97,60 +97,75 @@ def assigned(files: list[int], masks: list[int], refs: list[str], alts: list[lis
 
 #: What separates records, their fields and ALTs in the text of a site that a task looks at.
 _RECORD, _FIELD, _ALT = "\x1e", "\x1f", "\x1d"
+#: A record of a merged one: its place among the site's, for each new allele its old number (``src``), for each old one
+#: its new number (``to``), for each new genotype its old place among likelihoods (``g``).
+_TAKEN = pa.struct([("k", pa.int32()), ("src", pa.list_(pa.int32())), ("to", pa.list_(pa.int32())), ("g", pa.list_(pa.int32()))])
+_MERGED = pa.list_(pa.struct([("row", pa.int32()), ("ref", pa.string()), ("alts", pa.list_(pa.string())), ("taken", pa.list_(_TAKEN))]))
+_MERGED_DDL = "array<struct<row:int,ref:string,alts:array<string>,taken:array<struct<k:int,src:array<int>,to:array<int>,g:array<int>>>>>"
 
 
-@lru_cache(maxsize=1 << 16)
-def _assigned_text(site: str, mode: str) -> list[int]:
-    """:func:`assigned` of a site given as text, one list; many sites have the same alleles."""
-    records = [r.split(_FIELD) for r in site.split(_RECORD)]
-    files, masks, refs, alts = zip(*records)
-    to = assigned(list(map(int, files)), list(map(int, masks)), list(refs), [a.split(_ALT) if a else [] for a in alts], mode)
-    return [x for pair in to for x in pair]
-
-
-def _assign(mode: str):
-    @F.pandas_udf("array<int>")
-    def assign(sites: pd.Series) -> pd.Series:
-        return sites.map(lambda t: None if t is None else _assigned_text(t, mode))
-
-    return assign
+def _united(own: list[int], near: list[int], refs: list[str], alts: list[list[str]]) -> tuple[list[str], list[list[int | None]]]:
+    """The alleles of the records ``own`` together, without the bases that all end in, and each record's ``src``.
 
+    As :func:`reshape.united_alleles`: the longest REF, ALTs extended to it, in order of the records ``near``.
+    """
+    ref = max((refs[k] for k in own), key=len)
+    longer = {k: [a if set(a) & set("<>[]*") else a + ref[len(refs[k]) :] for a in alts[k]] for k in near}
+    known = {a for k in own for a in longer[k]}
+    named = [ref, *(a for a in dict.fromkeys(a for k in near for a in longer[k]) if a in known)]
+    src = [[0, *(longer[k].index(a) + 1 if a in longer[k] else None for a in named[1:])] for k in own]
+    n = 0
+    while n + 1 < min(map(len, named)) and len({a[-1 - n] for a in named}) == 1:
+        n += 1
+    return [a[: len(a) - n] for a in named], src
 
-def merged_records(files: list[DataFrame], mode: str, order: str | None = None) -> DataFrame:
-    """(site, row, rows, all): a row for each merged record, with its records in file order and all those of its group.
 
-    ``order`` is the column of a file's line order; without it records of one file and
-    site go by ``ref`` and ``alts``. Sites at which each file has one record, of one
-    class, are plain Columns; only the others' alleles, not their samples, are looked at one by one.
+@lru_cache(maxsize=1 << 16)
+def _merged_text(site: str, mode: str, genotypes: bool) -> list[dict]:
+    """The merged records of a site given as text; many sites have the same alleles."""
+    files, masks, refs, alts = zip(*(r.split(_FIELD) for r in site.split(_RECORD)))
+    alts = [a.split(_ALT) if a else [] for a in alts]
+    to = assigned(list(map(int, files)), list(map(int, masks)), list(refs), alts, mode)
+    out = []
+    for row, group in dict.fromkeys(to):
+        own, near = [k for k, t in enumerate(to) if t[0] == row], [k for k, t in enumerate(to) if t[1] == group]
+        named, srcs = _united(own, near, refs, alts)
+        taken = []
+        for k, src in zip(own, srcs):
+            new = {o: j for j, o in reversed(list(enumerate(src))) if o is not None}
+            g = [None if x is None or y is None else max(x, y) * (max(x, y) + 1) // 2 + min(x, y) for j, y in enumerate(src) for x in src[: j + 1]] if genotypes else []
+            taken.append({"k": k, "src": src, "to": [new.get(o) for o in range(len(alts[k]) + 1)], "g": g})
+        out.append({"row": row, "ref": named[0], "alts": named[1:], "taken": taken})
+    return out
+
+
+def _merge(mode: str, genotypes: bool):
+    @F.arrow_udf(_MERGED_DDL)
+    def merge(sites: pa.Array) -> pa.Array:
+        seen = sites.dictionary_encode()
+        return pa.array([_merged_text(t, mode, genotypes) for t in seen.dictionary.to_pylist()], _MERGED).take(seen.indices)
+
+    return merge
+
+
+def merged_records(files: list[DataFrame], mode: str, order: str | None = None, *, genotypes: bool = True) -> DataFrame:
+    """(site, row, ref, alts, taken, rows): a row for each merged record, with its alleles; ``rows`` are all records of the site.
+
+    ``taken`` are its own records in file order: ``k``, the place in ``rows``, and ``src``, ``to``
+    and ``g``, by which alleles and, unless ``genotypes`` is false, vectors with a value for
+    each genotype are renumbered. ``order`` is
+    the column of a file's line order; without it records of one file and site go by ``ref``
+    and ``alts``. A task looks at the alleles of a site only, not at its samples, and once
+    at all sites of a batch that have the same.
     """
     by = site_key(*files)
     union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
     line = [order] if order else ["ref", "alts"]
     rows = reduce(union, [f.withColumns({"file": F.lit(k), "_line": F.struct(F.lit(k), *line)}) for k, f in enumerate(files)])
     sites = collected(rows, by, "_line")
-    each = lambda c: F.transform("rows", lambda r: r[c])
-    seed = F.get("rows", F.lit(0))
-    if mode == "none":
-        same = lambda r: (r["ref"] == seed["ref"]) & (r["alts"] == seed["alts"]) & (r["mask"] != 0)
-    else:
-        bad = lambda r, kind: (seed["mask"].bitwiseAND(kind) != 0) & (r["mask"].bitwiseAND(kind) == 0) & (r["mask"] != 0)
-        prefix = lambda r: F.startswith(r["ref"], seed["ref"]) | F.startswith(seed["ref"], r["ref"])
-        same = lambda r: prefix(r) & (F.lit(mode == "all") | ~(bad(r, SNP) | bad(r, INDEL)))
-    plain = (F.size(F.array_distinct(each("file"))) == F.size("rows")) & F.forall("rows", same)
-    sites = sites.withColumn("_plain", plain)
-    record = lambda r: F.concat_ws(_FIELD, r["file"].cast("string"), r["mask"].cast("string"), r["ref"], F.array_join(r["alts"], _ALT))
-    asked = F.when(~F.col("_plain"), F.array_join(F.transform("rows", record), _RECORD))
-    told = sites.withColumn("_told", _assign(mode)(asked))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("rows") - 1), lambda k: F.struct(F.get("_told", 2 * k).alias("row"), F.get("_told", 2 * k + 1).alias("group")))
-    sites = told.withColumn("_to", F.when(~F.col("_plain"), pairs)).drop("_told")
-    listed = F.when(F.col("_plain"), F.array(F.lit(0))).otherwise(F.array_distinct(F.transform("_to", lambda t: t["row"])))
-    sites = sites.withColumn("row", F.explode(listed))
-    own = F.when(F.col("_plain"), F.col("rows")).otherwise(F.filter("rows", lambda r, i: F.get("_to", i)["row"] == F.col("row")))
-    group = F.get(F.filter("_to", lambda t: t["row"] == F.col("row")), F.lit(0))["group"]
-    sites = sites.withColumn("_group", group)
-    near = F.when(F.col("_plain"), F.col("rows")).otherwise(F.filter("rows", lambda r, i: F.get("_to", i)["group"] == F.col("_group")))
-    near = F.transform(near, lambda r: F.struct(r["ref"].alias("ref"), r["alts"].alias("alts")))
-    return sites.select(*by, "row", own.alias("rows"), near.alias("all"))
+    record = lambda r: F.concat_ws(_FIELD, r["file"].cast("string"), r["mask"].cast("string"), r["ref"], F.coalesce(F.array_join(r["alts"], _ALT), F.lit("")))
+    told = sites.withColumn("_told", _merge(mode, genotypes)(F.array_join(F.transform("rows", record), _RECORD)))
+    return told.select(*by, "rows", F.explode("_told").alias("_m")).select(*by, "_m.row", "_m.ref", "_m.alts", "_m.taken", "rows")
 
 
 # --- what the merged record holds --------------------------------------------
@@ -186,13 +201,16 @@ def merge_files(
     by = site_key(*files)
     columns = {c for f in files for c in f.columns}
     kinds = next((f.schema["samples"].dataType.elementType for f in files if "samples" in f.columns), None)
-    whole = united_alleles(merged_records(files, mode, order), "all").drop("all")
-    listed = lambda c: F.transform("rows", lambda r: r[c])
+    numbers = [rule[1] for rule in rules.values() if not isinstance(rule, str)] + list(sample_vectors.values())
+    found = merged_records(files, mode, order, genotypes="G" in numbers)
+    rest = [c for c in dict.fromkeys(["id", "qual", "filter", "filters", *rules]) if c in columns]
+    record = lambda t: let(F.get("rows", t["k"]), lambda r: F.struct(*[r[c].alias(c) for c in rest], t.alias("_taken")))
+    own = F.transform("taken", record).alias("_own")
+    listed = lambda c: F.transform("_own", lambda r: r[c])
     united = F.array_distinct(F.array_compact(listed("filter") if "filter" in columns else F.flatten(F.array_compact(listed("filters")))))
-    alleles = trim_suffix(F.concat(F.array("ref"), "alts"))
     out = {
-        "ref": F.get("_alleles", F.lit(0)),
-        "alts": F.slice("_alleles", 2, F.size("_alleles")),
+        "ref": F.col("ref"),
+        "alts": F.col("alts"),
         "id": F.nullif(F.array_join(F.array_distinct(F.array_compact(listed("id"))), ";"), F.lit("")),
         "qual": F.greatest(F.lit(0.0), F.coalesce(F.array_max(listed("qual")), F.lit(0.0))),
         "filters": let(united, lambda u: let(F.array_remove(u, "PASS"), lambda others: F.when(F.size(others) > 0, others).otherwise(u))),
@@ -206,20 +224,30 @@ def merge_files(
         elif number == ".":
             out[c] = by_rule(rule, listed(c))
         else:
-            out[c] = by_rule(rule, renumbered(c, number))
+            out[c] = by_rule(rule, F.transform("_own", lambda r: F.when(r[c].isNotNull(), _renumbered(r[c], r["_taken"], number))))
     if kinds is None:
-        return whole.withColumn("_alleles", alleles).select(*by, "row", *[v.alias(c) for c, v in out.items()], F.lit(None).cast("int").alias("top_alt"))
-    new = lambda r: recoded_samples(r["samples"], r["src"], fields=kinds.names, vectors=sample_vectors, n_old=F.size(r["alts"]) + 1)
-    recoded = F.transform("rows", lambda r: F.struct(r["file"].alias("file"), new(r).alias("s")))
-    whole = whole.withColumns({"_alleles": alleles, "_samples": recoded})
+        whole = found.select(*by, "row", "ref", "alts", own)
+        return whole.select(*by, "row", *[v.alias(c) for c, v in out.items()], F.lit(None).cast("int").alias("top_alt"))
+
+    def new(s: Column, r: Column) -> Column:
+        fields = {c: s[c] for c in kinds.names}
+        if "gt" in kinds.names:
+            fields["gt"] = F.transform(s["gt"], lambda a: F.get(r["to"], a))
+        else:
+            fields |= {c: F.get(r["to"], s[c]) for c in ("a", "b")}
+        fields |= {c: F.when(s[c].isNotNull(), _renumbered(s[c], r, number)) for c, number in sample_vectors.items()}
+        return F.when(s.isNotNull(), F.struct(*[v.alias(c) for c, v in fields.items()]))
+
+    recoded = F.transform("taken", lambda t: let(F.get("rows", t["k"]), lambda r: F.struct(r["file"].alias("file"), F.transform(r["samples"], lambda s: new(s, t)).alias("s"))))
+    whole = found.select(*by, "row", "ref", "alts", own, recoded.alias("_samples"))
     absent = F.lit(None).cast(kinds)
     if "gt" in kinds.names:
         widest = F.array_max(F.flatten(F.transform("_samples", lambda r: F.transform(r["s"], lambda s: F.size(s["gt"])))))
         width = F.greatest(F.lit(0), F.coalesce(widest, F.lit(0)))
         absent = F.struct(*[(F.array_repeat(F.lit(None).cast("int"), width) if f.name == "gt" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields])
-    own = lambda k: F.get(F.filter("_samples", lambda r: r["file"] == k), F.lit(0))["s"]
+    of = lambda k: F.get(F.filter("_samples", lambda r: r["file"] == k), F.lit(0))["s"]
     some = lambda k: F.array_repeat(absent, sizes[k] if sizes else 0)
-    out["samples"] = F.concat(*[F.coalesce(own(k), some(k)) for k in range(len(files))])
+    out["samples"] = F.concat(*[F.coalesce(of(k), some(k)) for k in range(len(files))])
     codes = F.flatten(F.transform("_samples", lambda r: F.flatten(F.transform(r["s"], lambda s: s["gt"] if "gt" in kinds.names else F.array(s["a"], s["b"])))))
     out["top_alt"] = top_allele(codes)
     whole = whole.select(*by, "row", *[v.alias(c) for c, v in out.items()], codes.alias("_codes"))
@@ -229,6 +257,17 @@ def merge_files(
     return whole.drop("_codes")
 
 
+def _renumbered(values: Column, t: Column, number: str) -> Column:
+    """A record's vector in order of the merged alleles, as :func:`reshape.renumber`; ``t`` is the record's entry in ``taken``."""
+    each = lambda places: F.transform(places, lambda o: F.get(values, o))
+    if number == "A":
+        return F.transform(F.slice(t["src"], 2, F.size(t["src"])), lambda o: F.get(values, o - 1))
+    if number == "R":
+        return each(t["src"])
+    haploid = (F.size(values) == F.size(t["to"])) & (F.size(t["to"]) > 1)
+    return each(F.when(haploid, t["src"]).otherwise(t["g"]))
+
+
 def top_allele(codes: Column) -> Column:
     """The ALT number that most of the sample alleles are, the first of equals; null if there is none."""
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from genoframe.functions import genetics as gen
 from genoframe.operators import merge
@@ -92,3 +93,17 @@ def test_sample_names(spark):
     assert merge.merged_sample_names([["a", "b"], ["b"]], force=True) == ["a", "b", "2:b"]
     with pytest.raises(ValueError):
         merge.merged_sample_names([["a"], ["a"]])
+
+
+def test_numbers_of_a_merged_record_come_with_its_alleles(spark):
+    """What renumbers samples and vectors is worked out from the alleles alone, once for equal sites, and not again in each row."""
+    files = [[(p, 0, "A", ["C"], one("x", [0, 1])) for p in (1, 2)], [(p, 0, "AT", ["GT", "CT"], one("y", [1, 2])) for p in (1, 2)]]
+    rows = merge.merged_records([file(spark, f) for f in files], "both", "line").orderBy("pos").collect()
+    assert [(r.pos, r.row, r.ref, r.alts) for r in rows] == [(p, 0, "A", ["C", "G"]) for p in (1, 2)]
+    first, second = ([tuple(t) for t in r.taken] for r in rows)
+    assert first == second == [(0, [0, 1, None], [0, 1], [0, 1, 2, None, None, None]), (1, [0, 2, 1], [0, 2, 1], [0, 3, 5, 1, 4, 2])]
+    assert all(t.g == [] for r in merge.merged_records([file(spark, f) for f in files], "both", "line", genotypes=False).collect() for t in r.taken)
+    merge._merged_text.cache_clear()
+    sites = pa.array(["0\x1f1\x1fA\x1fC"] * 1000 + [None])
+    told = merge._merge("both", True).func(sites)
+    assert told[0] == told[999] and not told[1000].is_valid and merge._merged_text.cache_info().currsize == 1
