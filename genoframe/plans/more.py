@@ -159,8 +159,7 @@ def genotype_mismatches(spark, sf_dir):
  SELECT c.bin AS bin, rr, ra, aa, mismatch, round(CASE WHEN ra + aa + mismatch = 0 THEN 0.0 ELSE 100.0 * mismatch / CAST(ra + aa + mismatch AS DOUBLE) END, 6) AS nrd, r2, sites FROM c JOIN m ON c.bin = m.bin""")
 def concordance_by_frequency(spark, sf_dir):
     x, y = two_sets(spark, sf_dir)
-    af = x.groupBy(*SITE).agg((F.sum(F.col("a") + F.col("b")) / (2 * F.count("*"))).alias("af"))
-    out = stats.concordance_by_frequency(x, y, af)
+    out = stats.concordance_by_frequency(x, y)
     return out.withColumns({"nrd": F.round(F.col("nrd").cast("double"), 6), "r2": F.round("r2", 6)})
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -138,3 +139,19 @@ def test_stream_equals_table(spark, tmp_path):
     ev.run_to_table(ev.tumbling(stream), "hours", str(tmp_path / "c1"), "complete")
     want = sorted(map(tuple, ev.tumbling(table.withColumn("ts", F.col("ts").cast("timestamp"))).select("start", "event_type", "n").collect()))
     assert sorted(map(tuple, spark.table("hours").select("start", "event_type", "n").collect())) == want
+
+
+def test_concordance_by_frequency_reads_each_set_once(spark):
+    """As the joins of both sets would have it, with repeated samples and missing alleles, but without a join."""
+    rng = random.Random(8)
+    drawn = lambda n: [(rng.randrange(2), rng.randrange(12), rng.randrange(5), *(rng.choice([0, 0, 1, 1, None]) for _ in "ab")) for _ in range(n)]
+    left, right = (spark.createDataFrame(drawn(150), "chrom int, pos long, sample int, a int, b int") for _ in "xy")
+    af = left.groupBy("chrom", "pos").agg((F.sum(F.col("a") + F.col("b")) / (2 * F.count("*"))).alias("af"))
+    at = af.select("chrom", "pos", F.least(F.floor(F.col("af") * 10), F.lit(9)).cast("int").alias("bin"))
+    classes = stats.concordance(left.join(at, ["chrom", "pos"]), right, ["bin"])
+    r2 = stats.dosage_r2(left, right).join(at, ["chrom", "pos"]).groupBy("bin").agg(F.avg("r2").alias("r2"), F.count("*").alias("sites"))
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    want = rows(classes.join(r2, "bin"))
+    out = stats.concordance_by_frequency(left, right)
+    assert len(want) > 3 and rows(out) == want == rows(stats.concordance_by_frequency(left, right, af))
+    assert "Join" not in out._jdf.queryExecution().toString()
